@@ -19,12 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from parley.llm.wordtable import BYTES_KEPT, WORDS_KEPT, Known, Strings
+
 SPACE = "▁"
 NO_PAIR = np.int64(1) << 40
-#: Words that a task remembers before it starts anew.
-WORDS_KEPT = 300_000
-#: The same, in bytes of decimal text.
-BYTES_KEPT = 16 << 20
 _WORD = re.compile(r" *[^ ]+| +")
 
 
@@ -185,56 +183,6 @@ def load(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-class Strings:
-    """Byte strings numbered from 0 that are joined by arrays of numbers; more can be added."""
-
-    def __init__(self):
-        self.data, self.start, self.size = np.zeros(1 << 16, np.uint8), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.used = self.count = 0
-
-    def add(self, data: np.ndarray, sizes: np.ndarray) -> None:
-        while self.used + len(data) > len(self.data):
-            self.data = np.concatenate((self.data, np.zeros_like(self.data)))
-        while self.count + len(sizes) > len(self.size):
-            self.start, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size))
-        self.data[self.used : self.used + len(data)] = data
-        self.size[self.count : self.count + len(sizes)] = sizes
-        self.start[self.count : self.count + len(sizes)] = self.used + np.cumsum(sizes) - sizes
-        self.used, self.count = self.used + len(data), self.count + len(sizes)
-
-    @staticmethod
-    def of(items: list[bytes]) -> Strings:
-        out = Strings()
-        out.add(np.frombuffer(b"".join(items), np.uint8), np.array([len(x) for x in items], np.int64))
-        return out
-
-    def joined(self, numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The bytes of all numbers' strings, and where each group of the given sizes begins and ends in them."""
-        size = self.size[numbers]
-        end = np.cumsum(size)
-        step = np.ones(int(end[-1]) if len(end) else 0, np.int64)
-        some = size > 0
-        first, at = (end - size)[some], self.start[numbers][some]
-        if len(first):
-            step[first[0]] = at[0]
-            step[first[1:]] = at[1:] - (at[:-1] + size[some][:-1] - 1)
-        border = np.concatenate(([0], np.cumsum(counts)))
-        return self.data[np.cumsum(step)], np.concatenate(([0], end))[border]
-
-
-class Known(dict):
-    """Numbers for words; a word that is new gets the next number and waits in `fresh`."""
-
-    def __init__(self):
-        super().__init__()
-        self.fresh: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = number = len(self)
-        self.fresh.append(word)
-        return number
-
-
 class Encoder:
     """Encodes the texts of one task; keeps for each word met its ids as decimal text, their number and decoded bytes."""
 
