@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from parley.llm import media, packing, pieces
+from parley.llm import media, near, packing, pieces
 from parley.llm.shared import documents
 
 
@@ -16,12 +16,16 @@ def op2_media_columns(spark, sf_dir):
     return media.media_columns(documents(spark, sf_dir))
 
 
+def op3_jaccard_join(spark, sf_dir):
+    return near.jaccard_join(documents(spark, sf_dir))
+
+
 def op7_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def queries():
-    return {f.__name__: f for f in (op1_sentencepiece, op2_media_columns, op7_best_fit_packing)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_media_columns, op3_jaccard_join, op7_best_fit_packing)}
 
 
 def oracle_sql():
