@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from parley.llm import media, near, packing, pieces
+from parley.llm import chunks, media, near, packing, pieces
 from parley.llm.shared import documents
 
 
@@ -24,8 +24,12 @@ def op7_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_fingerprints(spark, sf_dir):
+    return chunks.fingerprint_documents(documents(spark, sf_dir))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_sentencepiece, op2_media_columns, op3_jaccard_join, op7_best_fit_packing)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_media_columns, op3_jaccard_join, op7_best_fit_packing, op10_fingerprints)}
 
 
 def oracle_sql():
