@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from parley.llm import chunks, media, near, packing, pieces
+from parley.llm import chunks, media, near, packing, pieces, quality, toxic
 from parley.llm.shared import documents
 
+#: Documents whose probability of the better grade is lower are rejected.
+KEEP_QUALITY = 0.3
+
 
 def op1_sentencepiece(spark, sf_dir):
     return pieces.encode_documents(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
@@ -20,16 +24,30 @@ def op3_jaccard_join(spark, sf_dir):
     return near.jaccard_join(documents(spark, sf_dir))
 
 
+def op4_quality(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.graded(docs.select("doc_id", "text"), model).select("doc_id", "quality_expected", "quality_tail", (F.col("quality_tail") >= KEEP_QUALITY).alias("kept"))
+
+
 def op7_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_toxicity(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = toxic.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out)
+    found = toxic.toxicity(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= toxic.THRESHOLD).cast("int").alias("predicted"), F.col("toxic_spans").alias("spans"))
+
+
 def op10_fingerprints(spark, sf_dir):
     return chunks.fingerprint_documents(documents(spark, sf_dir))
 
 
 def queries():
-    return {f.__name__: f for f in (op1_sentencepiece, op2_media_columns, op3_jaccard_join, op7_best_fit_packing, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_media_columns, op3_jaccard_join, op4_quality, op7_best_fit_packing, op9_toxicity, op10_fingerprints)}
 
 
 def oracle_sql():
