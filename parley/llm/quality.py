@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 #: Buckets of hashed trigrams.
 BUCKETS = 1 << 15
@@ -150,5 +151,5 @@ def graded(docs: DataFrame, model: Ordinal | None, best: int = 1) -> DataFrame:
                 expected, tail = model.expected(score), model.tails(score)[:, -best]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(expected, from_pandas=True), pa.array(tail)], names=[*batch.schema.names, "quality_expected", "quality_tail"])
 
-    schema = docs.schema.add("quality_expected", "double").add("quality_tail", "double")
+    schema = T.StructType(docs.schema.fields[:]).add("quality_expected", "double").add("quality_tail", "double")
     return docs.mapInArrow(run, schema)

@@ -4,7 +4,7 @@ Labels are by document, so tokens are labelled first: words and word beginnings
 more often than in the others (a likelihood-ratio test over all distinct words of the sample) mark the tokens of toxic
 documents. On those tokens a chain of two states is trained; its features are hashed: the word, its beginning and its two
 neighbours. Forward-backward marginals then give each token's probability; a document's score is a logistic function of
-the expected number of toxic tokens and the largest marginal, and runs of likely tokens are its offending spans.
+the expected number of toxic tokens, their share and the largest marginal, and runs of likely tokens are its offending spans.
 
 A token is a run of letters, digits and non-ASCII characters, in lower case. Chains are cut after CHAIN tokens.
 
@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parley.llm.quality import sigmoid
 
@@ -27,8 +28,10 @@ CHAIN = 64
 BEGINNING = 5
 WORD_BITS, NEAR_BITS = 18, 14
 #: Bounds of the samples: documents for each label in the word test and in training the chain, bytes of a text, words kept.
-MOST_TESTED, MOST_TRAINED, LONGEST, MOST_WORDS = 10_000, 1_500, 1 << 15, 5_000
-EPOCHS = 4
+MOST_TESTED, MOST_TRAINED, LONGEST, MOST_WORDS = 10_000, 4_000, 1 << 14, 5_000
+EPOCHS = 8
+#: Tokens added to a text before the share of toxic ones is taken.
+CALM = 50
 THRESHOLD = 0.7
 #: Tokens of at least this marginal make spans.
 SPAN = 0.5
@@ -133,14 +136,17 @@ def marginals(model: Chain, word: np.ndarray, begin: np.ndarray, counts: np.ndar
 
 
 def by_document(p: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """What the document's score is made of: 1, log(1 + expected toxic tokens), the largest marginal."""
+    """What the document's score is made of: 1, log(1 + expected toxic tokens), the log odds of the largest marginal (a
+    third of them, within 8 either way), and the log of the expected toxic tokens among a hundred (short texts count as longer)."""
     from parley.llm.shared import sums_by
 
     most = np.zeros(len(counts))
     some = counts > 0
     if some.any():
         most[some] = np.maximum.reduceat(p, (np.cumsum(counts) - counts)[some])
-    return np.stack((np.ones(len(counts)), np.log1p(np.maximum(sums_by(p, counts), 0)), most), axis=1)
+    number = np.maximum(sums_by(p, counts), 0)
+    odds = np.clip(np.log(most + 1e-9) - np.log1p(1e-9 - most), -8, 8) / 3
+    return np.stack((np.ones(len(counts)), np.log1p(number), odds, np.log1p(100 * number / (counts + CALM))), axis=1)
 
 
 def fit(texts: pa.Array, label: np.ndarray, marked: np.ndarray) -> Chain:
@@ -149,7 +155,7 @@ def fit(texts: pa.Array, label: np.ndarray, marked: np.ndarray) -> Chain:
     y = (np.isin(word, marked) | np.isin(begin, marked)) & (np.repeat(label, counts) == 1)
     w, b, left, right = _features(word, begin, counts)
     first, length = _chains(counts)
-    model = Chain(np.zeros(1 << WORD_BITS), np.zeros(1 << WORD_BITS), np.zeros(1 << NEAR_BITS), -2.0, np.zeros((2, 2)), np.array([-9.0, 0, 0]))
+    model = Chain(np.zeros(1 << WORD_BITS), np.zeros(1 << WORD_BITS), np.zeros(1 << NEAR_BITS), -2.0, np.zeros((2, 2)), np.array([-9.0, 0, 0, 0]))
     squares = [np.full(x.shape, 1e-4) for x in (model.word, model.start, model.near, model.moves)]
     bias_square, rng = 1e-4, np.random.default_rng(5)
     for _ in range(EPOCHS if len(first) else 0):
@@ -178,10 +184,10 @@ def fit(texts: pa.Array, label: np.ndarray, marked: np.ndarray) -> Chain:
             bias_square += error.sum() ** 2
             model.bias -= 0.5 * error.sum() / np.sqrt(bias_square)
     if 0 < label.sum() < len(label):
-        x, weight = by_document(marginals(model, word, begin, counts), counts), np.zeros(3)
+        x, weight = by_document(marginals(model, word, begin, counts), counts), np.zeros(4)
         for _ in range(40):  # Newton's method with a ridge
             q = sigmoid(x @ weight)
-            ridge = np.diag([1e-3, 0.02, 0.02])
+            ridge = np.diag([1e-3, 0.02, 0.02, 0.02])
             weight -= np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + ridge, x.T @ (q - label) + ridge @ weight)
         model.document = weight
     return model
@@ -258,5 +264,5 @@ def toxicity(docs: DataFrame, model: Chain, kept: tuple[str, ...] = ("doc_id",))
             spans = list_array(pa.StructArray.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["start", "end"]), n)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(score), spans], names=[*kept, "toxic_score", "toxic_spans"])
 
-    schema = docs.select(*kept).schema.add("toxic_score", "double").add("toxic_spans", "array<struct<start:int,end:int>>")
+    schema = T.StructType(docs.select(*kept).schema.fields[:]).add("toxic_score", "double").add("toxic_spans", T.ArrayType(T.StructType().add("start", "integer").add("end", "integer")))
     return docs.mapInArrow(run, schema)
