@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from parley.llm import chunks, media, near, packing, pieces, quality, toxic
+from parley.llm import chunks, licences, media, near, packing, pieces, quality, separators, toxic
 from parley.llm.shared import documents
 
 #: Documents whose probability of the better grade is lower are rejected.
@@ -30,10 +30,18 @@ def op4_quality(spark, sf_dir):
     return quality.graded(docs.select("doc_id", "text"), model).select("doc_id", "quality_expected", "quality_tail", (F.col("quality_tail") >= KEEP_QUALITY).alias("kept"))
 
 
+def op6_token_counts(spark, sf_dir):
+    return separators.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op7_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_licences(spark, sf_dir):
+    return licences.scan(documents(spark, sf_dir))
+
+
 def op9_toxicity(spark, sf_dir):
     docs = documents(spark, sf_dir)
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
@@ -47,7 +55,7 @@ def op10_fingerprints(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_sentencepiece, op2_media_columns, op3_jaccard_join, op4_quality, op7_best_fit_packing, op9_toxicity, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_media_columns, op3_jaccard_join, op4_quality, op6_token_counts, op7_best_fit_packing, op8_licences, op9_toxicity, op10_fingerprints)}
 
 
 def oracle_sql():
