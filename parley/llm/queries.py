@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from parley.llm import chunks, licences, media, near, packing, pieces, quality, separators, toxic
+from parley.llm import chunks, licences, logbilinear, media, near, packing, pieces, quality, separators, toxic
 from parley.llm.shared import documents
 
 #: Documents whose probability of the better grade is lower are rejected.
@@ -30,6 +30,11 @@ def op4_quality(spark, sf_dir):
     return quality.graded(docs.select("doc_id", "text"), model).select("doc_id", "quality_expected", "quality_tail", (F.col("quality_tail") >= KEEP_QUALITY).alias("kept"))
 
 
+def op5_lm_scores(spark, sf_dir):
+    found = logbilinear.score_documents(documents(spark, sf_dir))
+    return found.withColumn("held_out", ~logbilinear.is_training())
+
+
 def op6_token_counts(spark, sf_dir):
     return separators.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -55,7 +60,7 @@ def op10_fingerprints(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_sentencepiece, op2_media_columns, op3_jaccard_join, op4_quality, op6_token_counts, op7_best_fit_packing, op8_licences, op9_toxicity, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_media_columns, op3_jaccard_join, op4_quality, op5_lm_scores, op6_token_counts, op7_best_fit_packing, op8_licences, op9_toxicity, op10_fingerprints)}
 
 
 def oracle_sql():
