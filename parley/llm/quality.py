@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 #: Buckets of hashed trigrams.
 BUCKETS = 1 << 15
 #: Bounds of the sample for fitting: documents for each grade, and bytes of a text.
-MOST_LABELLED, LONGEST = 4_000, 1 << 15
+MOST_LABELLED, LONGEST = 3_000, 1 << 14
 SCALE = 50.0
 #: Added to the number of trigrams (words) under a share, so that a few of them decide little.
 CALM, CALM_WORDS = 40, 8
@@ -75,19 +75,23 @@ def repeats(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def fit(texts: pa.Array, label: np.ndarray) -> Ordinal | None:
     """Maximum likelihood with a small ridge, by full-batch Adam; None if there are fewer than two grades."""
-    from parley.llm.shared import flat
+    from parley.llm.shared import flat, text_slices
 
     grades = np.unique(label)
     if len(grades) < 2:
         return None
-    text = flat(texts)
-    bucket, counts = trigrams(*text)
-    owner = np.repeat(np.arange(len(counts)), counts)
-    pair, times = np.unique(owner * BUCKETS + bucket, return_counts=True)
-    owner, bucket = pair // BUCKETS, pair % BUCKETS
-    share = SCALE * times / (counts[owner] + CALM)
-    # the last weight is that of the repeated words
-    owner, bucket, share = np.append(owner, np.arange(len(counts))), np.append(bucket, np.full(len(counts), BUCKETS)), np.append(share, repeats(*text))
+    parts = []
+    for part, first, end in text_slices(texts):
+        text = flat(part)
+        bucket, counts = trigrams(*text)
+        owner = np.repeat(np.arange(len(counts)), counts)
+        pair, times = np.unique(owner * BUCKETS + bucket, return_counts=True)
+        owner, bucket = pair // BUCKETS, pair % BUCKETS
+        share = SCALE * times / (counts[owner] + CALM)
+        # the last weight is that of the repeated words
+        parts.append((owner + first, bucket, share))
+        parts.append((np.arange(first, end), np.full(end - first, BUCKETS), repeats(*text)))
+    owner, bucket, share = (np.concatenate(x).astype(kind) for x, kind in zip(zip(*parts, strict=True), (np.int32, np.int32, np.float32), strict=True))
     n = BUCKETS + 1
     y = np.searchsorted(grades, label)
     # grades count alike, however common they are

@@ -76,6 +76,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             row = end
 
 
+def text_slices(texts: pa.Array, size: int = SLICE) -> Iterator[tuple[pa.Array, int, int]]:
+    """A column of texts in pieces of about `size` bytes, each with its first row and the row after its last."""
+    row = 0
+    for batch in slices(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), size=size):
+        yield batch.column(0), row, row + batch.num_rows
+        row += batch.num_rows
+
+
 _powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
 
 
