@@ -19,13 +19,10 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, most: int, keep=None
     told = told.groupBy("doc_id").agg(F.max("label").alias("label"))
     order = [F.xxhash64("doc_id", F.lit(11)), F.col("doc_id")]
     kinds = sorted(r["label"] for r in told.select("label").distinct().limit(64).collect())
-    chosen = None
-    for kind in kinds:
-        part = told.where(F.col("label") == kind).orderBy(*order).limit(most)
-        chosen = part if chosen is None else chosen.union(part)
+    # the chosen ids come to the driver: `most` for each label at most
+    chosen = [(r["doc_id"], r["label"]) for kind in kinds for r in told.where(F.col("label") == kind).orderBy(*order).limit(most).collect()]
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     if longest is not None:
         texts = texts.where(F.octet_length("text") <= longest)
-    if chosen is None:
-        return texts.where("false").withColumn("label", F.lit(0))
-    return texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    ids = docs.sparkSession.createDataFrame(chosen, "doc_id long, label int")
+    return texts.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])

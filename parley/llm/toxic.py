@@ -28,7 +28,7 @@ CHAIN = 64
 BEGINNING = 5
 WORD_BITS, NEAR_BITS = 18, 14
 #: Bounds of the samples: documents for each label in the word test and in training the chain, bytes of a text, words kept.
-MOST_TESTED, MOST_TRAINED, LONGEST, MOST_WORDS = 10_000, 4_000, 1 << 14, 5_000
+MOST_TESTED, MOST_TRAINED, LONGEST, MOST_WORDS = 10_000, 2_000, 1 << 14, 5_000
 EPOCHS = 8
 #: Tokens added to a text before the share of toxic ones is taken.
 CALM = 50
@@ -151,9 +151,14 @@ def by_document(p: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def fit(texts: pa.Array, label: np.ndarray, marked: np.ndarray) -> Chain:
     """Trains the chain on tokens whose word or beginning is among the marked hashes, in documents of label 1."""
-    word, begin, _, _, counts, _ = tokens(texts)
-    y = (np.isin(word, marked) | np.isin(begin, marked)) & (np.repeat(label, counts) == 1)
-    w, b, left, right = _features(word, begin, counts)
+    from parley.llm.shared import text_slices
+
+    parts = []
+    for part, begin_row, end_row in text_slices(texts):
+        word, begin, _, _, n, _ = tokens(part)
+        truth = (np.isin(word, marked) | np.isin(begin, marked)) & (np.repeat(label[begin_row:end_row], n) == 1)
+        parts.append((truth, *(x.astype(np.int32) for x in _features(word, begin, n)), n))
+    y, w, b, left, right, counts = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 6
     first, length = _chains(counts)
     model = Chain(np.zeros(1 << WORD_BITS), np.zeros(1 << WORD_BITS), np.zeros(1 << NEAR_BITS), -2.0, np.zeros((2, 2)), np.array([-9.0, 0, 0, 0]))
     squares = [np.full(x.shape, 1e-4) for x in (model.word, model.start, model.near, model.moves)]
@@ -184,7 +189,11 @@ def fit(texts: pa.Array, label: np.ndarray, marked: np.ndarray) -> Chain:
             bias_square += error.sum() ** 2
             model.bias -= 0.5 * error.sum() / np.sqrt(bias_square)
     if 0 < label.sum() < len(label):
-        x, weight = by_document(marginals(model, word, begin, counts), counts), np.zeros(4)
+        x = []
+        for part, _, _ in text_slices(texts):
+            word, begin, _, _, n, _ = tokens(part)
+            x.append(by_document(marginals(model, word, begin, n), n))
+        x, weight = np.concatenate(x), np.zeros(4)
         for _ in range(40):  # Newton's method with a ridge
             q = sigmoid(x @ weight)
             ridge = np.diag([1e-3, 0.02, 0.02, 0.02])
