@@ -104,8 +104,8 @@ def train(docs: DataFrame) -> tuple[DataFrame, dict[str, float]]:
     spark = docs.sparkSession
     plain = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).where(~F.lower("line").rlike("licen[cs]e|copyright|rights|permi"))
     plain = plain.select("line").orderBy(F.xxhash64("line", F.lit(5)), "line").limit(MOST_PLAIN)
-    rows = spark.createDataFrame(_pieces(), "family string, kind string, template int, line string")
-    rows = rows.union(plain.select(F.lit(UNKNOWN), F.lit("fit"), F.lit(-1), "line"))
+    pieces = _pieces() + [(UNKNOWN, "fit", -1, r["line"]) for r in plain.collect()]
+    rows = spark.createDataFrame(pieces, "family string, kind string, template int, line string")
     told = rows.select("family", "kind", "template", words_of("line").alias("words")).select("family", "kind", "template", grams_of("words").alias("grams"))
     common = F.array(*[F.lit(w) for w in COMMON])
     dull = rows.where("kind = 'template'").select(F.filter(words_of("line"), lambda w: F.array_contains(common, w)).alias("unused"), words_of("line").alias("words"))
