@@ -104,4 +104,6 @@ def token_counts(docs: DataFrame, ranks_path: str, pattern: str, end: int = END)
     folder = work_dir(docs.sparkSession, "tokens")
     told = stored(write(docs, folder, ranks_path, pattern, end), "token-files")
     found = scan(told.where("bytes is not null").select("file", "bytes"), folder, end)
-    return told.where("number is not null").select("doc_id", "file", "number").join(found, ["file", "number"]).select("doc_id", "n_tokens")
+    # file names compress so well that the table looks small enough to broadcast, but it has a row for each document
+    rows = told.where("number is not null").select("doc_id", "file", "number").hint("merge")
+    return rows.join(found, ["file", "number"]).select("doc_id", "n_tokens")
