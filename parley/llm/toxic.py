@@ -177,12 +177,12 @@ def fit(texts: pa.Array, label: np.ndarray, marked: np.ndarray) -> Chain:
             both = inside[:, 1:]
             seen = np.bincount((truth[:, :-1] * 2 + truth[:, 1:])[both], minlength=4).reshape(2, 2)
             error = p[inside] - y[token]
-            for table, square, places in ((model.word, squares[0], (w,)), (model.start, squares[1], (b,)), (model.near, squares[2], (left, right))):
+            for table, square, places, rate in ((model.word, squares[0], (w,), 0.5), (model.start, squares[1], (b,), 0.5), (model.near, squares[2], (left, right), 0.05)):
                 for x in places:
                     found, back = np.unique(x[token], return_inverse=True)
                     g = np.bincount(back, error) + 1e-3 * table[found]
                     square[found] += g**2
-                    table[found] -= 0.5 * g / np.sqrt(square[found])
+                    table[found] -= rate * g / np.sqrt(square[found])
             g = (moves - seen) / 16
             squares[3] += g**2
             model.moves -= 0.1 * g / np.sqrt(squares[3])
