@@ -57,8 +57,15 @@ def throttle_batch(events: DataFrame, every: float = EVERY_SECONDS) -> DataFrame
     return clamp(events).groupBy("meeting_id").applyInPandas(run, events.schema)
 
 
+def _remember(state: GroupState, value: tuple, latest: float, keep_for: str) -> None:
+    """Keeps the value until the watermark has passed the latest event by keep_for."""
+    state.update(value)
+    until = int(latest * 1000) + int(pd.Timedelta(keep_for).total_seconds() * 1000)
+    state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+
+
 def throttle_progress(stream: DataFrame, every: float = EVERY_SECONDS, keep_for: str = "1 hour") -> DataFrame:
-    """T1 for a stream: state is the time of the last event that passed; a meeting quiet for `keep_for` is forgotten."""
+    """T1 for a stream: state is the time of the last event that passed; a meeting quiet for `keep_for` of event time is forgotten."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -67,11 +74,10 @@ def throttle_progress(stream: DataFrame, every: float = EVERY_SECONDS, keep_for:
         rows = pd.concat(list(batches)).sort_values(["ts", "stage", "progress"])
         last = state.get[0] if state.exists else None
         keep, last = _passed([t.value / 1e9 for t in rows["ts"]], last, every)
-        state.update((last,))
-        state.setTimeoutDuration(int(pd.Timedelta(keep_for).total_seconds() * 1000))
+        _remember(state, (last,), last, keep_for)
         yield rows[keep]
 
-    return clamp(stream).groupBy("meeting_id").applyInPandasWithState(run, stream.schema, "last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return clamp(stream).withWatermark("ts", keep_for).groupBy("meeting_id").applyInPandasWithState(run, stream.schema, "last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def progress_eta_stream(stream: DataFrame, keep_for: str = "1 hour") -> DataFrame:
@@ -91,9 +97,8 @@ def progress_eta_stream(stream: DataFrame, keep_for: str = "1 hour") -> DataFram
                 base = (t, p)
             gained, passed = p - base[1], t - base[0]
             out.append((*key, r["ts"], p, round((1 - p) * passed / gained, 3) if gained > LEAST_STEP and passed > 0 else None))
-        state.update(base)
-        state.setTimeoutDuration(int(pd.Timedelta(keep_for).total_seconds() * 1000))
+        _remember(state, base, t, keep_for)
         yield pd.DataFrame(out, columns=["meeting_id", "stage", "ts", "progress", "eta_seconds"])
 
-    wanted = stream.where(F.col("stage").isin(*STAGES))
-    return wanted.groupBy("meeting_id", "stage").applyInPandasWithState(run, schema, "t double, p double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    wanted = stream.where(F.col("stage").isin(*STAGES)).withWatermark("ts", keep_for)
+    return wanted.groupBy("meeting_id", "stage").applyInPandasWithState(run, schema, "t double, p double", "append", GroupStateTimeout.EventTimeTimeout)

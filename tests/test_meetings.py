@@ -408,10 +408,10 @@ def test_uploads(spark):
 
 
 def test_headings(spark):
-    lines = ["Action Items:", "put your action items here", "Actoin items", "Riks", "风险", "会议的风险点", "MINUTES OF MEETING", "The risks we talked about were many and large.", "Tarikh Akhir", "date", "update", ""]
+    lines = ["Action Items:", "put your action items here", "Actoin items", "Riks", "风险", "本会议截止日期表", "MINUTES OF MEETING", "The risks we talked about were many and large.", "Tarikh Akhir", "date", "update", ""]
     df = spark.createDataFrame([(1, k, "Normal", t) for k, t in enumerate(lines)], "template_id long, line_no int, style string, text string")
     got = [f for _, f in sorted(rows(headings.match_headings(df), "line_no", "field"))]
-    assert got == ["action_items", "action_items", "action_items", None, "risks", "risks", None, None, "deadlines", "date", None, None]
+    assert got == ["action_items", "action_items", "action_items", None, "risks", "deadlines", None, None, "deadlines", "date", None, None]
     assert [f for _, f in sorted(rows(headings.match_headings(df, scalar_only=True), "line_no", "field"))][9] == "date"
     marks = spark.createDataFrame([(1, 1, "See [[ Title ]], [[odd]] and [[TARIKH]]")], "template_id long, line_no int, text string")
     values = spark.createDataFrame([("title", "Plan"), ("date", "now")], "field string, value string")

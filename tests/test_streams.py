@@ -18,9 +18,8 @@ def events(spark, tmp_path):
 
 
 def drained(spark, stream, name, mode, path):
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(path)).start()
-    q.processAllAvailable()
-    q.stop()
+    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(path)).trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
     return sorted(map(tuple, spark.table(name).collect()), key=repr)
 
 
