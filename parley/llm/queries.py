@@ -63,5 +63,23 @@ def queries():
     return {f.__name__: f for f in (op1_sentencepiece, op2_media_columns, op3_jaccard_join, op4_quality, op5_lm_scores, op6_token_counts, op7_best_fit_packing, op8_licences, op9_toxicity, op10_fingerprints)}
 
 
+#: All pairs of different texts that share a five-word n-gram, by their exact likeness; classes by reachability.
+JACCARD_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+c AS (SELECT text, min(doc_id) AS first_id, count(*) AS copies FROM d GROUP BY text),
+w AS (SELECT first_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM c),
+k AS (SELECT first_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS k FROM w WHERE len(words) > 0),
+g AS (SELECT DISTINCT first_id, array_to_string(words[k:k + 4], ' ') AS gram FROM k),
+size AS (SELECT first_id, count(*) AS n FROM g GROUP BY first_id),
+pair AS (SELECT x.first_id AS a, y.first_id AS b, count(*) AS n FROM g x JOIN g y ON x.gram = y.gram AND x.first_id <> y.first_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM pair p JOIN size x ON x.first_id = a JOIN size y ON y.first_id = b WHERE p.n * 10 >= 8 * (x.n + y.n - p.n)),
+reach AS (SELECT first_id AS a, first_id AS b FROM c UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+root AS (SELECT a, min(b) AS class_id FROM reach GROUP BY a),
+more AS (SELECT a, sum(c.copies) AS n FROM link JOIN c ON c.first_id = link.b GROUP BY a)
+SELECT d.doc_id, root.class_id, CAST(c.copies - 1 + coalesce(more.n, 0) AS BIGINT) AS n_links
+FROM d JOIN c ON c.text = d.text JOIN root ON root.a = c.first_id LEFT JOIN more ON more.a = c.first_id
+"""
+
+
 def oracle_sql():
-    return {}
+    return {"op3_jaccard_join": JACCARD_SQL}

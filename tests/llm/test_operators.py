@@ -161,6 +161,16 @@ def test_near_query_equals_brute_force(spark, texts):
     assert {i: (r["class_id"], r["n_links"]) for i, r in got.items()} == {i: (root[i], len(links[i])) for i in texts}
 
 
+def test_near_query_equals_its_sql(spark):
+    import duckdb
+
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    expected = duck.execute(queries.oracle_sql()["op3_jaccard_join"]).fetchall()
+    got = queries.op3_jaccard_join(spark, SF).select("doc_id", "class_id", "n_links").collect()
+    assert sorted(map(tuple, got)) == sorted(expected)
+
+
 def test_one_of_each_keeps_one_row(spark):
     rows = frame(spark, ["a b c d e f", "a b c d e f", "x y", "x y", None], [3, 3, 9, 4, 7]).union(frame(spark, ["z"], [None]))
     kept = near.one_of_each(rows)
