@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.functions.text import reply_json, similar
+from parley.functions.text import normalised, reply_json
+from parley.operators.likeness import like_texts
 
 CATEGORIES = {"actionitems": "action_items", "decisions": "decisions", "deadlines": "deadlines", "issues": "issues", "risks": "risks"}
 VERDICTS = ("completed", "in_progress", "blocked", "changed")
@@ -86,9 +87,9 @@ def merge_translations(lines: DataFrame, replies: DataFrame) -> DataFrame:
 
 def recovery_merge(new: DataFrame, existing: DataFrame) -> DataFrame:
     """Recovered items that are like no existing one of their meeting and category."""
-    old = existing.groupBy("meeting_id", "category").agg(F.collect_list("description").alias("_old"))
-    told = new.join(old, ["meeting_id", "category"], "left")
-    return told.where(~F.coalesce(F.exists("_old", lambda x: similar(x, F.col("description"))), F.lit(False))).select(new.columns)
+    on = ["meeting_id", "category"]
+    told = like_texts(new, existing, on).select(*on, "_left").distinct()
+    return new.withColumn("_left", normalised(F.col("description"))).join(told, [*on, "_left"], "left_anti").select(new.columns)
 
 
 def first_citation(ids: Column) -> Column:

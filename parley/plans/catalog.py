@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions import dates, text
-from parley.operators import changes, followup, headings, insights, intervals, language, prompts, reads, replies, report, speakers
+from parley.operators import changes, followup, headings, insights, intervals, language, likeness, prompts, reads, replies, report, speakers
 from parley.plans.frames import Frames, ctes
 from parley.sources import tables
 from parley.streaming import progress
@@ -298,15 +298,14 @@ _NORM = r"trim(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '[^\p{{L}
 
 @query(
     ctes("items")
-    + ", n AS (SELECT id, meeting_id, category, "
+    + ", n AS (SELECT * FROM (SELECT id, category, "
     + _NORM.format("description")
-    + """ AS t FROM items)
-    SELECT a.id, b.id AS other FROM n a JOIN n b ON a.category = b.category AND a.id < b.id AND a.t <> '' AND b.t <> '' AND (a.t = b.t OR (least(length(a.t), length(b.t)) >= 12 AND (CASE WHEN length(a.t) <= length(b.t) THEN contains(b.t, a.t) ELSE contains(a.t, b.t) END)))"""
+    + """ AS t FROM items) WHERE t <> ''), f AS (SELECT category, t, min(id) AS id FROM n GROUP BY category, t)
+    SELECT least(a.id, b.id) AS id, greatest(a.id, b.id) AS other FROM f a JOIN f b ON a.category = b.category AND length(a.t) >= 12 AND length(a.t) < length(b.t) AND contains(b.t, a.t)
+    UNION ALL SELECT f.id, n.id FROM n JOIN f ON f.category = n.category AND f.t = n.t AND n.id <> f.id"""
 )
 def r9_similar(f):
-    a = f.items.select("id", "category", "description")
-    b = a.withColumnsRenamed({"id": "other", "description": "_d"})
-    return a.join(b, "category").where("id < other").where(text.similar(F.col("description"), F.col("_d"))).select("id", "other")
+    return likeness.like_items(f.items, ["category"])
 
 
 @query(ctes("turns") + "SELECT meeting_id, turn_no, CASE WHEN floor(start_seconds / 3600) > 0 THEN printf('%d:%02d:%02d', CAST(floor(start_seconds / 3600) AS BIGINT), CAST(floor(mod(CAST(floor(start_seconds) AS BIGINT), 3600) / 60) AS BIGINT), mod(CAST(floor(start_seconds) AS BIGINT), 60)) ELSE printf('%d:%02d', CAST(floor(start_seconds / 60) AS BIGINT), mod(CAST(floor(start_seconds) AS BIGINT), 60)) END AS at FROM turns")
