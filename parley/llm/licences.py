@@ -179,13 +179,16 @@ def scan(docs: DataFrame) -> DataFrame:
 
     A line whose best family stays under LEAST_PROBABILITY is not given: it is of the unknown class.
     """
+    from parley.llm.shared import stored
+
     table, model = train(docs)
     bias, size = model["bias"], model["size"]
     lines = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
     grams = lines.select("doc_id", "row", "line_no", words_of("line").alias("words")).where("size(words) > 1")
     grams = grams.select("doc_id", "row", "line_no", F.explode(grams_of("words")).alias("gram"))
     # the table has a fixed bound: the templates' pairs and triples
-    hits = grams.join(F.broadcast(table), "gram")
+    # hits are few: written down, texts are read once, and both uses see the same row numbers after a lost executor
+    hits = stored(grams.join(F.broadcast(table), "gram"), "licence-hits")
     line = ["doc_id", "row", "line_no"]
     by_family = hits.groupBy(*line, "family").agg(F.sum("weight").alias("z"))
     prior = F.create_map(*[F.lit(v) for f, b in bias.items() for v in (f, b)])
