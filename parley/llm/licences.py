@@ -13,8 +13,11 @@ apart by a row number. An empty table gives no row. A text without licence lines
 from __future__ import annotations
 
 import math
+import random
 
-import numpy as np
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +61,8 @@ LEAST_PROBABILITY, LEAST_CONTAINMENT = 0.5, 0.6
 #: Bound of the corpus sample for the unknown class: paragraphs.
 MOST_PLAIN = 400
 
+#: Of the regression: the weight of the penalty, the share of it that is absolute, and the most steps.
+SHRINK, LASSO, STEPS = 1e-3, 0.1, 100
 #: Pairs and triples of these words alone are no features.
 COMMON = "a and any are as at be by for in is it not of on or that the this to under was with".split()
 
@@ -79,17 +84,17 @@ def grams_of(column: str):
 
 def _pieces() -> list[tuple[str, str, int, str]]:
     """Training paragraphs: family, kind (template, fit or held back), template number and words."""
-    rng, out, number = np.random.default_rng(3), [], 0
+    rng, out, number = random.Random(3), [], 0
     for family, templates in TEMPLATES.items():
         for text in templates:
             words = text.split()
             out.append((family, "template", number, text))
             for k in range(16):
-                size = int(rng.integers(max(3, 2 * len(words) // 3), len(words) + 1))
-                at = int(rng.integers(0, len(words) - size + 1))
+                size = rng.randint(min(max(3, 2 * len(words) // 3), len(words)), len(words))
+                at = rng.randint(0, len(words) - size)
                 out.append((family, "held" if k % 4 == 3 else "fit", number, " ".join(words[at : at + size])))
             for k in range(6):  # scraps are of no family
-                at = int(rng.integers(0, max(1, len(words) - 2)))
+                at = rng.randint(0, max(0, len(words) - 3))
                 out.append((UNKNOWN, "held" if k % 3 == 2 else "fit", -1, " ".join(words[at : at + 2])))
             number += 1
     return out + [(UNKNOWN, "fit", -1, t) for t in PLAIN]
@@ -99,43 +104,39 @@ def train(docs: DataFrame) -> tuple[DataFrame, dict[str, float]]:
     """The weights table (gram, family, weight, templates) and the biases of the families.
 
     Fits on the templates' pieces and at most MOST_PLAIN lines of the corpus, those of least hash; features are the
-    templates' pairs and triples. Both are small and of a fixed bound, so that the driver fits the regression.
+    templates' pairs and triples. Both are of a fixed bound; a lasso penalty makes small weights zero.
     """
-    spark = docs.sparkSession
+    from parley.llm.shared import stored
+
     plain = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).where(~F.lower("line").rlike("licen[cs]e|copyright|rights|permi"))
     plain = plain.select("line").orderBy(F.xxhash64("line", F.lit(5)), "line").limit(MOST_PLAIN)
-    pieces = _pieces() + [(UNKNOWN, "fit", -1, r["line"]) for r in plain.collect()]
-    rows = spark.createDataFrame(pieces, "family string, kind string, template int, line string")
-    told = rows.select("family", "kind", "template", words_of("line").alias("words")).select("family", "kind", "template", grams_of("words").alias("grams"))
+    made = docs.sparkSession.createDataFrame(_pieces(), "family string, kind string, template int, line string")
+    rows = made.union(plain.select(F.lit(UNKNOWN), F.lit("fit"), F.lit(-1), "line")).select("family", "kind", "template", words_of("line").alias("words"))
     common = F.array(*[F.lit(w) for w in COMMON])
-    dull = rows.where("kind = 'template'").select(F.filter(words_of("line"), lambda w: F.array_contains(common, w)).alias("unused"), words_of("line").alias("words"))
-    dull = dull.select(_dull("words", common).alias("g")).select(F.explode("g").alias("g")).distinct()
-    left_out = {r["g"] for r in dull.collect()}
-    found = [(r["family"], r["kind"], r["template"], [g for g in r["grams"] if g not in left_out]) for r in told.collect()]
-
-    families = [*TEMPLATES, UNKNOWN]
-    grams = sorted({g for _, kind, _, gs in found if kind == "template" for g in gs})
-    place = {g: i for i, g in enumerate(grams)}
-    x = np.zeros((len(found), len(grams)))
-    for i, (_, _, _, gs) in enumerate(found):
-        x[i, [place[g] for g in gs if g in place]] = 1
-    y = np.array([families.index(f) for f, *_ in found])
-    held = np.array([kind == "held" for _, kind, *_ in found])
-    w, b = _fit(x[~held], y[~held], len(families))
-    heat = _temperature(x[held] @ w + b, y[held])
-    w, b = w / heat, (b - b[-1]) / heat
-    w -= w[:, -1:]
+    grams = F.array_except(grams_of("words"), _dull("words", common))
+    # of a fixed bound; one partition, so that every run adds up in the same order
+    rows = stored(rows.select("family", "kind", "template", grams.alias("grams"), F.transform(grams, lambda g: g.cast("string")).alias("terms")).coalesce(1), "licence-lines")
+
     members: dict[int, list[int]] = {}
     size: dict[int, int] = {}
-    for _, kind, template, gs in found:
-        if kind == "template":
-            size[template] = len(gs)
-            for g in gs:
-                members.setdefault(g, []).append(template)
+    for r in rows.where("kind = 'template'").select("template", "grams").collect():  # the fixed templates
+        size[r["template"]] = len(r["grams"])
+        for g in r["grams"]:
+            members.setdefault(g, []).append(r["template"])
+    families, vocabulary = [*TEMPLATES, UNKNOWN], sorted(members)
+    label = F.create_map(*[F.lit(v) for i, f in enumerate(families) for v in (f, float(i))])
+    features = CountVectorizerModel.from_vocabulary([str(g) for g in vocabulary], "terms", "features", binary=True)
+    told = features.transform(rows.withColumn("label", F.try_element_at(label, F.col("family"))))
+    fit = told.where("kind <> 'held'")
+    fit = fit.join(fit.groupBy("label").agg((1 / F.count("*")).alias("weight")), "label").coalesce(1)
+    model = LogisticRegression(family="multinomial", weightCol="weight", elasticNetParam=LASSO, regParam=SHRINK, standardization=False, maxIter=STEPS).fit(fit)
+    heat = _temperature(model.transform(told.where("kind = 'held'")))
+    unknown = len(families) - 1
+    w, b = model.coefficientMatrix, model.interceptVector
     # a line for each gram and family that has a weight
-    table = [(g, families[f], float(w[i, f]), members[g]) for i, g in enumerate(grams) for f in range(len(families) - 1) if abs(w[i, f]) > 0.02]
-    table = spark.createDataFrame(table, "gram long, family string, weight double, templates array<int>")
-    return table, {"bias": {f: float(b[i]) for i, f in enumerate(families[:-1])}, "size": size}
+    weights = [(g, f, float(w[k, i] - w[unknown, i]) / heat, members[g]) for i, g in enumerate(vocabulary) for k, f in enumerate(families[:-1])]
+    table = docs.sparkSession.createDataFrame([x for x in weights if abs(x[2]) > 0.02], "gram long, family string, weight double, templates array<int>")
+    return table, {"bias": {f: float(b[k] - b[unknown]) / heat for k, f in enumerate(families[:-1])}, "size": size}
 
 
 def _dull(column: str, common):
@@ -149,29 +150,23 @@ def _dull(column: str, common):
     return F.filter(F.concat(pairs, triples), lambda g: g.isNotNull())
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    e = np.exp(z - z.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
-
+def _temperature(held: DataFrame) -> float:
+    """The divisor of the logits (rawPrediction) with the least loss on held-back paragraphs."""
+    options = [0.25 * 16 ** (k / 32) for k in range(33)]
+    z = vector_to_array("rawPrediction")
+    told = held.select(F.transform(z, lambda x: x - F.array_max(z)).alias("z"), F.get(z, F.col("label").cast("int")).alias("mine"), F.array_max(z).alias("top"))
+    loss = lambda t: F.avg(F.log(F.aggregate(F.transform("z", lambda x: F.exp(x / t)), F.lit(0.0), lambda a, x: a + x)) - (F.col("mine") - F.col("top")) / t)
+    found = told.agg(*[loss(t).alias(f"t{k}") for k, t in enumerate(options)]).first()
+    return min(zip(found, options, strict=True))[1]
 
-def _fit(x: np.ndarray, y: np.ndarray, k: int, steps: int = 400, shrink: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Multinomial logistic regression by proximal gradient steps: small weights become zero."""
-    w, b, truth = np.zeros((x.shape[1], k)), np.zeros(k), np.eye(k)[y]
-    weight = 1 / np.bincount(y, minlength=k)[y][:, None]
-    weight /= weight.sum()
-    for step in range(steps):
-        error = (_softmax(x @ w + b) - truth) * weight
-        w -= 4 * (x.T @ error)
-        w = np.sign(w) * np.maximum(np.abs(w) - 4 * shrink / 4, 0)
-        b -= 1.0 * error.sum(axis=0)
-    return w, b
 
-
-def _temperature(z: np.ndarray, y: np.ndarray) -> float:
-    """The divisor of the logits with the least loss on held-back paragraphs."""
-    options = np.geomspace(0.25, 4, 33)
-    loss = [-np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() for t in options]
-    return float(options[int(np.argmin(loss))])
+def hits_of(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """doc_id, row, line_no, gram, family, weight, templates: the grams of all lines that have weights."""
+    lines = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+    grams = lines.select("doc_id", "row", "line_no", words_of("line").alias("words")).where("size(words) > 1")
+    grams = grams.select("doc_id", "row", "line_no", F.explode(grams_of("words")).alias("gram"))
+    # the table has a fixed bound: the templates' pairs and triples
+    return grams.join(F.broadcast(table), "gram")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -183,12 +178,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
     table, model = train(docs)
     bias, size = model["bias"], model["size"]
-    lines = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    grams = lines.select("doc_id", "row", "line_no", words_of("line").alias("words")).where("size(words) > 1")
-    grams = grams.select("doc_id", "row", "line_no", F.explode(grams_of("words")).alias("gram"))
-    # the table has a fixed bound: the templates' pairs and triples
-    # hits are few: written down, texts are read once, and both uses see the same row numbers after a lost executor
-    hits = stored(grams.join(F.broadcast(table), "gram"), "licence-hits")
+    # few rows: written down, texts are read once, and both uses see the same row numbers after a lost executor
+    hits = stored(hits_of(docs, table), "licence-hits")
     line = ["doc_id", "row", "line_no"]
     by_family = hits.groupBy(*line, "family").agg(F.sum("weight").alias("z"))
     prior = F.create_map(*[F.lit(v) for f, b in bias.items() for v in (f, b)])

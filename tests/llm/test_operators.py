@@ -375,8 +375,9 @@ def test_licence_lines_are_found(spark):
 
 
 def test_licence_scan_is_native(spark, docs):
-    plan = licences.scan(docs)._jdf.queryExecution().toString()
-    assert not re.search("Python|Pandas|MapInArrow", plan)
+    table, _ = licences.train(docs)
+    for df in (licences.hits_of(docs, table), licences.scan(docs)):
+        assert not re.search("Python|Pandas|MapInArrow", df._jdf.queryExecution().toString())
 
 
 def test_licences_of_the_documents(spark, docs):
