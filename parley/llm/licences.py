@@ -110,8 +110,9 @@ def train(docs: DataFrame) -> tuple[DataFrame, dict[str, float]]:
 
     plain = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).where(~F.lower("line").rlike("licen[cs]e|copyright|rights|permi"))
     plain = plain.select("line").orderBy(F.xxhash64("line", F.lit(5)), "line").limit(MOST_PLAIN)
-    made = docs.sparkSession.createDataFrame(_pieces(), "family string, kind string, template int, line string")
-    rows = made.union(plain.select(F.lit(UNKNOWN), F.lit("fit"), F.lit(-1), "line")).select("family", "kind", "template", words_of("line").alias("words"))
+    # collected, so that the few lines are found by a top-k in each task and not by a sort of all lines
+    pieces = _pieces() + [(UNKNOWN, "fit", -1, r["line"]) for r in plain.collect()]
+    rows = docs.sparkSession.createDataFrame(pieces, "family string, kind string, template int, line string").select("family", "kind", "template", words_of("line").alias("words"))
     common = F.array(*[F.lit(w) for w in COMMON])
     grams = F.array_except(grams_of("words"), _dull("words", common))
     # of a fixed bound; one partition, so that every run adds up in the same order
