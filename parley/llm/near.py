@@ -232,8 +232,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, class of equal texts), and for each class: class_id (least doc_id of all documents it hangs together
-    with) and links (other documents that are alike, copies included)."""
+    """Rows (doc_id, class of equal texts), and for each class: first_id (its least doc_id), root (the same for all classes
+    that hang together and for no others), class_id (least doc_id of those) and links (other documents that are alike,
+    copies included)."""
     from parley.llm.shared import stored
 
     signed = stored(_sign(docs, words, trees, prefix_length(threshold, trees, recall=recall)), "signed")
@@ -256,8 +257,8 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, t
     rooted = components(links.where("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b")))
     rooted = rooted.withColumnRenamed("node", "class").join(each.select("class", "first_id"), "class")
     roots = rooted.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    found = each.select("class", "first_id", "copies").join(rooted.join(roots, "root").select("class", "class_id"), "class", "left").join(sums, "class", "left")
-    found = found.select("class", F.coalesce("class_id", "first_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
+    found = each.select("class", "first_id", "copies").join(rooted.join(roots, "root").select("class", "class_id", "root"), "class", "left").join(sums, "class", "left")
+    found = found.select("class", "first_id", F.coalesce("root", "class").alias("root"), F.coalesce("class_id", "first_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
     return signed.select("doc_id", "class"), found
 
 
@@ -269,13 +270,14 @@ def jaccard_join(docs: DataFrame, **options) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents without those that are like an earlier one: of each class the row of the least doc_id stays.
+    """The documents without those that are like an earlier one: of each group that hangs together the row of the least
+    doc_id stays, a null doc_id after all others.
 
-    Of rows with that doc_id and the same text, one stays.
+    Of rows with that doc_id and the same text, one stays. Texts that aren't alike stay, whatever their doc_ids are.
     """
-    rows, found = classes(docs, **options)
-    stay = rows.join(found, "class").where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("class").alias("__class"))
-    stay = stay.withColumnRenamed("class_id", "__id")
+    _, found = classes(docs, **options)
+    least = F.min(F.struct(F.col("first_id").isNull(), F.col("first_id").alias("__id"), F.col("class").alias("__kept")))
+    stay = found.groupBy("root").agg(least.alias("least")).select("least.__id", "least.__kept")
     told = docs.withColumn("__class", class_of())
-    kept = told.join(stay.withColumnRenamed("__class", "__kept"), told["doc_id"].eqNullSafe(F.col("__id")) & (told["__class"] == F.col("__kept")), "left_semi")
+    kept = told.join(stay, told["doc_id"].eqNullSafe(F.col("__id")) & (told["__class"] == F.col("__kept")), "left_semi")
     return kept.dropDuplicates(["doc_id", "__class"]).drop("__class")

@@ -179,6 +179,24 @@ def test_one_of_each_keeps_one_row(spark):
     assert kept.where("doc_id is null").count() == 1
 
 
+def test_one_of_each_keeps_unlike_texts_without_an_id(spark):
+    rows = frame(spark, ["z", "y", "y", "p q r s t u"], [None, None, None, 2])
+    assert sorted((r["doc_id"] is None, r["text"]) for r in near.one_of_each(rows).collect()) == [(False, "p q r s t u"), (True, "y"), (True, "z")]
+
+
+def test_one_of_each_keeps_unlike_texts_under_one_id(spark):
+    rows = frame(spark, ["a b c d e f", "u v w x y z", "u v w x y z", "a b c d e f"], [3, 3, 3, 5])
+    assert sorted((r["doc_id"], r["text"]) for r in near.one_of_each(rows).collect()) == [(3, "a b c d e f"), (3, "u v w x y z")]
+
+
+def test_one_of_each_keeps_one_of_like_texts_under_any_ids(spark):
+    words = [f"w{k}" for k in range(60)]
+    first, second = " ".join(words), " ".join([*words, "more"])  # likeness 56/57
+    rows = frame(spark, [first, second, first, second, "z"], [None, 8, 8, None, 8])
+    got = [(r["doc_id"], r["text"]) for r in near.one_of_each(rows).collect()]
+    assert len(got) == 2 and (8, "z") in got and all(d == 8 for d, _ in got)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 501)], "a long, b long")
     got = {r["node"]: r["root"] for r in near.components(edges).collect()}
