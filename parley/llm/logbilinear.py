@@ -6,8 +6,8 @@ score against each class is a product with its vector, so that a batch of tokens
 all classes gives normalised probabilities. A word of a shared class has the class's probability times its share by the
 smoothed counts, in which the class has one more place for words that were never seen.
 
-Training: a first model learns on a bounded sample of training documents; then every partition goes on from it over a fixed
-share of the positions of all its training documents, and the results are averaged by their number of positions.
+Training: a first model learns on a bounded sample of training documents; then every partition goes on from it over all
+positions of all its training documents, and the results are averaged by their number of positions.
 
 Null text: as the empty text, the end token alone. Repeated rows: counted and scored as they are. No training documents: no
 counts, and the model is uniform over classes. An empty table gives no row. Only doc_id and text are read.
@@ -28,8 +28,6 @@ OWN, SHARED = 192, 128
 CLASSES = OWN + SHARED
 DIMENSIONS, CONTEXT = 16, 4
 NOISE, BATCH = 64, 2048
-#: Every so many-th position of a training document is learnt from, beginning at a place that its text decides.
-EVERY = 8
 #: Bound of the first model's sample: documents, passes over them, bytes of a text.
 FIRST_DOCUMENTS, FIRST_PASSES, LONGEST = 1_500, 4, 1 << 14
 RATE, LATER_RATE = 0.15, 0.03
@@ -168,16 +166,17 @@ class Trainer:
         g_true = 1 / (1 + np.exp(-np.clip(true, -30, 30))) - 1
         g_false = 1 / (1 + np.exp(-np.clip(false, -30, 30)))
         n = len(target)
-        chosen = np.zeros((n, CLASSES))
-        chosen[np.arange(n), target] = g_true
-        np.add.at(chosen.T, noise, g_false.T)
-        g_h = chosen @ m["target"]
+        g_h = g_true[:, None] * m["target"][target] + g_false @ m["target"][noise]
+        g_target = np.stack([np.bincount(target, g_true * h[:, d], CLASSES) for d in range(DIMENSIONS)], axis=1)
+        np.add.at(g_target, noise, g_false.T @ h)
+        g_bias = np.bincount(target, g_true, CLASSES)
+        np.add.at(g_bias, noise, g_false.sum(axis=0))
         g_context = np.zeros_like(m["context"])
         for k in range(CONTEXT):
             part = g_h * m["place"][k]
             for d in range(DIMENSIONS):
                 g_context[:, d] += np.bincount(before[:, k], part[:, d], CLASSES + 1)
-        g = {"context": g_context, "place": np.einsum("nd,nkd->kd", g_h, vectors), "target": chosen.T @ h, "bias": chosen.sum(axis=0)}
+        g = {"context": g_context, "place": np.einsum("nd,nkd->kd", g_h, vectors), "target": g_target, "bias": g_bias}
         for k, v in g.items():
             v /= n
             self.squares[k] += v * v
@@ -201,15 +200,6 @@ def class_log_probability(model: dict[str, np.ndarray], before: np.ndarray, targ
     return out
 
 
-def _positions(classes: np.ndarray, words: np.ndarray, counts: np.ndarray, every: int) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts and targets of every so many-th position of each text."""
-    first = np.cumsum(counts) - counts
-    inside = np.arange(len(classes)) - np.repeat(first, counts)
-    shift = np.repeat((words[first] >> np.uint64(7)) % np.uint64(every), counts).astype(np.int64)
-    keep = (inside + shift) % every == 0
-    return contexts(classes, counts)[keep], classes[keep]
-
-
 def train(docs: DataFrame, vocab: Vocabulary) -> dict[str, np.ndarray]:
     """docs: the training documents. The averaged model."""
     from parley.llm.shared import slices, text_slices
@@ -221,7 +211,7 @@ def train(docs: DataFrame, vocab: Vocabulary) -> dict[str, np.ndarray]:
         for part, _, _ in text_slices(few.column("text").combine_chunks()):
             words, shared, counts = tokens(part)
             classes, _ = vocab.look_up(words, shared)
-            parts.append([x.astype(np.int16) for x in _positions(classes, words, counts, 1)])
+            parts.append([x.astype(np.int16) for x in (contexts(classes, counts), classes)])
         before, target = (np.concatenate(x) for x in zip(*parts, strict=True))
         for seed in range(FIRST_PASSES):
             order = np.random.default_rng(seed).permutation(len(target))
@@ -240,9 +230,8 @@ def train(docs: DataFrame, vocab: Vocabulary) -> dict[str, np.ndarray]:
         for batch in slices(batches):
             words, shared, counts = tokens(batch.column("text"))
             classes, _ = vocab.look_up(words, shared)
-            before, target = _positions(classes, words, counts, EVERY)
-            order = trainer.rng.permutation(len(target))
-            trainer.learn(before[order], target[order])
+            order = trainer.rng.permutation(len(classes))
+            trainer.learn(contexts(classes, counts)[order], classes[order])
         if trainer.seen:
             yield packed(trainer.model, trainer.seen)
 

@@ -243,6 +243,19 @@ def test_quality_without_labels_keeps_all(spark):
 # --- 5: language model
 
 
+def test_all_positions_of_long_documents_are_learnt_from(spark):
+    """A cycle of eight words, too long for the first model's sample: one position in eight would be always the same word."""
+    text = " ".join(f"w{k}" for k in range(8)) + " "
+    docs = frame(spark, [text * 800] * 60).coalesce(1)
+    assert len(text * 800) > logbilinear.LONGEST
+    vocab = logbilinear.vocabulary(logbilinear.word_counts(docs))
+    model = logbilinear.train(docs, vocab)
+    words, shared, counts = logbilinear.tokens(pa.array([text * 3]))
+    classes, _ = vocab.look_up(words, shared)
+    log_p = logbilinear.class_log_probability(model, logbilinear.contexts(classes, counts), classes)[8:16]
+    assert (log_p > np.log(1 / 8) + 0.5).all()
+
+
 def test_scores_equal_brute_force_and_beat_the_base(spark, texts):
     got = by_id(queries.op5_lm_scores(spark, SF))
     tokens = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", t.translate({k: k + 32 for k in range(65, 91)})), None]
