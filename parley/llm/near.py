@@ -1,8 +1,9 @@
-"""N-gram Jaccard join of documents with a MinHash LSH forest and exact verification.
+"""N-gram Jaccard join of documents by MinHash banding and exact verification.
 
 Every text is a set of word n-grams (five words; a shorter text is one n-gram of all its words; words are parted by ASCII
-white space and compared as they are). Each tree of the forest sorts documents by a prefix of its own MinHash values. The
-prefixes start long and are shortened until a pair at the threshold shares one in some tree with the target probability.
+white space and compared as they are). Banding takes the place of an LSH forest: each tree is one band, a key of all values
+of a prefix of its own MinHash values. The prefix has one length, the longest with which a pair at the threshold shares one
+in some tree with the target probability; it is set before any data is read and isn't shortened by what matched.
 Documents that share a prefix are compared exactly, each pair in the first tree where it meets and nowhere else.
 
 Equal texts form one class that is compared once and counted with its copies. A prefix with many classes is split into
