@@ -62,13 +62,18 @@ def plan_best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarra
     return plan[np.lexsort((plan[:, 1], plan[:, 0]))]
 
 
-def cut(docs: DataFrame, ranks_path: str, pattern: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of all documents: doc_id, piece, start, length, ids_crc32, and task and number within the task and length."""
+def cut(docs: DataFrame, ranks_path: str, pattern: str, end_id: int = 0, capacity: int = CAPACITY, added: dict[str, int] | None = None) -> DataFrame:
+    """Pieces of all documents: doc_id, piece, start, length, ids_crc32, and task and number within the task and length.
+
+    added: tokens that have an id of their own wherever their string stands in a text (`bytepairs.added_tokens`).
+    """
     from parley.llm.bytepairs import text_ids
     from parley.llm.shared import slices
 
+    own = tuple((added or {}).items())
+
     def run(batches):
-        mine, task = text_ids(ranks_path, pattern), TaskContext.get().partitionId()
+        mine, task = text_ids(ranks_path, pattern, own), TaskContext.get().partitionId()
         taken = np.zeros(capacity + 1, np.int64)
         for batch in slices(batches):
             ids, border = mine([t or "" for t in batch.column("text").to_pylist()])
@@ -119,8 +124,8 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACITY, added: dict[str, int] | None = None) -> DataFrame:
     """Cuts and places all documents."""
     from parley.llm.shared import stored
 
-    return place(stored(cut(docs, ranks_path, pattern, capacity=capacity), "pieces"), capacity)
+    return place(stored(cut(docs, ranks_path, pattern, capacity=capacity, added=added), "pieces"), capacity)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from parley.llm import chunks, licences, logbilinear, media, near, packing, pieces, quality, separators, toxic
+from parley.llm import bytepairs, chunks, licences, logbilinear, media, near, packing, pieces, quality, separators, toxic
 from parley.llm.shared import documents
 
 #: Documents whose probability of the better grade is lower are rejected.
@@ -39,8 +39,14 @@ def op6_token_counts(spark, sf_dir):
     return separators.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def pack(docs):
+    """The packing of op7 and of the pipeline: the tokenizer's ids, added tokens included."""
+    added = bytepairs.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added=added)
+
+
 def op7_best_fit_packing(spark, sf_dir):
-    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return pack(documents(spark, sf_dir))
 
 
 def op8_licences(spark, sf_dir):

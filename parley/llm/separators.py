@@ -6,7 +6,10 @@ running count over the blocks of a file (a prefix scan) then tell where each blo
 it has, so a document may lie across any number of blocks.
 
 Tokens behind a file's last separator make a last document that is not complete. Two separators in a row: a document of no
-tokens. An empty file: no document. A file with an odd number of bytes: an error. Null text in `write`: no tokens.
+tokens. An empty file: no document. A file with an odd number of bytes: an error. Null text in `write`: no tokens. The
+string of the end-of-document token in a text is ordinary text there, since its id must end documents alone. A very long
+text is one row of ids over as many blocks as it takes. Repeated rows are written and counted each. An empty table writes
+no file and gives no row. Only doc_id and text are read, so that other columns' names can't clash.
 """
 
 from __future__ import annotations

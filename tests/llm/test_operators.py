@@ -344,6 +344,17 @@ def test_packing_of_the_documents(spark, texts):
     assert len(places) <= -(-total // 2048) + 2
 
 
+def test_packing_has_the_ids_of_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(P.path("byte_bpe_50k.json")), "<|endoftext|>"
+    given = [e, e + e, f"a {e} b", f"a{e}b", f"{e} x", f"x  {e}  y", "no token", f"end {e}", "<|endoftext|", None, f"{e}  two {e}{e} three  "]
+    rows = by_id(queries.pack(frame(spark, given)))
+    for i, x in enumerate(given):
+        ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4")
+        assert (rows[i]["length"], rows[i]["ids_crc32"]) == (len(ids), zlib.crc32(ids.tobytes())), x
+
+
 def best_fit_by_items(counts, capacity):
     room = []
     for length in sorted(counts, reverse=True):
