@@ -7,12 +7,11 @@ one of them, and an empty table gives an empty result.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import near, packing, quality, toxic
-from parley.llm.queries import KEEP_QUALITY
+from parley.llm import near, quality, toxic
+from parley.llm.queries import KEEP_QUALITY, pack
 from parley.llm.shared import documents, stored
 
 
@@ -35,7 +34,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences of at most 2048 tokens."""
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return pack(docs)
 
 
 STAGES = [("quality", good), ("toxicity", civil), ("near-duplicates", distinct), ("packing", packed)]
