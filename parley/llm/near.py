@@ -276,9 +276,12 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
 
     Of rows with that doc_id and the same text, one stays. Texts that aren't alike stay, whatever their doc_ids are.
     """
+    from parley.llm.shared import unused
+
     _, found = classes(docs, **options)
-    least = F.min(F.struct(F.col("first_id").isNull(), F.col("first_id").alias("__id"), F.col("class").alias("__kept")))
-    stay = found.groupBy("root").agg(least.alias("least")).select("least.__id", "least.__kept")
-    told = docs.withColumn("__class", class_of())
-    kept = told.join(stay, told["doc_id"].eqNullSafe(F.col("__id")) & (told["__class"] == F.col("__kept")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__class"]).drop("__class")
+    mine, id_, kept_ = unused(docs, "_class", "_id", "_kept")
+    least = F.min(F.struct(F.col("first_id").isNull(), F.col("first_id").alias(id_), F.col("class").alias(kept_)))
+    stay = found.groupBy("root").agg(least.alias("least")).select(F.col("least")[id_].alias(id_), F.col("least")[kept_].alias(kept_))
+    told = docs.withColumn(mine, class_of())
+    kept = told.join(stay, told["doc_id"].eqNullSafe(F.col(id_)) & (told[mine] == F.col(kept_)), "left_semi")
+    return kept.dropDuplicates(["doc_id", mine]).drop(mine)

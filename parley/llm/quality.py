@@ -6,8 +6,8 @@ score into grades: P(grade <= k) = sigmoid(threshold_k - score). A document gets
 the selected grade or a better one. Any number of grades works; two make it a logistic regression.
 
 Null or empty text (and texts under three bytes): score 0, so the probabilities are those of the thresholds alone. Repeated
-rows: the same result. Without labels, or with one grade only, every document is kept with probability 1. An empty table
-gives no row.
+rows: the same result. Very long texts are scored whole. Without labels, or with one grade only, every document is kept with
+probability 1. Null labels are left out; of several labels of one doc_id the largest counts. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -134,14 +134,13 @@ def scores(texts: pa.Array, model: Ordinal) -> np.ndarray:
     return SCALE * sums_by(model.weights[bucket], counts) / (counts + CALM) + model.weights[BUCKETS] * repeats(*text)
 
 
-def graded(docs: DataFrame, model: Ordinal | None, best: int = 1) -> DataFrame:
-    """All columns of docs, with quality_expected and quality_tail: the probability of one of the `best` highest grades.
+def graded(docs: DataFrame, model: Ordinal | None, best: int = 1, names: tuple[str, str] = ("quality_expected", "quality_tail")) -> DataFrame:
+    """All columns of docs as they are, then the expected grade and the probability of one of the `best` highest grades.
 
-    The new columns replace columns of these names.
+    names: of the new columns; docs must have none of them (`shared.unused` finds free ones).
     """
     from parley.llm.shared import slices
 
-    docs = docs.drop("quality_expected", "quality_tail")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -153,7 +152,7 @@ def graded(docs: DataFrame, model: Ordinal | None, best: int = 1) -> DataFrame:
             else:
                 score = scores(batch.column("text"), model)
                 expected, tail = model.expected(score), model.tails(score)[:, -best]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(expected, from_pandas=True), pa.array(tail)], names=[*batch.schema.names, "quality_expected", "quality_tail"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(expected, from_pandas=True), pa.array(tail)], names=[*batch.schema.names, *names])
 
-    schema = T.StructType(docs.schema.fields[:]).add("quality_expected", "double").add("quality_tail", "double")
+    schema = T.StructType(docs.schema.fields[:]).add(names[0], "double").add(names[1], "double")
     return docs.mapInArrow(run, schema)

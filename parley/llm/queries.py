@@ -55,7 +55,7 @@ def op8_licences(spark, sf_dir):
 
 def op9_toxicity(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     model = toxic.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out)
     found = toxic.toxicity(docs, model)
     return found.select("doc_id", held_out.alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= toxic.THRESHOLD).cast("int").alias("predicted"), F.col("toxic_spans").alias("spans"))

@@ -25,10 +25,13 @@ _INV = pow(_MULT, -1, 1 << 64)
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder for one intermediate table below spark.checkpoint.dir; it goes when the application ends.
 
-    Where the setting is missing (tests), a temporary folder takes its place.
+    Where the setting is missing, a session in one machine (local master) gets a temporary folder; on a cluster, whose
+    executors would each write to a disk of their own, that is an error.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/parley/{name}-{uuid.uuid4().hex[:12]}"
@@ -46,6 +49,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until no column of df has it (whatever its case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

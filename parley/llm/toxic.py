@@ -6,10 +6,11 @@ documents. On those tokens a chain of two states is trained; its features are ha
 neighbours. Forward-backward marginals then give each token's probability; a document's score is a logistic function of
 the expected number of toxic tokens, their share and the largest marginal, and runs of likely tokens are its offending spans.
 
-A token is a run of letters, digits and non-ASCII characters, in lower case. Chains are cut after CHAIN tokens.
+A token is a run of letters, digits and non-ASCII characters, in lower case. A chain is a whole text, however long.
 
 Null, empty or wordless text: the score of a text without toxic tokens. Repeated rows: the same score. Without usable
-labels every score is 0. An empty table gives no row. Only doc_id and text are read; the text alone makes the score.
+labels (none, or of one kind only) every text has the same score, sigmoid(-9). An empty table gives no row. Of several labels
+of one doc_id the largest counts. Columns other than text aren't read but passed on; names of the new ones are parameters.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from pyspark.sql import types as T
 
 from parley.llm.quality import sigmoid
 
-CHAIN = 64
+#: Tokens of a chain that are worked on in one column of blocks, and of all chains in one step of training.
+BLOCK, STEP_TOKENS = 64, 1 << 15
 BEGINNING = 5
 WORD_BITS, NEAR_BITS = 18, 14
 #: Bounds of the samples: documents for each label in the word test and in training the chain, bytes of a text, words kept.
@@ -80,48 +82,89 @@ def _features(word: np.ndarray, begin: np.ndarray, counts: np.ndarray):
     return w, b, left, right
 
 
-def _chains(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the tokens in a matrix of chains: first token and number of tokens of each chain."""
-    number = -(-counts // CHAIN)
+def _blocks(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chains laid out in blocks of BLOCK tokens: first token, number of tokens and place in its chain of each block."""
+    number = -(-counts // BLOCK)
     owner = np.repeat(np.arange(len(counts)), number)
     inside = np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)
-    first = (np.cumsum(counts) - counts)[owner] + inside * CHAIN
-    return first, np.minimum(counts[owner] - inside * CHAIN, CHAIN)
+    first = (np.cumsum(counts) - counts)[owner] + inside * BLOCK
+    return first, np.minimum(counts[owner] - inside * BLOCK, BLOCK), inside
 
 
-def forward_backward(emit: np.ndarray, length: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of state 1 (chains x tokens) and the expected moves between states, summed over all chains.
+def _carried(start: np.ndarray, block: np.ndarray, chain_of: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The state vector before each block, when that before a chain's first block is `start` and each block multiplies it."""
+    out = np.empty((len(block), 2))
+    out[place == 0] = start
+    order = np.argsort(place, kind="stable")
+    border = np.searchsorted(place[order], np.arange(place.max() + 2))
+    for k in range(1, place.max() + 1):
+        at = order[border[k] : border[k + 1]]
+        v = np.einsum("nr,nrs->ns", out[chain_of[at]], block[chain_of[at]])
+        out[at] = v / v.sum(axis=1, keepdims=True)
+    return out
 
-    emit: the score of state 1 against state 0; beyond a chain's length its values don't count.
+
+def forward_backward(emit: np.ndarray, counts: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of state 1 for all tokens of all chains in one row, and the expected moves between states over all chains.
+
+    emit: the score of state 1 against state 0. A chain has as many tokens as its text. It is laid out in blocks, whose
+    products of transfer matrices carry the messages over their borders, so that blocks are worked on side by side.
     """
-    n, t = emit.shape
-    a = np.zeros((2, n, t))
-    a[1, :, 0] = emit[:, 0]
-    for k in range(1, t):
-        for s in (0, 1):
-            a[s, :, k] = np.logaddexp(a[0, :, k - 1] + moves[0, s], a[1, :, k - 1] + moves[1, s])
-        a[1, :, k] += emit[:, k]
-    b = np.zeros((2, n, t))
-    for k in range(t - 2, -1, -1):
-        open_ = k + 1 < length
-        for s in (0, 1):
-            b[s, :, k] = np.where(open_, np.logaddexp(b[0, :, k + 1] + moves[s, 0], b[1, :, k + 1] + emit[:, k + 1] + moves[s, 1]), 0)
-    p = sigmoid(a[1] + b[1] - a[0] - b[0])
-    last = length - 1
-    rows = np.arange(n)
-    total = np.logaddexp(a[0, rows, last], a[1, rows, last])
-    expected = np.zeros((2, 2))
-    inside = np.arange(1, t)[None, :] < length[:, None]
-    for r in (0, 1):
-        for s in (0, 1):
-            score = a[r, :, :-1] + moves[r, s] + b[s, :, 1:] + (emit[:, 1:] if s else 0) - total[:, None]
-            expected[r, s] = np.exp(np.minimum(score, 0))[inside].sum()
-    return p, expected
-
-
-def _matrix(values: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
-    place = np.minimum(first[:, None] + np.arange(CHAIN)[None, :], max(len(values) - 1, 0))
-    return np.where(np.arange(CHAIN)[None, :] < length[:, None], values[place], 0)
+    if not len(emit):
+        return np.zeros(0), np.zeros((2, 2))
+    first, length, place = _blocks(counts)
+    n = len(first)
+    m, weight = np.exp(moves), np.exp(np.clip(emit, -30, 30))
+    # one row for each place in a block, so that a step works on one row; beyond a block's end nothing changes
+    token = np.minimum(first + np.arange(BLOCK)[:, None], len(emit) - 1)
+    inside = np.arange(BLOCK)[:, None] < length
+    e = weight[token]
+    opens = place == 0
+    full = int(length.min())
+
+    def moved(k: int, v0: np.ndarray, v1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The messages behind place k of all blocks, from those before it."""
+        u0, u1 = v0 * m[0, 0] + v1 * m[1, 0], v0 * m[0, 1] + v1 * m[1, 1]
+        if k == 0:  # no move into a chain's first token
+            u0[opens], u1[opens] = v0[opens], v1[opens]
+        u1 *= e[k]
+        if k >= full:
+            u0, u1 = np.where(inside[k], u0, v0), np.where(inside[k], u1, v1)
+        return u0, u1
+
+    # transfer matrices of whole blocks: where each state before a block leads
+    rows = [(np.ones(n), np.zeros(n)), (np.zeros(n), np.ones(n))]
+    for k in range(BLOCK):
+        rows = [moved(k, *v) for v in rows]
+        scale = 1 / (rows[0][0] + rows[0][1] + rows[1][0] + rows[1][1])
+        rows = [(v0 * scale, v1 * scale) for v0, v1 in rows]
+    whole = np.stack([np.stack(v, axis=1) for v in rows], axis=1)
+    last = np.flatnonzero(np.append(opens[1:], True))
+    before = _carried(np.full(2, 0.5), whole, np.arange(n) - 1, place)
+    after = _carried(np.full(2, 0.5), whole.transpose(0, 2, 1), np.arange(n) + 1, np.repeat(place[last], place[last] + 1) - place)
+    # messages as the share of state 1
+    forward, backward = np.empty((BLOCK, n)), np.empty((BLOCK, n))
+    v = before[:, 1].copy()
+    for k in range(BLOCK):
+        u0, u1 = moved(k, 1 - v, v)
+        v = u1 / (u0 + u1)
+        forward[k] = v
+    v = after[:, 1].copy()
+    for k in range(BLOCK - 1, -1, -1):
+        backward[k] = v
+        w = v * e[k]
+        u0, u1 = (1 - v) * m[0, 0] + w * m[0, 1], (1 - v) * m[1, 0] + w * m[1, 1]
+        u1 /= u0 + u1
+        v = np.where(inside[k], u1, v) if k >= full else u1
+    a, b = forward.T[inside.T], backward.T[inside.T]
+    p = a * b / (a * b + (1 - a) * (1 - b))
+    # moves into each token but a chain's first, by the messages on both sides
+    into = np.ones(len(emit), bool)
+    into[(np.cumsum(counts) - counts)[counts > 0]] = False
+    at = np.flatnonzero(into)
+    from_, to = (1 - a[at - 1], a[at - 1]), (1 - b[at], b[at] * weight[at])
+    x = np.array([[from_[r] * to[s] * m[r, s] for s in (0, 1)] for r in (0, 1)])
+    return p, (x / x.sum(axis=(0, 1))).sum(axis=2)
 
 
 def marginals(model: Chain, word: np.ndarray, begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -129,10 +172,7 @@ def marginals(model: Chain, word: np.ndarray, begin: np.ndarray, counts: np.ndar
     if not len(word):
         return np.zeros(0)
     w, b, left, right = _features(word, begin, counts)
-    emit = model.bias + model.word[w] + model.start[b] + model.near[left] + model.near[right]
-    first, length = _chains(counts)
-    p, _ = forward_backward(_matrix(emit, first, length), length, model.moves)
-    return p[np.arange(CHAIN)[None, :] < length[:, None]]
+    return forward_backward(model.bias + model.word[w] + model.start[b] + model.near[left] + model.near[right], counts, model.moves)[0]
 
 
 def by_document(p: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -159,24 +199,22 @@ def fit(texts: pa.Array, label: np.ndarray, marked: np.ndarray) -> Chain:
         truth = (np.isin(word, marked) | np.isin(begin, marked)) & (np.repeat(label[begin_row:end_row], n) == 1)
         parts.append((truth, *(x.astype(np.int32) for x in _features(word, begin, n)), n))
     y, w, b, left, right, counts = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 6
-    first, length = _chains(counts)
+    first = np.cumsum(counts) - counts
     model = Chain(np.zeros(1 << WORD_BITS), np.zeros(1 << WORD_BITS), np.zeros(1 << NEAR_BITS), -2.0, np.zeros((2, 2)), np.array([-9.0, 0, 0, 0]))
     squares = [np.full(x.shape, 1e-4) for x in (model.word, model.start, model.near, model.moves)]
     bias_square, rng = 1e-4, np.random.default_rng(5)
-    for _ in range(EPOCHS if len(first) else 0):
-        order = rng.permutation(len(first))
-        for at in range(0, len(order), 512):
-            f, n = first[order[at : at + 512]], length[order[at : at + 512]]
-            inside = np.arange(CHAIN)[None, :] < n[:, None]
-            token = (f[:, None] + np.arange(CHAIN)[None, :])[inside]
-            emit = np.zeros(inside.shape)
-            emit[inside] = model.bias + model.word[w[token]] + model.start[b[token]] + model.near[left[token]] + model.near[right[token]]
-            p, moves = forward_backward(emit, n, model.moves)
-            truth = np.zeros(inside.shape, np.int64)
-            truth[inside] = y[token]
-            both = inside[:, 1:]
-            seen = np.bincount((truth[:, :-1] * 2 + truth[:, 1:])[both], minlength=4).reshape(2, 2)
-            error = p[inside] - y[token]
+    for _ in range(EPOCHS):
+        order = rng.permutation(np.flatnonzero(counts))
+        # steps of whole chains, of about STEP_TOKENS tokens together
+        for chains in np.split(order, np.flatnonzero(np.diff(np.cumsum(counts[order]) // STEP_TOKENS)) + 1) if len(order) else ():
+            n = counts[chains]
+            token = np.repeat(first[chains] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            truth = y[token].astype(np.int64)
+            p, moves = forward_backward(model.bias + model.word[w[token]] + model.start[b[token]] + model.near[left[token]] + model.near[right[token]], n, model.moves)
+            into = np.ones(len(token), bool)
+            into[np.cumsum(n) - n] = False
+            seen = np.bincount((truth[:-1] * 2 + truth[1:])[into[1:]], minlength=4).reshape(2, 2)
+            error = p - truth
             for table, square, places, rate in ((model.word, squares[0], (w,), 0.5), (model.start, squares[1], (b,), 0.5), (model.near, squares[2], (left, right), 0.05)):
                 for x in places:
                     found, back = np.unique(x[token], return_inverse=True)
@@ -208,8 +246,10 @@ def marked_words(rows: DataFrame, most: int = MOST_WORDS) -> np.ndarray:
     rows: text, label. Counts documents, in tasks and then by hash; at most `most` hashes, the most telling, are returned.
     """
 
+    from parley.llm.shared import slices
+
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             word, begin, _, _, counts, _ = tokens(batch.column("text"))
             owner = np.repeat(np.arange(len(counts)), counts)
             label = batch.column("label").to_numpy()
@@ -256,8 +296,8 @@ def spans_of(p: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.nda
     return characters[starts[opens]] - base, characters[ends[closes]] - base, np.bincount(owner[opens], minlength=len(counts))
 
 
-def toxicity(docs: DataFrame, model: Chain, kept: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns with toxic_score and toxic_spans (code point offsets) of every whole text."""
+def toxicity(docs: DataFrame, model: Chain, kept: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("toxic_score", "toxic_spans")) -> DataFrame:
+    """The kept columns, then the score and the spans (code point offsets) of every whole text under the given names."""
     from parley.llm.shared import list_array, slices
 
     docs = docs.select(*dict.fromkeys((*kept, "text")))
@@ -271,7 +311,7 @@ def toxicity(docs: DataFrame, model: Chain, kept: tuple[str, ...] = ("doc_id",))
             score = sigmoid(by_document(p, counts) @ model.document)
             a, b, n = spans_of(p, starts, ends, counts, data, at)
             spans = list_array(pa.StructArray.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["start", "end"]), n)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(score), spans], names=[*kept, "toxic_score", "toxic_spans"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(score), spans], names=[*kept, *names])
 
-    schema = T.StructType(docs.select(*kept).schema.fields[:]).add("toxic_score", "double").add("toxic_spans", T.ArrayType(T.StructType().add("start", "integer").add("end", "integer")))
+    schema = T.StructType(docs.select(*kept).schema.fields[:]).add(names[0], "double").add(names[1], T.ArrayType(T.StructType().add("start", "integer").add("end", "integer")))
     return docs.mapInArrow(run, schema)

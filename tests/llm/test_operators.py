@@ -431,20 +431,76 @@ def test_licences_of_the_documents(spark, docs):
 # --- 9: toxicity
 
 
+def chain_by_loop(emit, moves):
+    """Marginals and expected moves of one chain, token by token in logarithms."""
+    n = len(emit)
+    a, b = np.zeros((n, 2)), np.zeros((n, 2))
+    score = lambda k: np.array([0.0, emit[k]])
+    a[0] = score(0)
+    for k in range(1, n):
+        a[k] = [np.logaddexp(a[k - 1, 0] + moves[0, s], a[k - 1, 1] + moves[1, s]) for s in (0, 1)] + score(k)
+    for k in range(n - 2, -1, -1):
+        b[k] = [np.logaddexp(*(moves[s] + score(k + 1) + b[k + 1])) for s in (0, 1)]
+    z = np.logaddexp(*a[-1])
+    expected = sum((np.exp(a[k - 1][:, None] + moves + (score(k) + b[k])[None, :] - z) for k in range(1, n)), np.zeros((2, 2)))
+    return np.exp(a[:, 1] + b[:, 1] - z), expected
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(2)
-    emit, moves = rng.normal(size=(1, 6)), rng.normal(size=(2, 2))
+    emit, moves = rng.normal(size=6), rng.normal(size=(2, 2))
     weights = {}
     for code in range(64):
         y = [code >> k & 1 for k in range(6)]
-        weights[tuple(y)] = np.exp(sum(emit[0, k] * y[k] for k in range(6)) + sum(moves[y[k], y[k + 1]] for k in range(5)))
+        weights[tuple(y)] = np.exp(sum(emit[k] * y[k] for k in range(6)) + sum(moves[y[k], y[k + 1]] for k in range(5)))
     z = sum(weights.values())
     p, expected = toxic.forward_backward(emit, np.array([6]), moves)
-    assert np.allclose(p[0], [sum(w for y, w in weights.items() if y[k]) / z for k in range(6)])
+    assert np.allclose(p, [sum(w for y, w in weights.items() if y[k]) / z for k in range(6)])
     assert np.allclose(expected, [[sum(w * sum(y[k] == r and y[k + 1] == s for k in range(5)) for y, w in weights.items()) / z for s in (0, 1)] for r in (0, 1)])
-    padded = np.concatenate((emit, rng.normal(size=(1, 3))), axis=1)
-    q, more = toxic.forward_backward(padded, np.array([6]), moves)
-    assert np.allclose(q[0, :6], p[0]) and np.allclose(more, expected)
+
+
+def test_chains_reach_over_blocks_and_not_over_texts():
+    rng = np.random.default_rng(3)
+    counts = np.array([0, 1, 63, 64, 65, 0, 700, 128, 2, 0])
+    emit, moves = rng.normal(size=counts.sum()) * 3, rng.normal(size=(2, 2)) * 2
+    p, expected = toxic.forward_backward(emit, counts, moves)
+    at, total = 0, np.zeros((2, 2))
+    for n in counts[counts > 0]:
+        q, more = chain_by_loop(emit[at : at + n], moves)
+        assert np.allclose(p[at : at + n], q)
+        at, total = at + n, total + more
+    assert np.allclose(expected, total)
+
+
+def test_toxicity_equals_a_loop_over_tokens(spark):
+    """Scores and spans of whole documents from the model's tables, token by token."""
+    made = [f"{a} one two {w} three {b}" for w in ("gut", "bös") for a in ("x", "yy") for b in ("p", "q") for _ in range(8)]
+    labels = spark.createDataFrame([(k, int("bös" in t)) for k, t in enumerate(made)], "doc_id long, toxic int")
+    model = toxic.train(frame(spark, made), labels)
+    given = [*ODD, "bös " * 200 + "gut", "a bös. Bös! gut", "BÖS"]
+    got = by_id(toxic.toxicity(frame(spark, given), model))
+    for i, t in enumerate(given):
+        t = t or ""
+        found = [(m.start(), m.end()) for m in re.finditer("[0-9A-Za-z\x80-\U0010ffff]+", t)]
+        word, begin, _, _, counts, _ = toxic.tokens(pa.array([t]))
+        assert counts[0] == len(found)
+        if not found:
+            assert got[i]["toxic_spans"] == [] and abs(got[i]["toxic_score"] - 1 / (1 + np.exp(-(model.document @ [1, 0, -8 / 3, 0])))) < 1e-9
+            continue
+        w, b, left, right = toxic._features(word, begin, counts)
+        emit = [model.bias + model.word[w[k]] + model.start[b[k]] + model.near[left[k]] + model.near[right[k]] for k in range(len(found))]
+        p, _ = chain_by_loop(np.array(emit), model.moves)
+        number, most = p.sum(), p.max()
+        x = [1, np.log1p(number), np.clip(np.log(most + 1e-9) - np.log1p(1e-9 - most), -8, 8) / 3, np.log1p(100 * number / (len(p) + toxic.CALM))]
+        assert abs(got[i]["toxic_score"] - 1 / (1 + np.exp(-np.clip(np.dot(x, model.document), -40, 40)))) < 1e-6
+        runs = []
+        for k, (start, end) in enumerate(found):
+            if p[k] >= toxic.SPAN:
+                if runs and runs[-1][2] == k - 1:
+                    runs[-1] = (runs[-1][0], end, k)
+                else:
+                    runs.append((start, end, k))
+        assert [tuple(s) for s in got[i]["toxic_spans"]] == [(a, e) for a, e, _ in runs]
 
 
 def test_toxicity_on_held_out_documents(spark):

@@ -42,3 +42,41 @@ def test_run_gives_pieces(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert rows and max(r["offset"] + r["length"] for r in rows) <= packing.CAPACITY
     assert quality.MOST_LABELLED > 0 and toxic.THRESHOLD == 0.7
+
+
+ODD_COLUMNS = ["toxic_score", "toxic_spans", "Quality_Tail", "quality_expected", "_class", "__class", "_id", "__id", "_kept", "class", "label", "n", "row", "part"]
+
+
+def odd_documents(spark):
+    """Nulls in every column, an empty and a very long text, repeated rows, two texts under one id, clashing columns."""
+    texts = [None, "", "plain words of a quiet day in the hills", "plain words of a quiet day in the hills", "a " * 40_000, "x" * 50_000, "same id one", "same id two"]
+    ids = [None, 1, 2, 2, 3, 4, 5, 5]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in ODD_COLUMNS)
+    rows = [(i, t, None, None, None, *[None if k % 2 else f"{c} {k}" for c in ODD_COLUMNS]) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    rows.append(rows[2])
+    return spark.createDataFrame(rows, schema)
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES[:3])
+def test_stages_pass_all_columns_on(spark, name, stage):
+    docs = odd_documents(spark)
+    before = [tuple(r) for r in docs.collect()]
+    kept = stage(spark, docs, "/root/testdata/sf0.001")
+    assert kept.columns == docs.columns
+    now = [tuple(r) for r in kept.collect()]
+    left = list(before)
+    for r in now:  # rows as they came, none more often
+        left.remove(r)
+    if name == "near-duplicates":
+        assert sorted((r[0] is None, r[0], r[1]) for r in now if r[0] is not None) == sorted({(False, r[0], r[1]) for r in before if r[0] is not None and r[1] != ""} | ({(False, 1, "")}))
+    elif name == "toxicity":
+        assert not left
+    none = stage(spark, docs.limit(0), "/root/testdata/sf0.001")
+    assert none.columns == docs.columns and none.count() == 0
+
+
+def test_packing_takes_odd_documents(spark):
+    docs = odd_documents(spark)
+    rows = corpus_pipeline.STAGES[3][1](spark, docs, "/root/testdata/sf0.001").collect()
+    assert sum(r["piece"] == 0 for r in rows) == docs.count()
+    assert corpus_pipeline.STAGES[3][1](spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
