@@ -1,8 +1,9 @@
 """The corpus pipeline: documents are filtered for quality and toxicity, near-duplicates go, and the rest is packed.
 
 Each stage takes (spark, docs, sf_dir), works on every row of docs and returns a DataFrame; all but the last return the
-columns of docs. Null texts count as empty, repeated rows are judged one by one until the near-duplicate stage, which keeps
-one of them, and an empty table gives an empty result.
+columns of docs. Null texts count as empty, very long ones are read whole, repeated rows are judged one by one until the
+near-duplicate stage, which keeps one of them, and an empty table gives an empty result. Further columns of docs are passed
+on as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -12,19 +13,21 @@ from pyspark.sql import functions as F
 
 from parley.llm import near, quality, toxic
 from parley.llm.queries import KEEP_QUALITY, pack
-from parley.llm.shared import documents, stored
+from parley.llm.shared import documents, stored, unused
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of the better grade reaches KEEP_QUALITY."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.graded(docs, model).where(F.col("quality_tail") >= KEEP_QUALITY).select(docs.columns)
+    names = unused(docs, "quality_expected", "quality_tail")
+    return quality.graded(docs, model, names=tuple(names)).where(F.col(names[1]) >= KEEP_QUALITY).select(docs.columns)
 
 
 def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity stays under the threshold."""
     model = toxic.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxic.toxicity(docs, model, tuple(docs.columns)).where(F.col("toxic_score") < toxic.THRESHOLD).select(docs.columns)
+    names = unused(docs, "toxic_score", "toxic_spans")
+    return toxic.toxicity(docs, model, tuple(docs.columns), tuple(names)).where(F.col(names[0]) < toxic.THRESHOLD).select(docs.columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
