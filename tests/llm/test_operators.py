@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 P = pytest.importorskip("public_tokenizers")
 
 from parley.llm import chunks, licences, logbilinear, media, near, packing, pieces, quality, queries, separators, toxic  # noqa: E402
-from parley.llm.shared import slices  # noqa: E402
+from parley.llm.shared import slices, stored  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 RANKS = P.path("byte_bpe_50k.tiktoken")
@@ -243,16 +243,22 @@ def test_quality_without_labels_keeps_all(spark):
 # --- 5: language model
 
 
+def language_model(docs):
+    """The steps of score_documents, with what they make."""
+    counts = stored(logbilinear.word_counts(docs.where(logbilinear.is_training()).select("doc_id", "text")), "word-counts")
+    plain = logbilinear.vocabulary(counts)
+    ids = stored(logbilinear._ids(docs, plain), "items")
+    training = ids.where("training")
+    vocab = logbilinear.grouped(plain, logbilinear.company_of(training, plain))
+    return counts, plain, ids, vocab, logbilinear.train(training, plain, vocab)
+
+
 def test_all_positions_of_long_documents_are_learnt_from(spark):
-    """A cycle of eight words, too long for the first model's sample: one position in eight would be always the same word."""
+    """A cycle of eight words: one position in eight would be always the same word."""
     text = " ".join(f"w{k}" for k in range(8)) + " "
-    docs = frame(spark, [text * 800] * 60).coalesce(1)
-    assert len(text * 800) > logbilinear.LONGEST
-    vocab = logbilinear.vocabulary(logbilinear.word_counts(docs))
-    model = logbilinear.train(docs, vocab)
-    words, shared, counts = logbilinear.tokens(pa.array([text * 3]))
-    classes, _ = vocab.look_up(words, shared)
-    log_p = logbilinear.class_log_probability(model, logbilinear.contexts(classes, counts), classes)[8:16]
+    _, plain, _, vocab, model = language_model(frame(spark, [text * 800] * 60).coalesce(1))
+    items, _ = vocab.look_up(*logbilinear.tokens(pa.array([text * 3]))[:2])
+    log_p = logbilinear.log_probability(model, items, np.array([len(items)]))[8:16]
     assert (log_p > np.log(1 / 8) + 0.5).all()
 
 
@@ -271,17 +277,59 @@ def test_scores_equal_brute_force_and_beat_the_base(spark, texts):
     assert sum(r["score"] for i, r in got.items() if held[i]) > sum(r["base_score"] for i, r in got.items() if held[i])
 
 
-def test_class_probabilities_sum_to_one():
-    model = logbilinear.start(np.arange(1.0, logbilinear.CLASSES + 1))
-    before = np.full((1, logbilinear.CONTEXT), 3).repeat(logbilinear.CLASSES, axis=0)
-    log_p = logbilinear.class_log_probability(model, before, np.arange(logbilinear.CLASSES))
-    assert abs(np.exp(log_p).sum() - 1) < 1e-4
+def test_score_equals_a_softmax_by_hand(spark, docs, texts, monkeypatch):
+    """Every document's score from the model's tables, token by token over all items, with few frequent words so that the
+    counts of many words come by the join."""
+    monkeypatch.setattr(logbilinear, "KNOWN_WORDS", 500)
+    monkeypatch.setattr(logbilinear, "MOST_OWN", 60)
+    counts, plain, ids, vocab, model = language_model(docs)
+    got = by_id(logbilinear.score(ids, counts, plain, vocab, model))
+    number = {r["hash"]: r["n"] for r in counts.collect()}
+    m = {k: v.astype(float) for k, v in model.items()}
+    groups, width = len(m["group"]), len(m["item"]) // len(m["group"])
+    real = vocab.weight > 0
+    for i in sorted(texts)[:25]:
+        words, shared, _ = logbilinear.tokens(pa.array([texts[i]]))
+        items, _ = vocab.look_up(words, shared)
+        total = 0.0
+        for t, item in enumerate(items[:400]):
+            before = [items[t - k] if t >= k else groups * width for k in range(1, logbilinear.CONTEXT + 1)]
+            h = sum(m["context"][x] * m["place"][k] for k, x in enumerate(before))
+            by_group = np.exp(m["group"] @ h + m["group_bias"])
+            by_item = np.exp(m["item"] @ h + m["item_bias"]).reshape(groups, width)
+            joint = (by_group / by_group.sum())[:, None] * by_item / by_item.sum(axis=1, keepdims=True)
+            assert abs(joint.sum() - 1) < 1e-9 and joint.ravel()[~real].sum() < 1e-9
+            total += np.log(joint.ravel()[item])
+            if item in set(vocab.shared.tolist()):
+                total += np.log(number.get(int(words[t : t + 1].view(np.int64)[0]), 0) + 0.5) - np.log(vocab.weight[item])
+        if len(items) <= 400:
+            assert abs(got[i]["score"] - total / np.log(10)) < 1e-4 * abs(total)
+
+
+def test_model_does_not_depend_on_partitions(spark, docs):
+    one = language_model(docs.coalesce(1))[-1]
+    other = language_model(docs.orderBy("text").repartition(7))[-1]
+    assert all(np.array_equal(one[k], other[k]) for k in one)
+
+
+def test_known_hashes_are_found():
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+    rng.shuffle(keys)
+    keys = np.concatenate((keys, keys[:50] ^ np.uint64(1), [np.uint64(0)]))  # neighbours want the same slots
+    table = logbilinear.Table(keys)
+    assert np.array_equal(table.find(keys), np.arange(len(keys)))
+    assert (table.find(rng.integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2)) == -1).mean() > 0.99
+    assert (logbilinear.Table(keys[:0]).find(keys) == -1).all()
 
 
 def test_scores_of_odd_texts(spark):
-    got = logbilinear.score_documents(frame(spark, ODD)).collect()
-    assert len(got) == len(ODD) and all(r["n_tokens"] >= 1 and r["score"] < 0 for r in got)
+    got = logbilinear.score_documents(frame(spark, [*ODD, "a b"], [*range(len(ODD)), None])).collect()
+    assert len(got) == len(ODD) + 1 and all(r["n_tokens"] >= 1 and r["score"] < 0 for r in got)
     assert logbilinear.score_documents(frame(spark, [])).count() == 0
+    held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 5 == 1)
+    got = logbilinear.score_documents(frame(spark, ["only held out"], [held])).collect()
+    assert len(got) == 1 and got[0]["train_tokens"] == 0 and got[0]["n_known"] == 0
 
 
 # --- 6: separators
