@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions.text import fmt_time, language_name, status_info
+from parley.sources.stage import stored
 
 #: Doublings of a chain's reach; chains of up to 2^40 meetings end.
 MOST_DOUBLINGS = 40
@@ -15,23 +16,26 @@ MOST_DOUBLINGS = 40
 def meeting_chain(meetings: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """Id, position (0 is the oldest), meeting_id for every id (null: all): the meetings before it by follow_up_of, and itself.
 
-    The walk stops before a meeting that it has met, and at a link to a meeting that isn't there. Paths double in each
-    round: a path goes on with that of its last meeting, so rounds grow with the logarithm of the longest chain.
+    The walk stops before a meeting that it has met, and at a link to a meeting that isn't there. Pointers double in each
+    round: all meetings within 2^k steps of an asked id are known after k rounds, each as a row with its distance, written to
+    the shared folder. In a loop the shortest distance of a meeting is that of the walk's first visit.
     """
-    known = meetings.select(F.col("id").alias("_known"))
-    state = meetings.select("id", "follow_up_of").join(known, F.col("follow_up_of") == F.col("_known"), "left")
-    state = state.select("id", F.when(F.col("_known").isNull(), F.array("id")).otherwise(F.array_distinct(F.array("id", "_known"))).alias("path"))
-    reached = None
-    for _ in range(MOST_DOUBLINGS):
-        ahead = state.select(F.col("id").alias("_last"), F.col("path").alias("_path"))
-        state = state.withColumn("_last", F.element_at("path", -1)).join(ahead, "_last").select("id", F.array_distinct(F.concat("path", "_path")).alias("path")).persist()
-        now = state.agg(F.sum(F.size("path"))).first()[0]
-        if now == reached:
+    known = meetings.select(F.col("id").alias("_to"))
+    jump = meetings.select(F.col("id").alias("_from"), F.col("follow_up_of").alias("_to")).join(known, "_to", "left_semi").select("_from", "_to")
+    start = meetings.select("id") if ids is None else meetings.select("id").join(ids.select("id").distinct(), "id", "left_semi")
+    reached = stored(start.select("id", F.col("id").alias("meeting_id"), F.lit(0).cast("long").alias("distance")), "chain")
+    count = reached.count()
+    for k in range(MOST_DOUBLINGS):
+        ahead = reached.join(jump, F.col("meeting_id") == F.col("_from")).select("id", F.col("_to").alias("meeting_id"), (F.col("distance") + (1 << k)).alias("distance"))
+        reached = stored(reached.unionByName(ahead).groupBy("id", "meeting_id").agg(F.min("distance").alias("distance")), "chain")
+        now = reached.count()
+        if now == count:
             break
-        reached = now
-    if ids is not None:
-        state = state.join(ids.select("id").distinct(), "id")
-    return state.select("id", F.posexplode(F.reverse("path")).alias("position", "meeting_id"))
+        count = now
+        further = jump.withColumnsRenamed({"_from": "_mid", "_to": "_end"})
+        jump = stored(jump.join(further, F.col("_to") == F.col("_mid")).select("_from", F.col("_end").alias("_to")), "jumps")
+    longest = F.max("distance").over(Window.partitionBy("id"))
+    return reached.select("id", (longest - F.col("distance")).cast("int").alias("position"), "meeting_id")
 
 
 def check_links(links: DataFrame, meetings: DataFrame, segments: DataFrame) -> DataFrame:
@@ -64,6 +68,19 @@ def check_links(links: DataFrame, meetings: DataFrame, segments: DataFrame) -> D
     return told.select("meeting_id", "previous_id", "accepted", "reason", F.when(F.col("accepted") & F.col("previous_id").isNotNull(), "analysing").alias("carry_forward_status"))
 
 
+def apply_links(checked: DataFrame, meetings: DataFrame, carried: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """J14's effect: meetings with the accepted links of check_links, and carry-forward rows without those of such meetings.
+
+    A link or an unlinking makes the stored analysis void: its rows go, and carry_forward_status is that of the link. Of
+    several accepted links of one meeting that with the largest previous_id counts, a null one last.
+    """
+    last = checked.where("accepted").groupBy("meeting_id").agg(F.max(F.struct(F.col("previous_id").alias("p"), F.col("carry_forward_status").alias("s"))).alias("_new"))
+    told = meetings.join(last.withColumnRenamed("meeting_id", "id"), "id", "left")
+    new = lambda c, x: F.when(F.col("_new").isNotNull(), F.col(f"_new.{x}")).otherwise(F.col(c))
+    linked = told.withColumns({"follow_up_of": new("follow_up_of", "p"), "carry_forward_status": new("carry_forward_status", "s")}).select(meetings.columns)
+    return linked, carried.join(last, "meeting_id", "left_anti").select(carried.columns)
+
+
 def follow_up_candidates(meetings: DataFrame, meeting_id: int) -> DataFrame:
     """Other meetings that are neither busy nor just uploaded."""
     info = status_info(F.col("status"))
@@ -92,7 +109,7 @@ def retrieve(actions: DataFrame, segments: DataFrame, k: int = 8, stop_words: li
     stop = StopWordsRemover.loadDefaultStopWords("english") if stop_words is None else stop_words
     stop = [w for w in stop if w.isalpha()]
     s = segments.select("meeting_id", "id", "start_seconds", F.explode_outer(_terms(F.col("text"), stop)).alias("term")).where("term is not null")
-    s = s.groupBy("meeting_id", "id", "term").agg(F.count("*").alias("tf"))
+    s = stored(s.groupBy("meeting_id", "id", "term").agg(F.count("*").alias("tf")), "terms")  # read several times
     size = segments.groupBy("meeting_id").agg((F.count("*") + 1).alias("n"))
     df = s.groupBy("meeting_id", "term").agg(F.count("*").alias("df"))
     idf = lambda extra: F.log((1 + F.col("n")) / (1 + F.col("df") + extra)) + 1

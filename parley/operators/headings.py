@@ -139,9 +139,10 @@ def fill_markers(lines: DataFrame, values: DataFrame) -> DataFrame:
 
 def placement_report(lines: DataFrame, data_fields: DataFrame, ratio: bool = True) -> DataFrame:
     """M7: template_id, field, way: how each field with data (field) is placed: by marker, else table label, else heading;
-    'skipped' where it has no place."""
+    'skipped' where it has no place. Names that are no field of the minutes are left out."""
     order = F.when(F.col("way") == "marker", 0).when(F.col("way") == "table-label", 1).otherwise(2)
     best = Window.partitionBy("template_id", "field").orderBy(order, "line_no")
     placed = placements(lines, ratio).withColumn("_r", F.row_number().over(best)).where("_r = 1").select("template_id", "field", "way")
-    wanted = lines.select("template_id").distinct().join(F.broadcast(data_fields.select("field")))
+    every = F.explode(F.array(*[F.lit(f) for f in SYNONYMS])).alias("field")  # the fields that there are
+    wanted = lines.select("template_id").distinct().select("template_id", every).join(data_fields.select("field"), "field", "left_semi")
     return wanted.join(placed, ["template_id", "field"], "left").withColumn("way", F.coalesce("way", F.lit("skipped")))

@@ -12,6 +12,7 @@ from parley.functions.dates import EDGE, LEADING, NO_DUE, SHOWN_LEADING, date_cu
 from parley.functions.text import is_low_support, is_self_assignment, normalised, output_language, speaker_name
 from parley.operators.prompts import similar_normalised
 
+# The texts that stand for a missing summary.
 NO_SUMMARY = "No narrative summary could be generated for this meeting; please refer to the extracted items and the full transcript."
 NO_CHUNKS = (
     "Automatic insight extraction did not produce usable structured output for this meeting. The local language model could not reliably categorize this "
@@ -55,22 +56,23 @@ def _normal(cue: str | None) -> str:
 
 
 def derive_deadlines(deadlines: DataFrame, actions: DataFrame) -> DataFrame:
-    """The deadlines (meeting_id, item_no, description, date) with one more for every dated action that needs it.
+    """The deadlines (meeting_id, item_no, description, date, source_segment_ids) with one more for every dated action
+    that needs it.
 
-    actions: meeting_id, item_no, description, due. An action's cues are its due (unless its first word means none) and the
+    actions: meeting_id, item_no, description, due, source_segment_ids; a new row has its action's citations. An action's cues are its due (unless its first word means none) and the
     date phrases of its wording, each date once, without those that a like deadline has. item_no goes on counting; the new
     row's cues are joined by ', '. Order matters, since new rows cover later ones: one small group for each meeting.
     """
     cues = date_cues(F.col("description"))
-    told = actions.select("meeting_id", F.lit(1).alias("_kind"), "item_no", "description", F.col("due").alias("date"), cues.alias("_cues"), normalised(F.col("description")).alias("_norm"))
-    given = deadlines.select("meeting_id", F.lit(0).alias("_kind"), "item_no", "description", "date", F.array().cast("array<string>").alias("_cues"), normalised(F.col("description")).alias("_norm"))
+    told = actions.select("meeting_id", F.lit(1).alias("_kind"), "item_no", "description", F.col("due").alias("date"), cues.alias("_cues"), normalised(F.col("description")).alias("_norm"), "source_segment_ids")
+    given = deadlines.select("meeting_id", F.lit(0).alias("_kind"), "item_no", "description", "date", F.array().cast("array<string>").alias("_cues"), normalised(F.col("description")).alias("_norm"), "source_segment_ids")
 
     def derive(group: pd.DataFrame) -> pd.DataFrame:
         rows, covered = [], []
         number = -1
         for r in group.sort_values(["_kind", "item_no"]).to_dict("records"):
             if r["_kind"] == 0:
-                rows.append((r["meeting_id"], r["item_no"], r["description"], r["date"], False))
+                rows.append((r["meeting_id"], r["item_no"], r["description"], r["date"], r["source_segment_ids"], False))
                 covered.append((r["_norm"], _normal(r["date"])))
                 number = max(number, r["item_no"])
                 continue
@@ -86,11 +88,11 @@ def derive_deadlines(deadlines: DataFrame, actions: DataFrame) -> DataFrame:
                         picked.append(_SHOWN.sub("", cue).strip())
             if picked:
                 number += 1
-                rows.append((r["meeting_id"], number, r["description"], ", ".join(picked), True))
+                rows.append((r["meeting_id"], number, r["description"], ", ".join(picked), r["source_segment_ids"], True))
                 covered.append((r["_norm"], _normal(rows[-1][3])))
-        return pd.DataFrame(rows, columns=["meeting_id", "item_no", "description", "date", "derived"])
+        return pd.DataFrame(rows, columns=["meeting_id", "item_no", "description", "date", "source_segment_ids", "derived"])
 
-    return given.unionByName(told).groupBy("meeting_id").applyInPandas(derive, "meeting_id long, item_no int, description string, date string, derived boolean")
+    return given.unionByName(told).groupBy("meeting_id").applyInPandas(derive, "meeting_id long, item_no int, description string, date string, source_segment_ids array<long>, derived boolean")
 
 
 def summary_fallback(meetings: DataFrame, summaries: DataFrame, items: DataFrame) -> DataFrame:

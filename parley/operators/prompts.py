@@ -22,21 +22,24 @@ def chunk_segments(lines_: DataFrame, budget: float = BUDGET) -> DataFrame:
     """Greedy packing of a meeting's lines in time order; a line that doesn't fit the rest of the budget starts a chunk.
 
     Gives meeting_id, chunk_no (from 1), chunk_text, segment_ids, tokens. The sum starts anew at each chunk, which no window
-    function expresses: an aggregate over the meeting's ordered lines (about a thousand) carries it.
+    function expresses: an aggregate over the meeting's ordered lines (about a thousand) carries it and notes where chunks
+    begin.
     """
     items = F.sort_array(F.collect_list(F.struct("start_seconds", "id", "line", "tokens")))
-    start = F.struct(F.lit(0.0).alias("used"), F.lit(0).alias("chunk"), F.array().cast("array<int>").alias("out"))
+    start = F.struct(F.lit(0.0).alias("used"), F.array().cast("array<int>").alias("starts"))
+    sizes = F.transform("items", lambda x, k: F.struct(k.alias("k"), x["tokens"].alias("tokens")))
 
     def step(acc, x):
-        new = (acc["used"] + x["tokens"] > budget) | (acc["chunk"] == 0)
-        chunk = acc["chunk"] + F.when(new, 1).otherwise(0)
-        return F.struct(F.when(new, x["tokens"]).otherwise(acc["used"] + x["tokens"]).alias("used"), chunk.alias("chunk"), F.concat(acc["out"], F.array(chunk)).alias("out"))
-
-    packed = lines_.groupBy("meeting_id").agg(items.alias("items")).withColumn("numbers", F.aggregate("items", start, step)["out"])
-    each = packed.select("meeting_id", F.explode(F.arrays_zip("items", "numbers")).alias("x")).select("meeting_id", "x.items.*", F.col("x.numbers").alias("chunk_no"))
-    rows = F.sort_array(F.collect_list(F.struct("start_seconds", "id", "line")))
-    return each.groupBy("meeting_id", "chunk_no").agg(rows.alias("rows"), F.sum("tokens").alias("tokens")).select(
-        "meeting_id", "chunk_no", F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("chunk_text"), F.transform("rows", lambda r: r["id"]).alias("segment_ids"), "tokens"
+        new = (acc["used"] + x["tokens"] > budget) | (x["k"] == 0)
+        return F.struct(F.when(new, x["tokens"]).otherwise(acc["used"] + x["tokens"]).alias("used"), F.when(new, F.concat(acc["starts"], F.array(x["k"]))).otherwise(acc["starts"]).alias("starts"))
+
+    packed = lines_.groupBy("meeting_id").agg(items.alias("items")).withColumn("starts", F.aggregate(sizes, start, step)["starts"])
+    # a chunk is what lies between its start and the next one
+    first = F.col("starts")[F.col("_n")]
+    after = F.coalesce(F.try_element_at("starts", F.col("_n") + 2), F.size("items"))
+    rows = packed.select("meeting_id", "items", "starts", F.posexplode("starts").alias("_n", "_start")).select("meeting_id", (F.col("_n") + 1).alias("chunk_no"), F.slice("items", first + 1, after - first).alias("rows"))
+    return rows.select(
+        "meeting_id", "chunk_no", F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("chunk_text"), F.transform("rows", lambda r: r["id"]).alias("segment_ids"), F.aggregate("rows", F.lit(0.0), lambda a, r: a + r["tokens"]).alias("tokens")
     )
 
 
@@ -78,16 +81,18 @@ def similar_normalised(a: str, b: str) -> bool:
     return bool(short) and (a == b or (len(short) >= 12 and short in long_))
 
 
-def fold_items(items: DataFrame) -> DataFrame:
+def fold_items(items: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
     """Near-duplicates of a (meeting_id, category) folded in chunk and item order.
 
+    parsed: meeting_id, chunk_no of the chunks whose reply parsed, with items or without (default: those with items).
+
     The first kept row that is like a new one takes its citations (sorted union), its description if longer (later rows are
-    compared with that), and its owner, due, date and mitigation where it has none. Meetings with one chunk stay as they are.
+    compared with that), and its owner, due, date and mitigation where it has none. Meetings with one parsed chunk stay as they are.
     """
     details = [c for c in ("owner", "due", "date", "mitigation") if c in items.columns]
     told = items.withColumn("_norm", normalised(F.col("description")))
-    chunks = told.groupBy("meeting_id").agg(F.count_distinct("chunk_no").alias("_chunks"))
-    told = told.join(chunks, "meeting_id")
+    chunks = (told if parsed is None else parsed).groupBy("meeting_id").agg(F.count_distinct("chunk_no").alias("_chunks"))
+    told = told.join(chunks, "meeting_id", "left").withColumn("_chunks", F.coalesce("_chunks", F.lit(0)))
 
     columns = list(items.columns)
 

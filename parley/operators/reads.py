@@ -10,6 +10,8 @@ from parley.functions.text import fmt_time, language_name, speaker_name
 
 SHAKY_SCORE = 0.5
 MOST_HITS, SNIPPET = 200, 60
+#: Terms of a search that are sent to every task.
+MOST_TERMS = 1000
 
 
 def segment_index(segments: DataFrame) -> DataFrame:
@@ -35,10 +37,15 @@ def with_transcript(meetings: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def list_meetings(meetings: DataFrame) -> DataFrame:
-    """K1: newest first, then by id downwards."""
+    """K1: all meetings, newest first, then by id downwards."""
     return meetings.orderBy(F.desc("created_at"), F.desc("id"))
 
 
+def list_templates(templates: DataFrame) -> DataFrame:
+    """K1: all templates, newest first, then by id downwards."""
+    return templates.orderBy(F.desc("created_at"), F.desc("id"))
+
+
 def segments_page(segments: DataFrame, offset: int = 0, limit: int = 100) -> DataFrame:
     """K2: of each meeting the time-ordered slice, with the meeting's total; offset from 0 on, limit held within 1 to 500."""
     offset, limit = max(offset, 0), min(max(limit, 1), 500)
@@ -50,11 +57,19 @@ def search(segments: DataFrame, terms: DataFrame) -> DataFrame:
     """K3: for each term (term) the first 200 hits of each meeting by time, with ordinal and a snippet.
 
     Terms are trimmed and need two characters; case doesn't count and no character is special. A snippet has 60 characters on
-    each side of the first hit, with '...' on cut sides. Terms are a short list from a user and are matched as they come.
+    each side of the first hit, with '...' on cut sides. Up to MOST_TERMS terms are matched with every line as they come;
+    more of them meet the lines that have their first two characters anywhere.
     """
     wanted = terms.select(F.trim("term").alias("term")).where(F.length("term") >= 2).distinct()
     lines = segment_index(segments)
-    hits = lines.join(F.broadcast(wanted), F.lower(F.col("text")).contains(F.lower(F.col("term"))))
+    found = F.lower(F.col("text")).contains(F.lower(F.col("term")))
+    if wanted.limit(MOST_TERMS + 1).count() <= MOST_TERMS:
+        hits = lines.join(F.broadcast(wanted), found)
+    else:
+        low = F.lower("text")
+        pairs = F.transform(F.sequence(F.lit(1), F.length(low) - 1), lambda k: F.substr(low, k, F.lit(2)))
+        spread = lines.where(F.length(low) >= 2).withColumn("_pair", F.explode(F.array_distinct(pairs)))
+        hits = spread.join(wanted.withColumn("_pair", F.substring(F.lower("term"), 1, 2)), "_pair").where(found).drop("_pair")
     at = F.instr(F.lower("text"), F.lower("term"))
     rank = F.row_number().over(Window.partitionBy("term", "meeting_id").orderBy("ordinal"))
     return hits.withColumns({"_at": at, "_rank": rank}).where(F.col("_rank") <= MOST_HITS).select("term", "meeting_id", "id", "ordinal", "start_seconds", _snippet(F.col("text"), F.col("_at"), F.length("term")).alias("snippet"))

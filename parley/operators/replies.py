@@ -33,15 +33,16 @@ def parse_items(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     names = F.create_map(*[F.lit(x) for pair in CATEGORIES.items() for x in pair])
     lists = each.withColumn("category", F.try_element_at(names, F.col("key"))).where("category is not null").where(F.ltrim("value").startswith("["))
     rows = lists.select("meeting_id", "chunk_no", "category", F.posexplode(F.from_json("value", "array<string>")).alias("item_no", "item")).where(F.ltrim("item").startswith("{"))
-    fields = F.from_json("item", "map<string,string>")
-    rows = rows.select("meeting_id", "chunk_no", "category", "item_no", "item", F.explode(fields).alias("field", "v")).withColumn("field", F.lower("field"))
-    value = lambda name: F.max(F.when(F.col("field") == name, F.col("v")))
-    wide = rows.groupBy("meeting_id", "chunk_no", "category", "item_no").agg(*[value(n).alias(n) for n in ("description", "owner", "due", "date", "mitigation", "source_segment_ids")], F.first("item").alias("item"))
-    # a text is quoted in the item; a description that is a number, list or object makes the item ill-shaped
-    quoted = lambda n: F.col("item").rlike(rf'(?is)"{n}"\s*:\s*(?:"|null)')
-    shaped = quoted("description")
-    for n in ("owner", "due", "date", "mitigation"):
-        shaped = shaped & (F.col(n).isNull() | quoted(n))
+    fields = F.explode(F.from_json("item", "map<string,variant>")).alias("field", "v")
+    rows = rows.select("meeting_id", "chunk_no", "category", "item_no", fields).withColumn("field", F.lower("field"))
+    # a value with its own kind: a description that is a number, list or object makes the item ill-shaped
+    kind = F.schema_of_variant("v")
+    plain = F.when(kind == "STRING", F.try_variant_get("v", "$", "string")).when(kind != "VOID", F.to_json("v"))
+    value = lambda name, x: F.max(F.when(F.col("field") == name, x))
+    texts = ("description", "owner", "due", "date", "mitigation")
+    odd = F.max(F.col("field").isin(*texts) & ~kind.isin("STRING", "VOID"))
+    wide = rows.groupBy("meeting_id", "chunk_no", "category", "item_no").agg(*[value(n, plain).alias(n) for n in (*texts, "source_segment_ids")], odd.alias("_odd"))
+    shaped = ~F.col("_odd")
     ids = F.when(F.col("source_segment_ids").isNull(), F.array().cast("array<string>")).when(F.ltrim("source_segment_ids").startswith("["), F.from_json("source_segment_ids", "array<string>")).otherwise(F.array("source_segment_ids"))
     number = lambda x: F.regexp_replace(F.trim(x), r"\.0+$", "").try_cast("long")
     told = wide.where(shaped & (F.trim(F.coalesce("description", F.lit(""))) != "")).withColumn("_ids", ids)

@@ -19,17 +19,23 @@ def status_label(status: Column) -> Column:
     return label
 
 
-def minutes_rows(items: DataFrame, segments: DataFrame) -> DataFrame:
+def minutes_rows(items: DataFrame, segments: DataFrame, combined: bool = False) -> DataFrame:
     """M1: items (id, meeting_id, category, description, owner, due, date, mitigation, status, note, source_segment_id)
-    numbered in each section of a meeting, with the source's time and '-' for what is empty."""
+    numbered in each section of a meeting, with the source's time and '-' for what is empty.
+
+    combined: the items of whole series (also series_id, position, meeting_title, as pooled_items gives them), numbered in
+    each section of a series by position and id, with the column meeting.
+    """
     at = segments.select("meeting_id", F.col("id").alias("source_segment_id"), fmt_time(F.col("start_seconds")).alias("source"))
     told = items.join(at, ["meeting_id", "source_segment_id"], "left")
-    number = F.row_number().over(Window.partitionBy("meeting_id", "category").orderBy("id"))
+    order = Window.partitionBy("series_id", "category").orderBy("position", "id") if combined else Window.partitionBy("meeting_id", "category").orderBy("id")
     dash = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("-"))
     shown = {c: dash(F.col(c)) for c in ("owner", "due", "date", "mitigation", "note") if c in items.columns}
     if "status" in items.columns:
         shown["status"] = dash(status_label(F.col("status")))
-    return told.withColumn("number", number).withColumns(shown | {"source": dash(F.col("source"))})
+    if combined:
+        shown["meeting"] = dash(F.col("meeting_title"))
+    return told.withColumn("number", F.row_number().over(order)).withColumns(shown | {"source": dash(F.col("source"))})
 
 
 def section_text(items: DataFrame, meetings: DataFrame, combined: bool = False) -> DataFrame:

@@ -86,9 +86,11 @@ def number_speakers(segments: DataFrame) -> DataFrame:
 
 def speaker_minutes(segments: DataFrame, turns: DataFrame, bin_seconds: int = 30) -> DataFrame:
     """J2, W3 and G1 together: who spoke how long in each meeting, after attributing every segment."""
-    attributed = segment_speaker(segments, turns, bin_seconds=bin_seconds)
-    spoken = attributed.where("speaker is not null").groupBy("meeting_id", "speaker").agg((F.sum(micros("end_seconds") - micros("start_seconds")) / 1_000_000).alias("seconds"), F.count("*").alias("segments"))
-    return spoken.join(number_speakers(attributed), ["meeting_id", "speaker"])
+    attributed = segment_speaker(segments, turns, bin_seconds=bin_seconds).where("speaker is not null")
+    us = F.sum(micros("end_seconds") - micros("start_seconds"))
+    spoken = attributed.groupBy("meeting_id", "speaker").agg((us / 1_000_000).alias("seconds"), F.count("*").alias("segments"), F.min(F.struct("start_seconds", "id")).alias("_first"))
+    n = F.row_number().over(Window.partitionBy("meeting_id").orderBy("_first", "speaker"))
+    return spoken.withColumn("speaker_name", F.concat(F.lit("Speaker "), n.cast("string"))).drop("_first")
 
 
 def _coalesced(runs: list[list]) -> list[list]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from parley.functions import dates, text
 from parley.operators import changes, followup, headings, insights, intervals, language, likeness, prompts, reads, replies, report, speakers
 from parley.plans.frames import Frames, ctes
-from parley.sources import tables
+from parley.sources import stage, tables
 from parley.streaming import progress
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -328,12 +328,16 @@ def k4_first_parseable(f):
 # --- dates --------------------------------------------------------------------------------------------------------------
 
 
-@query(ctes("items") + r", c AS (SELECT id, concat_ws(' / ', due, date) AS cue FROM items) SELECT id, array_to_string(list_transform(regexp_extract_all(cue, '" + _re2("|".join(p for p in dates.CUES.split("|"))) + "'), lambda x: trim(x)), '; ') AS cues FROM c")
+@query(
+    ctes("items")
+    + r", c AS (SELECT id, concat_ws(' / ', "
+    + _ASCII.format("description")
+    + r", due, date) AS cue FROM items) SELECT id, array_to_string(list_transform(regexp_extract_all(cue, '"
+    + _re2(dates.CUES)
+    + "'), lambda x: trim(x)), '; ') AS cues FROM c"
+)
 def d1_date_cues(f):
-    return f.items.select("id", F.array_join(dates.date_cues(F.concat_ws(" / ", "due", "date")), "; ").alias("cues"))
-
-
-_PLAIN_LEAD = "^(by|before|on|due|this|next|the|in|within|sebelum|menjelang|pada|dalam)\\s+"
+    return f.items.select("id", F.array_join(dates.date_cues(F.concat_ws(" / ", "description", "due", "date")), "; ").alias("cues"))
 
 
 @query(ctes("items") + f""" SELECT id, trim(regexp_replace(trim(lower(coalesce(due, ''))), '^(?:(?:by|before|on|due|this|next|the|in|within|sebelum|menjelang|pada|dalam)\\s+)+', ''), ' .,:;''"-—') AS norm, trim(regexp_replace(coalesce(due, ''), '(?i)^(?:by|on|before|due|sebelum|menjelang|pada)\\s+', '')) AS shown FROM items""")
@@ -342,23 +346,65 @@ def d2_norm_date(f):
 
 
 _ANCHOR = "CAST(DATE '2024-03-01' + CAST(mod(id, 60) AS INT) AS DATE)"
-_MONTHS = "CASE m WHEN 'july' THEN 7 END"
-_RESOLVED = """CASE
-    WHEN {c} = '3 july' THEN CASE WHEN make_date(year(a), 7, 3) < a - 180 THEN make_date(year(a) + 1, 7, 3) ELSE make_date(year(a), 7, 3) END
-    WHEN {c} = 'july 4' THEN CASE WHEN make_date(year(a), 7, 4) < a - 180 THEN make_date(year(a) + 1, 7, 4) ELSE make_date(year(a), 7, 4) END
-    WHEN {c} = '2024-05-31' THEN DATE '2024-05-31' WHEN {c} = '31/02' THEN NULL WHEN {c} = 'next week' THEN a + 7 WHEN {c} = 'end of month' THEN last_day(a)
-    WHEN {c} = 'in two weeks' THEN a + 14 WHEN contains({c}, 'tomorrow') THEN a + 1 WHEN contains({c}, 'friday') THEN a + CAST(mod(mod(4 - (isodow(a) - 1), 7) + 7, 7) AS INT) END"""
 
 
-@query(ctes("items") + f", c AS (SELECT id, lower(due) AS c, {_ANCHOR} AS a FROM items) SELECT id, CAST(CAST({_RESOLVED.format(c='c')} AS DATE) AS VARCHAR) AS day FROM c")
+def _number_of(x: str, values: dict[str, int]) -> str:
+    return f"CASE {x} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + " END"
+
+
+def _resolved(cue: str, a: str = "a") -> str:
+    """D3 in DuckDB's SQL: the rules in their order, over any cue."""
+    c = f"regexp_replace(lower(trim({cue})), '\\s+', ' ', 'g')"
+    has = lambda p: f"regexp_matches({c}, '{p}')"
+    group = lambda p, k: f"regexp_extract({c}, '{p}', {k})"
+    number = lambda p, k: f"try_cast({group(p, k)} AS INT)"
+    day_of = lambda y, m, d: f"try_cast(printf('%04d-%02d-%02d', {y}, {m}, {d}) AS DATE)"
+    coming = lambda base, k: f"({base} + CAST(mod(mod({k} - (isodow({base}) - 1), 7) + 7, 7) AS INT))"
+    month_end = lambda ahead: f"last_day(CAST(date_trunc('month', {a}) AS DATE) + to_months(CAST({ahead} AS INT)))"
+    iso, slash, wide = r"\b(\d{4})-(\d{1,2})-(\d{1,2})\b", r"\b(\d{1,2})/(\d{1,2})(?:/(\d{2,4}))?\b", r"(\d{1,2})\s*月\s*(\d{1,2})\s*[号日]"
+    names = "|".join(sorted(dates.MONTHS, key=len, reverse=True))
+    first, second = rf"\b(\d{{1,2}})(?:st|nd|rd|th)?\s+(?:of\s+)?({names})\b", rf"\b({names})\s+(\d{{1,2}})(?:st|nd|rd|th)?\b"
+    day = f"CASE WHEN {has(first)} THEN {number(first, 1)} ELSE {number(second, 2)} END"
+    month = _number_of(f"CASE WHEN {has(first)} THEN {group(first, 2)} ELSE {group(second, 1)} END", dates.MONTHS)
+    said = f"year({a})"
+    named = f"CASE WHEN {day_of(said, month, day)} < {a} - 180 THEN {day_of(said + ' + 1', month, day)} ELSE {day_of(said, month, day)} END"
+    year = f"CASE WHEN {group(slash, 3)} = '' THEN {said} WHEN {number(slash, 3)} < 100 THEN {number(slash, 3)} + 2000 ELSE {number(slash, 3)} END"
+    units = "(day|days|week|weeks|month|months|hari|minggu|bulan|天|周|个月)"
+    led, bare = rf"\b(?:within|in|dalam)\s+([a-z一-鿿]+|\d+)\s+{units}\b", rf"\b([a-z一-鿿]+|\d+)\s+{units}\b"
+    raw, unit = (f"CASE WHEN {has(led)} THEN {group(led, k)} ELSE {group(bare, k)} END" for k in (1, 2))
+    n = f"coalesce(try_cast({raw} AS INT), {_number_of(raw, dates.NUMBERS)})"
+    span = f"CASE WHEN {unit} IN ('day', 'days', 'hari', '天') THEN {a} + CAST({n} AS INT) WHEN {unit} IN ('week', 'weeks', 'minggu', '周') THEN {a} + CAST({n} * 7 AS INT) ELSE {month_end(n + ' - 1')} END"
+    wide_day, latin_day = "(?:星期|周|礼拜)\\s*([一二三四五六日天])", rf"\b({'|'.join(dates.WEEKDAYS)})\b"
+    rules = [
+        (f"{cue} IS NULL OR {cue} = ''", "NULL"),
+        (has(iso), day_of(number(iso, 1), number(iso, 2), number(iso, 3))),
+        (has(slash), day_of(year, number(slash, 2), number(slash, 1))),
+        (has(wide), day_of(said, number(wide, 1), number(wide, 2))),
+        (f"{has(first)} OR {has(second)}", named),
+        (has(r"\b(today|tonight)\b|hari ini|malam ini|今天|今晚"), a),
+        (has(r"\btomorrow\b|\besok\b|\bbesok\b|明天|明晚"), f"{a} + 1"),
+        (has(r"day after tomorrow|\blusa\b|后天"), f"{a} + 2"),
+        (has("next week|minggu depan|minggu hadapan|下个?周|下个?星期"), f"{a} + 7"),
+        (has("end of (?:the )?month|hujung bulan|月底"), f"last_day({a})"),
+        (has("next month|bulan depan|bulan hadapan|下个?月"), month_end("1")),
+        (has("end of (?:the )?week|hujung minggu|周末|this week|minggu ini|本周"), coming(a, "6")),
+        (has("this month|bulan ini|这个?月"), f"last_day({a})"),
+        (f"({has(led)} OR {has(bare)}) AND {n} > 0", span),
+        (has(wide_day), coming(a, _number_of(group(wide_day, 1), dates.WIDE_WEEKDAYS))),
+        (has(latin_day), coming(f"({a} + CASE WHEN contains({c}, 'next') THEN 7 ELSE 0 END)", _number_of(group(latin_day, 1), dates.WEEKDAYS))),
+    ]
+    return "CAST(CASE " + " ".join(f"WHEN {w} THEN CAST({t} AS DATE)" for w, t in rules) + " END AS DATE)"
+
+
+@query(ctes("items") + f", c AS (SELECT id, due, {_ANCHOR} AS a FROM items) SELECT id, CAST({_resolved('due')} AS VARCHAR) AS day FROM c")
 def d3_resolve_date(f):
     return f.items.select("id", dates.resolve_date(F.col("due"), F.date_add(F.lit("2024-03-01").cast("date"), (F.col("id") % 60).cast("int"))).cast("string").alias("day"))
 
 
 @query(
     ctes("items")
-    + f""", c AS (SELECT id, date, {_ANCHOR} AS a FROM items), parts AS (SELECT id, date, a, unnest(string_split(date, ',')) AS p, unnest(range(len(string_split(date, ',')))) AS k FROM c WHERE date IS NOT NULL AND NOT contains(date, '(')),
-    told AS (SELECT id, k, trim(p) AS p, CAST({_RESOLVED.format(c='lower(trim(p))')} AS DATE) AS d FROM parts), s AS (SELECT id, string_agg(CASE WHEN d IS NULL THEN p ELSE concat(p, ' (', strftime(d, '%d/%m/%Y'), ')') END, ', ' ORDER BY k) AS t FROM told GROUP BY id)
+    + f""", c AS (SELECT id, date, {_ANCHOR} AS a FROM items), parts AS (SELECT id, date, a, trim(unnest(string_split(date, ','))) AS p, unnest(range(len(string_split(date, ',')))) AS k FROM c WHERE date IS NOT NULL AND NOT contains(date, '(')),
+    told AS (SELECT id, k, p, {_resolved('p')} AS d FROM parts WHERE p <> ''), s AS (SELECT id, string_agg(CASE WHEN d IS NULL THEN p ELSE concat(p, ' (', strftime(d, '%d/%m/%Y'), ')') END, ', ' ORDER BY k) AS t FROM told GROUP BY id)
     SELECT c.id, coalesce(t, date) AS date FROM c LEFT JOIN s USING (id)"""
 )
 def d4_annotate_deadlines(f):
@@ -367,7 +413,7 @@ def d4_annotate_deadlines(f):
 
 @query()
 def d5_derive_deadlines(f):
-    return insights.derive_deadlines(f.items.where("category = 'deadlines'"), f.items.where("category = 'action_items'"))
+    return insights.derive_deadlines(f.items.where("category = 'deadlines'"), f.items.where("category = 'action_items'")).withColumn("source_segment_ids", joined("source_segment_ids"))
 
 
 @query(ctes("meetings_b") + "SELECT id, strftime(CAST(created_at AS TIMESTAMP) + INTERVAL 8 HOUR, '%Y-%m-%d') AS day, strftime(CAST(created_at AS TIMESTAMP) + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M') AS minute, 'soon enoug' AS odd FROM meetings_b")
@@ -379,7 +425,13 @@ def d7_local_date(f):
 # --- prompts, replies and insights --------------------------------------------------------------------------------------
 
 
-@query()
+@query(
+    _LINES
+    + """, k AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY start_seconds, id) AS k FROM lines),
+    walk AS (SELECT meeting_id, id, line, k, tokens, tokens AS used, 1 AS chunk_no FROM k WHERE k = 1 UNION ALL
+        SELECT n.meeting_id, n.id, n.line, n.k, n.tokens, CASE WHEN w.used + n.tokens > 400 THEN n.tokens ELSE w.used + n.tokens END, w.chunk_no + CASE WHEN w.used + n.tokens > 400 THEN 1 ELSE 0 END FROM walk w JOIN k n ON n.meeting_id = w.meeting_id AND n.k = w.k + 1)
+    SELECT meeting_id, CAST(chunk_no AS INT) AS chunk_no, string_agg(line, chr(10) ORDER BY k) AS chunk_text, string_agg(id, ',' ORDER BY k) AS segment_ids, CAST(sum(tokens) AS DOUBLE) AS tokens FROM walk GROUP BY meeting_id, chunk_no"""
+)
 def r5_chunk_segments(f):
     return prompts.chunk_segments(prompts.lines(f.segments_b, f.speakers_b), 400.0).select("meeting_id", "chunk_no", "chunk_text", joined("segment_ids").alias("segment_ids"), "tokens")
 
@@ -448,20 +500,19 @@ def r2_parse_items(f):
 
 @query()
 def r10_fold_items(f):
-    folded = prompts.fold_items(f.items.withColumn("description", F.substring("description", 1, 14)))
+    folded = prompts.fold_items(f.items, f.summaries)
     return folded.withColumn("source_segment_ids", joined("source_segment_ids"))
 
 
 @query(
     ctes("items")
     + ", n AS (SELECT id, meeting_id, category, "
-    + _NORM.format("substr(description, 1, 20)")
+    + _NORM.format("description")
     + """ AS t FROM items) SELECT a.id FROM n a WHERE mod(a.id, 2) = 0 AND NOT EXISTS (SELECT 1 FROM n b WHERE mod(b.id, 2) = 1 AND b.category = a.category AND b.meeting_id = a.meeting_id AND a.t <> '' AND b.t <> ''
-    AND (a.t = b.t OR (least(length(a.t), length(b.t)) >= 12 AND (CASE WHEN length(a.t) <= length(b.t) THEN contains(b.t, a.t) ELSE contains(a.t, b.t) END))))""".replace("b.meeting_id = a.meeting_id AND", "b.meeting_id / 10 - mod(b.meeting_id, 10) / 10.0 = a.meeting_id / 10 - mod(a.meeting_id, 10) / 10.0 AND")
+    AND (a.t = b.t OR (least(length(a.t), length(b.t)) >= 12 AND (CASE WHEN length(a.t) <= length(b.t) THEN contains(b.t, a.t) ELSE contains(a.t, b.t) END))))"""
 )
 def r12_recovery_merge(f):
-    short = f.items.withColumns({"description": F.substring("description", 1, 20), "meeting_id": F.floor(F.col("meeting_id") / 10)})
-    return replies.recovery_merge(short.where("id % 2 = 0"), short.where("id % 2 = 1")).select("id")
+    return replies.recovery_merge(f.items.where("id % 2 = 0"), f.items.where("id % 2 = 1")).select("id")
 
 
 @query(
@@ -506,35 +557,26 @@ def g9_item_counts(f):
     return insights.item_counts(f.items)
 
 
-_SUMMARIES = ", sums AS (SELECT meeting_id, chunk_no, CASE WHEN mod(meeting_id, 3) = 0 THEN ' ' ELSE concat('part ', chunk_no) END AS summary FROM items WHERE meeting_id < 90 GROUP BY ALL)"
-
-
-def _summaries(f) -> DataFrame:
-    return f.items.where("meeting_id < 90").select("meeting_id", "chunk_no").distinct().withColumn("summary", F.when(F.col("meeting_id") % 3 == 0, " ").otherwise(F.concat(F.lit("part "), F.col("chunk_no").cast("string"))))
-
-
 @query(
-    ctes("items", "meetings_b")
-    + _SUMMARIES
-    + f""", j AS (SELECT meeting_id, substr(coalesce(string_agg(trim(summary), ' ' ORDER BY chunk_no) FILTER (trim(summary) <> ''), ''), 1, 1500) AS t FROM sums GROUP BY meeting_id),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY meeting_id, category ORDER BY chunk_no, item_no) AS r FROM items WHERE category IN ('decisions', 'action_items') AND description <> '' AND mod(meeting_id, 2) = 0),
+    ctes("items", "meetings_b", "summaries")
+    + f""", j AS (SELECT meeting_id, substr(coalesce(string_agg(trim(summary), ' ' ORDER BY chunk_no) FILTER (trim(summary) <> ''), ''), 1, 1500) AS t FROM summaries GROUP BY meeting_id),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY meeting_id, category ORDER BY chunk_no, item_no) AS r FROM items WHERE category IN ('decisions', 'action_items') AND description <> ''),
     p AS (SELECT meeting_id, substr(string_agg(description, ' / ' ORDER BY category DESC, r), 1, 1500) AS t FROM ranked WHERE r <= 5 GROUP BY meeting_id)
     SELECT m.id AS meeting_id, CASE WHEN j.meeting_id IS NULL THEN '{insights.NO_CHUNKS}' ELSE coalesce(nullif(trim(m.summary), ''), nullif(j.t, ''), nullif(p.t, ''), '{insights.NO_SUMMARY}') END AS summary FROM meetings_b m LEFT JOIN j ON j.meeting_id = m.id LEFT JOIN p ON p.meeting_id = m.id"""
 )
 def g8_summary_fallback(f):
-    return insights.summary_fallback(f.meetings_b.select(F.col("id").alias("meeting_id"), F.col("summary").alias("model_summary")), _summaries(f), f.items.where("meeting_id % 2 = 0"))
+    return insights.summary_fallback(f.meetings_b.select(F.col("id").alias("meeting_id"), F.col("summary").alias("model_summary")), f.summaries, f.items)
 
 
 @query(
-    ctes("items")
-    + _SUMMARIES
-    + """, ranked AS (SELECT meeting_id, category, CAST(item_no AS VARCHAR) AS description, row_number() OVER (PARTITION BY meeting_id, category ORDER BY chunk_no, item_no) AS r FROM items),
-    l AS (SELECT meeting_id, list(summary ORDER BY chunk_no) AS s FROM sums GROUP BY meeting_id),
+    ctes("items", "summaries")
+    + """, ranked AS (SELECT meeting_id, category, description, row_number() OVER (PARTITION BY meeting_id, category ORDER BY chunk_no, item_no) AS r FROM items),
+    l AS (SELECT meeting_id, list(summary ORDER BY chunk_no) AS s FROM summaries GROUP BY meeting_id),
     d AS (SELECT meeting_id, coalesce(list(description ORDER BY r) FILTER (category = 'decisions' AND r <= 15), []) AS d, coalesce(list(description ORDER BY r) FILTER (category = 'action_items' AND r <= 15), []) AS a FROM ranked GROUP BY meeting_id)
     SELECT meeting_id, CAST(to_json(struct_pack(chunk_summaries := s, decisions := d, action_items := a)) AS VARCHAR) AS material FROM l JOIN d USING (meeting_id)"""
 )
 def k6_summary_input(f):
-    return insights.summary_input(_summaries(f), f.items.withColumn("description", F.col("item_no").cast("string")))
+    return insights.summary_input(f.summaries, f.items)
 
 
 # --- follow-ups ---------------------------------------------------------------------------------------------------------
@@ -566,7 +608,17 @@ def j14_check_links(f):
     return followup.check_links(_links(f), f.meetings_o, f.meetings_o.where("id % 4 <> 0").select(F.col("id").alias("meeting_id")))
 
 
-_K5 = 3
+_TOLD = ORACLES["j14_check_links"].split("    SELECT meeting_id, previous_id, reason IS NULL")[0]
+
+
+@query(_TOLD + " SELECT m.id, CASE WHEN t.reason IS NULL THEN t.previous_id ELSE m.follow_up_of END AS follow_up_of, CASE WHEN t.reason IS NOT NULL THEN m.carry_forward_status WHEN t.previous_id IS NOT NULL THEN 'analysing' END AS carry_forward_status, t.reason IS NOT NULL AS kept FROM meetings_o m JOIN told t ON t.meeting_id = m.id")
+def j14_apply_links(f):
+    checked = followup.check_links(_links(f), f.meetings_o, f.meetings_o.where("id % 4 <> 0").select(F.col("id").alias("meeting_id")))
+    linked, carried = followup.apply_links(checked, f.meetings_o, f.meetings_o.select(F.col("id").alias("meeting_id")))
+    return linked.join(carried.select(F.col("meeting_id").alias("id"), F.lit(True).alias("kept")), "id", "left").select("id", "follow_up_of", "carry_forward_status", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
+_K5 = 8
 
 
 def _k5_actions(f) -> DataFrame:
@@ -697,9 +749,15 @@ def j12_with_transcript(f):
     return reads.with_transcript(f.meetings_o, f.turns).select("id", "has_transcript")
 
 
-@query(ctes("meetings_o") + "SELECT id, row_number() OVER (ORDER BY created_at DESC, id DESC) <= 50 AS newest FROM meetings_o QUALIFY newest")
+@query(ctes("meetings_o") + "SELECT id, title, status FROM meetings_o ORDER BY created_at DESC, id DESC")
 def k1_list_meetings(f):
-    return reads.list_meetings(f.meetings_o).limit(50).select("id", F.lit(True).alias("newest"))
+    return reads.list_meetings(f.meetings_o).select("id", "title", "status")
+
+
+@query("SELECT page_id AS id, concat('T', page_id) AS name, url AS original_filename FROM pages ORDER BY length(html) DESC, page_id DESC")
+def k1_list_templates(f):
+    made = f.pages.select(F.col("page_id").alias("id"), F.concat(F.lit("T"), F.col("page_id").cast("string")).alias("name"), F.col("url").alias("original_filename"), F.timestamp_seconds(F.length("html")).alias("created_at"))
+    return reads.list_templates(made).select("id", "name", "original_filename")
 
 
 @query(ctes("segments_b") + ", n AS (SELECT id, row_number() OVER (PARTITION BY meeting_id ORDER BY start_seconds, id) - 1 AS ordinal, count(*) OVER (PARTITION BY meeting_id) AS total FROM segments_b) SELECT * FROM n WHERE ordinal BETWEEN 1 AND 3")
@@ -757,7 +815,7 @@ def g6_meeting_overview(f):
 
 @query("SELECT vec_id, label, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total FROM embeddings")
 def s1_read_tables(f):
-    told = f.spark.read.schema("vec_id long, embedding array<float>, label int").format("parquet").load(f"{f.dir}/embeddings.parquet")
+    told = tables.read_tables(f.spark, f.dir, ["embeddings.parquet"], schemas={"embeddings.parquet": "vec_id long, embedding array<float>, label int"})["embeddings.parquet"]
     return told.select("vec_id", "label", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 6).alias("total"))
 
 
@@ -781,10 +839,10 @@ def s2_check_uploads(f):
     return tables.check_uploads(manifest).select("doc_id", "title", "reason", "accepted")
 
 
-@query(ctes("items") + "SELECT id, meeting_id, description FROM items WHERE mod(meeting_id, 3) <> 0 UNION ALL SELECT id + 1000000, meeting_id, upper(category) FROM items WHERE mod(meeting_id, 6) = 0")
+@query(ctes("items") + "SELECT id, meeting_id, description FROM items WHERE mod(meeting_id, 3) <> 0 UNION ALL SELECT -id - 1, meeting_id, upper(category) FROM items WHERE mod(meeting_id, 6) = 0")
 def s3_replace_meetings(f):
     old = f.items.select("id", "meeting_id", "description")
-    new = f.items.where("meeting_id % 6 = 0").select((F.col("id") + 1_000_000).alias("id"), "meeting_id", F.upper("category").alias("description"))
+    new = f.items.where("meeting_id % 6 = 0").select((-F.col("id") - 1).alias("id"), "meeting_id", F.upper("category").alias("description"))
     done = f.items.where("meeting_id % 3 = 0").select("meeting_id")
     return changes.replace_meetings(old, new, done)
 
@@ -848,13 +906,27 @@ def _minute_items(f) -> DataFrame:
 @query(
     ctes("items", "segments_b")
     + """, s AS (SELECT id, CAST(floor(start_seconds) AS BIGINT) AS t FROM segments_b)
-    SELECT i.id, row_number() OVER (PARTITION BY meeting_id, category ORDER BY i.id) AS number, coalesce(CASE WHEN t >= 3600 THEN printf('%d:%02d:%02d', t // 3600, t % 3600 // 60, t % 60) ELSE printf('%d:%02d', t // 60, t % 60) END, '-') AS source, coalesce(owner, '-') AS owner, coalesce(due, '-') AS due, coalesce(date, '-') AS date, coalesce(mitigation, '-') AS mitigation
+    SELECT i.id, row_number() OVER (PARTITION BY meeting_id, category ORDER BY i.id) AS number, coalesce(CASE WHEN t >= 3600 THEN printf('%d:%02d:%02d', t // 3600, t % 3600 // 60, t % 60) ELSE printf('%d:%02d', t // 60, t % 60) END, '-') AS source, coalesce(owner, '-') AS owner, coalesce(nullif(due, ''), '-') AS due, coalesce(nullif(date, ''), '-') AS date, coalesce(mitigation, '-') AS mitigation
     FROM items i LEFT JOIN s ON s.id = source_segment_ids[1]"""
 )
 def m1_minutes_rows(f):
     return report.minutes_rows(_minute_items(f), f.segments_b).select("id", "number", F.when(F.col("source") == "NULL", "-").otherwise(F.col("source")).alias("source"), "owner", "due", "date", "mitigation")
 
 
+@query(_series_sql("items") + "SELECT c.id AS series_id, i.id, row_number() OVER (PARTITION BY c.id, category ORDER BY position, i.id) AS number, m.title AS meeting, coalesce(owner, '-') AS owner, coalesce(nullif(due, ''), '-') AS due FROM chain c JOIN items i ON i.meeting_id = c.meeting_id JOIN m ON m.id = c.meeting_id")
+def m1_combined_rows(f):
+    linked, chain = _series(f)
+    pooled = followup.pooled_items(chain, _minute_items(f), linked)
+    return report.minutes_rows(pooled, f.segments_b, True).select("series_id", "id", "number", "meeting", "owner", "due")
+
+
+@query(ORACLES["m1_minutes_rows"])
+def s4_write_minutes(f):
+    path = stage.work_dir(f.spark, "minutes")
+    tables.write_minutes(m1_minutes_rows(f).join(f.items.select("id", "meeting_id"), "id"), path)
+    return f.spark.read.parquet(path).drop("bucket", "meeting_id")
+
+
 @query(
     ctes("items", "meetings_b")
     + """, x AS (SELECT m.id AS meeting_id, unnest(['action_items', 'decisions', 'deadlines', 'issues', 'risks', 'carry_forward']) AS section FROM meetings_b m),
@@ -900,7 +972,7 @@ _MARKS = _MATCHED + r""", marks AS (SELECT template_id, line_no, n2.field FROM (
     SELECT t.template_id, array_to_string(coalesce(fs, []), ',') AS fields, array_to_string(list_filter(['summary', 'action_items', 'decisions', 'deadlines', 'issues', 'risks'], lambda x: NOT list_contains(coalesce(fs, []), x)), ',') AS missing FROM (SELECT DISTINCT template_id FROM template_lines) t LEFT JOIN g USING (template_id)"""
 )
 def m5_recognised_fields(f):
-    return headings.recognised_fields(f.template_lines, ratio=False).select("template_id", F.array_join("fields", ",").alias("fields"), F.array_join("missing", ",").alias("missing"))
+    return headings.recognised_fields(f.template_lines).select("template_id", F.array_join("fields", ",").alias("fields"), F.array_join("missing", ",").alias("missing"))
 
 
 _VALUES = (("summary", "All went well"), ("title", "Plan"), ("decisions", "None recorded."), ("date", "2024-03-01"))
@@ -922,7 +994,7 @@ def m6_fill_markers(f):
     FROM (SELECT DISTINCT template_id FROM template_lines) t CROSS JOIN (SELECT unnest(['summary', 'title', 'decisions', 'date']) AS field) d LEFT JOIN best b ON b.template_id = t.template_id AND b.field = d.field"""
 )
 def m7_placement_report(f):
-    return headings.placement_report(f.template_lines, _values(f), ratio=False)
+    return headings.placement_report(f.template_lines, _values(f))
 
 
 # --- progress -----------------------------------------------------------------------------------------------------------
@@ -943,9 +1015,23 @@ def t2_latest_status(f):
     return progress.latest_status(f.progress_events).select("meeting_id", "stage", "progress")
 
 
-@query()
+@query(
+    ctes("progress_events")
+    + """, k AS (SELECT meeting_id, epoch_us(ts) AS us, stage, progress * 400 / 350 AS progress, row_number() OVER (PARTITION BY meeting_id ORDER BY ts, stage, progress) AS k FROM progress_events),
+    walk AS (SELECT k.*, us AS last_us, true AS passed FROM k WHERE k = 1 UNION ALL
+        SELECT n.*, CASE WHEN n.us - w.last_us >= 21600000000 THEN n.us ELSE w.last_us END, n.us - w.last_us >= 21600000000 FROM walk w JOIN k n ON n.meeting_id = w.meeting_id AND n.k = w.k + 1)
+    SELECT meeting_id, us AS "at", stage, round(least(1, greatest(0, progress)), 6) AS progress FROM walk WHERE passed"""
+)
 def t1_throttle_progress(f):
-    return progress.throttle_batch(f.progress_events, 6 * 3600.0)
+    heard = f.progress_events.select("meeting_id", "ts", "stage", (F.col("progress") * 400).alias("seconds"), F.lit(350.0).alias("total_seconds"))
+    at = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts"))
+    return progress.throttle_batch(heard, 6 * 3600.0).select("meeting_id", at.alias("at"), "stage", F.round("progress", 6).alias("progress"))
+
+
+@query(ORACLES["w8_progress_eta"])
+def t3_progress_eta_states(f):
+    at = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts"))
+    return progress.progress_eta_batch(f.progress_events).select("meeting_id", "stage", at.alias("at"), "progress", "eta_seconds")
 
 
 @query(

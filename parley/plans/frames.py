@@ -7,7 +7,6 @@ of a DuckDB query. Words that differ between the two dialects are written in cap
 from __future__ import annotations
 
 import re
-from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +18,44 @@ _DIALECT = {
 _ROLE = "CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END"
 _STATUS = "CASE @MOD({x}, 11) WHEN 0 THEN 'uploaded' WHEN 1 THEN 'transcribing' WHEN 2 THEN 'diarized' WHEN 3 THEN 'ready' WHEN 4 THEN 'categorizing' WHEN 5 THEN 'error: no audio' WHEN 6 THEN 'categorize_failed: model' WHEN 7 THEN 'vad_done' WHEN 8 THEN 'odd' ELSE 'ready' END"
 
+_NTH = "CAST(1 + @MOD(length(line), {n}) AS STRING)"
+_PICK = "CASE @MOD(length(line), {n}) {whens} END"
+
+
+def _pick(*names: str) -> str:
+    return _PICK.format(n=len(names), whens=" ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(names)))
+
+
+def _cue(kind: str) -> str:
+    """A date phrase for a line: its kind from a number, its day, month or span from the line's length."""
+    day, month, few = _NTH.format(n=31), _NTH.format(n=12), _NTH.format(n=9)
+    week = _pick("Monday", "tuesday", "Wednesday", "thursday", "FRIDAY", "saturday", "Sunday")
+    hari = _pick("isnin", "Selasa", "rabu", "khamis", "jumaat", "sabtu", "Ahad")
+    wide = _pick("一", "二", "三", "四", "五", "六", "日", "天")
+    name = _pick("January", "feb", "March", "apr", "May", "June", "jul", "August", "Sept", "october", "Nov", "december")
+    count = _pick("a", "two", "3", "ten", "21", "one")
+    kinds = [
+        f"concat('by ', {week})",
+        f"concat('before next ', {week})",
+        f"concat({day}, ' ', {name})",
+        f"concat({name}, ' ', {day}, 'th')",
+        f"concat('2024-', {month}, '-', {day})",
+        f"concat({day}, '/', {month})",
+        f"concat({day}, '/', {month}, '/', CAST(20 + @MOD(length(line), 9) AS STRING))",
+        f"concat('within ', {count}, ' ', {_pick('days', 'weeks', 'months', 'week', 'month')})",
+        f"concat({month}, '月', {day}, '日')",
+        f"concat('下周', {wide})",
+        f"concat('星期', {wide})",
+        f"concat('sebelum ', {hari})",
+        f"concat('dalam ', {_pick('dua', '4', 'tujuh')}, ' ', {_pick('hari', 'minggu', 'bulan')})",
+        _pick("today", "the day after tomorrow", "tomorrow", "end of month", "next month", "this week", "EOD", "Q3", "akhir bulan ini", "esok", "月底", "后天", "minggu depan", "hujung minggu", "lusa", "next week", "end of the week", "this month"),
+        _pick("null (soon)", "tbd", "none yet", "n/a", "unknown", ""),
+        f"concat({day}, ' of ', {name}, ', ', {few}, ' weeks, this ', {week})",
+    ]
+    whens = " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(kinds))
+    return f"CASE {kind} {whens} END"
+
+
 #: A frame is one text for both, or a pair for Spark and DuckDB.
 FRAMES: dict[str, str | tuple[str, str]] = {
     # speaker turns of meetings: events, one meeting for each user
@@ -72,28 +109,36 @@ FRAMES: dict[str, str | tuple[str, str]] = {
         SELECT meeting_id, 'ms' AS language, segment_no AS clip_no, start_seconds + @MOD(segment_no, 3) * 0.4e0 AS start_seconds, end_seconds + @MOD(segment_no, 3) * 0.4e0 AS end_seconds, concat('clip ', reverse(text)) AS text
         FROM {segments_b}""",
     # five rows of embeddings for each meeting
-    "voiceprints": "SELECT @MOD(vec_id, 100) AS meeting_id, CAST(floor(vec_id / 100) AS INT) AS row_no, embedding FROM {embeddings} WHERE vec_id < 500",
+    "voiceprints": "SELECT CAST(floor(vec_id / 5) AS BIGINT) AS meeting_id, CAST(@MOD(vec_id, 5) AS INT) AS row_no, embedding FROM {embeddings}",
+    # ten documents are one recording, and one meeting's items
     "detections": """
-        SELECT CAST(@MOD(doc_id, 97) AS BIGINT) AS meeting_id, CASE lang WHEN 'fr' THEN ' MS' WHEN 'de' THEN 'zh' WHEN 'es' THEN 'id' ELSE lang END AS lang,
+        SELECT CAST(floor(doc_id / 10) AS BIGINT) AS meeting_id, CASE lang WHEN 'fr' THEN ' MS' WHEN 'de' THEN 'zh' WHEN 'es' THEN 'id' ELSE lang END AS lang,
             CASE WHEN @MOD(n_chars, 7) = 0 THEN NULL ELSE @MOD(n_chars, 100) / 100e0 END AS prob, @MOD(n_chars, 50) / 20e0 AS seconds FROM {documents}""",
-    # extracted items: documents that cite turns of a conversation
-    "items": """
-        SELECT CAST(d.doc_id AS BIGINT) AS id, @MOD(d.doc_id, 100) AS meeting_id, CAST(@MOD(d.doc_id, 3) AS INT) AS chunk_no,
-            CASE @MOD(d.doc_id, 5) WHEN 0 THEN 'action_items' WHEN 1 THEN 'decisions' WHEN 2 THEN 'deadlines' WHEN 3 THEN 'issues' ELSE 'risks' END AS category,
-            CAST(d.doc_id AS INT) AS item_no, substr(replace(coalesce(d.text, ''), chr(10), ' '), 1, 60) AS description, CASE WHEN @MOD(d.doc_id, 4) = 0 THEN 'Wei' END AS owner,
-            CASE @MOD(d.doc_id, 6) WHEN 0 THEN 'by Friday' WHEN 1 THEN 'null (soon)' WHEN 2 THEN '3 July' WHEN 3 THEN 'next week' END AS due,
-            CASE @MOD(d.doc_id, 7) WHEN 0 THEN 'Friday' WHEN 1 THEN '2024-05-31, end of month' WHEN 2 THEN '31/02' WHEN 3 THEN 'in two weeks' WHEN 4 THEN 'tomorrow (5/5)' WHEN 5 THEN 'July 4' END AS date,
-            CASE WHEN @MOD(d.doc_id, 8) < 4 THEN concat('plan ', d.doc_id) END AS mitigation,
-            @LIST(@MOD(d.doc_id, 100) * 1000 + @MOD(d.doc_id, 4), @MOD(d.doc_id, 100) * 1000 + @MOD(d.doc_id, 3), @MOD(d.doc_id, 100) * 1000 + 900) AS source_segment_ids
-        FROM {documents} d""",
+    # every line of every document, whole; the numbers are far enough apart for a document's lines
+    "doc_lines": (
+        "SELECT CAST(doc_id AS BIGINT) * 99991 + k AS id, CAST(doc_id AS BIGINT) AS doc_id, CAST(floor(doc_id / 10) AS BIGINT) AS meeting_id, k, line FROM {documents} LATERAL VIEW posexplode(split(coalesce(text, ''), '\\n')) AS k, line",
+        "SELECT CAST(doc_id AS BIGINT) * 99991 + k AS id, CAST(doc_id AS BIGINT) AS doc_id, CAST(floor(doc_id / 10) AS BIGINT) AS meeting_id, k, line FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS k FROM {documents})",
+    ),
+    # extracted items: lines of documents that cite turns of a conversation; dates that are made of what the line measures
+    "items": f"""
+        SELECT id, meeting_id, CAST(@MOD(id, 3) AS INT) AS chunk_no,
+            CASE @MOD(id, 5) WHEN 0 THEN 'action_items' WHEN 1 THEN 'decisions' WHEN 2 THEN 'deadlines' WHEN 3 THEN 'issues' ELSE 'risks' END AS category,
+            CAST(@MOD(doc_id, 10) * 100000 + k AS INT) AS item_no, line AS description, CASE WHEN @MOD(id, 4) = 0 THEN 'Wei' END AS owner,
+            {_cue("@MOD(id, 17)")} AS due, CASE WHEN @MOD(id, 7) < 6 THEN {_cue("@MOD(id + 5, 19)")} END AS date,
+            CASE WHEN @MOD(id, 8) < 4 THEN concat('plan ', id) END AS mitigation,
+            @LIST(meeting_id * 1000 + @MOD(id, 4), meeting_id * 1000 + @MOD(id, 3), meeting_id * 1000 + 900) AS source_segment_ids
+        FROM {{doc_lines}}""",
     "chunks": (
         "SELECT meeting_id, CAST(pmod(segment_no, 3) AS INT) AS chunk_no, sort_array(collect_list(id)) AS segment_ids FROM {segments_b} GROUP BY meeting_id, CAST(pmod(segment_no, 3) AS INT)",
         "SELECT meeting_id, CAST(mod(segment_no, 3) AS INT) AS chunk_no, list(id ORDER BY id) AS segment_ids FROM {segments_b} GROUP BY meeting_id, CAST(mod(segment_no, 3) AS INT)",
     ),
     "replies": """
-        SELECT @MOD(doc_id, 100) AS meeting_id, CAST(@MOD(doc_id, 50) AS INT) AS chunk_no, CAST(floor(doc_id / 100) AS INT) AS attempt, CAST(doc_id AS BIGINT) AS doc_id,
+        SELECT CAST(floor(doc_id / 10) AS BIGINT) AS meeting_id, CAST(@MOD(doc_id, 4) AS INT) AS chunk_no, CAST(floor(@MOD(doc_id, 10) / 4) AS INT) AS attempt, CAST(doc_id AS BIGINT) AS doc_id,
             CASE @MOD(doc_id, 7) WHEN 0 THEN concat('note: {ob}"a": ', doc_id, '{cb} end') WHEN 1 THEN concat('{ob}"a": ', doc_id) WHEN 2 THEN concat('[', doc_id, ']') WHEN 3 THEN 'nothing' WHEN 4 THEN concat('{cb} x {ob}', doc_id) ELSE concat('{ob}"a": [', doc_id, '], "b": null{cb}') END AS content
         FROM {documents}""",
+    # what the model said of each chunk that has items
+    "summaries": """
+        SELECT meeting_id, chunk_no, CASE WHEN @MOD(meeting_id, 3) = 0 THEN ' ' ELSE concat('part ', chunk_no) END AS summary FROM {items} GROUP BY meeting_id, chunk_no""",
     # orders as meetings that follow each other
     "meetings_o": f"""
         SELECT o_orderkey AS id, concat('Order ', o_orderkey) AS title, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS follow_up_of, o_orderdate AS created_at,
@@ -103,19 +148,27 @@ FRAMES: dict[str, str | tuple[str, str]] = {
     "progress_events": """
         SELECT user_id AS meeting_id, ts, CASE event_type WHEN 'view' THEN 'transcribing' WHEN 'click' THEN 'categorizing' WHEN 'error' THEN 'transcribing' ELSE 'aligning' END AS stage, value / 400e0 AS progress FROM {events}""",
     "edits": """
-        SELECT CAST(doc_id AS BIGINT) AS edit_id, CAST(doc_id AS BIGINT) AS id, CASE WHEN @MOD(doc_id, 13) = 0 THEN -1 ELSE @MOD(doc_id, 100) END AS meeting_id,
+        SELECT CAST(doc_id AS BIGINT) AS edit_id, CAST(doc_id AS BIGINT) * 99991 AS id, CASE WHEN @MOD(doc_id, 13) = 0 THEN -1 ELSE CAST(floor(doc_id / 10) AS BIGINT) END AS meeting_id,
             CASE @MOD(doc_id, 4) WHEN 0 THEN @LIST('description') WHEN 1 THEN @LIST('owner', 'status') WHEN 2 THEN @LIST('note', 'description') ELSE @LIST('source_segment_id') END AS fields,
             CASE WHEN @MOD(doc_id, 9) = 0 THEN '   ' ELSE concat(' new ', doc_id) END AS description, CASE WHEN quality = 1 THEN 'Ann' END AS owner,
             CASE @MOD(doc_id, 3) WHEN 0 THEN ' In Progress' WHEN 1 THEN 'finished' ELSE 'blocked' END AS status, concat('note ', toxic) AS note, @MOD(doc_id, 17) = 0 AS "delete" FROM {labels}""",
     "carried": """
         SELECT id, meeting_id, meeting_id - 1 AS previous_meeting_id, id AS previous_action_id, description, owner, CASE @MOD(id, 6) WHEN 0 THEN 'completed' WHEN 1 THEN 'in_progress' WHEN 2 THEN 'blocked' WHEN 3 THEN 'changed' ELSE 'not_discussed' END AS status,
             CASE WHEN @MOD(id, 2) = 0 THEN 'said' END AS note, meeting_id * 1000 + @MOD(id, 9) AS source_segment_id FROM {items}""",
-    "template_lines": """
+    "headed": """
         SELECT page_id AS template_id, CAST(1 AS INT) AS line_no, CASE WHEN @MOD(page_id, 3) = 0 THEN 'cell' ELSE 'paragraph' END AS kind, CASE WHEN @MOD(page_id, 4) = 0 THEN 'Heading 1' ELSE 'Normal' END AS style,
             CASE @MOD(page_id, 12) WHEN 0 THEN 'Date:' WHEN 1 THEN 'Action Items' WHEN 2 THEN 'put your key decisions here' WHEN 3 THEN 'Attendees' WHEN 4 THEN 'MINUTES OF MEETING' WHEN 5 THEN 'Risks and issues are talked about in this long line' WHEN 6 THEN 'Tarikh Akhir'
-                WHEN 7 THEN '风险' WHEN 8 THEN concat('See [[ Summary ]] and [[odd ', page_id, ']] or [[title]]') WHEN 9 THEN 'Duration' WHEN 10 THEN 'Deadlines.' ELSE substr(coalesce(html, ''), 60, 40) END AS text,
+                WHEN 7 THEN '风险' WHEN 8 THEN concat('See [[ Summary ]] and [[odd ', page_id, ']] or [[title]]') WHEN 9 THEN 'Duration' WHEN 10 THEN 'Deadlines.' ELSE 'Key Dates :' END AS text,
             CASE WHEN @MOD(page_id, 6) = 0 THEN '' WHEN @MOD(page_id, 6) = 3 THEN '[[date]]' END AS next_text FROM {pages}
         UNION ALL SELECT page_id, CAST(2 AS INT), 'paragraph', 'Normal', concat('Page ', page_id, ' [[decisions]]'), NULL FROM {pages}""",
+    # what stands between the tags of a page, whole, behind two lines that are made up
+    "page_lines": (
+        "SELECT page_id AS template_id, CAST(k + 3 AS INT) AS line_no, line AS text FROM {pages} LATERAL VIEW posexplode(split(coalesce(html, ''), '<[^>]*>')) AS k, line WHERE trim(line) <> ''",
+        "SELECT page_id AS template_id, CAST(k + 3 AS INT) AS line_no, line AS text FROM (SELECT page_id, unnest(regexp_split_to_array(coalesce(html, ''), '<[^>]*>')) AS line, unnest(range(len(regexp_split_to_array(coalesce(html, ''), '<[^>]*>')))) AS k FROM {pages}) WHERE trim(line) <> ''",
+    ),
+    "template_lines": """
+        SELECT template_id, line_no, kind, style, text, next_text FROM {headed}
+        UNION ALL SELECT template_id, line_no, 'paragraph', 'Normal', text, CAST(NULL AS STRING) FROM {page_lines}""",
 }
 _NAME = re.compile(r"\{(\w+)\}")
 
@@ -139,10 +192,6 @@ class Frames:
         self.spark, self.dir = spark, sf_dir
         self._made: dict[str, DataFrame] = {}
 
-    @cached_property
-    def none(self) -> DataFrame:
-        return self.spark.range(0)
-
     def table(self, name: str) -> DataFrame:
         if name not in self._made:
             if name in TABLES:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SCHEMAS = {
     "meetings": "id long, title string, original_filename string, audio_path string, duration_seconds double, language string, languages_detected string, primary_language string, expected_speakers int, status string, progress double, follow_up_of long, carry_forward_status string, summary string, created_at timestamp, updated_at timestamp",
@@ -27,10 +28,24 @@ MOST_BYTES = 4 * 1024**3
 BUCKETS = 256
 
 
-def read_tables(spark: SparkSession, path: str, names: list[str] | None = None, fmt: str = "parquet") -> dict[str, DataFrame]:
-    """The named tables below path, with fixed schemas: parquet, json or csv (with a header)."""
-    reader = spark.read.option("header", "true") if fmt == "csv" else spark.read
-    return {n: reader.schema(SCHEMAS[n]).format(fmt).load(f"{path}/{n}") for n in names or SCHEMAS}
+def read_tables(spark: SparkSession, path: str, names: list[str] | None = None, fmt: str = "parquet", schemas: dict[str, str] | None = None, options: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """The named tables with fixed schemas: below path as parquet, json or csv (with a header), or as tables of the
+    database at the URL path by jdbc (options: driver, and partitionColumn with its bounds to read in parallel).
+
+    schemas: of tables other than the library's own.
+    """
+    known = SCHEMAS | (schemas or {})
+    out = {}
+    for n in names or list(known):
+        reader = spark.read.options(**(options or {}))
+        if fmt == "jdbc":
+            told = reader.jdbc(path, n)
+            fields = StructType.fromDDL(known[n]).fields
+            out[n] = told.select(*[told[f.name].cast(f.dataType).alias(f.name) for f in fields])
+        else:
+            reader = reader.option("header", "true") if fmt == "csv" else reader
+            out[n] = reader.schema(known[n]).format(fmt).load(f"{path}/{n}")
+    return out
 
 
 def check_uploads(manifest: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
@@ -59,3 +74,10 @@ def write_minutes(df: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Minutes rows by a hash bucket of the meeting; only buckets that df has are replaced."""
     spread = with_bucket(df, buckets)
     spread.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def write_minutes_text(texts: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """S4 as text: texts (meeting_id, filename, text) by a hash bucket of the meeting; each text below a line with its file
+    name (`output_filename`)."""
+    told = with_bucket(texts, buckets).select("bucket", F.concat(F.lit("# "), "filename", F.lit("\n"), F.coalesce("text", F.lit(""))).alias("value"))
+    told.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").text(path)

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 EVERY_SECONDS = 2.0
 STAGES = ("transcribing", "categorizing")
 LEAST_STEP = 0.005
+ETA_SCHEMA = "meeting_id long, stage string, ts timestamp, progress double, eta_seconds double"
 
 
 def progress_eta(events: DataFrame) -> DataFrame:
@@ -36,6 +37,15 @@ def clamp(events: DataFrame) -> DataFrame:
     return events.withColumn("progress", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("progress"))))
 
 
+def measured(events: DataFrame) -> DataFrame:
+    """Events with progress within 0 and 1: seconds / total_seconds where they come with these columns, and then without the
+    events that have no total; else their own progress, clamped."""
+    if "total_seconds" in events.columns:
+        share = F.col("seconds") / F.col("total_seconds")
+        events = events.where("total_seconds > 0").withColumn("progress", share).select("meeting_id", "ts", "stage", "progress")
+    return clamp(events)
+
+
 def _passed(times: list[float], last: float | None, every: float) -> tuple[list[bool], float | None]:
     """Which of the ordered times are at least `every` seconds after the last one that passed, and that time at the end."""
     keep = []
@@ -47,14 +57,15 @@ def _passed(times: list[float], last: float | None, every: float) -> tuple[list[
 
 
 def throttle_batch(events: DataFrame, every: float = EVERY_SECONDS) -> DataFrame:
-    """T1 for a batch: of each meeting the events at least `every` seconds after the last one that passed."""
+    """T1 for a batch: of each meeting the events at least `every` seconds after the last one that passed, as `measured`."""
+    told = measured(events)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["ts", "stage", "progress"])
         keep, _ = _passed([t.value / 1e9 for t in group["ts"]], None, every)
         return group[keep]
 
-    return clamp(events).groupBy("meeting_id").applyInPandas(run, events.schema)
+    return told.groupBy("meeting_id").applyInPandas(run, told.schema)
 
 
 def _remember(state: GroupState, value: tuple, latest: float, keep_for: str) -> None:
@@ -65,7 +76,7 @@ def _remember(state: GroupState, value: tuple, latest: float, keep_for: str) ->
 
 
 def throttle_progress(stream: DataFrame, every: float = EVERY_SECONDS, keep_for: str = "1 hour") -> DataFrame:
-    """T1 for a stream: state is the time of the last event that passed; a meeting quiet for `keep_for` of event time is forgotten."""
+    """T1 for a stream, as `measured`: state is the time of the last event that passed; a meeting quiet for `keep_for` of event time is forgotten."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -77,28 +88,48 @@ def throttle_progress(stream: DataFrame, every: float = EVERY_SECONDS, keep_for:
         _remember(state, (last,), last, keep_for)
         yield rows[keep]
 
-    return clamp(stream).withWatermark("ts", keep_for).groupBy("meeting_id").applyInPandasWithState(run, stream.schema, "last double", "append", GroupStateTimeout.EventTimeTimeout)
+    told = measured(stream)
+    return told.withWatermark("ts", keep_for).groupBy("meeting_id").applyInPandasWithState(run, told.schema, "last double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def progress_eta_batch(events: DataFrame) -> DataFrame:
+    """T3 for a batch: the state machine of the stream over each meeting's and stage's events in order."""
+    told = events.where(F.col("stage").isin(*STAGES))
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        out, _, _ = _estimates(key, group.sort_values(["ts", "progress"]), None)
+        return out
+
+    return _rounded(told.groupBy("meeting_id", "stage").applyInPandas(run, ETA_SCHEMA))
+
+
+def _rounded(estimates: DataFrame) -> DataFrame:
+    return estimates.withColumn("eta_seconds", F.round("eta_seconds", 3))
+
+
+def _estimates(key: tuple, rows: pd.DataFrame, base: tuple | None) -> tuple[pd.DataFrame, tuple, float]:
+    """Estimates, not rounded, for ordered rows from the base (time, progress) so far, the base behind them, the last time."""
+    out, t = [], 0.0
+    for r in rows.to_dict("records"):
+        t, p = r["ts"].value // 1000 / 1e6, r["progress"]
+        if base is None or p < base[1]:
+            base = (t, p)
+        gained, passed = p - base[1], round((t - base[0]) * 1e6) / 1e6
+        out.append((*key, r["ts"], p, (1 - p) * passed / gained if gained > LEAST_STEP and passed > 0 else None))
+    return pd.DataFrame(out, columns=["meeting_id", "stage", "ts", "progress", "eta_seconds"]), base, t
 
 
 def progress_eta_stream(stream: DataFrame, keep_for: str = "1 hour") -> DataFrame:
     """W8 on a stream; state is the base's time and progress for each meeting and stage."""
-    schema = "meeting_id long, stage string, ts timestamp, progress double, eta_seconds double"
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         rows = pd.concat(list(batches)).sort_values(["ts", "progress"])
-        base = state.get if state.exists else None
-        out = []
-        for r in rows.to_dict("records"):
-            t, p = r["ts"].value / 1e9, r["progress"]
-            if base is None or p < base[1]:
-                base = (t, p)
-            gained, passed = p - base[1], t - base[0]
-            out.append((*key, r["ts"], p, round((1 - p) * passed / gained, 3) if gained > LEAST_STEP and passed > 0 else None))
+        out, base, t = _estimates(key, rows, state.get if state.exists else None)
         _remember(state, base, t, keep_for)
-        yield pd.DataFrame(out, columns=["meeting_id", "stage", "ts", "progress", "eta_seconds"])
+        yield out
 
     wanted = stream.where(F.col("stage").isin(*STAGES)).withWatermark("ts", keep_for)
-    return wanted.groupBy("meeting_id", "stage").applyInPandasWithState(run, schema, "t double, p double", "append", GroupStateTimeout.EventTimeTimeout)
+    return _rounded(wanted.groupBy("meeting_id", "stage").applyInPandasWithState(run, ETA_SCHEMA, "t double, p double", "append", GroupStateTimeout.EventTimeTimeout))

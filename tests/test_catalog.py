@@ -2,6 +2,7 @@
 
 import datetime
 import decimal
+import os
 
 import duckdb
 import pytest
@@ -10,7 +11,7 @@ import __spark_entry__
 from parley.plans import catalog
 from parley.plans.frames import TABLES
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("CATALOG_SF", "/root/testdata/sf0.001")
 
 
 def plain(v):

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parley.functions.text import normalised
-from parley.operators import changes, followup, headings, insights, intervals, language, prompts, reads, replies, speakers
+from parley.operators import changes, followup, headings, insights, intervals, language, prompts, reads, replies, report, speakers
 from parley.sources import tables
 
 
@@ -266,13 +266,60 @@ def test_replies(spark):
 
 
 def test_derived_deadlines(spark):
-    given = spark.createDataFrame([(1, 0, "Ship the installer", "by Friday")], "meeting_id long, item_no int, description string, date string")
+    given = spark.createDataFrame([(1, 0, "Ship the installer", "by Friday", [3])], "meeting_id long, item_no int, description string, date string, source_segment_ids array<long>")
     actions = spark.createDataFrame(
-        [(1, 0, "Ship the installer by Friday", "null"), (1, 1, "Call Ann on Thursday and Bob by Friday", "none yet"), (1, 2, "Nothing to see", None), (1, 3, "Write it all up", "3 July"), (1, 4, "Write it all up", "3 July"), (2, 0, "siap sebelum Jumaat", "tiada")],
-        "meeting_id long, item_no int, description string, due string",
+        [(1, 0, "Ship the installer by Friday", "null", [4]), (1, 1, "Call Ann on Thursday and Bob by Friday", "none yet", [5, 6]), (1, 2, "Nothing to see", None, [7]), (1, 3, "Write it all up", "3 July", None), (1, 4, "Write it all up", "3 July", [8]), (2, 0, "siap sebelum Jumaat", "tiada", [])],
+        "meeting_id long, item_no int, description string, due string, source_segment_ids array<long>",
     )
-    got = rows(insights.derive_deadlines(given, actions), "meeting_id", "item_no", "description", "date")
+    told = insights.derive_deadlines(given, actions)
+    got = rows(told, "meeting_id", "item_no", "description", "date")
     assert got == [(1, 0, "Ship the installer", "by Friday"), (1, 1, "Call Ann on Thursday and Bob by Friday", "Thursday, Friday"), (1, 2, "Write it all up", "3 July"), (2, 0, "siap sebelum Jumaat", "Jumaat")]
+    # a new row cites what its action cites
+    assert rows(told, "meeting_id", "item_no", "source_segment_ids", "derived") == [(1, 0, [3], False), (1, 1, [5, 6], True), (1, 2, None, True), (2, 0, [], True)]
+
+
+def test_a_parsed_chunk_without_items_counts_for_folding(spark):
+    items = spark.createDataFrame([(1, 1, "a", k, "Same thing here", [k]) for k in (1, 2)], "meeting_id long, chunk_no int, category string, item_no int, description string, source_segment_ids array<long>")
+    parsed = spark.createDataFrame([(1, 1), (1, 2)], "meeting_id long, chunk_no int")
+    assert prompts.fold_items(items).count() == 2
+    assert rows(prompts.fold_items(items, parsed), "description", "source_segment_ids") == [("Same thing here", [1, 2])]
+
+
+def test_item_texts_do_not_decide_the_shape(spark):
+    content = [(1, 1, 1, '{"decisions": [{"description": 5, "owner": "says \\"description\\": \\"x\\""}, {"description": "fine", "extra": {"description": 7}}, {"description": "kept", "owner": null}, {"description": "no", "due": ["x"]}]}')]
+    good, _ = replies.first_parseable(spark.createDataFrame(content, "meeting_id long, chunk_no int, attempt int, content string"))
+    assert rows(replies.parse_items(good)[0], "item_no", "description") == [(1, "fine"), (2, "kept")]
+
+
+def test_accepted_links_reset_the_analysis(spark):
+    m = spark.createDataFrame([(1, None, None), (2, 1, "ready"), (3, None, "ready"), (4, 3, "ready")], "id long, follow_up_of long, carry_forward_status string")
+    s = spark.createDataFrame([(1,), (2,), (3,)], "meeting_id long")
+    links = spark.createDataFrame([(3, 2), (2, None), (4, 3)], "meeting_id long, previous_id long")
+    carried = spark.createDataFrame([(10, 2), (11, 3), (12, 4)], "id long, meeting_id long")
+    linked, left = followup.apply_links(followup.check_links(links, m, s), m, carried)
+    assert rows(linked, "id", "follow_up_of", "carry_forward_status") == [(1, None, None), (2, None, None), (3, 2, "analysing"), (4, 3, "ready")]
+    assert rows(left, "id") == [(12,)]
+
+
+def test_rows_of_a_series(spark):
+    items = spark.createDataFrame([(7, 2, "decisions", "later", 1, "Second"), (9, 1, "decisions", "first", 0, "First"), (8, 2, "risks", "odd", 1, "Second")], "id long, meeting_id long, category string, description string, position int, meeting_title string")
+    items = items.withColumns({"series_id": F.lit(2), "source_segment_id": F.lit(None).cast("long")})
+    segments = spark.createDataFrame([], "id long, meeting_id long, start_seconds double")
+    assert rows(report.minutes_rows(items, segments, True), "id", "number", "meeting", "source") == [(7, 2, "Second", "-"), (8, 1, "Second", "-"), (9, 1, "First", "-")]
+
+
+def test_many_terms_are_searched_by_their_beginning(spark, monkeypatch):
+    lines = spark.createDataFrame([(1, k, float(k), t) for k, t in enumerate(["Alpha beta", "x", "BETA, alphabet", None, "gamma"])], "meeting_id long, id long, start_seconds double, text string")
+    terms = spark.createDataFrame([("beta",), ("alpha",), ("zz",), ("Ga",), ("et",)], "term string")
+    few = rows(reads.search(lines, terms), "term", "id", "ordinal", "snippet")
+    monkeypatch.setattr(reads, "MOST_TERMS", 2)
+    assert rows(reads.search(lines, terms), "term", "id", "ordinal", "snippet") == few and len(few) == 7
+
+
+def test_minutes_are_written_as_text(spark, tmp_path):
+    texts = spark.createDataFrame([(1, "plan_minutes.docx", "a\nb"), (2, "x_minutes.docx", None)], "meeting_id long, filename string, text string")
+    tables.write_minutes_text(texts, str(tmp_path / "t"), 4)
+    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "t")).collect() if r["value"]) == ["# plan_minutes.docx", "# x_minutes.docx", "a", "b"]
 
 
 def test_owners(spark):

@@ -45,3 +45,16 @@ def test_estimates(spark, tmp_path):
     assert any(r[4] is not None for r in expected) and any(r[4] is None for r in expected)
     assert drained(spark, progress.progress_eta_stream(stream).select(columns), "eta", "append", tmp_path / "c") == expected
     assert progress.clamp(batch).agg(F.min("progress")).first()[0] == 0
+
+
+def test_progress_is_the_share_of_the_total(spark):
+    rows = [(1, datetime(2024, 1, 1, 0, 0, k), "transcribing", float(k), total) for k, total in ((0, 10.0), (3, 10.0), (6, None), (9, 0.0), (40, 20.0))]
+    heard = spark.createDataFrame(rows, "meeting_id long, ts timestamp, stage string, seconds double, total_seconds double")
+    assert [r["progress"] for r in progress.throttle_batch(heard).orderBy("ts").collect()] == [0.0, 0.3, 1.0]
+
+
+def test_estimates_by_states(spark, tmp_path):
+    batch, _ = events(spark, tmp_path)
+    columns = ["meeting_id", "stage", "ts", "progress", "eta_seconds"]
+    told = [sorted(map(tuple, f(batch).select(columns).collect()), key=repr) for f in (progress.progress_eta, progress.progress_eta_batch)]
+    assert told[0] == told[1]
