@@ -6,14 +6,14 @@ Texts reach the helpers as one Arrow column; a null text counts as the empty tex
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from parley.sources.stage import stored, work_dir  # noqa: F401
+
 #: Bytes of text handled at once inside a task; bounds the memory of the flat arrays. A longer text is handled alone.
 SLICE = 2 << 20
 
@@ -22,33 +22,6 @@ _MULT = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MULT, -1, 1 << 64)
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder for one intermediate table below spark.checkpoint.dir; it goes when the application ends.
-
-    Where the setting is missing, a session in one machine (local master) gets a temporary folder; on a cluster, whose
-    executors would each write to a disk of their own, that is an error.
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/parley/{name}-{uuid.uuid4().hex[:12]}"
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage with files that outlive executors."""
-    spark = df.sparkSession
-    path = work_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with underscores added until no column of df has it (whatever its case)."""
     taken, out = {c.lower() for c in df.columns}, []
