@@ -1,13 +1,19 @@
 """Licence scan: a trained paragraph classifier with template comparison, in DataFrame functions alone.
 
-A paragraph is a line. Its features are its distinct word pairs and triples, hashed. A multinomial logistic regression with
-sparse weights was trained (see `train`) on the templates of all families, on pieces of them, and on plain paragraphs as
-the unknown class; only pairs and triples of the templates have weights, so a paragraph that shares none of them is unknown
-and needs no scoring. The probabilities are calibrated by a temperature on held-back pieces. A paragraph's family is
-confirmed if enough of the template's beginning or sentence is in it (containment of the paragraph in the template).
+A paragraph is a run of lines: it ends at an empty line and behind a line that closes a sentence, so that hard-wrapped text is
+read together and notices of one line stay apart. Its features are its distinct word pairs and triples, hashed. A multinomial
+logistic regression with sparse weights is trained (see `train`) on the templates of all families, on pieces of them, and on
+plain paragraphs as the unknown class; only pairs and triples of the templates have weights, so a paragraph that shares none
+of them is unknown and needs no scoring. The probabilities are calibrated by a temperature on notices that are worded
+otherwise than the templates, and on plain lines that weren't fitted. Paragraphs of one family that follow one another are
+one finding. It is confirmed if enough of one of the family's templates is in it, and more than of any other family's template
+(so that what two versions of a licence share confirms neither).
+
+The families are those of TEMPLATES; of other licences nothing is said, or what they share with these, unconfirmed.
 
 Null text: as the empty text, without paragraphs. Repeated rows (and equal doc_ids): each row's findings are its own, told
-apart by a row number. An empty table gives no row. A text without licence lines gives no row in `scan`.
+apart by a row number. A very long text is read whole. An empty table gives no row. A text without licence paragraphs gives
+no row in `scan`. Only doc_id and text are read, so that other columns' names can't clash.
 """
 
 from __future__ import annotations
@@ -18,48 +24,91 @@ import random
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: What public licences say in their notices and short references, one list for each family.
+#: What public licences say in their texts, notices and short references, one list for each family.
 TEMPLATES = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
-        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     ],
     "MIT": [
         "Released under the MIT License.",
         "This project is licensed under the terms of the MIT license.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ],
+    "ISC": [
+        "Licensed under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS",
+    ],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
     ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
+    ],
+    "GPL": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."],
+    "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "Licensed under the GNU Lesser General Public License, version 2.1."],
+    "LGPL-3.0": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.", "Licensed under the GNU Lesser General Public License, version 3."],
+    "AGPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "Licensed under the GNU Affero General Public License, version 3."],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", "Licensed under the Simplified BSD License."],
+    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+    "BSD": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
     ],
-    "LGPL-3.0": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, version 3 of the License.", "Licensed under the GNU Lesser General Public License, version 3."],
-    "AGPL-3.0": ["This program is licensed under the GNU Affero General Public License, version 3, as published by the Free Software Foundation.", "Licensed under the GNU Affero General Public License, version 3."],
-    "BSD-3-Clause": [
-        "Licensed under the BSD 3-Clause License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0.", "If a copy of the MPL was not distributed with this file, You can obtain one at mozilla.org/MPL/2.0/."],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", "Licensed under the Eclipse Public License, version 2.0."],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     ],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "If a copy of the MPL was not distributed with this file, You can obtain one at mozilla.org/MPL/2.0/."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "Released into the public domain under CC0 1.0."],
     "proprietary": ["All rights reserved.", "Copyright. All rights reserved. No part of this publication may be reproduced without prior written permission."],
 }
+#: Notices in other words, for the calibration alone.
+OTHERWISE = {
+    "Apache-2.0": ["Distributed under the terms of the Apache License, Version 2.0, see the file", "This file is licensed to you under the Apache License, Version 2.0"],
+    "MIT": ["The library is available under the MIT license", "Code in this folder is released under the MIT License, see LICENSE"],
+    "ISC": ["The tool is licensed under the ISC license"],
+    "GPL-2.0": ["You may copy it under the GNU General Public License, version 2 only", "It comes under the terms of version 2 of the License, the GNU General Public License"],
+    "GPL-3.0": ["You may copy it under the GNU General Public License, version 3 only", "It comes under the terms of version 3 of the License, the GNU General Public License"],
+    "LGPL-2.1": ["You may link it under the GNU Lesser General Public License, version 2.1"],
+    "LGPL-3.0": ["You may link it under the GNU Lesser General Public License, version 3"],
+    "AGPL-3.0": ["The server is under the GNU Affero General Public License, version 3"],
+    "BSD-2-Clause": ["It has the BSD 2-Clause License"],
+    "BSD-3-Clause": ["It has the BSD 3-Clause License", "the names of its contributors may be used to endorse or promote products"],
+    "MPL-2.0": ["covered by the Mozilla Public License, version 2.0"],
+    "EPL-2.0": ["covered by the Eclipse Public License, version 2.0"],
+    "CC-BY-4.0": ["The pictures are under a Creative Commons Attribution 4.0 International licence"],
+    "CC-BY-SA-4.0": ["The pictures are under a Creative Commons Attribution-ShareAlike 4.0 International licence"],
+    "proprietary": ["No part of it may be reproduced without prior written permission"],
+}
 #: Plain sentences for the unknown class; the corpus adds paragraphs of its own.
 PLAIN = ["the software is used in this work by any person", "you may use the first part of the library", "the public library is free of charge", "a copy of the book was included in the work", "this version of the program is used under the old name", "see the following notice for more details", "the terms of the agreement are in the first part", "public domain name of the international work"]
 UNKNOWN = "unknown"
 #: A family is reported from this probability on, and confirmed from this containment on.
 LEAST_PROBABILITY, LEAST_CONTAINMENT = 0.5, 0.6
-#: Bound of the corpus sample for the unknown class: paragraphs.
+#: Bound of the corpus sample for the unknown class: about so many documents give one line each.
 MOST_PLAIN = 400
+#: A paragraph ends behind a line that closes a sentence.
+CLOSED = "[.!?:。！？][)\"'”]*\\s*$"
 
 #: Of the regression: the weight of the penalty, the share of it that is absolute, and the most steps.
 SHRINK, LASSO, STEPS = 1e-3, 0.1, 100
@@ -82,6 +131,19 @@ def grams_of(column: str):
     return F.array_distinct(F.concat(pairs, triples))
 
 
+def paragraphs_of(docs: DataFrame) -> DataFrame:
+    """doc_id, row, line_no (of the first line, from 0), last_line, words of every paragraph with two words or more."""
+    lines = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    at = lambda k: F.get("lines", k)
+    blank = lambda x: F.trim(x) == ""
+    opens = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda k: (k == 0) | blank(at(k)) | blank(at(k - 1)) | at(k - 1).rlike(CLOSED))
+    lines = lines.withColumn("opens", opens)
+    after = lambda j: F.coalesce(F.get("opens", j + 1), F.size("lines"))
+    part = lambda k, j: F.struct(k.alias("line_no"), (after(j) - 1).alias("last_line"), F.array_join(F.slice("lines", k + 1, after(j) - k), " ").alias("paragraph"))
+    parts = lines.select("doc_id", "row", F.explode(F.transform("opens", part)).alias("p")).select("doc_id", "row", "p.*")
+    return parts.select("doc_id", "row", "line_no", "last_line", words_of("paragraph").alias("words")).where("size(words) > 1")
+
+
 def _pieces() -> list[tuple[str, str, int, str]]:
     """Training paragraphs: family, kind (template, fit or held back), template number and words."""
     rng, out, number = random.Random(3), [], 0
@@ -89,29 +151,39 @@ def _pieces() -> list[tuple[str, str, int, str]]:
         for text in templates:
             words = text.split()
             out.append((family, "template", number, text))
-            for k in range(16):
+            for _ in range(12):
                 size = rng.randint(min(max(3, 2 * len(words) // 3), len(words)), len(words))
                 at = rng.randint(0, len(words) - size)
-                out.append((family, "held" if k % 4 == 3 else "fit", number, " ".join(words[at : at + size])))
+                out.append((family, "fit", number, " ".join(words[at : at + size])))
             for k in range(6):  # scraps are of no family
                 at = rng.randint(0, max(0, len(words) - 3))
                 out.append((UNKNOWN, "held" if k % 3 == 2 else "fit", -1, " ".join(words[at : at + 2])))
             number += 1
-    return out + [(UNKNOWN, "fit", -1, t) for t in PLAIN]
+    return out + [(family, "held", -1, t) for family, texts in OTHERWISE.items() for t in texts] + [(UNKNOWN, "fit", -1, t) for t in PLAIN]
 
 
-def train(docs: DataFrame) -> tuple[DataFrame, dict[str, float]]:
-    """The weights table (gram, family, weight, templates) and the biases of the families.
+def plain_lines(docs: DataFrame) -> list[str]:
+    """One line each of about MOST_PLAIN documents, those of hashes under a bound, without words of licences.
 
-    Fits on the templates' pieces and at most MOST_PLAIN lines of the corpus, those of least hash; features are the
-    templates' pairs and triples. Both are of a fixed bound; a lasso penalty makes small weights zero.
+    To the driver go these lines alone, equal ones once.
+    """
+    n = docs.count()
+    share = min(1.0, MOST_PLAIN / max(n, 1))
+    few = docs.where("doc_id is not null").where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: ~F.lower(x).rlike("licen[cs]e|copyright|rights|permi|warrant|public"))
+    least = F.array_min(F.transform(lines, lambda x: F.struct(F.xxhash64(x, F.lit(5)).alias("h"), x.alias("line"))))["line"]
+    return sorted(r["line"] for r in few.select(least.alias("line")).where("line <> ''").distinct().collect())
+
+
+def train(docs: DataFrame) -> tuple[DataFrame, dict]:
+    """The weights table (gram, family, weight, templates), and the biases of the families and sizes of the templates.
+
+    Fits on the templates' pieces and about MOST_PLAIN lines of the corpus; features are the templates' pairs and triples.
+    Both are of a fixed bound; a lasso penalty makes small weights zero.
     """
     from parley.llm.shared import stored
 
-    plain = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).where(~F.lower("line").rlike("licen[cs]e|copyright|rights|permi"))
-    plain = plain.select("line").orderBy(F.xxhash64("line", F.lit(5)), "line").limit(MOST_PLAIN)
-    # collected, so that the few lines are found by a top-k in each task and not by a sort of all lines
-    pieces = _pieces() + [(UNKNOWN, "fit", -1, r["line"]) for r in plain.collect()]
+    pieces = _pieces() + [(UNKNOWN, "held" if k % 4 == 3 else "fit", -1, line) for k, line in enumerate(plain_lines(docs))]
     rows = docs.sparkSession.createDataFrame(pieces, "family string, kind string, template int, line string").select("family", "kind", "template", words_of("line").alias("words"))
     common = F.array(*[F.lit(w) for w in COMMON])
     grams = F.array_except(grams_of("words"), _dull("words", common))
@@ -134,10 +206,15 @@ def train(docs: DataFrame) -> tuple[DataFrame, dict[str, float]]:
     heat = _temperature(model.transform(told.where("kind = 'held'")))
     unknown = len(families) - 1
     w, b = model.coefficientMatrix, model.interceptVector
-    # a line for each gram and family that has a weight
-    weights = [(g, f, float(w[k, i] - w[unknown, i]) / heat, members[g]) for i, g in enumerate(vocabulary) for k, f in enumerate(families[:-1])]
-    table = docs.sparkSession.createDataFrame([x for x in weights if abs(x[2]) > 0.02], "gram long, family string, weight double, templates array<int>")
-    return table, {"bias": {f: float(b[k] - b[unknown]) / heat for k, f in enumerate(families[:-1])}, "size": size}
+    family_of = [f for f, texts in TEMPLATES.items() for _ in texts]
+    weights = []
+    for i, g in enumerate(vocabulary):
+        row = {f: float(w[k, i] - w[unknown, i]) / heat for k, f in enumerate(families[:-1])}
+        # a line for each gram and family that has a weight, and one for a gram without any: it counts for the containment
+        kept = {f: x for f, x in row.items() if abs(x) > 0.02} or {family_of[members[g][0]]: 0.0}
+        weights += [(g, f, x, members[g]) for f, x in kept.items()]
+    table = docs.sparkSession.createDataFrame(weights, "gram long, family string, weight double, templates array<int>")
+    return table, {"bias": {f: float(b[k] - b[unknown]) / heat for k, f in enumerate(families[:-1])}, "size": size, "heat": heat}
 
 
 def _dull(column: str, common):
@@ -162,39 +239,51 @@ def _temperature(held: DataFrame) -> float:
 
 
 def hits_of(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """doc_id, row, line_no, gram, family, weight, templates: the grams of all lines that have weights."""
-    lines = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    grams = lines.select("doc_id", "row", "line_no", words_of("line").alias("words")).where("size(words) > 1")
-    grams = grams.select("doc_id", "row", "line_no", F.explode(grams_of("words")).alias("gram"))
+    """doc_id, row, line_no, last_line, gram, family, weight, templates: the grams of all paragraphs that have weights."""
+    grams = paragraphs_of(docs).select("doc_id", "row", "line_no", "last_line", F.explode(grams_of("words")).alias("gram"))
     # the table has a fixed bound: the templates' pairs and triples
     return grams.join(F.broadcast(table), "gram")
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0), family, probability, containment, confirmed for every line that a family claims.
+    """doc_id, line_no and last_line (from 0), family, probability, containment, confirmed of every finding: paragraphs of one
+    family that follow one another, at most an empty line between them.
 
-    A line whose best family stays under LEAST_PROBABILITY is not given: it is of the unknown class.
+    The probability is that of the finding's surest paragraph. A paragraph whose best family stays under LEAST_PROBABILITY is
+    of the unknown class and not given.
     """
     from parley.llm.shared import stored
 
     table, model = train(docs)
-    bias, size = model["bias"], model["size"]
     # few rows: written down, texts are read once, and both uses see the same row numbers after a lost executor
-    hits = stored(hits_of(docs, table), "licence-hits")
-    line = ["doc_id", "row", "line_no"]
-    by_family = hits.groupBy(*line, "family").agg(F.sum("weight").alias("z"))
+    return findings(stored(hits_of(docs, table), "licence-hits"), model)
+
+
+def findings(hits: DataFrame, model: dict) -> DataFrame:
+    """The findings of `scan` from stored hits."""
+    bias, size = model["bias"], model["size"]
+    place = ["doc_id", "row", "line_no", "last_line"]
+    by_family = hits.groupBy(*place, "family").agg(F.sum("weight").alias("z"))
     prior = F.create_map(*[F.lit(v) for f, b in bias.items() for v in (f, b)])
     by_family = by_family.withColumn("e", F.exp(F.col("z") + F.try_element_at(prior, F.col("family")))).withColumn("base", F.exp(F.try_element_at(prior, F.col("family"))))
     # softmax over the families that have hits, the others at their biases, and unknown at 0
     rest = 1 + math.fsum(math.exp(b) for b in bias.values())
-    best = by_family.groupBy(*line).agg(F.max(F.struct("e", "family")).alias("best"), F.sum(F.col("e") - F.col("base")).alias("more"))
-    best = best.select(*line, F.col("best.family").alias("family"), (F.col("best.e") / (F.col("more") + rest)).alias("probability")).where(F.col("probability") >= LEAST_PROBABILITY)
-    # the share of a template's pairs and triples that the line has, for the family's closest template
+    best = by_family.groupBy(*place).agg(F.max(F.struct("e", "family")).alias("best"), F.sum(F.col("e") - F.col("base")).alias("more"))
+    best = best.select(*place, F.col("best.family").alias("family"), (F.col("best.e") / (F.col("more") + rest)).alias("probability")).where(F.col("probability") >= LEAST_PROBABILITY)
+    # paragraphs of one family that follow one another; a text's findings are few
+    order = Window.partitionBy("row").orderBy("line_no")
+    new = (F.lag("family").over(order) == F.col("family")) & (F.col("line_no") <= F.lag("last_line").over(order) + 2)
+    told = best.withColumn("new", F.when(F.coalesce(new, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    found = told.groupBy("doc_id", "row", "run", "family").agg(F.min("line_no").alias("line_no"), F.max("last_line").alias("last_line"), F.max("probability").alias("probability"))
+    # the share of a template's pairs and triples that the finding has, for the family's closest template
     sizes = F.create_map(*[F.lit(v) for t, n in size.items() for v in (t, n)])
     owner = F.create_map(*[F.lit(v) for t, f in enumerate(f for f, texts in TEMPLATES.items() for _ in texts) for v in (t, f)])
-    shared = hits.select(*line, "gram", "templates").distinct().select(*line, F.explode("templates").alias("template"))
-    shared = shared.groupBy(*line, "template").count().withColumn("family", F.try_element_at(owner, F.col("template")))
-    shared = shared.groupBy(*line, "family").agg(F.max(F.col("count") / F.try_element_at(sizes, F.col("template"))).alias("containment"))
-    found = best.join(shared.withColumnsRenamed({"doc_id": "d"}), ["row", "line_no", "family"], "left")
+    shared = hits.select("row", "line_no", "gram", "templates").distinct().join(told.select("row", "line_no", "run", "family"), ["row", "line_no"])
+    shared = shared.select("row", "run", "family", "gram", F.explode("templates").alias("template")).distinct()
+    shared = shared.groupBy("row", "run", "family", "template").agg((F.count("*") / F.try_element_at(sizes, F.col("template"))).alias("part"))
+    mine = F.try_element_at(owner, F.col("template")) == F.col("family")
+    shared = shared.groupBy("row", "run").agg(F.max(F.when(mine, F.col("part"))).alias("containment"), F.max(F.when(~mine, F.col("part"))).alias("other"))
+    found = found.join(shared, ["row", "run"], "left")
     containment = F.coalesce("containment", F.lit(0.0))
-    return found.select("doc_id", "line_no", "family", F.round("probability", 6).alias("probability"), F.round(containment, 6).alias("containment"), (containment >= LEAST_CONTAINMENT).alias("confirmed"))
+    confirmed = (containment >= LEAST_CONTAINMENT) & (containment > F.coalesce("other", F.lit(0.0)))
+    return found.select("doc_id", "line_no", "last_line", "family", F.round("probability", 6).alias("probability"), F.round(containment, 6).alias("containment"), confirmed.alias("confirmed"))

@@ -448,6 +448,28 @@ def test_packing_of_odd_texts(spark):
 # --- 8: licences
 
 
+MIT_WRAPPED = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+ISC_WRAPPED = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+GPL_WRAPPED = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version {v} of the License, or
+(at your option) any later version."""
+
+
 def test_licence_lines_are_found(spark):
     lines = [
         "Released under the MIT License.",
@@ -459,9 +481,17 @@ def test_licence_lines_are_found(spark):
         "a walk in the park with the dog",
         "",
     ]
-    docs = frame(spark, ["\n".join(lines), None, "", "plain words\nof no licence"])
-    got = sorted((r["doc_id"], r["line_no"], r["family"], r["confirmed"]) for r in licences.scan(docs).collect())
-    assert got == [(0, 0, "MIT", True), (0, 1, "GPL-3.0", True), (0, 2, "Apache-2.0", True), (0, 3, "CC-BY-NC-4.0", True), (0, 4, "proprietary", True)]
+    docs = frame(spark, ["\n".join(lines), None, "", "plain words\nof no licence", "x. " * 20_000 + "\nReleased under the MIT License.\n" + "y. " * 20_000])
+    got = sorted((r["doc_id"], r["line_no"], r["last_line"], r["family"], r["confirmed"]) for r in licences.scan(docs).collect())
+    assert got == [(0, 0, 0, "MIT", True), (0, 1, 1, "GPL-3.0", True), (0, 2, 2, "Apache-2.0", True), (0, 3, 3, "CC-BY-NC-4.0", True), (0, 4, 4, "proprietary", True), (4, 1, 1, "MIT", True)]
+
+
+def test_wrapped_licences_and_versions(spark):
+    given = [MIT_WRAPPED, "a first line\n\n" + ISC_WRAPPED + "\n\nand more", GPL_WRAPPED.format(v=2), GPL_WRAPPED.format(v=3), "This work is licensed under the GNU General Public License, version 2.", "Licensed under the BSD 2-Clause License."]
+    given += ["This is free and unencumbered software released into the public domain.", "Licensed under the Eclipse Public License, version 2.0.", GPL_WRAPPED.format(v=3).replace("General", "Affero General"), GPL_WRAPPED.format(v=2)]
+    got = [(r["doc_id"], r["line_no"], r["last_line"], r["family"], r["confirmed"]) for r in licences.scan(frame(spark, given)).collect()]
+    wanted = [(0, 0, 12, "MIT"), (1, 2, 4, "ISC"), (2, 0, 3, "GPL-2.0"), (3, 0, 3, "GPL-3.0"), (4, 0, 0, "GPL-2.0"), (5, 0, 0, "BSD-2-Clause"), (6, 0, 0, "Unlicense"), (7, 0, 0, "EPL-2.0"), (8, 0, 3, "AGPL-3.0"), (9, 0, 3, "GPL-2.0")]
+    assert sorted(got) == [(*w, True) for w in wanted]
 
 
 def test_licence_scan_is_native(spark, docs):
@@ -470,9 +500,63 @@ def test_licence_scan_is_native(spark, docs):
         assert not re.search("Python|Pandas|MapInArrow", df._jdf.queryExecution().toString())
 
 
+def paragraphs_by_loop(text):
+    lines, out = text.split("\n"), []
+    for k, line in enumerate(lines):
+        blank = lambda x: x.strip(" ") == ""
+        if k == 0 or blank(line) or blank(lines[k - 1]) or re.search("[.!?:。！？][)\"'”]*[ \t\n\x0b\f\r]*$", lines[k - 1]):
+            out.append([k, k, line])
+        else:
+            out[-1][1:] = [k, out[-1][2] + " " + line]
+    return out
+
+
+def test_licence_scan_equals_brute_force(spark, docs, texts):
+    """Findings of whole documents by hand from the weights table and the biases."""
+    given = [MIT_WRAPPED, GPL_WRAPPED.format(v=2) + "\nReleased under the MIT License.", *[texts[i] for i in sorted(texts)]]
+    df = frame(spark, given)
+    table, model = licences.train(df)
+    got = sorted(map(tuple, licences.findings(stored(licences.hits_of(df, table), "hits"), model).collect()))
+    words = lambda t: [w for w in re.split(r"[^\w]+|_", t.lower()) if w]
+    grams = lambda w: {tuple(w[k : k + n]) for n in (2, 3) for k in range(len(w) - n + 1)}
+    known = sorted({g for t in licences.TEMPLATES.values() for x in t for g in grams(words(x))})
+    hashed = spark.createDataFrame([(list(g),) for g in known], "g array<string>").select("g", F.when(F.size("g") == 2, F.xxhash64(F.col("g")[0], F.col("g")[1])).otherwise(F.xxhash64(F.get("g", 0), F.get("g", 1), F.get("g", 2))).alias("h"))
+    name = {r["h"]: tuple(r["g"]) for r in hashed.collect()}
+    weight, of = defaultdict(dict), {}
+    for r in table.collect():
+        g = name[r["gram"]]
+        weight[g][r["family"]], of[g] = r["weight"], r["templates"]
+    family_of = [f for f, t in licences.TEMPLATES.items() for _ in t]
+    expected = []
+    for i, t in enumerate(given):
+        runs = []
+        for first, last, paragraph in paragraphs_by_loop(t):
+            found = {g for g in grams(words(paragraph)) if g in weight}
+            z = Counter()
+            for g in found:
+                z.update(weight[g])
+            if not found:
+                continue
+            e = {f: np.exp(z[f] + b) for f, b in model["bias"].items()}
+            best = max(z, key=lambda f: (e[f], f))
+            p = e[best] / (1 + sum(e.values()))
+            if p < licences.LEAST_PROBABILITY:
+                continue
+            if runs and runs[-1][2] == best and first <= runs[-1][1] + 2:
+                runs[-1] = (runs[-1][0], last, best, max(p, runs[-1][3]), runs[-1][4] | found)
+            else:
+                runs.append((first, last, best, p, found))
+        for first, last, best, p, found in runs:
+            parts = [sum(t in of[g] for g in found) / model["size"][t] for t in range(len(family_of))]
+            containment, other = (max(x for x, f in zip(parts, family_of, strict=True) if (f == best) == same) for same in (True, False))
+            expected.append((i, first, last, best, round(p, 6), round(containment, 6), containment >= licences.LEAST_CONTAINMENT and containment > other))
+    near = lambda rows: [(*r[:4], r[6], pytest.approx(r[4], abs=2e-6), pytest.approx(r[5], abs=2e-6)) for r in sorted(rows)]
+    assert [(*r[:4], r[6], r[4], r[5]) for r in got] == near(expected) and len(got) > 5
+
+
 def test_licences_of_the_documents(spark, docs):
     expected = {(r["doc_id"], k) for r in docs.collect() for k, line in enumerate((r["text"] or "").split("\n")) if re.search("licen[cs]ed? under|released under", line, re.I)}
-    got = {(r["doc_id"], r["line_no"]) for r in queries.op8_licences(spark, SF).collect()}
+    got = {(r["doc_id"], k) for r in queries.op8_licences(spark, SF).collect() for k in range(r["line_no"], r["last_line"] + 1)}
     assert expected <= got
 
 
