@@ -1,10 +1,13 @@
-"""N-gram Jaccard join of documents by MinHash banding and exact verification.
+"""N-gram Jaccard join of documents by a MinHash LSH forest and exact verification.
 
 Every text is a set of word n-grams (five words; a shorter text is one n-gram of all its words; words are parted by ASCII
-white space and compared as they are). Banding takes the place of an LSH forest: each tree is one band, a key of all values
-of a prefix of its own MinHash values. The prefix has one length, the longest with which a pair at the threshold shares one
-in some tree with the target probability; it is set before any data is read and isn't shortened by what matched.
-Documents that share a prefix are compared exactly, each pair in the first tree where it meets and nowhere else.
+white space and compared as they are). Each tree of the forest is a prefix trie of signatures, LONGEST values of its own for
+each text; a node holds the texts that share a prefix. Texts of an open node are compared exactly. In each tree prefixes are
+shortened from LONGEST values down to `prefix_length`, at which all trees together reach the target recall for pairs at the
+threshold; but not below a node that is CROWDED: there the texts stay with longer prefixes, as far as the trees in which they
+don't still reach the target. Where they don't, the least crowded of a text's nodes are opened until the target is reached.
+Whether a node is crowded doesn't hang on any one pair, so that a pair's chance to be missed is that of its texts' prefixes.
+A pair is compared in the first tree where its texts meet in an open node and nowhere else.
 
 Equal texts form one class that is compared once and counted with its copies. A prefix with many classes is split into
 blocks; tasks get pairs of blocks and return sums and a few edges, never the pairs. Trees whose prefixes hold the same
@@ -17,21 +20,27 @@ An empty table gives no row. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WORDS = 5
 THRESHOLD = 0.8
 TREES = 16
-LONGEST_PREFIX = 8
+#: Values of a signature in one tree, and bits of a value; four of them make one half of it.
+LONGEST_PREFIX, BITS = 8, 16
 #: Expected share of the pairs at the threshold that meet in some tree; pairs above it meet more often.
 RECALL = 0.999
 #: Classes of one prefix that are compared in one block.
 BLOCK = 512
+#: A node with more classes than this isn't opened while its texts can do without it.
+CROWDED = 256
+#: A class (or other key) with more than this share of all rows is joined by broadcast; there are fewer than 1/HOT of them.
+HOT = 1 / 1000
 #: Steps of component labelling; each halves long chains, so the number needed grows with the logarithm of the input.
 MOST_ROUNDS = 60
 
@@ -61,37 +70,74 @@ def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarra
     return mixed(total), number
 
 
-def signatures(hashes: np.ndarray, counts: np.ndarray, trees: int, length: int, seed: int = 7) -> np.ndarray:
-    """One row for each text that has n-grams: a key for the prefix in each tree."""
-    from parley.llm.shared import mixed
-
+def signatures(hashes: np.ndarray, counts: np.ndarray, trees: int, seed: int = 7) -> np.ndarray:
+    """One row for each text that has n-grams: for each tree the first half of its values, then for each tree the second."""
     rng = np.random.default_rng(seed)
     starts = (np.cumsum(counts) - counts)[counts > 0]
-    keys = np.zeros((len(starts), trees), np.uint64)
+    out = np.zeros((len(starts), 2 * trees), np.uint64)
     if not len(starts):
-        return keys
+        return out
     for tree in range(trees):
-        for k in range(length):
+        for k in range(LONGEST_PREFIX):
             factor, shift = rng.integers(1, 1 << 63, 2, dtype=np.uint64)
-            least = np.minimum.reduceat((hashes * (factor | np.uint64(1)) + shift) >> np.uint64(24), starts)
-            keys[:, tree] = keys[:, tree] * np.uint64(0x9E3779B97F4A7C15) + least
-            keys[:, tree] = mixed(keys[:, tree])
-    return keys
+            least = np.minimum.reduceat(hashes * (factor | np.uint64(1)) + shift, starts)
+            half = tree + trees * (k >= LONGEST_PREFIX // 2)
+            # low bits of the least hash, mixed: the high ones are small in all of them
+            out[:, half] = (out[:, half] << np.uint64(BITS)) | ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS))
+    return out
 
 
-def _sign(docs: DataFrame, words: int, trees: int, length: int) -> DataFrame:
-    """doc_id, class (of equal texts), keys: no keys for a text without words."""
+def _sign(docs: DataFrame, words: int, trees: int) -> DataFrame:
+    """doc_id, class (of equal texts), keys (the signature's halves): no keys for a text without words."""
     from parley.llm.shared import list_array, slices
 
     def run(batches):
         for batch in slices(batches):
             hashes, counts = shingles(batch.column("text"), words)
-            keys = signatures(hashes, counts, trees, length)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("class"), list_array(pa.array(keys.view(np.int64).ravel()), np.where(counts > 0, trees, 0))], names=["doc_id", "class", "keys"])
+            keys = signatures(hashes, counts, trees)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("class"), list_array(pa.array(keys.view(np.int64).ravel()), np.where(counts > 0, 2 * trees, 0))], names=["doc_id", "class", "keys"])
 
     return docs.select("doc_id", "text", class_of().alias("class")).mapInArrow(run, "doc_id long, class binary, keys array<long>")
 
 
+def opened(each: DataFrame, trees: int, length: int, threshold: float, recall: float, crowded: int) -> DataFrame:
+    """each (class, keys: a signature's halves) with keys replaced by the open node that the class is in, one for each tree."""
+    from parley.llm.shared import stored
+
+    half = LONGEST_PREFIX // 2
+    if length > half:  # a node is told by the first half and what it has of the second
+        raise ValueError("the prefix at the target recall is longer than half a signature")
+    # the prefix of `length` values, and all values behind it
+    head = F.shiftrightunsigned("head", BITS * (half - length))
+    entries = each.select("class", F.posexplode(F.slice("keys", 1, trees)).alias("tree", "head"), "keys")
+    entries = entries.select("class", "tree", head.alias("node"), "head", F.element_at("keys", trees + 1 + F.col("tree")).alias("tail"))
+    full = entries.groupBy("tree", "node").agg(F.count("*").alias("n")).where(F.col("n") > crowded)
+    inside = stored(entries.join(full, ["tree", "node"]), "crowded")
+    # the shortest longer prefix whose node isn't crowded, or the whole signature, for each distinct signature in there
+    distinct = stored(inside.groupBy("tree", "node", "head", "tail").agg(F.count("*").alias("n")), "crowded-signatures")
+    prefix = {d: F.struct(F.shiftrightunsigned("head", BITS * max(half - d, 0)).alias("h"), F.shiftrightunsigned("tail", BITS * (2 * half - d)).alias("t") if d > half else F.lit(0).cast("long").alias("t")) for d in range(length + 1, LONGEST_PREFIX + 1)}
+    sized = distinct
+    for d, p in prefix.items():
+        size = distinct.groupBy("tree", p.alias("p")).agg(F.sum("n").alias(f"n{d}"))
+        sized = sized.withColumn("p", p).join(size, ["tree", "p"]).drop("p")
+    depth = F.coalesce(*[F.when(F.col(f"n{d}") <= crowded, d) for d in prefix], F.lit(LONGEST_PREFIX))
+    sized = stored(sized.withColumn("depth", depth).select("tree", "head", "tail", "depth"), "crowded-depths")
+    # how far each class is from the target if it stays with the longer prefixes, and which nodes it has to open
+    missed = lambda d: math.log(1 - threshold**d)
+    loss = F.create_map(*[F.lit(x) for d in range(1, LONGEST_PREFIX + 1) for x in (d, missed(d) - missed(length))])
+    told = inside.join(sized, ["tree", "head", "tail"]).withColumn("loss", F.try_element_at(loss, F.col("depth")))
+    mine = Window.partitionBy("class")  # at most one row for each tree
+    over = F.sum("loss").over(mine) - (math.log(1 - recall) - trees * missed(length))
+    before = F.coalesce(F.sum("loss").over(mine.orderBy("n", "tree").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    told = stored(told.withColumn("open", before < over), "crowded-classes")
+    open_ = told.where("open").select("tree", "node").distinct().withColumn("opens", F.lit(True))
+    closed = told.join(open_, ["tree", "node"], "left").where("opens is null")
+    longer = F.coalesce(*[F.when(F.col("depth") == d, F.xxhash64(F.lit(d), p)) for d, p in prefix.items()])
+    closed = closed.groupBy("class").agg(F.map_from_entries(F.collect_list(F.struct("tree", longer.alias("key")))).alias("instead"))
+    heads = F.transform(F.slice("keys", 1, trees), lambda k, t: F.coalesce(F.try_element_at("instead", t), F.shiftrightunsigned(k, BITS * (half - length))))
+    return each.join(closed, "class", "left").withColumn("keys", heads).drop("instead")
+
+
 def class_of(text: str = "text"):
     """Equal texts have the same class."""
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
@@ -232,14 +278,16 @@ def components(edges: DataFrame) -> DataFrame:
     raise RuntimeError("components didn't settle")
 
 
-def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, class of equal texts), and for each class: first_id (its least doc_id), root (the same for all classes
-    that hang together and for no others), class_id (least doc_id of those) and links (other documents that are alike,
-    copies included)."""
+def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, block: int = BLOCK, crowded: int = CROWDED) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, class of equal texts), and for each class: copies (its rows), first_id (its least doc_id), root (the same
+    for all classes that hang together and for no others), class_id (least doc_id of those) and links (other documents that
+    are alike, copies included)."""
     from parley.llm.shared import stored
 
-    signed = stored(_sign(docs, words, trees, prefix_length(threshold, trees, recall=recall)), "signed")
+    signed = stored(_sign(docs, words, trees), "signed")
     each = stored(signed.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "classes")
+    length = min(prefix_length(threshold, trees, recall=recall), LONGEST_PREFIX // 2)
+    each = stored(opened(each, trees, length, threshold, recall, crowded), "opened")
     entries = each.select("class", F.posexplode("keys").alias("tree", "key"))
     buckets = entries.groupBy("tree", "key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("class")).alias("h1"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("h2")).where("n > 1")
     kept = buckets.groupBy("n", "h1", "h2").agg(F.min(F.struct("tree", "key")).alias("at")).select("at.*", "n")
@@ -259,15 +307,21 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, t
     rooted = rooted.withColumnRenamed("node", "class").join(each.select("class", "first_id"), "class")
     roots = rooted.groupBy("root").agg(F.min("first_id").alias("class_id"))
     found = each.select("class", "first_id", "copies").join(rooted.join(roots, "root").select("class", "class_id", "root"), "class", "left").join(sums, "class", "left")
-    found = found.select("class", "first_id", F.coalesce("root", "class").alias("root"), F.coalesce("class_id", "first_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
+    found = found.select("class", "copies", "first_id", F.coalesce("root", "class").alias("root"), F.coalesce("class_id", "first_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
     return signed.select("doc_id", "class"), found
 
 
 def jaccard_join(docs: DataFrame, **options) -> DataFrame:
     """doc_id, class_id, n_links: for every row the id of its class (documents that hang together through links, by their
     least doc_id) and the number of other documents with a likeness of the threshold or more."""
+    from parley.llm.shared import stored
+
     rows, found = classes(docs, **options)
-    return rows.join(found, "class").select("doc_id", "class_id", "n_links")
+    found = stored(found.select("class", "copies", "class_id", "n_links"), "found")
+    # classes of many copies are few: their rows stay where they are
+    many = F.broadcast(found.where(F.col("copies") > HOT * rows.count()))
+    told = rows.join(many, "class").union(rows.join(many.select("class"), "class", "left_anti").join(found, "class"))
+    return told.select("doc_id", "class_id", "n_links")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:

@@ -145,10 +145,10 @@ def near_texts():
     return out + out[:7] + [" ".join(word() for _ in range(30)) for _ in range(10)] + ["", None, "", "one two", "one two", "one two three"]
 
 
-@pytest.mark.parametrize("block", [512, 8])
-def test_near_links_equal_brute_force(spark, block):
+@pytest.mark.parametrize("block, crowded", [(512, 256), (8, 256), (512, 12)])
+def test_near_links_equal_brute_force(spark, block, crowded):
     given = near_texts()
-    got = by_id(near.jaccard_join(frame(spark, given), block=block))
+    got = by_id(near.jaccard_join(frame(spark, given), block=block, crowded=crowded))
     links = brute_links({i: t or "" for i, t in enumerate(given)})
     root = roots(range(len(given)), links)
     assert {i: (r["class_id"], r["n_links"]) for i, r in got.items()} == {i: (root[i], len(links[i])) for i in range(len(given))}
@@ -203,6 +203,40 @@ def test_components_of_a_long_chain(spark):
     assert got == {k: 0 for k in range(201)} | {500: 500, 501: 500}
 
 
+def test_crowded_nodes_stay_closed_within_the_recall(spark):
+    """Signatures by hand: three trees share one value prefix among all classes, the others none."""
+    rng = random.Random(8)
+    trees, length = near.TREES, near.prefix_length()
+    value = lambda: rng.getrandbits(63)
+    common, rows = [value() for _ in range(trees)], []
+    for k in range(40):
+        shared = 3 if k < 30 else 12  # the last ten are crowded in too many trees
+        rows.append((bytes([k]), [common[t] if t < shared else value() for t in range(trees)] + [value() for _ in range(trees)]))
+    each = spark.createDataFrame(rows, "class binary, keys array<long>")
+    got = {r["class"]: r["keys"] for r in near.opened(each, trees, length, 0.8, near.RECALL, 8).collect()}
+    keys = [got[bytes([k])] for k in range(40)]
+    plain = lambda k, t: keys[k][t] == common[t]
+    alone = lambda k, t: sum(x[t] == keys[k][t] for x in keys) == 1
+    for k in range(40):
+        assert len(keys[k]) == trees
+        # what a class can lose by its closed nodes, whose prefixes have five values here
+        left = sum(np.log(1 - 0.8 ** (length + 1 if t < (3 if k < 30 else 12) and not plain(k, t) else length)) for t in range(trees))
+        assert left <= np.log(1 - near.RECALL)
+    assert any(alone(k, t) for k in range(30) for t in range(3))
+
+
+def test_recall_of_the_forest():
+    """Pairs at a likeness of 0.8 by their signatures alone."""
+    rng = np.random.default_rng(6)
+    met = 0
+    for _ in range(300):
+        grams = rng.integers(0, 1 << 63, 108, dtype=np.uint64)
+        hashes = np.concatenate((grams[:96], grams[:84], grams[96:]))  # 84 of 108 shared: 0.78
+        a, b = near.signatures(hashes, np.array([96, 96]), near.TREES)[:, : near.TREES]
+        met += bool((a == b).any())
+    assert met >= 299
+
+
 def test_prefix_is_shortened_to_the_recall():
     n = near.prefix_length()
     assert 1 - (1 - 0.8**n) ** near.TREES >= near.RECALL > 1 - (1 - 0.8 ** (n + 1)) ** near.TREES
