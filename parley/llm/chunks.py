@@ -132,8 +132,8 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def with_following(docs: DataFrame) -> DataFrame:
-    """Rows in stretches of descending doc_id: part, extra, doc_id, text. A stretch ends with a copy of the first row of the
+def with_following(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Rows in stretches of descending doc_id: part, extra, doc_id, text; and the number of stretches. A stretch ends with a copy of the first row of the
     next one (extra = true), the last with that of the very first, so that each row's following text stands behind it.
 
     The borders of the stretches are quantiles of doc_id; they and each stretch's first id go to the driver (a few numbers
@@ -174,7 +174,7 @@ def with_following(docs: DataFrame) -> DataFrame:
                     i, t = (ids, texts) if rows is None else (ids.take(rows), texts.take(rows))
                     yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(np.full(len(p), extra)), i, t], names=["part", "extra", "doc_id", "text"])
 
-    return docs.select("doc_id", "text").mapInArrow(placed, "part int, extra boolean, doc_id long, text string")
+    return docs.select("doc_id", "text").mapInArrow(placed, "part int, extra boolean, doc_id long, text string"), len(borders) + 1
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -213,5 +213,6 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             if ids:
                 yield rows(ids, texts, following)
 
-    stretches = with_following(docs).repartition("part").sortWithinPartitions("part", "extra", F.col("doc_id").desc_nulls_last(), "text")
+    stretches, number = with_following(docs)
+    stretches = stretches.repartitionById(number, "part").sortWithinPartitions("part", "extra", F.col("doc_id").desc_nulls_last(), "text")
     return stretches.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 P = pytest.importorskip("public_tokenizers")
 
 from parley.llm import chunks, licences, logbilinear, media, near, packing, pieces, quality, queries, separators, toxic  # noqa: E402
-from parley.llm.shared import slices, stored  # noqa: E402
+from parley.llm.shared import flat, slices, stored  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 RANKS = P.path("byte_bpe_50k.tiktoken")
@@ -72,18 +72,49 @@ def test_pieces_equal_the_library(spark):
 # --- 2: media
 
 
+def samples_of_png(media):
+    """Another decoder of PNG, for 8-bit RGB with any of the five line filters."""
+    assert media[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    at, parts = 8, defaultdict(bytes)
+    while at < len(media):
+        size, kind = int.from_bytes(media[at : at + 4], "big"), media[at + 4 : at + 8]
+        body = media[at + 8 : at + 8 + size]
+        assert zlib.crc32(kind + body) == int.from_bytes(media[at + 8 + size : at + 12 + size], "big")
+        parts[kind] += body
+        at += 12 + size
+    width, height = (int.from_bytes(parts[b"IHDR"][k : k + 4], "big") for k in (0, 4))
+    assert list(parts[b"IHDR"][8:]) == [8, 2, 0, 0, 0] and b"IEND" in parts
+    raw, out, before = zlib.decompress(parts[b"IDAT"]), [], [0] * (3 * width)
+    step = 3 * width + 1
+    assert len(raw) == step * height
+    for k in range(height):
+        kind, line = raw[k * step], list(raw[k * step + 1 : (k + 1) * step])
+        for x in range(len(line)):
+            left, up, corner = line[x - 3] if x > 2 else 0, before[x], before[x - 3] if x > 2 else 0
+            p = left + up - corner
+            paeth = min((left, up, corner), key=lambda v: abs(p - v))
+            line[x] = (line[x] + (0, left, up, (left + up) // 2, paeth)[kind]) & 255
+        out += line
+        before = line
+    return bytes(out)
+
+
 def test_media_round_trip(spark):
     got = by_id(media.media_columns(frame(spark, ODD)))
     assert len(got) == len(ODD)
     for i, t in enumerate(ODD):
         raw = (t or "").encode()
-        payload = media.padded(raw)
-        assert len(payload) % 192 == 0 and payload.rstrip(b" ") == raw.rstrip(b" ") and len(payload) > 0
+        payload = raw + b" " * (max(192, (len(raw) + 191) // 192 * 192) - len(raw))
+        assert media.padded(raw) == payload
         assert got[i]["n_bytes"] == len(raw) and got[i]["payload_bytes"] == len(payload)
         assert got[i]["payload_sha256"] == hashlib.sha256(payload).hexdigest()
         assert got[i]["tail_crc32"] == zlib.crc32(payload[-16:])
-        assert got[i]["media_sha256"] == hashlib.sha256(media.to_png(payload)).hexdigest()
-        assert media.from_png(media.to_png(payload)) == payload
+        stored_form = media.to_png(payload)
+        assert samples_of_png(stored_form) == payload == media.from_png(stored_form)
+        assert (got[i]["media_bytes"], got[i]["media_sha256"]) == (len(stored_form), hashlib.sha256(stored_form).hexdigest())
+        span = len(payload) // 16
+        means = [sum(payload[k * span : (k + 1) * span]) / span for k in range(16)]
+        assert got[i]["feature"] == "".join(f"{round(m):02x}" for m in means)  # half to even, as rounding does
         assert (got[i]["width"], got[i]["height"]) == (64, len(payload) // 192)
     with pytest.raises(ValueError):
         broken = bytearray(media.to_png(media.padded(b"abc")))
@@ -91,6 +122,20 @@ def test_media_round_trip(spark):
         media.from_png(bytes(broken))
 
 
+def test_shards_are_plain_tar_files(spark, tmp_path):
+    """Every object lies where its row says, in files that tar reads."""
+    import tarfile
+
+    refs = media.store(frame(spark, ODD), f"file://{tmp_path}/s").collect()
+    for r in refs:
+        with tarfile.open(f"{tmp_path}/s/{r['shard']}") as tar:
+            member = next(m for m in tar if m.offset_data == r["offset"])
+            data = tar.extractfile(member).read()
+        assert member.name == f"{r['digest']}.png" and len(data) == r["length"]
+        assert hashlib.sha256(samples_of_png(data)).hexdigest() == r["digest"]
+    assert len(refs) == len(ODD)
+
+
 def test_equal_texts_share_an_object(spark, tmp_path):
     refs = media.store(frame(spark, ["a", "b", "a", "a"] * 20).coalesce(1), f"file://{tmp_path}/s").persist()
     assert refs.select("digest", "shard", "offset").distinct().count() == 2
@@ -259,6 +304,39 @@ def test_ordinal_regression_orders_grades():
     assert means == sorted(means) and means[3] - means[0] > 1.5
 
 
+def quality_score_by_loop(text, model):
+    """The score of one text, trigram by trigram and word by word."""
+    raw = (text or "").encode()
+    n = max(len(raw) - 2, 0)
+    total = sum(model.weights[((raw[k] | raw[k + 1] << 8 | raw[k + 2] << 16) * 2654435761 % 2**32) >> (32 - 15)] for k in range(n))
+    words = re.findall(rb"[^ \t-\r]+", raw)
+    again = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    return quality.SCALE * total / (n + quality.CALM) + model.weights[quality.BUCKETS] * quality.SCALE * again / (len(words) + quality.CALM_WORDS)
+
+
+def test_quality_equals_brute_force(spark, texts):
+    """Score, expected grade and tail of nulls, empty, long, repeated and real texts, for three grades."""
+    rng = random.Random(2)
+    made = [" ".join(rng.choice(["good", "fair fair", "junk!"][g : g + 2] or ["junk!"]) for _ in range(20)) for g in (0, 1, 2) for _ in range(30)]
+    labels = spark.createDataFrame([(k, 2 - k // 30) for k in range(90)], "doc_id long, quality int")
+    model = quality.train(frame(spark, made), labels)
+    assert model.grades.tolist() == [0, 1, 2] and len(model.thresholds) == 2
+    given = [*ODD, "ab", "abc", "the the the", "é" * 30_000, *[texts[i] for i in sorted(texts)[:30]]]
+    got = by_id(quality.graded(frame(spark, given).select("doc_id", "text"), model))
+    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+    for i, t in enumerate(given):
+        tails = [sigmoid(quality_score_by_loop(t, model) - c) for c in model.thresholds]
+        assert abs(got[i]["quality_tail"] - tails[-1]) < 1e-9 and abs(got[i]["quality_expected"] - sum(tails)) < 1e-9
+        assert tails[0] >= tails[1]
+
+
+def test_quality_gradient_finds_the_most_likely_thresholds():
+    """With texts that say nothing the thresholds are those of the grades' even weights: logits of 1/3 and 2/3."""
+    model = quality.fit(pa.array(["same text"] * 60), np.repeat([0, 1, 2], [10, 20, 30]))
+    score = quality.scores(pa.array(["same text"]), model)[0]
+    assert np.allclose(1 / (1 + np.exp(score - model.thresholds)), [2 / 3, 1 / 3], atol=0.02) or np.allclose(1 / (1 + np.exp(-(model.thresholds - score))), [1 / 3, 2 / 3], atol=0.02)
+
+
 def test_quality_on_the_documents(spark):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     got = by_id(queries.op4_quality(spark, "/root/testdata/sf0.01"))
@@ -706,6 +784,47 @@ def test_fingerprints_equal_single_ones(spark, texts):
     assert np.mean([r["near_edited"] for r in rows]) > 0.5 > 0.1 > np.mean([r["near_next"] for r in rows])
 
 
+def chunks_by_bytes(raw):
+    """Starts and ends of a text's chunks, one byte after the other."""
+    gear, h, start, out = chunks._gear().tolist(), 0, 0, []
+    for k, x in enumerate(raw):
+        h = ((h << 1) + gear[x]) & 0xFFFFFFFF
+        n = k + 1 - start
+        mask = int(chunks.STRICT) if n < chunks.MEAN else int(chunks.LOOSE)
+        if n == chunks.MOST or k + 1 == len(raw) or (n >= chunks.LEAST and not h & mask):
+            out.append((start, k + 1))
+            start = k + 1
+    return out
+
+
+def test_chunks_equal_a_loop_over_bytes(texts):
+    rng = random.Random(9)
+    given = [*(t or "" for t in ODD), *list(texts.values())[:40], "a" * 1000, "".join(rng.choice("ab ") for _ in range(3000))]
+    data, at = flat(pa.array(given, pa.large_string()))
+    starts, ends, owner = chunks.cut(data, at)
+    got = defaultdict(list)
+    for s, e, o in zip(starts.tolist(), ends.tolist(), owner.tolist(), strict=True):
+        got[o].append((s - at[o], e - at[o]))
+    for i, t in enumerate(given):
+        assert got[i] == chunks_by_bytes(t.encode()), t[:50]
+
+
+def test_likeness_by_hand():
+    """Containment by the sets of distinct chunks, weighted by length."""
+    rng = random.Random(10)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(4000))
+    for other in (base, base[:2000], "zz" + base[500:] + "q" * 300, base[::-1], ""):
+        sides = []
+        for t in (base, other):
+            raw = t.encode()
+            sides.append({raw[s:e] for s, e in chunks_by_bytes(raw)})
+        a, b = sides
+        size = lambda x: sum(map(len, x))
+        expected = size(a & b) / min(size(a), size(b)) if a and b else float(not a and not b)
+        prints = [chunks.strings(*chunks.fingerprints(pa.array([t], pa.large_string())))[0] for t in (base, other)]
+        assert abs(chunks.likeness(*prints) - expected) < 1e-9
+
+
 def test_chunks_withstand_shifts():
     rng = random.Random(4)
     t = "".join(rng.choice("abcdefghij ") for _ in range(20_000))
