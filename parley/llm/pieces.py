@@ -5,7 +5,11 @@ each round the pair of least rank in every word is merged, leftmost first, until
 A pair that occurs several times in a word is merged at all places at once where the model's ranks allow it, else only at
 the leftmost place, so that the result is that of one merge at a time. A task keeps the words it has met in a bounded table.
 
-Null text: as the empty text, no ids. Repeated rows: each row is encoded. Extra columns are left out.
+A long word is cut first at places that no piece standing there reaches over, so that rounds are as many as its longest part
+needs. What stays quadratic is a word in which pieces overlap all along: its parts are long.
+
+Null text: as the empty text, no ids. Repeated rows: each row is encoded. Very long texts and words are encoded whole. An empty
+table gives no row. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -23,6 +27,9 @@ from parley.llm.wordtable import BYTES_KEPT, WORDS_KEPT, Known, Strings
 
 SPACE = "▁"
 NO_PAIR = np.int64(1) << 40
+#: Words of more characters are cut before they are merged.
+LONG = 64
+_POWER = np.multiply.accumulate(np.full(256, 0x9E3779B97F4A7C15, np.uint64))
 _WORD = re.compile(r" *[^ ]+| +")
 
 
@@ -71,6 +78,18 @@ class PieceModel:
         self.keys, self.made, self.rank = key[sort], np.array(made)[sort], np.array(rank, np.int64)[sort]
         self.one_by_one = np.zeros(self.size, bool)
         self.one_by_one[list(early)] = True
+        # by length, the hashes of all beginnings of pieces, sorted, and which of them are whole pieces
+        begins: dict[int, dict[int, bool]] = {}
+        for p in self.ids:
+            h = 0
+            for k, c in enumerate(p):
+                h = (h + (ord(c) + 1) * int(_POWER[k])) & 0xFFFFFFFFFFFFFFFF
+                level = begins.setdefault(k + 1, {})
+                level[h] = level.get(h, False) or k + 1 == len(p)
+        self.begins = []
+        for k in range(1, len(begins) + 1):
+            hashes = np.array(sorted(begins[k]), np.uint64)
+            self.begins.append((hashes, np.array([begins[k][h] for h in hashes.tolist()])))
 
     def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The place of each pair in the table, -1 where it has none."""
@@ -79,8 +98,46 @@ class PieceModel:
         known = (self.keys[at] == key) & (a < self.size) & (b < self.size)
         return np.where(known, at, -1)
 
+    def cuts(self, word: str) -> np.ndarray:
+        """Places in a word that no piece which stands there reaches over: no merge ever goes across them."""
+        chars = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+        n = len(chars)
+        over = np.zeros(n + 1, np.int64)  # opened and closed reaches of pieces
+        at, h = np.arange(n), np.zeros(n, np.uint64)
+        for k, (hashes, whole) in enumerate(self.begins):
+            inside = at + k < n
+            at, h = at[inside], h[inside]
+            h = h + chars[at + k] * _POWER[k]
+            found = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            known = hashes[found] == h
+            at, h, found = at[known], h[known], found[known]
+            if k:
+                piece = at[whole[found]]  # covers piece + 1 to piece + k
+                over += np.bincount(piece + 1, minlength=n + 1)[: n + 1]
+                over -= np.bincount(piece + k + 1, minlength=n + 1)[: n + 1]
+            if not len(at):
+                break
+        return np.flatnonzero(np.cumsum(over)[1:n] == 0) + 1
+
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words in one array, and how many each word has; words come with their word starts."""
+        """The ids of all words in one array, and how many each word has; words come with their word starts.
+
+        A long word is cut where no piece reaches over, and its parts are merged side by side.
+        """
+        parts, number = [], np.ones(len(words), np.int64)
+        for i, w in enumerate(words):
+            if len(w) > LONG:
+                border = [0, *self.cuts(w).tolist(), len(w)]
+                parts += [w[a:b] for a, b in zip(border[:-1], border[1:], strict=True)]
+                number[i] = len(border) - 1
+            else:
+                parts.append(w)
+        ids, counts = self._encode_parts(parts)
+        if len(parts) > len(words):
+            counts = np.add.reduceat(counts, np.cumsum(number) - number)
+        return ids, counts
+
+    def _encode_parts(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if not words:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)

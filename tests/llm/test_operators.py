@@ -69,6 +69,29 @@ def test_pieces_equal_the_library(spark):
         assert model.decode(np.array(ids)) == sp.decode(ids)
 
 
+def test_long_words_equal_the_library_in_time():
+    import time
+
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    encoder = pieces.Encoder(pieces.load(P.path("piece_bpe_32k.model")))
+    rng = random.Random(11)
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    joined = "".join(rng.choice(["the", "quick", "brown", "fox", "jumped", "over", "lazy", "dogs", "and", "information"]) for _ in range(8_000))
+    for given in (letters, joined, "a" * 100_000, "漢字かな" * 5_000, "http://x.org/" + joined[:3_000], "ab" * 20_000, "=" * 3_000 + letters[:100]):
+        began = time.process_time()
+        ids = encoder.ids(given)
+        spent = time.process_time() - began
+        began = time.process_time()
+        assert ids.tolist() == sp.encode(given)
+        library = time.process_time() - began
+        print(given[:20], len(given), round(spent, 2), round(library, 2))
+        assert spent < 60
+        if given is letters:
+            assert spent < 10 * library + 3
+
+
 # --- 2: media
 
 
