@@ -254,14 +254,6 @@ def _links(groups: DataFrame, threshold: float) -> DataFrame:
     return groups.mapInArrow(run, "class binary, other binary, links long")
 
 
-def _joined(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
-    """rows (a, b) with m of their a, from least (a, m, n: its rows). Nodes with more than a HOT share of all edges are fewer
-    than 2/HOT; these are broadcast, so that a hub's rows stay where they are."""
-    many = F.broadcast(least.where(F.col("n") > HOT * total).select("a", "m"))
-    few = least.where(F.col("n") <= HOT * total).select("a", "m")
-    return rows.join(many, "a").unionByName(rows.join(many.select("a"), "a", "left_anti").join(few, "a"))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the least node it hangs together with) for every node of the edges (a, b): stars, large and small in turn.
 
@@ -270,18 +262,19 @@ def components(edges: DataFrame) -> DataFrame:
     from parley.llm.shared import stored
 
     edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    before, total = None, edges.count()
+    before = None
     for _ in range(MOST_ROUNDS):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        large = _joined(both, least, total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        small = _joined(large, large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), total)
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a")
         small = small.select("a", F.col("m").alias("b")).union(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
         edges = stored(small, "edges")
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b"), F.col("b"))).distinct()
-        before, total = now, now[0]
+        before = now
     raise RuntimeError("components didn't settle")
 
 
