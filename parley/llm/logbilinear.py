@@ -466,7 +466,7 @@ def _items(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _total(parts: DataFrame) -> tuple[np.ndarray | None, int]:
-    """The sum of rows (sums: 64-bit whole numbers as bytes, n) of all tasks, added up in two levels; exact in any order."""
+    """The sum of rows (sums: 64-bit whole numbers as bytes, n) of all tasks, added up in three levels; exact in any order."""
 
     def summed(batches):
         total, n = None, 0
@@ -476,7 +476,8 @@ def _total(parts: DataFrame) -> tuple[np.ndarray | None, int]:
         if n:
             yield _sum_row(total, n)
 
-    rows = parts.repartition(16).mapInArrow(summed, "sums binary, n long").collect()  # 16 rows
+    kind = "sums binary, n long"
+    rows = parts.repartition(16).mapInArrow(summed, kind).repartition(2).mapInArrow(summed, kind).collect()  # two rows
     return (sum(np.frombuffer(r["sums"], np.int64) for r in rows), sum(r["n"] for r in rows)) if rows else (None, 0)
 
 
