@@ -34,6 +34,8 @@ DIMENSIONS, CONTEXT = 24, 4
 NOISE_GROUPS, NOISE_ITEMS, BATCH, RUN = 16, 16, 1 << 13, 64
 PASSES, RATES = 2, (0.7, 0.2)
 SHARD_TOKENS, MOST_PARTS = 1 << 21, 100_000
+#: Vectors multiplied at a time by one scale.
+TILE = 8
 #: Positions shuffled together before they are learnt from.
 AT_ONCE = 1 << 16
 #: The items by whose company the others are grouped.
@@ -233,20 +235,27 @@ def start(vocab: Vocabulary) -> dict[str, np.ndarray]:
 
 
 def laid_out(items: np.ndarray, counts: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
-    """The items with CONTEXT times `none` before each text, so that no context reaches over a text's start; and the places
-    of the items in that row."""
+    """The items with CONTEXT times `none` before each text, so that no context reaches over a text's start, and `none` up to
+    a multiple of TILE; and the places of the items in that row."""
     place = np.arange(len(items)) + CONTEXT * np.repeat(np.arange(1, len(counts) + 1), counts)
-    row = np.full(len(items) + CONTEXT * len(counts), none, np.int32)
+    row = np.full(-(-(len(items) + CONTEXT * len(counts)) // TILE) * TILE, none, np.int32)
     row[place] = items
     return row, place
 
 
-def predictions(context: np.ndarray, place: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """For each place of a row the sum of the vectors of the CONTEXT items before it, each scaled by its distance."""
-    vectors = context.take(row, axis=0)
-    out = np.zeros_like(vectors)
+def scaled(vectors: np.ndarray, by: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Each row times `by`, TILE rows at a time; their number is a multiple of TILE."""
+    wide = (-1, TILE * vectors.shape[1])
+    np.multiply(vectors.reshape(wide), np.tile(by, TILE), out=out.reshape(wide))
+    return out
+
+
+def predictions(vectors: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """From the vectors of a row of items, for each place the sum of those of the CONTEXT items before it, each scaled by its
+    distance."""
+    out, part = np.zeros_like(vectors), np.empty_like(vectors)
     for k in range(CONTEXT):
-        out[k + 1 :] += vectors[: len(row) - k - 1] * place[k]
+        out[k + 1 :] += scaled(vectors, place[k], part)[: len(vectors) - k - 1]
     return out
 
 
@@ -260,9 +269,9 @@ def runs_of(values: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sum_into(out: np.ndarray, keys: np.ndarray, values: np.ndarray) -> None:
-    """Adds to the rows of out, by key, the values of a row of sorted keys."""
+    """Adds to the rows of out, by key, the values of a row of sorted keys; two columns are added at a time, as one complex."""
     begins = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    out[keys[begins]] += np.add.reduceat(values, begins, axis=0)
+    out[keys[begins]] += np.add.reduceat(values.view(np.complex64), begins, axis=0).view(np.float32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -306,67 +315,79 @@ class Trainer:
         self.seen += len(items)
 
     def _move(self, name: str, gradient: np.ndarray) -> None:
-        square = self.squares[name]
-        square += gradient * gradient
-        self.model[name] -= self.rate * gradient / np.sqrt(square)
+        square, part = self.squares[name], np.multiply(gradient, gradient)
+        square += part
+        np.sqrt(square, out=part)
+        np.divide(gradient, part, out=part)
+        part *= self.rate
+        self.model[name] -= part
 
     def _step(self, items: np.ndarray, counts: np.ndarray, skipped: int) -> None:
         """Learns from all items but the first `skipped` ones, which are there as context."""
-        m = self.model
-        row, place = laid_out(items, counts, self.groups * self.width)
-        all_h = predictions(m["context"], m["place"], row)
+        m, size = self.model, self.groups * self.width
+        row, place = laid_out(items, counts, size)
+        seen = m["context"].take(row, axis=0)
+        all_h = predictions(seen, m["place"])
         place = place[skipped:]
         target = row[place]
         order = np.argsort(target.astype(np.int16), kind="stable")  # by item, so by group
         place, target = place[order], target[order]
         h, n = all_h.take(place, axis=0), len(target)
-        scale = np.float32(1 / n)
+        scale, ones = np.float32(1 / n), np.ones(DIMENSIONS, np.float32)
         # groups
         group = target // self.width
         noise = np.minimum(np.searchsorted(self.group_cumulated, self.rng.random(NOISE_GROUPS)), self.groups - 1)
-        own = _sigmoid(np.einsum("nd,nd->n", h, m["group"].take(group, axis=0)) + (m["group_bias"] - self.log_group)[group]) - 1
-        own *= scale
-        false = _sigmoid(h @ m["group"][noise].T + (m["group_bias"] - self.log_group)[noise])
+        bias = m["group_bias"] - self.log_group
+        mine, vectors = m["group"].take(group, axis=0), m["group"][noise]
+        own = (_sigmoid((h * mine) @ ones + bias[group]) - 1) * scale
+        false = vectors @ h.T  # a row for each noise group
+        false += bias[noise][:, None]
+        false = _sigmoid(false)
         false *= scale
-        g_h = own[:, None] * m["group"].take(group, axis=0) + false @ m["group"][noise]
-        by_group, by_bias = np.zeros_like(m["group"]), np.zeros_like(m["group_bias"])
-        _sum_into(by_group, group, own[:, None] * h)
-        _sum_into(by_bias, group, own)
-        np.add.at(by_group, noise, false.T @ h)
-        np.add.at(by_bias, noise, false.sum(axis=0))
+        mine *= own[:, None]
+        g_all = np.zeros((n + 1, DIMENSIONS), np.float32)  # the last row for places that nothing is learnt at
+        g_h = g_all[:n]
+        np.matmul(false.T, vectors, out=g_h)
+        g_h += mine
+        drawn_by = (noise == np.arange(self.groups)[:, None]).astype(np.float32)
+        by_group = drawn_by @ (false @ h)
+        by_bias = drawn_by @ false.sum(axis=1) + np.bincount(group, own, self.groups).astype(np.float32)
         # items within the group, in runs of positions with one group; a run's matrices are padded to its full length
         begins, run = runs_of(group, RUN)
         cell = run * RUN + np.arange(n) - begins[run]
         drawn = np.searchsorted(self.item_cumulated, group[begins][:, None] + self.rng.random((len(begins), NOISE_ITEMS)))
-        h_run = np.zeros((len(begins) * RUN, DIMENSIONS), np.float32)
-        h_run[cell] = h
-        h_run = h_run.reshape(len(begins), RUN, DIMENSIONS)
-        some = np.zeros(len(begins) * RUN, np.float32)
-        some[cell] = scale
+        place_of = np.zeros(len(begins) * RUN, np.int64)  # nothing stands before place 0, so its prediction is 0
+        place_of[cell] = place
+        h_run = all_h.take(place_of, axis=0).reshape(len(begins), RUN, DIMENSIONS)
+        some, own_run = np.zeros((2, len(begins) * RUN), np.float32)
+        some[cell], own_run[cell] = scale, own
+        _sum_into(by_group, group[begins], (own_run.reshape(len(begins), 1, RUN) @ h_run)[:, 0])
         vectors, bias = m["item"].take(drawn, axis=0), m["item_bias"] - self.log_item
-        false = h_run @ vectors.transpose(0, 2, 1)
-        false += bias[drawn][:, None, :]
-        false = _sigmoid(false) * some.reshape(len(begins), RUN, 1)
+        false = vectors @ h_run.transpose(0, 2, 1)
+        false += bias[drawn][:, :, None]
+        false = _sigmoid(false)
+        false *= some.reshape(len(begins), 1, RUN)
         mine = m["item"].take(target, axis=0)
-        own = (_sigmoid(np.einsum("nd,nd->n", h, mine) + bias[target]) - 1) * scale
-        g_h += own[:, None] * mine + (false @ vectors).reshape(-1, DIMENSIONS).take(cell, axis=0)
-        by_item, by_item_bias = np.zeros_like(m["item"]), np.zeros_like(m["item_bias"])
-        _sum_into(by_item, target, own[:, None] * h)
-        _sum_into(by_item_bias, target, own)
+        own = (_sigmoid((h * mine) @ ones + bias[target]) - 1) * scale
+        mine *= own[:, None]
+        g_h += mine
+        g_h += (false.transpose(0, 2, 1) @ vectors).reshape(-1, DIMENSIONS).take(cell, axis=0)
+        by_item = np.zeros_like(m["item"])
+        h *= own[:, None]
+        _sum_into(by_item, target, h)
         keys = drawn.ravel()
         sort = np.argsort(keys.astype(np.int16), kind="stable")
-        _sum_into(by_item, keys[sort], (false.transpose(0, 2, 1) @ h_run).reshape(-1, DIMENSIONS).take(sort, axis=0))
-        _sum_into(by_item_bias, keys[sort], false.sum(axis=1).ravel()[sort])
+        _sum_into(by_item, keys[sort], (false @ h_run).reshape(-1, DIMENSIONS).take(sort, axis=0))
+        by_item_bias = (np.bincount(target, own, size) + np.bincount(keys, false.sum(axis=2).ravel(), size)).astype(np.float32)
         # back to the order of the row: an item's vector is moved by all predictions that it is part of
-        all_g = np.zeros_like(all_h)
-        all_g[place] = g_h
-        seen = m["context"].take(row, axis=0)
-        back = np.zeros_like(all_h)
+        learnt = np.full(len(row), n)
+        learnt[place] = np.arange(n)
+        all_g = g_all.take(learnt, axis=0)
+        back, part = np.zeros_like(all_h), np.empty_like(all_h)
         by_place = np.zeros_like(m["place"])
         for k in range(CONTEXT):
-            ahead, size = all_g[k + 1 :], len(row) - k - 1
-            back[:size] += ahead * m["place"][k]
-            by_place[k] = np.einsum("nd,nd->d", seen[:size], ahead)
+            back[: -k - 1] += scaled(all_g, m["place"][k], part)[k + 1 :]
+            by_place[k] = np.ones(len(row) - k - 1, np.float32) @ np.multiply(seen[: -k - 1], all_g[k + 1 :], out=part[: -k - 1])
         sort = np.argsort(row.astype(np.int16), kind="stable")
         by_context = np.zeros_like(m["context"])
         _sum_into(by_context, row[sort], back.take(sort, axis=0))
@@ -378,37 +399,37 @@ def log_probability(model: dict[str, np.ndarray], items: np.ndarray, counts: np.
     """Natural logarithms of the normalised probability of each item of each text after the items before it."""
     groups = len(model["group"])
     width = len(model["item"]) // groups
-    group_vectors = np.ascontiguousarray(model["group"].T)
-    item_vectors = np.ascontiguousarray(model["item"].reshape(groups, width, -1).transpose(0, 2, 1))
-    item_bias = model["item_bias"].reshape(groups, width)
+    # with the biases as one more dimension, in which predictions are 1
+    group_vectors = np.concatenate([model["group"].T, model["group_bias"][None]])
+    item_vectors = np.concatenate([model["item"].reshape(groups, width, -1).transpose(0, 2, 1), model["item_bias"].reshape(groups, 1, width)], axis=1)
     ones = np.ones(max(groups, width), np.float32)
 
-    def softmax(h: np.ndarray, vectors: np.ndarray, bias: np.ndarray, mine: np.ndarray, out: np.ndarray) -> None:
+    def softmax(h: np.ndarray, vectors: np.ndarray, mine: np.ndarray, out: np.ndarray) -> None:
         """Adds to out the logarithm of the share of each row's own score, a slice of rows at a time."""
-        for a in range(0, len(h), 2048):
-            score = h[a : a + 2048] @ vectors
-            score += bias
+        for a in range(0, len(h), 1024):
+            score = h[a : a + 1024] @ vectors
             if score.max() > 60:
                 score -= score.max(axis=1, keepdims=True)
-            own = score[np.arange(len(score)), mine[a : a + 2048]]
+            own = score[np.arange(len(score)), mine[a : a + 1024]]
             np.exp(score, out=score)
-            out[a : a + 2048] += own - np.log(score @ ones[: score.shape[1]])
+            out[a : a + 1024] += own - np.log(score @ ones[: score.shape[1]])
 
     row, place = laid_out(items, counts, groups * width)
     out = np.zeros(len(items))
     for at in range(0, len(items), batch):
         some = place[at : at + batch]
-        low = some[0] - CONTEXT
-        h = predictions(model["context"], model["place"], row[low : some[-1] + 1])
+        low = (some[0] - CONTEXT) // TILE * TILE
+        predicted = predictions(model["context"].take(row[low : -(-(some[-1] + 1) // TILE) * TILE], axis=0), model["place"])
         order = np.argsort(row[some].astype(np.int16), kind="stable")
         t = row[some][order]
-        h = h.take(some[order] - low, axis=0)
+        h = np.ones((len(t), predicted.shape[1] + 1), np.float32)
+        h[:, :-1] = predicted.take(some[order] - low, axis=0)
         group, place_in = t // width, t % width
         found = np.zeros(len(t), np.float64)
-        softmax(h, group_vectors, model["group_bias"], group, found)
+        softmax(h, group_vectors, group, found)
         border = np.append(np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))), len(t))
         for a, b in zip(border[:-1].tolist(), border[1:].tolist(), strict=True):
-            softmax(h[a:b], item_vectors[group[a]], item_bias[group[a]], place_in[a:b], found[a:b])
+            softmax(h[a:b], item_vectors[group[a]], place_in[a:b], found[a:b])
         out[at + order] = found
     return out
 
