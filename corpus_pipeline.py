@@ -13,21 +13,21 @@ from pyspark.sql import functions as F
 
 from parley.llm import near, quality, toxic
 from parley.llm.queries import KEEP_QUALITY, pack
-from parley.llm.shared import documents, stored, unused
+from parley.llm.shared import documents, named, stored, unused
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of the better grade reaches KEEP_QUALITY."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     names = unused(docs, "quality_expected", "quality_tail")
-    return quality.graded(docs, model, names=tuple(names)).where(F.col(names[1]) >= KEEP_QUALITY).select(docs.columns)
+    return quality.graded(docs, model, names=tuple(names)).where(F.col(names[1]) >= KEEP_QUALITY).select(named(docs))
 
 
 def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity stays under the threshold."""
     model = toxic.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     names = unused(docs, "toxic_score", "toxic_spans")
-    return toxic.toxicity(docs, model, tuple(docs.columns), tuple(names)).where(F.col(names[0]) < toxic.THRESHOLD).select(docs.columns)
+    return toxic.toxicity(docs, model, tuple(docs.columns), tuple(names)).where(F.col(names[0]) < toxic.THRESHOLD).select(named(docs))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -139,20 +139,21 @@ def graded(docs: DataFrame, model: Ordinal | None, best: int = 1, names: tuple[s
 
     names: of the new columns; docs must have none of them (`shared.unused` finds free ones).
     """
-    from parley.llm.shared import slices
+    from parley.llm.shared import numbered, slices
 
+    plain, text = numbered(docs), f"c{docs.columns.index('text')}"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         model = shared.value
-        for batch in slices(batches):
+        for batch in slices(batches, text):
             n = batch.num_rows
             if model is None:
                 expected, tail = np.full(n, np.nan), np.ones(n)
             else:
-                score = scores(batch.column("text"), model)
+                score = scores(batch.column(text), model)
                 expected, tail = model.expected(score), model.tails(score)[:, -best]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(expected, from_pandas=True), pa.array(tail)], names=[*batch.schema.names, *names])
 
-    schema = T.StructType(docs.schema.fields[:]).add(names[0], "double").add(names[1], "double")
-    return docs.mapInArrow(run, schema)
+    schema = T.StructType(plain.schema.fields[:]).add(names[0], "double").add(names[1], "double")
+    return plain.mapInArrow(run, schema).toDF(*docs.columns, *names)

@@ -6,11 +6,12 @@ Texts reach the helpers as one Arrow column; a null text counts as the empty tex
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from parley.sources.stage import stored, work_dir  # noqa: F401
 
@@ -32,6 +33,16 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def named(df: DataFrame, names: Iterable[str] | None = None) -> list[Column]:
+    """Columns of df by their whole names (default: all), whatever dots, backticks or spaces these have."""
+    return [F.col(f"`{name.replace('`', '``')}`") for name in (df.columns if names is None else names)]
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, … by position: mapInArrow can't take every name. `toDF` gives names back."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

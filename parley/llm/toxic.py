@@ -298,20 +298,22 @@ def spans_of(p: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.nda
 
 def toxicity(docs: DataFrame, model: Chain, kept: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("toxic_score", "toxic_spans")) -> DataFrame:
     """The kept columns, then the score and the spans (code point offsets) of every whole text under the given names."""
-    from parley.llm.shared import list_array, slices
+    from parley.llm.shared import list_array, named, numbered, slices
 
-    docs = docs.select(*dict.fromkeys((*kept, "text")))
+    read = list(dict.fromkeys((*kept, "text")))
+    docs = numbered(docs.select(named(docs, read)))
+    text, passed = f"c{read.index('text')}", [f"c{read.index(c)}" for c in kept]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         model = shared.value
-        for batch in slices(batches):
-            word, begin, starts, ends, counts, (data, at) = tokens(batch.column("text"))
+        for batch in slices(batches, text):
+            word, begin, starts, ends, counts, (data, at) = tokens(batch.column(text))
             p = marginals(model, word, begin, counts)
             score = sigmoid(by_document(p, counts) @ model.document)
             a, b, n = spans_of(p, starts, ends, counts, data, at)
             spans = list_array(pa.StructArray.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["start", "end"]), n)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(score), spans], names=[*kept, *names])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in passed), pa.array(score), spans], names=[*passed, *names])
 
-    schema = T.StructType(docs.select(*kept).schema.fields[:]).add(names[0], "double").add(names[1], T.ArrayType(T.StructType().add("start", "integer").add("end", "integer")))
-    return docs.mapInArrow(run, schema)
+    schema = T.StructType(docs.select(*passed).schema.fields[:]).add(names[0], "double").add(names[1], T.ArrayType(T.StructType().add("start", "integer").add("end", "integer")))
+    return docs.mapInArrow(run, schema).toDF(*kept, *names)

@@ -1,11 +1,14 @@
 """The pipeline's stages, each against what its rule says of its own input."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("corpus_pipeline")
 
 import corpus_pipeline  # noqa: E402
 from parley.llm import near, packing, quality, toxic  # noqa: E402
+from tests.llm.test_operators import chain_by_loop, quality_score_by_loop  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
 
@@ -44,14 +47,14 @@ def test_run_gives_pieces(spark):
     assert quality.MOST_LABELLED > 0 and toxic.THRESHOLD == 0.7
 
 
-ODD_COLUMNS = ["toxic_score", "toxic_spans", "Quality_Tail", "quality_expected", "_class", "__class", "_id", "__id", "_kept", "class", "label", "n", "row", "part"]
+ODD_COLUMNS = ["toxic_score", "toxic_spans", "Quality_Tail", "quality_expected", "_class", "__class", "_id", "__id", "_kept", "class", "label", "n", "row", "part", "meta.lang", "a`b", "two words", "doc_id_", "text_", "`", "text.x"]
 
 
 def odd_documents(spark):
     """Nulls in every column, an empty and a very long text, repeated rows, two texts under one id, clashing columns."""
     texts = [None, "", "plain words of a quiet day in the hills", "plain words of a quiet day in the hills", "a " * 40_000, "x" * 50_000, "same id one", "same id two"]
     ids = [None, 1, 2, 2, 3, 4, 5, 5]
-    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in ODD_COLUMNS)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c.replace('`', '``')}` string" for c in ODD_COLUMNS)
     rows = [(i, t, None, None, None, *[None if k % 2 else f"{c} {k}" for c in ODD_COLUMNS]) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
     rows.append(rows[2])
     return spark.createDataFrame(rows, schema)
@@ -75,6 +78,32 @@ def test_stages_pass_all_columns_on(spark, name, stage):
     assert none.columns == docs.columns and none.count() == 0
 
 
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_quality_stage_equals_scores_by_hand(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    tail = {r["doc_id"]: 1 / (1 + np.exp(model.thresholds[-1] - quality_score_by_loop(r["text"], model))) for r in docs.collect()}
+    kept = {r["doc_id"] for r in corpus_pipeline.good(spark, docs, SMALL).collect()}
+    assert kept == {i for i, p in tail.items() if p >= corpus_pipeline.KEEP_QUALITY} and 0 < len(kept) < len(tail)
+
+
+def test_toxicity_stage_equals_chains_by_hand(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = toxic.train(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    score = {}
+    for r in docs.collect():
+        word, begin, _, _, counts, _ = toxic.tokens(pa.array([r["text"]]))
+        w, b, left, right = toxic._features(word, begin, counts)
+        p, _ = chain_by_loop(model.bias + model.word[w] + model.start[b] + model.near[left] + model.near[right], model.moves)
+        number, most = p.sum(), p.max()
+        x = [1, np.log1p(number), np.clip(np.log(most + 1e-9) - np.log1p(1e-9 - most), -8, 8) / 3, np.log1p(100 * number / (len(p) + toxic.CALM))]
+        score[r["doc_id"]] = 1 / (1 + np.exp(-np.dot(x, model.document)))
+    kept = {r["doc_id"] for r in corpus_pipeline.civil(spark, docs, SMALL).collect()}
+    assert kept == {i for i, s in score.items() if s < toxic.THRESHOLD} and 0 < len(kept) < len(score)
+
+
 def test_packing_takes_odd_documents(spark):
     docs = odd_documents(spark)
     rows = corpus_pipeline.STAGES[3][1](spark, docs, "/root/testdata/sf0.001").collect()
