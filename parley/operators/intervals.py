@@ -1,7 +1,8 @@
 """Interval and as-of joins of words, segments, turns and clips, in whole microseconds inside.
 
-Overlap joins are equi-joins on (keys, time bin): both sides are spread over the bins they touch and a pair counts only in
-the bin where the later of the two starts lies, so nothing is met twice and a day-long recording splits over many tasks.
+Overlap joins go by a hierarchy of time bins: an interval lies in one or two bins of the level whose bins are as long as itself
+or longer, and looks for longer ones in its bins of the levels above. As-of joins go by blocks of time, each with what the blocks
+before it carry in. Neither needs a task for a whole meeting.
 """
 
 from __future__ import annotations
@@ -9,27 +10,70 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Length of a time bin in seconds.
+#: Length of a time bin of the lowest level in seconds; each level above has bins STEP times as long.
 BIN_SECONDS = 30
+STEP = 8
+#: Rows that look for longer intervals are dealt over so many parts of a bin, and longer ones are repeated for each.
+PARTS = 8
+#: Length of a block of an as-of join in seconds, and the segments whose ends are summed up together.
+BLOCK_SECONDS, BLOCK_SEGMENTS = 3600, 1024
 
 
 def micros(seconds: str | Column) -> Column:
     return F.round((F.col(seconds) if isinstance(seconds, str) else seconds) * 1_000_000).cast("long")
 
 
+def _level(start: str, end: str, size: int) -> Column:
+    """The lowest level with bins as long as the interval."""
+    return F.greatest(F.lit(0), F.ceil(F.log(float(STEP), (F.col(end) - F.col(start)) / float(size))).cast("int"))
+
+
+def _bins(start: Column, end: Column, level: Column, part: Column, size: int) -> Column:
+    """The bins of a level that an interval touches, as an array of (level, bin, part)."""
+    long_ = F.lit(float(size)) * F.pow(F.lit(float(STEP)), level)
+    numbers = F.sequence(F.floor(start / long_), F.floor((end - 1) / long_))
+    return F.transform(numbers, lambda k: F.struct(level.cast("int").alias("_level"), k.alias("_bin"), part.cast("int").alias("_part")))
+
+
+def _placed(df: DataFrame, start: str, end: str, others: Column, size: int, lower: int) -> DataFrame:
+    """df once for each place where it can meet the other side.
+
+    At its own level an interval meets others of that level in part 0. Shorter ones of the other side come to it in parts of
+    their own, lower + 1 and so on for the one side, and this one goes to longer ones (levels in `others`) likewise.
+    """
+    a, b, level = F.col(start), F.col(end), F.col("_own")
+    told = df.withColumns({"_own": _level(start, end, size), "_others": others})
+    own = _bins(a, b, level, F.lit(0), size)
+    mine = F.when(level > 0, F.flatten(F.transform(F.sequence(F.lit(1), F.lit(PARTS)), lambda p: _bins(a, b, level, p + lower, size))))
+    part = F.pmod(F.floor(a / float(size)), F.lit(PARTS)) + 1 + (PARTS - lower)
+    above = F.flatten(F.transform(F.filter("_others", lambda k: k > level), lambda k: _bins(a, b, k, part, size)))
+    none = F.slice(own, 1, 0)
+    places = F.concat(own, F.coalesce(mine, none), F.coalesce(above, none))
+    return told.withColumn("_place", F.explode(places)).select(*df.columns, "_place._level", "_place._bin", "_place._part")
+
+
+def _levels(df: DataFrame, start: str, end: str, size: int) -> Column:
+    """The levels that df's intervals have, as a subquery: a few numbers, whatever df holds."""
+    return df.select(F.collect_set(_level(start, end, size)).alias("levels")).scalar()
+
+
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], bin_seconds: int = BIN_SECONDS) -> DataFrame:
     """Pairs of rows of one key that overlap in time, with overlap_us. Both sides have start_us and end_us (end excluded).
 
     Columns of the right side must differ from the left's but for the keys; its interval comes back as r_start_us, r_end_us.
-    Empty or reversed intervals overlap nothing.
+    Empty or reversed intervals overlap nothing. Two intervals meet at the level of the longer one, and the pair counts only in
+    the bin where the later of the two starts lies. A level has bins of bin_seconds or STEP, STEP², … times as much, so that an
+    interval makes a handful of rows, however long it is, and a long recording splits over many tasks.
     """
     size = bin_seconds * 1_000_000
-    spread = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / size), F.floor((F.col(b) - 1) / size)))
-    a = left.where("end_us > start_us").withColumn("_bin", spread("start_us", "end_us"))
-    b = right.withColumnsRenamed({"start_us": "r_start_us", "end_us": "r_end_us"}).where("r_end_us > r_start_us").withColumn("_bin", spread("r_start_us", "r_end_us"))
+    left = left.where("end_us > start_us")
+    right = right.withColumnsRenamed({"start_us": "r_start_us", "end_us": "r_end_us"}).where("r_end_us > r_start_us")
+    a = _placed(left, "start_us", "end_us", _levels(right, "r_start_us", "r_end_us", size), size, 0)
+    b = _placed(right, "r_start_us", "r_end_us", _levels(left, "start_us", "end_us", size), size, PARTS)
     first = F.greatest("start_us", "r_start_us")
-    met = a.join(b, [*keys, "_bin"]).withColumn("overlap_us", F.least("end_us", "r_end_us") - first)
-    return met.where((F.col("overlap_us") > 0) & (F.floor(first / size) == F.col("_bin"))).drop("_bin")
+    met = a.join(b, [*keys, "_level", "_bin", "_part"]).withColumn("overlap_us", F.least("end_us", "r_end_us") - first)
+    here = F.floor(first / (F.lit(float(size)) * F.pow(F.lit(float(STEP)), F.col("_level")))) == F.col("_bin")
+    return met.where((F.col("overlap_us") > 0) & here).drop("_level", "_bin", "_part")
 
 
 def with_micros(df: DataFrame) -> DataFrame:
@@ -61,25 +105,47 @@ def word_speaker(words: DataFrame, turns: DataFrame, bin_seconds: int = BIN_SECO
     return _speaker_by_overlap(words, turns, None, bin_seconds)
 
 
-def bucket_words(words: DataFrame, segments: DataFrame) -> DataFrame:
+def _carried(summary: DataFrame, keys: list[str], block: str, values: dict[str, Column], before: bool = True) -> DataFrame:
+    """keys and block with each value over the blocks before (or behind) it: the scan over summaries, one row for each block."""
+    w = Window.partitionBy(*keys).orderBy(block)
+    w = w.rowsBetween(Window.unboundedPreceding, -1) if before else w.rowsBetween(1, Window.unboundedFollowing)
+    return summary.select(*keys, block, *[x.over(w).alias(n) for n, x in values.items()])
+
+
+def bucket_words(words: DataFrame, segments: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
     """Words (meeting_id, word_no, start_seconds, end_seconds, …) with the segment_id whose end first passes their midpoint.
 
     Neither words nor segments go back: a word counts with the largest midpoint so far, a segment with the largest end so
-    far. Words past the last end go to the last segment; without segments to none. One sort by meeting, no m x n join.
+    far. Words past the last end go to the last segment; without segments to none.
+
+    Both run in blocks: the largest midpoint of a block of time (the largest end of a block of segments) is carried into the
+    blocks behind it. Then each different midpoint of a block looks for its segment in its own block of ends, and takes the first
+    segment of the blocks behind if there is none: no task holds a meeting, and one word with a wrong time doesn't draw the
+    others into its block.
     """
-    m = Window.partitionBy("meeting_id")
+    m, size = ["meeting_id"], block_seconds * 1_000_000
     upto = Window.unboundedPreceding, Window.currentRow
-    w = with_micros(words).withColumn("_mid", F.col("start_us") + F.col("end_us"))
-    w = w.withColumn("_at", F.max("_mid").over(m.orderBy("start_us", "end_us", "word_no").rowsBetween(*upto)))
-    s = with_micros(segments).withColumn("_at", F.max(2 * F.col("end_us")).over(m.orderBy("segment_no").rowsBetween(*upto)))
-    marks = s.select("meeting_id", "_at", F.lit(1).alias("_kind"), "segment_no", F.col("id").alias("_segment"))
-    lines = w.select("meeting_id", "_at", F.lit(0).alias("_kind"), F.lit(None).cast("int").alias("segment_no"), F.lit(None).cast("long").alias("_segment"), F.struct(*[c for c in words.columns]).alias("_row"))
+    w = with_micros(words).withColumns({"_mid": F.col("start_us") + F.col("end_us"), "_block": F.floor(F.col("start_us") / size)})
+    most = _carried(w.groupBy(*m, "_block").agg(F.max("_mid").alias("_top")), m, "_block", {"_before": F.max("_top")})
+    inside = F.max("_mid").over(Window.partitionBy(*m, "_block").orderBy("start_us", "end_us", "word_no").rowsBetween(*upto))
+    w = w.withColumn("_inside", inside).join(most, [*m, "_block"], "left").withColumn("_at", F.greatest("_inside", "_before"))
+    s = segments.select(*m, "segment_no", F.col("id").alias("_segment"), (2 * micros("end_seconds")).alias("_end")).withColumn("_row", F.floor(F.col("segment_no") / BLOCK_SEGMENTS))
+    ends = _carried(s.groupBy(*m, "_row").agg(F.max("_end").alias("_top")), m, "_row", {"_before": F.max("_top")})
+    so_far = F.max("_end").over(Window.partitionBy(*m, "_row").orderBy("segment_no").rowsBetween(*upto))
+    s = s.withColumn("_inside", so_far).join(ends, [*m, "_row"]).withColumn("_at", F.greatest("_inside", "_before"))
     # a segment ends strictly after its words' midpoints, so at one time words come behind it: they belong to the next
-    both = marks.unionByName(lines, allowMissingColumns=True)
-    order = m.orderBy("_at", F.col("_kind").desc(), "segment_no")
+    marks = s.select(*m, "_at", F.lit(1).alias("_kind"), "segment_no", "_segment")
+    asked = w.select(*m, "_block", "_at").distinct()
+    both = marks.unionByName(asked.withColumn("_kind", F.lit(0)), allowMissingColumns=True).withColumn("_time", F.floor(F.col("_at") / (2 * size)))
+    mark = F.when(F.col("_kind") == 1, F.struct("_at", "segment_no", "_segment"))
+    summary = both.groupBy(*m, "_time").agg(F.min(mark)["_segment"].alias("_first"), F.max(F.when(F.col("_kind") == 1, F.struct("segment_no", "_segment"))).alias("_last"))
+    behind = _carried(summary, m, "_time", {"_next": F.first("_first", ignorenulls=True)}, before=False)
+    last = summary.select(*m, "_time", F.max("_last").over(Window.partitionBy(*m))["_segment"].alias("_final"))
+    order = Window.partitionBy(*m, "_time").orderBy("_at", F.col("_kind").desc(), "segment_no")
     ahead = F.first("_segment", ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    last = F.max(F.when(F.col("_kind") == 1, F.struct("segment_no", "_segment"))).over(m)["_segment"]
-    return both.withColumn("_found", F.coalesce(ahead, last)).where("_kind = 0").select("_row.*", F.col("_found").alias("bucket_id"))
+    found = both.withColumn("_ahead", ahead).where("_kind = 0").join(behind, [*m, "_time"]).join(last, [*m, "_time"])
+    found = found.select(*m, "_block", "_at", F.coalesce("_ahead", "_next", "_final").alias("bucket_id"))
+    return w.join(found, [*m, "_block", "_at"], "left").select(*words.columns, "bucket_id")
 
 
 def graft_text(segments: DataFrame, clips: DataFrame, minority: DataFrame) -> DataFrame:
@@ -101,14 +167,21 @@ def graft_text(segments: DataFrame, clips: DataFrame, minority: DataFrame) -> Da
     return out.withColumns({"text": F.coalesce("_text", "text"), "language": F.coalesce("_language", "language")}).drop("_text", "_language")
 
 
-def segment_at(segments: DataFrame, times: DataFrame) -> DataFrame:
-    """Times (meeting_id, time_id, seconds) with the 0-based ordinal of the last segment that starts by then (0.05 s early), else 0."""
-    m = Window.partitionBy("meeting_id")
-    s = segments.withColumns({"_at": micros("start_seconds"), "_no": F.row_number().over(m.orderBy("start_seconds", "id")) - 1})
-    t = times.withColumn("_at", micros("seconds") + 50_000)
-    both = s.select("meeting_id", "_at", F.lit(0).alias("_kind"), "_no").unionByName(t.select("meeting_id", "_at", F.lit(1).alias("_kind"), "time_id"), allowMissingColumns=True)
-    upto = m.orderBy("_at", "_kind", "_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn("ordinal", F.coalesce(F.last("_no", ignorenulls=True).over(upto), F.lit(0))).where("_kind = 1").select("meeting_id", "time_id", "ordinal")
+def segment_at(segments: DataFrame, times: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
+    """Times (meeting_id, time_id, seconds) with the 0-based ordinal of the last segment that starts by then (0.05 s early), else 0.
+
+    That is the number of such segments less one: those of the blocks of time before, summed up from a count for each block,
+    and those of the time's own block so far.
+    """
+    m, size = ["meeting_id"], block_seconds * 1_000_000
+    s = segments.select(*m, micros("start_seconds").alias("_at"), F.lit(0).alias("_kind"))
+    t = times.select(*m, (micros("seconds") + 50_000).alias("_at"), F.lit(1).alias("_kind"), "time_id")
+    both = s.unionByName(t, allowMissingColumns=True).withColumn("_block", F.floor(F.col("_at") / size))
+    counts = both.groupBy(*m, "_block").agg(F.count_if(F.col("_kind") == 0).alias("_n"))
+    before = _carried(counts, m, "_block", {"_before": F.sum("_n")})
+    inside = Window.partitionBy(*m, "_block").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    told = both.withColumn("_here", F.count_if(F.col("_kind") == 0).over(inside)).where("_kind = 1").join(before, [*m, "_block"])
+    return told.select(*m, "time_id", F.greatest(F.lit(0), F.col("_here") + F.coalesce("_before", F.lit(0)) - 1).cast("int").alias("ordinal"))
 
 
 def stitch_speech(pieces: DataFrame, chunk_seconds: float = 600.0) -> DataFrame:

@@ -99,10 +99,34 @@ def test_overlap_join_is_whole_and_single(spark):
     left = spark.createDataFrame(a, "meeting_id long, a long, start_us long, end_us long")
     right = spark.createDataFrame(b, "meeting_id long, b long, start_us long, end_us long")
     expected = sorted((x[1], y[1], min(x[3], y[3]) - max(x[2], y[2])) for x in a for y in b if x[0] == y[0] and min(x[3], y[3]) > max(x[2], y[2]))
-    for size in (7, 30, 1000):
+    for size in (1, 7, 30, 1000):
         assert rows(intervals.overlap_join(left, right, ["meeting_id"], size), "a", "b", "overlap_us") == sorted(expected, key=repr)
 
 
+def test_overlaps_of_all_lengths(spark):
+    """Lengths from a microsecond to a thousand years on both sides, at exact powers of the bins too."""
+    rng = random.Random(8)
+    year = 365 * 86_400_000_000
+    make = lambda n: [(rng.randint(0, 1), k, s := rng.choice([0, rng.randint(-year, year), 240_000_000 * rng.randint(0, 9)]), s + rng.choice([1, 30_000_000, 240_000_000, rng.randint(1, 10 ** rng.randint(1, 13)), 1000 * year])) for k in range(n)]
+    a, b = make(60), make(60)
+    left = spark.createDataFrame(a, "meeting_id long, a long, start_us long, end_us long")
+    right = spark.createDataFrame(b, "meeting_id long, b long, start_us long, end_us long")
+    expected = [(x[1], y[1], min(x[3], y[3]) - max(x[2], y[2])) for x in a for y in b if x[0] == y[0] and min(x[3], y[3]) > max(x[2], y[2])]
+    assert rows(intervals.overlap_join(left, right, ["meeting_id"]), "a", "b", "overlap_us") == sorted(expected, key=repr)
+
+
+def test_a_thousand_years_make_a_handful_of_rows(spark):
+    long_ = spark.createDataFrame([(1, 1, 0, 1000 * 365 * 86_400_000_000)], "meeting_id long, a long, start_us long, end_us long")
+    others = spark.createDataFrame([(1, k, k * 1_000_000, k * 1_000_000 + 5) for k in range(20)], "meeting_id long, b long, start_us long, end_us long")
+    size = 30_000_000
+    placed = intervals._placed(long_, "start_us", "end_us", intervals._levels(others, "start_us", "end_us", size), size, 0)
+    assert placed.count() <= 2 * (1 + intervals.PARTS)
+    assert intervals._placed(others, "start_us", "end_us", intervals._levels(others, "start_us", "end_us", size), size, 0).count() == 20
+    assert intervals.overlap_join(others.withColumnRenamed("b", "a"), long_.withColumnRenamed("a", "b"), ["meeting_id"]).count() == 20
+    none = others.where("false")
+    assert intervals.overlap_join(none.withColumnRenamed("b", "a"), long_.withColumnRenamed("a", "b"), ["meeting_id"]).count() == 0
+
+
 def test_segment_speaker_ratio_and_ties(spark):
     s = spark.createDataFrame([(1, 1, 0.0, 10.0), (2, 1, 10.0, 20.0), (3, 1, 20.0, 30.0)], "id long, meeting_id long, start_seconds double, end_seconds double")
     t = spark.createDataFrame([(1, 1, 0.0, 2.0, "B"), (1, 2, 2.0, 4.0, "A"), (1, 3, 10.0, 12.9, "A"), (1, 4, 21.0, 24.0, "A")], "meeting_id long, turn_no int, start_seconds double, end_seconds double, speaker string")
@@ -110,7 +134,7 @@ def test_segment_speaker_ratio_and_ties(spark):
     assert rows(intervals.word_speaker(s, t), "id", "speaker") == [(1, "B"), (2, "A"), (3, "A")]
 
 
-def test_words_in_buckets_equal_a_cursor(spark):
+def test_words_in_buckets_equal_a_cursor(spark, monkeypatch):
     rng = random.Random(7)
     segments, words, expected = [], [], []
     for m in range(40):
@@ -126,7 +150,26 @@ def test_words_in_buckets_equal_a_cursor(spark):
         segments += mine
     s = spark.createDataFrame(segments, "id long, meeting_id long, segment_no int, start_seconds double, end_seconds double")
     w = spark.createDataFrame(words, "meeting_id long, word_no int, start_seconds double, end_seconds double")
-    assert rows(intervals.bucket_words(w, s), "meeting_id", "word_no", "bucket_id") == sorted(expected, key=repr)
+    for block, segments_ in ((3600, 1024), (2, 2), (7, 1)):
+        monkeypatch.setattr(intervals, "BLOCK_SEGMENTS", segments_)
+        assert rows(intervals.bucket_words(w, s, block), "meeting_id", "word_no", "bucket_id") == sorted(expected, key=repr)
+    silent = intervals.bucket_words(w, s.where("meeting_id > 3"), 2)
+    assert silent.count() == len(words) and silent.where("meeting_id <= 3 and bucket_id is not null").count() == 0
+
+
+def test_blocks_split_a_meeting(spark):
+    """No block of a long meeting holds it, even behind a word that claims to end in a thousand years."""
+    words = spark.range(4000).select(F.lit(1).cast("long").alias("meeting_id"), F.col("id").cast("int").alias("word_no"), (F.col("id") * 10.0).alias("start_seconds"), F.when(F.col("id") == 5, 3.2e10).otherwise(F.col("id") * 10.0 + 4).alias("end_seconds"))
+    segments = spark.range(400).select("id", F.lit(1).cast("long").alias("meeting_id"), F.col("id").cast("int").alias("segment_no"), (F.col("id") * 100.0).alias("start_seconds"), ((F.col("id") + 1) * 100.0).alias("end_seconds"))
+    told = {r["word_no"]: r["bucket_id"] for r in intervals.bucket_words(words, segments).collect()}
+    assert told == {k: 0 if k < 5 else 399 for k in range(4000)}
+    told = intervals.bucket_words(words.where("word_no <> 5"), segments)
+    assert told.where("bucket_id <> cast(word_no / 10 as int)").count() == 0
+    assert "hashpartitioning(meeting_id#" in (plan := told._jdf.queryExecution().toString()) and "_block" in plan
+    times = words.select("meeting_id", F.col("word_no").alias("time_id"), (F.col("start_seconds") - 30).alias("seconds"))
+    for block in (50, 3600):
+        got = {r["time_id"]: r["ordinal"] for r in intervals.segment_at(segments, times, block).collect()}
+        assert got == {k: max(0, int((k * 10 - 30 + 0.05) // 100)) for k in range(4000)}
 
 
 def test_phantoms(spark):
