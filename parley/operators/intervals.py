@@ -28,28 +28,23 @@ def _level(start: str, end: str, size: int) -> Column:
     return F.greatest(F.lit(0), F.ceil(F.log(float(STEP), (F.col(end) - F.col(start)) / float(size))).cast("int"))
 
 
-def _bins(start: Column, end: Column, level: Column, part: Column, size: int) -> Column:
-    """The bins of a level that an interval touches, as an array of (level, bin, part)."""
-    long_ = F.lit(float(size)) * F.pow(F.lit(float(STEP)), level)
-    numbers = F.sequence(F.floor(start / long_), F.floor((end - 1) / long_))
-    return F.transform(numbers, lambda k: F.struct(level.cast("int").alias("_level"), k.alias("_bin"), part.cast("int").alias("_part")))
+def _bin(us: Column | str, level: Column, size: int) -> Column:
+    """The number of the bin of a level in which a moment lies."""
+    return F.floor((F.col(us) if isinstance(us, str) else us) / (F.pow(F.lit(float(STEP)), level) * float(size)))
 
 
 def _placed(df: DataFrame, start: str, end: str, others: Column, size: int, lower: int) -> DataFrame:
-    """df once for each place where it can meet the other side.
+    """df once for each place (_level, _bin, _part) where it can meet the other side.
 
     At its own level an interval meets others of that level in part 0. Shorter ones of the other side come to it in parts of
     their own, lower + 1 and so on for the one side, and this one goes to longer ones (levels in `others`) likewise.
     """
-    a, b, level = F.col(start), F.col(end), F.col("_own")
-    told = df.withColumns({"_own": _level(start, end, size), "_others": others})
-    own = _bins(a, b, level, F.lit(0), size)
-    mine = F.when(level > 0, F.flatten(F.transform(F.sequence(F.lit(1), F.lit(PARTS)), lambda p: _bins(a, b, level, p + lower, size))))
-    part = F.pmod(F.floor(a / float(size)), F.lit(PARTS)) + 1 + (PARTS - lower)
-    above = F.flatten(F.transform(F.filter("_others", lambda k: k > level), lambda k: _bins(a, b, k, part, size)))
-    none = F.slice(own, 1, 0)
-    places = F.concat(own, F.coalesce(mine, none), F.coalesce(above, none))
-    return told.withColumn("_place", F.explode(places)).select(*df.columns, "_place._level", "_place._bin", "_place._part")
+    told = df.withColumns({"_own": _level(start, end, size), "_others": F.concat(F.array(F.lit(-1)), others)})
+    told = told.withColumn("_level", F.explode("_others")).where("_level = -1 or _level > _own").withColumn("_level", F.greatest("_level", "_own")).drop("_others")
+    told = told.withColumn("_bin", F.explode(F.sequence(_bin(start, F.col("_level"), size), _bin(F.col(end) - 1, F.col("_level"), size))))
+    here, shorter = F.col("_level") == F.col("_own"), F.sequence(F.lit(1 + lower), F.lit(PARTS + lower))
+    away = F.array((F.pmod(F.floor(F.col(start) / float(size)), F.lit(PARTS)) + (1 + PARTS - lower)).cast("int"))
+    return told.withColumn("_part", F.explode(F.when(~here, away).when(F.col("_own") > 0, F.concat(F.array(F.lit(0)), shorter)).otherwise(F.array(F.lit(0))))).drop("_own")
 
 
 def _levels(df: DataFrame, start: str, end: str, size: int) -> Column:
@@ -63,7 +58,8 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], bin_seconds
     Columns of the right side must differ from the left's but for the keys; its interval comes back as r_start_us, r_end_us.
     Empty or reversed intervals overlap nothing. Two intervals meet at the level of the longer one, and the pair counts only in
     the bin where the later of the two starts lies. A level has bins of bin_seconds or STEP, STEP², … times as much, so that an
-    interval makes a handful of rows, however long it is, and a long recording splits over many tasks.
+    interval makes a handful of rows, however long it is, and a long recording splits over many tasks. bin_seconds: best about
+    the length of most of the longer side's intervals, so that few have to be looked for above.
     """
     size = bin_seconds * 1_000_000
     left = left.where("end_us > start_us")
@@ -72,8 +68,7 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], bin_seconds
     b = _placed(right, "r_start_us", "r_end_us", _levels(left, "start_us", "end_us", size), size, PARTS)
     first = F.greatest("start_us", "r_start_us")
     met = a.join(b, [*keys, "_level", "_bin", "_part"]).withColumn("overlap_us", F.least("end_us", "r_end_us") - first)
-    here = F.floor(first / (F.lit(float(size)) * F.pow(F.lit(float(STEP)), F.col("_level")))) == F.col("_bin")
-    return met.where((F.col("overlap_us") > 0) & here).drop("_level", "_bin", "_part")
+    return met.where((F.col("overlap_us") > 0) & (_bin(first, F.col("_level"), size) == F.col("_bin"))).drop("_level", "_bin", "_part")
 
 
 def with_micros(df: DataFrame) -> DataFrame:

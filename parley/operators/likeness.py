@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.text import normalised
+from parley.operators.graphs import components
+from parley.sources.stage import stored
 
 #: Shorter texts are alike only when they are equal; so many characters in a row find where a longer one may lie.
 LEAST = 12
@@ -47,6 +49,17 @@ def like_texts(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return same.union(within).union(around)
 
 
+def like_components(texts: DataFrame, on: list[str]) -> DataFrame:
+    """on, _text, _root of the distinct normalised texts (on, _text) that are like another one of their group by R9: texts that
+    hang together through likeness have one root, a number; others may share it by chance, which only makes a group larger."""
+    pairs = _parts(texts, texts, on)
+    node = lambda text: F.xxhash64(*on, text)
+    pairs = stored(pairs, "like")
+    roots = components(pairs.select(node("_short").alias("a"), node("_long").alias("b")))
+    met = pairs.select(*on, F.explode(F.array("_short", "_long")).alias("_text")).distinct()
+    return met.withColumn("node", node("_text")).join(roots, "node").select(*on, "_text", F.col("root").alias("_root"))
+
+
 def like_items(items: DataFrame, on: list[str]) -> DataFrame:
     """id, other (id < other): pairs of items that stand for like texts, and each further item of a text with the first.
 

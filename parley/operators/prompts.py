@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions.text import estimate_tokens, has_risk_cue, normalised, prompt_line, speaker_name
+from parley.operators.likeness import like_components
+from parley.sources.stage import stored
 
 BUDGET = 4500.0
 
@@ -81,6 +83,21 @@ def similar_normalised(a: str, b: str) -> bool:
     return bool(short) and (a == b or (len(short) >= 12 and short in long_))
 
 
+def _fold_copies(rows: DataFrame, group: list[str], columns: list[str], details: list[str]) -> DataFrame:
+    """Rows of one text folded by aggregates, however many there are: what `fold_items` says for rows that are all alike."""
+    order = F.struct("chunk_no", "item_no")
+    some = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c))
+    filled = [F.min_by(some(c), F.when(some(c).isNotNull(), order)).alias(f"_{c}") for c in details]
+    longest = F.max_by("description", F.struct(F.length("description"), -F.col("chunk_no"), -F.col("item_no")))
+    told = rows.groupBy(*group).agg(F.min_by(F.struct(*columns), order).alias("_first"), longest.alias("_description"), F.count("*").alias("_rows"), *filled)
+    cited = rows.select(*group, F.explode("source_segment_ids").alias("_id")).groupBy(*group).agg(F.array_sort(F.collect_set("_id")).alias("_ids"))
+    told = told.join(cited, group, "left")
+    none = F.array().cast("array<long>")
+    own = F.coalesce("_first.source_segment_ids", none)
+    new = {"description": F.col("_description"), "source_segment_ids": F.when(F.col("_rows") > 1, F.coalesce("_ids", none)).otherwise(own)} | {c: F.coalesce(f"_{c}", f"_first.{c}") for c in details}
+    return told.select(*[new.get(c, F.col(f"_first.{c}")).alias(c) for c in columns])
+
+
 def fold_items(items: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
     """Near-duplicates of a (meeting_id, category) folded in chunk and item order.
 
@@ -88,20 +105,26 @@ def fold_items(items: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
 
     The first kept row that is like a new one takes its citations (sorted union), its description if longer (later rows are
     compared with that), and its owner, due, date and mitigation where it has none. Meetings with one parsed chunk stay as they are.
+
+    A kept description is always one of the input, so that rows can only fold within a component of like texts. Components come
+    from a join (`like_components`); texts that are like no other fold with their copies by aggregates. Only rows of a component
+    of several texts are folded one after the other, a component at a time.
     """
-    details = [c for c in ("owner", "due", "date", "mitigation") if c in items.columns]
+    on, columns = ["meeting_id", "category"], list(items.columns)
+    details = [c for c in ("owner", "due", "date", "mitigation") if c in columns]
     told = items.withColumn("_norm", normalised(F.col("description")))
     chunks = (told if parsed is None else parsed).groupBy("meeting_id").agg(F.count_distinct("chunk_no").alias("_chunks"))
-    told = told.join(chunks, "meeting_id", "left").withColumn("_chunks", F.coalesce("_chunks", F.lit(0)))
-
-    columns = list(items.columns)
+    told = told.join(chunks, "meeting_id", "left").withColumn("_several", F.coalesce("_chunks", F.lit(0)) > 1).drop("_chunks")
+    several = told.where("_several").drop("_several")
+    named = several.where("_norm <> ''")
+    roots = stored(like_components(named.select(*on, F.col("_norm").alias("_text")).distinct(), on).withColumnRenamed("_text", "_norm"), "roots")
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         kept: list[dict] = []
         for row in group.sort_values(["chunk_no", "item_no"]).to_dict("records"):
             row["source_segment_ids"] = list(row["source_segment_ids"]) if row["source_segment_ids"] is not None else []
             norm = row["_norm"]
-            at = next((k for k, old in enumerate(kept) if similar_normalised(old["_norm"], norm)), None) if norm else None
+            at = next((k for k, old in enumerate(kept) if similar_normalised(old["_norm"], norm)), None)
             if at is None:
                 kept.append(row)
                 continue
@@ -114,5 +137,7 @@ def fold_items(items: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
                     old[c] = row[c]
         return pd.DataFrame(kept, columns=group.columns)[columns]
 
-    several = told.where("_chunks > 1").drop("_chunks").groupBy("meeting_id", "category").applyInPandas(fold, items.schema)
-    return several.unionByName(told.where("_chunks <= 1").select(items.columns))
+    linked = named.join(roots, [*on, "_norm"]).groupBy(*on, "_root").applyInPandas(fold, items.schema)
+    copies = _fold_copies(named.join(roots, [*on, "_norm"], "left_anti"), [*on, "_norm"], columns, details)
+    blank = several.where("_norm = ''").withColumn("source_segment_ids", F.coalesce("source_segment_ids", F.array().cast("array<long>")))
+    return linked.unionByName(copies).unionByName(blank.select(columns)).unionByName(told.where("not _several").select(columns))

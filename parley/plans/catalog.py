@@ -19,7 +19,7 @@ from parley.streaming import progress
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 #: Bins for the long segments that are made of events.
-HOURS = 6 * 3600
+HOURS = 12 * 3600
 
 
 def query(oracle: str | None = None):
@@ -64,7 +64,7 @@ def j2_segment_speaker(f):
 
 @query(ctes("words_a", "turns") + _OVERLAP.format(items="words_a") + "SELECT w.id, w.meeting_id, b.speaker FROM words_a w LEFT JOIN best b ON b.id = w.id AND r = 1")
 def j3_word_speaker(f):
-    return intervals.word_speaker(f.words_a, f.turns, 1800).select("id", "meeting_id", "speaker")
+    return intervals.word_speaker(f.words_a, f.turns, HOURS).select("id", "meeting_id", "speaker")
 
 
 _WORD_SPEAKER = ctes("words_a", "turns") + _OVERLAP.format(items="words_a") + ", heard AS (SELECT w.*, b.speaker FROM words_a w LEFT JOIN best b ON b.id = w.id AND r = 1)"
@@ -77,7 +77,7 @@ _FILLED = (
 
 @query(_FILLED + "SELECT id, meeting_id, speaker FROM filled")
 def w1_fill_word_speakers(f):
-    return speakers.fill_word_speakers(intervals.word_speaker(f.words_a, f.turns, 1800)).select("id", "meeting_id", "speaker")
+    return speakers.fill_word_speakers(intervals.word_speaker(f.words_a, f.turns, HOURS)).select("id", "meeting_id", "speaker")
 
 
 @query(
@@ -87,18 +87,18 @@ def w1_fill_word_speakers(f):
     SELECT meeting_id, segment_id, CAST(run_no AS BIGINT) AS run_no, any_value(speaker) AS speaker, min(word_no) AS first_word, max(word_no) AS last_word, count(*) AS words, min(start_seconds) AS start_seconds, max(end_seconds) AS end_seconds FROM numbered GROUP BY meeting_id, segment_id, run_no"""
 )
 def w2_speaker_runs(f):
-    return speakers.speaker_runs(speakers.fill_word_speakers(intervals.word_speaker(f.words_a, f.turns, 1800)))
+    return speakers.speaker_runs(speakers.fill_word_speakers(intervals.word_speaker(f.words_a, f.turns, HOURS)))
 
 
 @query()
 def r8_smooth_runs(f):
-    runs = speakers.speaker_runs(speakers.fill_word_speakers(intervals.word_speaker(f.words_a, f.turns, 1800)))
+    runs = speakers.speaker_runs(speakers.fill_word_speakers(intervals.word_speaker(f.words_a, f.turns, HOURS)))
     return speakers.smooth_runs(runs.withColumns({"start_seconds": F.col("start_seconds") / 3600, "end_seconds": F.col("start_seconds") / 3600 + F.col("words") * 0.3}))
 
 
 @query()
 def r7_split_by_speaker(f):
-    return speakers.split_by_speaker(f.segments_a, f.words_a.where("segment_id % 7 <> 3"), f.turns, 0.01, 1800)
+    return speakers.split_by_speaker(f.segments_a, f.words_a.where("segment_id % 7 <> 3"), f.turns, 0.01, HOURS)
 
 
 @query(
@@ -498,7 +498,24 @@ def r2_parse_items(f):
     return items.select("meeting_id", "chunk_no", "category", "item_no", "description", "owner", joined("source_segment_ids").alias("segment_ids"))
 
 
-@query()
+_LIKE = "x.norm <> '' AND n.norm <> '' AND (x.norm = n.norm OR (least(length(x.norm), length(n.norm)) >= 12 AND CASE WHEN length(x.norm) <= length(n.norm) THEN contains(n.norm, x.norm) ELSE contains(x.norm, n.norm) END))"
+_FILL = ", ".join(f"{c} := CASE WHEN coalesce(o.{c}, '') = '' THEN coalesce(nullif(n.{c}, ''), o.{c}) ELSE o.{c} END" for c in ("owner", "due", "date", "mitigation"))
+
+
+@query(
+    ctes("items", "summaries")
+    + ", several AS (SELECT meeting_id FROM summaries GROUP BY meeting_id HAVING count(DISTINCT chunk_no) > 1), k AS (SELECT *, "
+    + _NORM.format("description")
+    + f""" AS norm, row_number() OVER (PARTITION BY meeting_id, category ORDER BY chunk_no, item_no) AS k FROM items SEMI JOIN several USING (meeting_id)),
+    walk AS (SELECT meeting_id, category, k, [struct_pack(id := id, chunk_no := chunk_no, item_no := item_no, norm := norm, description := description, owner := owner, due := due, date := date, mitigation := mitigation, ids := source_segment_ids)] AS kept FROM k WHERE k = 1
+    UNION ALL SELECT meeting_id, category, k, CASE WHEN pos IS NULL THEN list_append(kept, n) ELSE list_concat(list_concat(kept[1:pos - 1],
+        [struct_pack(id := o.id, chunk_no := o.chunk_no, item_no := o.item_no, norm := CASE WHEN length(n.description) > length(o.description) THEN n.norm ELSE o.norm END, description := CASE WHEN length(n.description) > length(o.description) THEN n.description ELSE o.description END, {_FILL}, ids := list_sort(list_distinct(list_concat(o.ids, n.ids))))]), kept[pos + 1:]) END
+        FROM (SELECT *, kept[pos] AS o FROM (SELECT w.meeting_id, w.category, w.kept, r.k, r.n, nullif(list_position(list_transform(w.kept, lambda x: {_LIKE.replace("n.norm", "r.n.norm")}), true), 0) AS pos
+            FROM walk w JOIN (SELECT meeting_id, category, k, struct_pack(id := id, chunk_no := chunk_no, item_no := item_no, norm := norm, description := description, owner := owner, due := due, date := date, mitigation := mitigation, ids := source_segment_ids) AS n FROM k) r ON r.meeting_id = w.meeting_id AND r.category = w.category AND r.k = w.k + 1))),
+    done AS (SELECT meeting_id, category, unnest(kept) AS x FROM (SELECT *, row_number() OVER (PARTITION BY meeting_id, category ORDER BY k DESC) AS r FROM walk) WHERE r = 1)
+    SELECT x.id AS id, meeting_id, x.chunk_no AS chunk_no, category, x.item_no AS item_no, x.description AS description, x.owner AS owner, x.due AS due, x.date AS date, x.mitigation AS mitigation, array_to_string(x.ids, ',') AS source_segment_ids FROM done
+    UNION ALL SELECT id, meeting_id, chunk_no, category, item_no, description, owner, due, date, mitigation, array_to_string(source_segment_ids, ',') FROM items ANTI JOIN several USING (meeting_id)"""
+)
 def r10_fold_items(f):
     folded = prompts.fold_items(f.items, f.summaries)
     return folded.withColumn("source_segment_ids", joined("source_segment_ids"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parley.functions.text import normalised
-from parley.operators import changes, followup, headings, insights, intervals, language, prompts, reads, replies, report, speakers
+from parley.operators import changes, followup, graphs, headings, insights, intervals, language, prompts, reads, replies, report, speakers
 from parley.sources import tables
 
 
@@ -292,6 +292,58 @@ def test_folding(spark):
     )
 
 
+def plain_fold(rows_):
+    """The rule row by row: rows are dicts with chunk_no, item_no, description, owner, source_segment_ids and norm."""
+    kept = []
+    for row in sorted(rows_, key=lambda r: (r["chunk_no"], r["item_no"])):
+        row = dict(row, source_segment_ids=list(row["source_segment_ids"] or []))
+        like = lambda a, b: a == b or (min(len(a), len(b)) >= 12 and (a in b or b in a))
+        old = next((o for o in kept if row["norm"] and o["norm"] and like(o["norm"], row["norm"])), None)
+        if old is None:
+            kept.append(row)
+            continue
+        old["source_segment_ids"] = sorted({*old["source_segment_ids"], *row["source_segment_ids"]})
+        if len(row["description"]) > len(old["description"]):
+            old["description"], old["norm"] = row["description"], row["norm"]
+        old["owner"] = old["owner"] or row["owner"]
+    return kept
+
+
+def test_folding_equals_a_loop_on_random_groups(spark):
+    rng = random.Random(21)
+    base = "send the report to the whole team and call the client before noon tomorrow"
+    schema = "meeting_id long, chunk_no int, category string, item_no int, description string, owner string, source_segment_ids array<long>, extra string"
+    made = []
+    for m in range(12):
+        for k in range(40):
+            a = rng.randint(0, 30)
+            text = rng.choice([base[a : a + rng.randint(8, 44)], base[a:].upper() + "!", "Copy of one line", " ", None, "short", f"alone {k} among all others"])
+            made.append((m, rng.randint(1, 3), rng.choice("ab"), k, text, rng.choice([None, "", "Wei"]), rng.choice([None, [rng.randint(0, 9), rng.randint(0, 9)]]), "x"))
+    made += [(99, k % 2, "a", k, "The very same line " + "." * (k % 3), "Ann" if k == 30 else None, [k]) + ("x",) for k in range(400)]
+    items = spark.createDataFrame(made, schema)
+    norm = {r["description"]: r["n"] for r in items.select("description", normalised(F.col("description")).alias("n")).distinct().collect()}
+    groups = defaultdict(list)
+    for m, c, g, k, text, owner, ids, _ in made:
+        groups[m, g].append({"chunk_no": c, "item_no": k, "description": text, "owner": owner, "source_segment_ids": ids, "norm": norm[text]})
+    expected = [(m, g, r["item_no"], r["description"], r["owner"] or "", r["source_segment_ids"]) for (m, g), mine in groups.items() for r in plain_fold(mine)]
+    got = [(m, g, k, t, o or "", i) for m, g, k, t, o, i in rows(prompts.fold_items(items), "meeting_id", "category", "item_no", "description", "owner", "source_segment_ids")]
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+
+
+def test_components(spark):
+    rng = random.Random(4)
+    edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(170)] + [(1000 + k, 1001 + k) for k in range(60)] + [(5000, 5001 + k) for k in range(80)] + [(7, 7)]
+    root = {}
+    find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+    for a, b in edges:
+        if a != b:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    got = graphs.components(spark.createDataFrame(edges, "a long, b long"))
+    assert {r["node"]: r["root"] for r in got.collect()} == {x: find(x) for x in root}
+    assert graphs.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_replies(spark):
     content = [
         (1, 1, 1, "no json"),
