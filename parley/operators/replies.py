@@ -9,6 +9,9 @@ from parley.functions.text import normalised, reply_json
 from parley.operators.likeness import like_texts
 
 CATEGORIES = {"actionitems": "action_items", "decisions": "decisions", "deadlines": "deadlines", "issues": "issues", "risks": "risks"}
+#: The detail fields that each category's items have; others are ignored, whatever they hold.
+FIELDS = {"action_items": ("owner", "due"), "decisions": (), "deadlines": ("date",), "issues": (), "risks": ("mitigation",)}
+BLANK = " \t\n\r\x0b\x0c"
 VERDICTS = ("completed", "in_progress", "blocked", "changed")
 
 
@@ -21,34 +24,55 @@ def first_parseable(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, none
 
 
+def _stripped(text: Column) -> Column:
+    return F.btrim(text, F.lit(BLANK))
+
+
+def _whole(v: Column, truncate: bool) -> Column:
+    """A JSON value as a whole number, or null: numbers (with truncate cut off, else only whole ones), true and false as 1 and
+    0, and texts of digits with a sign (without truncate also with '.0' behind)."""
+    kind = F.schema_of_variant(v)
+    number, text = F.try_variant_get(v, "$", "double"), _stripped(F.try_variant_get(v, "$", "string"))
+    digits = F.when(text.rlike(r"^[+-]?[0-9]+$" if truncate else r"^[+-]?[0-9]+(\.0+)?$"), F.regexp_replace(text, r"\.0+$", "").try_cast("long"))
+    exact = number.try_cast("long") if truncate else F.when(number == F.floor(number), number.try_cast("long"))
+    return F.when(kind == "BIGINT", F.try_variant_get(v, "$", "bigint")).when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("long")).when(kind == "STRING", digits).when(kind.rlike("^(DOUBLE|FLOAT|DECIMAL)"), exact)
+
+
 def parse_items(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """R2: rows of parsed replies (meeting_id, chunk_no, json) as items and as chunk summaries ('' if missing).
+    """R2: rows of parsed replies (meeting_id, chunk_no, json) as items and as chunk summaries (trimmed, '' if missing).
 
-    Object keys are matched whatever their case and punctuation. Each list item is read on its own: its keys in lower case,
-    a single citation as a list, numeric texts and whole numbers as ids; items of a wrong shape or with a blank description
-    are left out. item_no is the item's place in its list, from 0. A reply that isn't an object gives nothing.
+    Object keys are matched whatever their case and punctuation, the last of several that are the same so. Each list item is read
+    on its own: its keys in lower case; a single number or text as a list of one citation; numeric texts and whole numbers as
+    ids. An item goes if its description is blank or no text, if a field of its category is no text, or if its citations are
+    null, a single fraction or anything else that is no list of ids; a missing list is empty. Fields of other categories are
+    ignored. item_no is the item's place in its list, from 0. A reply that isn't an object gives nothing.
     """
     objects = parsed.where(F.ltrim("json").startswith("{")).withColumn("_map", F.from_json("json", "map<string,string>"))
-    each = objects.select("meeting_id", "chunk_no", F.explode("_map").alias("key", "value")).withColumn("key", F.regexp_replace(F.lower("key"), r"(?U)[^\p{L}\p{N}]", ""))
+    each = objects.select("meeting_id", "chunk_no", F.posexplode("_map").alias("_n", "key", "value")).withColumn("key", F.regexp_replace(F.lower("key"), r"(?U)[^\p{L}\p{N}]", ""))
+    each = each.groupBy("meeting_id", "chunk_no", "key").agg(F.max(F.struct("_n", "value"))["value"].alias("value"))
     names = F.create_map(*[F.lit(x) for pair in CATEGORIES.items() for x in pair])
     lists = each.withColumn("category", F.try_element_at(names, F.col("key"))).where("category is not null").where(F.ltrim("value").startswith("["))
     rows = lists.select("meeting_id", "chunk_no", "category", F.posexplode(F.from_json("value", "array<string>")).alias("item_no", "item")).where(F.ltrim("item").startswith("{"))
-    fields = F.explode(F.from_json("item", "map<string,variant>")).alias("field", "v")
+    fields = F.posexplode(F.from_json("item", "map<string,variant>")).alias("_n", "field", "v")
     rows = rows.select("meeting_id", "chunk_no", "category", "item_no", fields).withColumn("field", F.lower("field"))
-    # a value with its own kind: a description that is a number, list or object makes the item ill-shaped
     kind = F.schema_of_variant("v")
-    plain = F.when(kind == "STRING", F.try_variant_get("v", "$", "string")).when(kind != "VOID", F.to_json("v"))
-    value = lambda name, x: F.max(F.when(F.col("field") == name, x))
+    text = F.when(kind == "STRING", F.try_variant_get("v", "$", "string"))
+    single, several = kind.isin("BIGINT", "BOOLEAN", "STRING"), kind.startswith("ARRAY")
+    ids = F.when(single, F.array(_whole(F.col("v"), False))).when(several, F.transform(F.try_variant_get("v", "$", "array<variant>"), lambda x: _whole(x, False)))
+    # of a key that stands twice the last counts
+    told = F.struct("_n", text.alias("text"), kind.alias("kind"), F.when(F.col("field") == "source_segment_ids", ids).alias("ids"))
+    last = lambda name: F.max_by(F.when(F.col("field") == name, told), F.when(F.col("field") == name, F.col("_n")))
     texts = ("description", "owner", "due", "date", "mitigation")
-    odd = F.max(F.col("field").isin(*texts) & ~kind.isin("STRING", "VOID"))
-    wide = rows.groupBy("meeting_id", "chunk_no", "category", "item_no").agg(*[value(n, plain).alias(n) for n in (*texts, "source_segment_ids")], odd.alias("_odd"))
-    shaped = ~F.col("_odd")
-    ids = F.when(F.col("source_segment_ids").isNull(), F.array().cast("array<string>")).when(F.ltrim("source_segment_ids").startswith("["), F.from_json("source_segment_ids", "array<string>")).otherwise(F.array("source_segment_ids"))
-    number = lambda x: F.regexp_replace(F.trim(x), r"\.0+$", "").try_cast("long")
-    told = wide.where(shaped & (F.trim(F.coalesce("description", F.lit(""))) != "")).withColumn("_ids", ids)
-    told = told.where(~F.exists("_ids", lambda x: number(x).isNull()))
-    items = told.select("meeting_id", "chunk_no", "category", "item_no", "description", "owner", "due", "date", "mitigation", F.transform("_ids", number).alias("source_segment_ids"))
-    summary = each.where("key = 'chunksummary'").groupBy("meeting_id", "chunk_no").agg(F.max("value").alias("summary"))
+    wide = rows.groupBy("meeting_id", "chunk_no", "category", "item_no").agg(*[last(n).alias(n) for n in (*texts, "source_segment_ids")])
+    shaped, shown = F.col("description.kind") == "STRING", {}
+    for name in texts[1:]:
+        own = F.col("category").isin([c for c, with_ in FIELDS.items() if name in with_])
+        shaped &= ~own | F.coalesce(F.col(f"{name}.kind").isin("STRING", "VOID"), F.lit(True))
+        shown[name] = F.when(own, F.col(f"{name}.text")).alias(name)
+    cited = F.when(F.col("source_segment_ids").isNull(), F.array().cast("array<long>")).otherwise(F.col("source_segment_ids.ids")).alias("source_segment_ids")
+    items = wide.where(shaped & (_stripped(F.col("description.text")) != "")).select("meeting_id", "chunk_no", "category", "item_no", F.col("description.text").alias("description"), *shown.values(), cited)
+    items = items.where(F.col("source_segment_ids").isNotNull() & ~F.exists("source_segment_ids", lambda x: x.isNull()))
+    summary = each.where("key = 'chunksummary'").select("meeting_id", "chunk_no", _stripped(F.col("value")).alias("summary"))
     summaries = objects.select("meeting_id", "chunk_no").join(summary, ["meeting_id", "chunk_no"], "left").withColumn("summary", F.coalesce("summary", F.lit("")))
     return items, summaries
 
@@ -63,12 +87,14 @@ def ground(items: DataFrame, chunks: DataFrame) -> DataFrame:
 def parse_verdict(replies: DataFrame, excerpts: DataFrame) -> DataFrame:
     """meeting_id, action_id, status, cited, note, source_segment_id of the replies that hold a verdict.
 
-    excerpts: meeting_id, action_id, number (from 1), segment_id. The status is trimmed, in lower case, with '_' for spaces;
-    citations are cast to numbers, valid ones kept once in order. No valid citation or status: no verdict.
+    excerpts: meeting_id, action_id, number (from 1), segment_id. The status is trimmed, in lower case, with '_' for each space;
+    citations are cut to whole numbers (texts only of digits), valid ones kept once in order. No valid citation or status: no
+    verdict. A note is trimmed; an empty one is null.
     """
-    told = replies.withColumn("_m", F.from_json(reply_json(F.col("content")), "status string, cited array<string>, note string"))
-    status = F.regexp_replace(F.lower(F.trim("_m.status")), r"[\s-]+", "_")
-    told = told.select("meeting_id", "action_id", status.alias("status"), F.transform("_m.cited", lambda x: x.try_cast("int")).alias("_cited"), F.nullif(F.trim("_m.note"), F.lit("")).alias("note"))
+    told = replies.withColumn("_v", F.try_parse_json(reply_json(F.col("content")))).where(F.schema_of_variant("_v").startswith("OBJECT"))
+    status = F.replace(F.lower(_stripped(F.try_variant_get("_v", "$.status", "string"))), F.lit(" "), F.lit("_"))
+    numbers = F.transform(F.try_variant_get("_v", "$.cited", "array<variant>"), lambda x: _whole(x, True).cast("int"))
+    told = told.select("meeting_id", "action_id", status.alias("status"), numbers.alias("_cited"), _stripped(F.nullif(F.try_variant_get("_v", "$.note", "string"), F.lit(""))).alias("note"))
     known = excerpts.groupBy("meeting_id", "action_id").agg(F.map_from_entries(F.collect_list(F.struct("number", "segment_id"))).alias("_at"))
     told = told.join(known, ["meeting_id", "action_id"]).withColumn("cited", F.array_distinct(F.filter("_cited", lambda x: x.isNotNull() & F.map_contains_key("_at", x))))
     good = told.where(F.col("status").isin(*VERDICTS) & (F.size("cited") > 0))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions.text import fmt_time
+from parley.operators.intervals import micros
 
 STATUS_LABELS = {"completed": "Completed", "in_progress": "In progress", "blocked": "Blocked", "changed": "Changed", "not_discussed": "Not discussed"}
 SECTIONS = ("action_items", "decisions", "deadlines", "issues", "risks", "carry_forward")
@@ -41,9 +42,11 @@ def minutes_rows(items: DataFrame, segments: DataFrame, combined: bool = False)
 def section_text(items: DataFrame, meetings: DataFrame, combined: bool = False) -> DataFrame:
     """M2: meeting_id, section, text: a section's items joined by '; ' with their detail in brackets, or 'None recorded.'.
 
-    items: id, meeting_id, category, description, owner, date, mitigation, status; combined: also meeting_title, set in
-    square brackets before each item.
+    items: id, meeting_id, category, description, owner, date, mitigation, status. combined: the items of whole series, as
+    `pooled_items` gives them (also series_id, position, meeting_title), for each id of meetings as a series: series_id instead of
+    meeting_id, in the order of the chain and then of ids, each behind its meeting's title in square brackets.
     """
+    key = "series_id" if combined else "meeting_id"
     detail = F.lit(None).cast("string")
     for category, (column, lead) in DETAILS.items():
         text = F.concat(F.lit(f" ({lead}"), F.nullif(F.col(column), F.lit("")), F.lit(")"))
@@ -51,12 +54,62 @@ def section_text(items: DataFrame, meetings: DataFrame, combined: bool = False)
     if "status" in items.columns:
         detail = F.when(F.col("category") == "carry_forward", F.concat(F.lit(" — "), status_label(F.col("status")))).otherwise(detail)
     tag = F.when(F.coalesce(F.col("meeting_title"), F.lit("")) != "", F.concat(F.lit("["), F.col("meeting_title"), F.lit("] "))).otherwise("") if combined else F.lit("")
-    told = items.withColumn("_line", F.concat(tag, F.col("description"), F.coalesce(detail, F.lit(""))))
-    rows = F.sort_array(F.collect_list(F.struct("id", "_line")))
-    texts = told.groupBy("meeting_id", F.col("category").alias("section")).agg(F.array_join(F.transform(rows, lambda r: r["_line"]), "; ").alias("_text"))
-    every = meetings.select(F.col("id").alias("meeting_id"), F.explode(F.array(*[F.lit(s) for s in SECTIONS])).alias("section"))
+    told = items.withColumn("_line", F.concat(tag, F.coalesce("description", F.lit("")), F.coalesce(detail, F.lit(""))))
+    rows = F.sort_array(F.collect_list(F.struct(*(["position"] if combined else []), "id", "_line")))
+    texts = told.groupBy(key, F.col("category").alias("section")).agg(F.array_join(F.transform(rows, lambda r: r["_line"]), "; ").alias("_text"))
+    every = meetings.select(F.col("id").alias(key), F.explode(F.array(*[F.lit(s) for s in SECTIONS])).alias("section"))
     none = F.when(F.col("section") == "carry_forward", "No previous meeting linked.").otherwise("None recorded.")
-    return every.join(texts, ["meeting_id", "section"], "left").select("meeting_id", "section", F.coalesce("_text", none).alias("text"))
+    return every.join(texts, [key, "section"], "left").select(key, "section", F.coalesce("_text", none).alias("text"))
+
+
+def marker_values(overview: DataFrame, sections: DataFrame, transcripts: DataFrame | None = None) -> DataFrame:
+    """M2 and M6: meeting_id, field, value of every field that a template can ask of a meeting.
+
+    overview: as `meeting_overview` gives it; sections: as `section_text`; transcripts: as `transcript_text` ('' where a meeting
+    has none). Nobody present is told by a dash.
+    """
+    shown = {"title": "title", "date": "date", "duration": "duration", "language": "language_name", "participants": "speaker_count", "attendees": "attendees", "summary": "summary"}
+    pairs = [F.struct(F.lit(f).alias("field"), F.col(c).cast("string").alias("value")) for f, c in shown.items()]
+    told = overview.select(F.col("id").alias("meeting_id"), F.inline(F.array(*pairs)))
+    dash = F.when((F.col("field") == "attendees") & (F.col("value") == ""), "—").otherwise(F.col("value"))
+    told = told.withColumn("value", dash).unionByName(sections.select("meeting_id", F.col("section").alias("field"), F.col("text").alias("value")))
+    if transcripts is not None:
+        spoken = overview.select(F.col("id").alias("meeting_id")).join(transcripts, "meeting_id", "left")
+        told = told.unionByName(spoken.select("meeting_id", F.lit("transcript").alias("field"), F.coalesce("text", F.lit("")).alias("value")))
+    return told
+
+
+def series_values(chain: DataFrame, overview: DataFrame, meetings: DataFrame, speakers: DataFrame, sections: DataFrame) -> DataFrame:
+    """M2 and M6 for series: series_id, field, value, from the chain (id, position, meeting_id), the overview of every meeting,
+    durations and speakers, and the combined sections.
+
+    Title of the last meeting, dates from first to last, durations summed, languages and attendees in first-seen order, one
+    summary line for each meeting, and a note that stands for the transcripts.
+    """
+    seconds = meetings.select(F.col("id").alias("meeting_id"), F.coalesce(micros("duration_seconds"), F.lit(0)).alias("_us"))
+    told = chain.select(F.col("id").alias("series_id"), "position", "meeting_id").join(overview.withColumnRenamed("id", "meeting_id"), "meeting_id").join(seconds, "meeting_id")
+    rows = F.sort_array(F.collect_list(F.struct("position", "title", "date", "language_name", "summary")))
+    whole = told.groupBy("series_id").agg(rows.alias("rows"), (F.sum("_us") / 1_000_000).alias("seconds"))
+    names = speakers.select("meeting_id", "id", F.coalesce(F.nullif("display_name", F.lit("")), "label").alias("name"))
+    people = told.select("series_id", "position", "meeting_id").join(names, "meeting_id").groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("position", "id", "name"))).alias("people"))
+    told = whole.join(people, "series_id", "left")
+    first, last, n = F.element_at("rows", 1), F.element_at("rows", -1), F.size("rows")
+    seen = F.coalesce(F.array_distinct(F.filter(F.transform("people", lambda p: p["name"]), lambda x: F.coalesce(x, F.lit("")) != "")), F.array().cast("array<string>"))
+    languages = F.array_distinct(F.filter(F.transform("rows", lambda r: r["language_name"]), lambda x: F.coalesce(x, F.lit("")) != ""))
+    count = n.cast("string")
+    values = {
+        "title": F.concat(last["title"], F.when(n > 1, F.concat(F.lit(" (combined series of "), count, F.lit(" meetings)"))).otherwise("")),
+        "date": F.when(first["date"] == last["date"], first["date"]).otherwise(F.concat(first["date"], F.lit(" to "), last["date"])),
+        "duration": fmt_time(F.col("seconds")),
+        "language": F.coalesce(F.nullif(F.array_join(languages, ", "), F.lit("")), F.lit("-")),
+        "participants": F.size(seen).cast("string"),
+        "attendees": F.coalesce(F.nullif(F.array_join(seen, ", "), F.lit("")), F.lit("—")),
+        "summary": F.array_join(F.transform("rows", lambda r: F.concat(r["title"], F.lit(" ("), r["date"], F.lit("): "), r["summary"])), "\n"),
+        # Fixed value: the note for a transcript that isn't repeated.
+        "transcript": F.concat(F.lit("Full transcripts are not reproduced in a combined document - each of the "), count, F.lit(" meeting"), F.when(n != 1, "s").otherwise(""), F.lit(" in this series carries its verbatim record in its own export.")),
+    }
+    told = told.select("series_id", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in values.items()])))
+    return told.unionByName(sections.select("series_id", F.col("section").alias("field"), F.col("text").alias("value")))
 
 
 def transcript_text(transcript: DataFrame) -> DataFrame:

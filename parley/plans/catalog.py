@@ -455,16 +455,18 @@ def w6_token_prefix(f):
 
 @query(
     _LINES.replace("WITH RECURSIVE ", ctes("items") + ", ")
-    + ", full_ AS (SELECT meeting_id FROM items WHERE category IN ('risks', 'issues') AND mod(id, 2) = 0 GROUP BY meeting_id HAVING count(DISTINCT category) = 2), cited AS (SELECT DISTINCT meeting_id, unnest(source_segment_ids) AS id FROM items WHERE category IN ('risks', 'issues') AND mod(id, 2) = 0), open_ AS (SELECT l.*, sum(tokens) OVER (PARTITION BY l.meeting_id) AS total, count(*) OVER (PARTITION BY l.meeting_id) AS n FROM lines l ANTI JOIN full_ USING (meeting_id) ANTI JOIN cited USING (meeting_id, id) WHERE trim(l.text) <> ''), chosen AS (SELECT meeting_id, id, start_seconds, tokens FROM open_ WHERE total <= 400 OR n = 1 OR regexp_matches("
+    + ", full_ AS (SELECT meeting_id FROM items WHERE category IN ('risks', 'issues') AND (category <> 'risks' OR mod(meeting_id, 2) = 0) GROUP BY meeting_id HAVING count(DISTINCT category) = 2), cited AS (SELECT DISTINCT meeting_id, unnest(source_segment_ids) AS id FROM items WHERE category IN ('risks', 'issues') AND (category <> 'risks' OR mod(meeting_id, 2) = 0)), open_ AS (SELECT l.*, sum(tokens) OVER (PARTITION BY l.meeting_id) AS total, count(*) OVER (PARTITION BY l.meeting_id) AS n FROM lines l ANTI JOIN full_ USING (meeting_id) ANTI JOIN cited USING (meeting_id, id) WHERE trim(l.text) <> ''), chosen AS (SELECT meeting_id, id, start_seconds, tokens FROM open_ WHERE total <= 1500 OR n = 1 OR regexp_matches("
     + _ASCII.format("text")
     + ", '"
     + _re2(text.RISK_CUE)
     + "')), p AS ("
     + _PREFIX.format("chosen")
-    + ") SELECT meeting_id, id FROM p WHERE used <= 400 OR k = 1"
+    + ") SELECT meeting_id, id FROM p WHERE used <= 1500 OR k = 1"
 )
 def r11_recovery_lines(f):
-    return prompts.recovery_lines(prompts.lines(f.segments_b, f.speakers_b), f.items.where("id % 2 = 0"), 400.0).select("meeting_id", "id")
+    # every other meeting has no risks
+    given = f.items.where("category <> 'risks' or meeting_id % 2 = 0")
+    return prompts.recovery_lines(prompts.lines(f.segments_b, f.speakers_b), given, 1500.0).select("meeting_id", "id")
 
 
 @query(ctes("items", "chunks") + ", k AS (SELECT i.id, list_filter(i.source_segment_ids, lambda x: list_contains(c.segment_ids, x)) AS s FROM items i JOIN chunks c USING (meeting_id, chunk_no)) SELECT id, array_to_string(s, ',') AS segment_ids, s[1] AS source_segment_id FROM k WHERE len(s) > 0")
@@ -473,24 +475,31 @@ def j10_r13_ground(f):
 
 
 def _model_replies(f) -> DataFrame:
-    """Replies in JSON made from the items: keys in several spellings, single citations, texts for numbers, broken items."""
-    i = F.col("item_no")
-    ids = F.when(i % 5 == 0, F.to_json(F.col("source_segment_ids"))).when(i % 5 == 1, F.element_at("source_segment_ids", 1).cast("string")).when(i % 5 == 2, F.concat(F.lit('["'), F.element_at("source_segment_ids", 1).cast("string"), F.lit('", 7.0]'))).when(i % 5 == 3, F.lit('["seg 12"]')).otherwise(F.lit("null"))
-    description = F.when(i % 11 == 0, F.lit("5")).when(i % 13 == 0, F.lit('"  "')).otherwise(F.concat(F.lit('"'), F.regexp_replace("description", r'["\\]', ""), F.lit('"')))
-    item = F.concat(F.when(i % 2 == 0, '{"Description": ').otherwise('{"description": '), description, F.lit(', "owner": '), F.when(i % 4 == 0, '"Wei"').otherwise("null"), F.lit(', "odd": 1, "source_segment_ids": '), ids, F.lit("}"))
-    key = F.when(F.col("category") == "action_items", "Action Items").otherwise(F.col("category"))
-    lists = f.items.where(~F.col("description").rlike("[\\x00-\\x1f]")).groupBy("meeting_id", "chunk_no", key.alias("key")).agg(F.sort_array(F.collect_list(F.struct("item_no", item.alias("t")))).alias("rows"))
+    """Replies in JSON made from the items, with all characters of their texts: keys in several spellings, single citations,
+    texts, fractions and nulls for numbers, fields of a wrong kind, keys that stand twice, broken items."""
+    i, first = F.col("item_no"), F.element_at("source_segment_ids", 1).cast("string")
+    quoted = lambda c: F.expr(f"substring(to_json(array({c})), 2, length(to_json(array({c}))) - 2)")
+    cases = [F.to_json("source_segment_ids"), first, F.concat(F.lit('["'), first, F.lit('", 7.0, true]')), F.lit('["seg 12"]'), F.lit("null"), F.concat(first, F.lit(".0")), F.lit("[1.5]")]
+    ids = F.lit(None).cast("string")
+    for k, case in enumerate(cases):
+        ids = F.when(i % 8 == k, F.concat(F.lit(', "source_segment_ids": '), case)).otherwise(ids)
+    description = F.when(i % 11 == 0, F.lit("5")).when(i % 13 == 0, F.lit('"  "')).otherwise(quoted("description"))
+    name = F.when(i % 2 == 0, '{"Description": ').when(i % 3 == 0, '{"description": 7, "DESCRIPTION": ').otherwise('{"description": ')
+    item = F.concat(name, description, F.lit(', "owner": '), F.when(i % 4 == 0, '"Wei"').when(i % 17 == 0, "5").otherwise("null"), F.lit(', "odd": 1'), F.coalesce(ids, F.lit("")), F.lit("}"))
+    key = F.when(F.col("category") == "action_items", "Action Items").when(F.col("category") == "risks", "RISKS").otherwise(F.col("category"))
+    lists = f.items.groupBy("meeting_id", "chunk_no", key.alias("key")).agg(F.sort_array(F.collect_list(F.struct("item_no", item.alias("t")))).alias("rows"))
     body = F.concat(F.lit('"'), F.col("key"), F.lit('": ['), F.array_join(F.transform("rows", lambda r: r["t"]), ", "), F.lit("]"))
     whole = lists.groupBy("meeting_id", "chunk_no").agg(F.sort_array(F.collect_list(body)).alias("bodies"))
-    return whole.select("meeting_id", "chunk_no", F.lit(0).alias("attempt"), F.concat(F.lit('Here: {"chunk_summary": "s'), F.col("meeting_id").cast("string"), F.lit('", '), F.array_join("bodies", ", "), F.lit("} done")).alias("content"))
+    return whole.select("meeting_id", "chunk_no", F.lit(0).alias("attempt"), F.concat(F.lit('Here: {"decisions ": 5, "chunk_summary": " s'), F.col("meeting_id").cast("string"), F.lit(' ", '), F.array_join("bodies", ", "), F.lit("} done")).alias("content"))
 
 
 @query(
     ctes("items")
-    + r""", listed AS (SELECT *, row_number() OVER (PARTITION BY meeting_id, chunk_no, category ORDER BY item_no) - 1 AS k FROM items WHERE NOT regexp_matches(description, '[\x00-\x1f]'))
-    SELECT meeting_id, chunk_no, category, CAST(k AS INT) AS item_no, regexp_replace(description, '["\\]', '', 'g') AS description, CASE WHEN mod(item_no, 4) = 0 THEN 'Wei' END AS owner,
-    CASE mod(item_no, 5) WHEN 0 THEN array_to_string(source_segment_ids, ',') WHEN 1 THEN CAST(source_segment_ids[1] AS VARCHAR) WHEN 2 THEN concat(source_segment_ids[1], ',7') ELSE '' END AS segment_ids
-    FROM listed WHERE mod(item_no, 11) <> 0 AND mod(item_no, 13) <> 0 AND mod(item_no, 5) <> 3 AND trim(regexp_replace(description, '["\\]', '', 'g')) <> ''"""
+    + """, listed AS (SELECT *, row_number() OVER (PARTITION BY meeting_id, chunk_no, category ORDER BY item_no) - 1 AS k FROM items)
+    SELECT meeting_id, chunk_no, category, CAST(k AS INT) AS item_no, description, CASE WHEN mod(item_no, 4) = 0 AND category = 'action_items' THEN 'Wei' END AS owner,
+    CASE mod(item_no, 8) WHEN 0 THEN array_to_string(source_segment_ids, ',') WHEN 1 THEN CAST(source_segment_ids[1] AS VARCHAR) WHEN 2 THEN concat(source_segment_ids[1], ',7,1') ELSE '' END AS segment_ids
+    FROM listed WHERE mod(item_no, 11) <> 0 AND mod(item_no, 13) <> 0 AND mod(item_no, 8) IN (0, 1, 2, 7) AND NOT (category = 'action_items' AND mod(item_no, 17) = 0 AND mod(item_no, 4) <> 0)
+    AND trim(description, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''"""
 )
 def r2_parse_items(f):
     good, _ = replies.first_parseable(_model_replies(f))
@@ -670,13 +679,25 @@ def k5_retrieve(f):
     return followup.retrieve(_k5_actions(f), f.segments_b, _K5, list(_STOP_K5)).select("action_id", "number", "segment_id", F.col("similarity").cast("double").alias("similarity"))
 
 
-@query(ctes("items", "segments_b") + """, v AS (SELECT i.id AS action_id, i.meeting_id, CASE mod(i.id, 4) WHEN 0 THEN 'completed' WHEN 1 THEN 'in_progress' WHEN 2 THEN 'odd' END AS status FROM items i WHERE category = 'action_items'),
-    e AS (SELECT s.id AS segment_id, s.meeting_id, segment_no + 1 AS number FROM segments_b s)
-    SELECT v.action_id, v.status, '2,1' AS cited, 'so' AS note, a.segment_id AS source_segment_id FROM v JOIN e a ON a.meeting_id = v.meeting_id AND a.number = 2 WHERE v.status IN ('completed', 'in_progress')""")
+_STATES = (" Completed", "in progress", "odd", "in-progress", "in  progress", "BLOCKED\n", "changed", None)
+_CITED = ('["2", 1, 99, 2]', "[1.0, 2.7]", "[true, null, \"1.5\", {}]", '"2"', '[" 2 ", "x"]')
+
+
+@query(
+    ctes("items", "segments_b")
+    + """, v AS (SELECT id AS action_id, meeting_id, CASE mod(id, 8) WHEN 0 THEN 'completed' WHEN 1 THEN 'in_progress' WHEN 5 THEN 'blocked' WHEN 6 THEN 'changed' END AS status,
+        CASE mod(id, 7) WHEN 0 THEN [2, 1] WHEN 1 THEN [1, 2] WHEN 2 THEN [1] WHEN 4 THEN [2] WHEN 5 THEN [2, 1] WHEN 6 THEN [1, 2] ELSE [] END AS wanted, CASE WHEN mod(id, 3) > 0 THEN 'so' END AS note FROM items WHERE category = 'action_items'),
+    e AS (SELECT id AS segment_id, meeting_id, segment_no + 1 AS number FROM segments_b),
+    known AS (SELECT meeting_id, list(number) AS ns FROM e GROUP BY meeting_id),
+    c AS (SELECT v.*, list_filter(wanted, lambda n: list_contains(ns, n)) AS cited FROM v JOIN known USING (meeting_id))
+    SELECT action_id, status, array_to_string(cited, ',') AS cited, note, e.segment_id AS source_segment_id FROM c JOIN e ON e.meeting_id = c.meeting_id AND e.number = cited[1] WHERE status IS NOT NULL"""
+)
 def r3_parse_verdict(f):
+    pick = lambda values, by: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("action_id") % by + 1).cast("int"))
     actions = _k5_actions(f)
-    status = F.when(F.col("action_id") % 4 == 0, " Completed").when(F.col("action_id") % 4 == 1, "in progress").when(F.col("action_id") % 4 == 2, "odd")
-    made = actions.select("meeting_id", "action_id", F.concat(F.lit('ok {"status": "'), status, F.lit('", "cited": ["2", 1, 99, 2], "note": " so "}')).alias("content"))
+    status = F.coalesce(F.to_json(F.array(pick(_STATES, 8)), {"ignoreNullFields": "false"}), F.lit("[null]"))
+    note = F.when(F.col("action_id") % 3 > 0, '" so "').otherwise("null")
+    made = actions.select("meeting_id", "action_id", F.concat(F.lit('ok {"status": '), F.substring(status, 2, 100).substr(F.lit(1), F.length(status) - 2), F.lit(', "cited": '), pick((*_CITED, *_CITED[:2]), 7), F.lit(', "note": '), note, F.lit("}")).alias("content"))
     excerpts = actions.select("meeting_id", "action_id").join(f.segments_b.select("meeting_id", (F.col("segment_no") + 1).alias("number"), F.col("id").alias("segment_id")), "meeting_id")
     return replies.parse_verdict(made, excerpts).select("action_id", "status", joined("cited").alias("cited"), "note", "source_segment_id")
 
@@ -954,6 +975,57 @@ def m2_section_text(f):
     return report.section_text(f.items, f.meetings_b)
 
 
+_DETAIL = "CASE category WHEN 'action_items' THEN ' (' || nullif(owner, '') || ')' WHEN 'deadlines' THEN ' (' || nullif(date, '') || ')' WHEN 'risks' THEN ' (Mitigation: ' || nullif(mitigation, '') || ')' END"
+_SECTIONS_SQL = "['action_items', 'decisions', 'deadlines', 'issues', 'risks', 'carry_forward']"
+_COMBINED = (
+    _series_sql("items", "speakers_b")
+    + f""", t AS (SELECT c.id AS series_id, category AS section, string_agg(concat('[', m.title, '] ', description, {_DETAIL}), '; ' ORDER BY position, i.id) AS text FROM chain c JOIN items i ON i.meeting_id = c.meeting_id JOIN m ON m.id = c.meeting_id GROUP BY ALL),
+    sections AS (SELECT x.series_id, x.section, coalesce(text, CASE WHEN section = 'carry_forward' THEN 'No previous meeting linked.' ELSE 'None recorded.' END) AS text FROM (SELECT id AS series_id, unnest({_SECTIONS_SQL}) AS section FROM m) x LEFT JOIN t USING (series_id, section)) """
+)
+
+
+@query(_COMBINED + "SELECT series_id, section, text FROM sections")
+def m2_combined_section_text(f):
+    linked, chain = _series(f)
+    return report.section_text(followup.pooled_items(chain, f.items, linked), linked, True)
+
+
+_TIME = "CASE WHEN {0} >= 3600 THEN printf('%d:%02d:%02d', {0} // 3600, {0} % 3600 // 60, {0} % 60) ELSE printf('%d:%02d', {0} // 60, {0} % 60) END"
+_LANGUAGE = "CASE language WHEN 'en' THEN 'English' WHEN 'zh' THEN 'Chinese' WHEN 'ms' THEN 'Malay' ELSE coalesce(nullif(language, ''), '-') END"
+
+
+@query(
+    ctes("meetings_b", "speakers_b", "segments_b", "items")
+    + f""", p AS (SELECT meeting_id, string_agg(coalesce(nullif(display_name, ''), label), ', ' ORDER BY id) AS attendees, count(*) AS n FROM speakers_b GROUP BY ALL),
+    o AS (SELECT m.id, title, strftime(CAST(created_at AS TIMESTAMP) + INTERVAL 8 HOUR, '%Y-%m-%d') AS date, {_TIME.format("CAST(floor(duration_seconds) AS BIGINT)")} AS duration, {_LANGUAGE} AS language, CAST(coalesce(n, 0) AS VARCHAR) AS participants, coalesce(attendees, '—') AS attendees, coalesce(nullif(summary, ''), 'No summary generated yet.') AS summary FROM meetings_b m LEFT JOIN p ON p.meeting_id = m.id),
+    l AS (SELECT s.meeting_id, s.id, start_seconds, concat('[', {_TIME.format("CAST(floor(start_seconds) AS BIGINT)")}, '] ', coalesce(nullif(display_name, ''), label, 'Unknown'), ': ', trim(s.text)) AS line FROM segments_b s LEFT JOIN speakers_b k ON k.id = s.speaker_id),
+    t AS (SELECT meeting_id, category AS field, string_agg(concat(description, {_DETAIL}), '; ' ORDER BY id) AS text FROM items GROUP BY ALL)
+    SELECT id AS meeting_id, field, value FROM (UNPIVOT o ON title, date, duration, language, participants, attendees, summary INTO NAME field VALUE value)
+    UNION ALL SELECT x.id, x.field, coalesce(text, CASE WHEN x.field = 'carry_forward' THEN 'No previous meeting linked.' ELSE 'None recorded.' END) FROM (SELECT id, unnest({_SECTIONS_SQL}) AS field FROM meetings_b) x LEFT JOIN t ON t.meeting_id = x.id AND t.field = x.field
+    UNION ALL SELECT m.id, 'transcript', coalesce(string_agg(line, ' / ' ORDER BY start_seconds, l.id), '') FROM meetings_b m LEFT JOIN l ON l.meeting_id = m.id GROUP BY m.id"""
+)
+def m2_marker_values(f):
+    overview = reads.meeting_overview(f.meetings_b, f.speakers_b, "Asia/Kuala_Lumpur")
+    return report.marker_values(overview, report.section_text(f.items, f.meetings_b), report.transcript_text(reads.transcript(f.segments_b, f.speakers_b)))
+
+
+@query(
+    _COMBINED
+    + f""", own AS (SELECT c.id AS series_id, position, b.title, strftime(CAST(b.created_at AS TIMESTAMP) + INTERVAL 8 HOUR, '%Y-%m-%d') AS day, duration_seconds, {_LANGUAGE} AS language, coalesce(nullif(b.summary, ''), 'No summary generated yet.') AS summary FROM chain c JOIN meetings_b b ON b.id = c.meeting_id),
+    spoke AS (SELECT c.id AS series_id, coalesce(nullif(display_name, ''), label) AS name, min(struct_pack(a := position, b := s.id)) AS first_ FROM chain c JOIN speakers_b s ON s.meeting_id = c.meeting_id GROUP BY ALL),
+    people AS (SELECT series_id, string_agg(name, ', ' ORDER BY first_) AS attendees, CAST(count(*) AS VARCHAR) AS participants FROM spoke GROUP BY ALL),
+    langs AS (SELECT series_id, string_agg(language, ', ' ORDER BY p) AS language FROM (SELECT series_id, language, min(position) AS p FROM own GROUP BY ALL) GROUP BY ALL),
+    g AS (SELECT series_id, count(*) AS n, min_by(day, position) AS a, max_by(day, position) AS b, CAST(sum(CAST(round(duration_seconds * 1e6) AS BIGINT)) // 1000000 AS BIGINT) AS s, max_by(title, position) AS last, string_agg(concat(title, ' (', day, '): ', summary), chr(10) ORDER BY position) AS summary FROM own GROUP BY ALL),
+    o AS (SELECT series_id, concat(last, CASE WHEN n > 1 THEN concat(' (combined series of ', n, ' meetings)') ELSE '' END) AS title, CASE WHEN a = b THEN a ELSE concat(a, ' to ', b) END AS date, {_TIME.format("s")} AS duration, language, coalesce(participants, '0') AS participants, coalesce(attendees, '—') AS attendees, summary,
+        concat('Full transcripts are not reproduced in a combined document - each of the ', n, ' meeting', CASE WHEN n <> 1 THEN 's' ELSE '' END, ' in this series carries its verbatim record in its own export.') AS transcript FROM g JOIN langs USING (series_id) LEFT JOIN people USING (series_id))
+    SELECT series_id, field, value FROM (UNPIVOT o ON title, date, duration, language, participants, attendees, summary, transcript INTO NAME field VALUE value) UNION ALL SELECT series_id, section, text FROM sections"""
+)
+def m2_series_values(f):
+    linked, chain = _series(f)
+    sections = report.section_text(followup.pooled_items(chain, f.items, linked), linked, True)
+    return report.series_values(chain, reads.meeting_overview(f.meetings_b, f.speakers_b, "Asia/Kuala_Lumpur"), f.meetings_b, f.speakers_b, sections)
+
+
 # a literal list for DuckDB, which has no ratio: the lines of the frame that match exactly or by a contained name
 _NAMES = "names AS (SELECT unnest([" + ", ".join(f"struct_pack(name := '{n}', field := '{k}')" for k, v in headings.SYNONYMS.items() for n in v) + "], recursive := true))"
 _MATCHED = (

@@ -1,6 +1,7 @@
 """Operators on literal tables, and against short plain loops on random groups."""
 
 import datetime
+import json
 import math
 import random
 from collections import Counter, defaultdict
@@ -360,6 +361,70 @@ def test_replies(spark):
     assert rows(replies.ground(items, chunks), "description", "source_segment_ids") == [("y", [7])]
 
 
+def test_odd_items_of_replies(spark):
+    told = [
+        ({"description": "a", "source_segment_ids": 12.0}, None),  # a single fraction isn't made a list
+        ({"description": "b", "source_segment_ids": None}, None),
+        ({"description": "c"}, []),
+        ({"description": "d", "source_segment_ids": [12.0, "7", True]}, [12, 7, 1]),
+        ({"description": "e", "source_segment_ids": [1.5]}, None),
+        ({"description": "f", "source_segment_ids": {"id": 1}}, None),
+        ({"description": "g", "source_segment_ids": " 8 ", "owner": 5, "mitigation": ["x"]}, [8]),  # no fields of a decision
+        ({"description": ' say "it" \\ now\n', "source_segment_ids": []}, []),
+        ({"DESCRIPTION": "h", "Source_Segment_Ids": 3}, [3]),
+    ]
+    body = '{"Decisions": [{"description": "lost"}], "chunk-summary": " told\\t", "decisions ": ' + json.dumps([i for i, _ in told]) + "}"
+    good, _ = replies.first_parseable(spark.createDataFrame([(1, 1, 1, body)], "meeting_id long, chunk_no int, attempt int, content string"))
+    items, summaries = replies.parse_items(good)
+    expected = [(k, next(iter(i.values())), ids) for k, (i, ids) in enumerate(told) if ids is not None]
+    assert rows(items, "item_no", "description", "source_segment_ids") == expected and items.where("owner is not null or mitigation is not null").count() == 0
+    assert rows(summaries, "summary") == [("told",)]
+    twice = '{"risks": [{"description": "x", "Description": "y", "mitigation": "m", "source_segment_ids": [1]}, {"description": "z", "mitigation": 4}]}'
+    good, _ = replies.first_parseable(spark.createDataFrame([(1, 1, 1, twice)], "meeting_id long, chunk_no int, attempt int, content string"))
+    assert rows(replies.parse_items(good)[0], "description", "mitigation") == [("y", "m")]
+
+
+@pytest.mark.parametrize(
+    "content, expected",
+    [
+        ('{"status": " Completed", "cited": [1]}', ("completed", [1], None)),
+        ('{"status": "in progress", "cited": [2, 1], "note": " so "}', ("in_progress", [2, 1], "so")),
+        ('{"status": "in-progress", "cited": [1]}', None),
+        ('{"status": "in  progress", "cited": [1]}', None),
+        ('{"status": "blocked", "cited": [1.0, 2.7, "2"]}', ("blocked", [1, 2], None)),
+        ('{"status": "blocked", "cited": [true, null, "1.5", [1], {}]}', ("blocked", [1], None)),
+        ('{"status": "changed", "cited": "1"}', None),
+        ('{"status": "changed", "cited": [9, "x"]}', None),
+        ('{"status": "not_discussed", "cited": [1]}', None),
+        ('["completed"]', None),
+    ],
+)
+def test_verdicts(spark, content, expected):
+    told = spark.createDataFrame([(1, 5, content)], "meeting_id long, action_id long, content string")
+    excerpts = spark.createDataFrame([(1, 5, 1, 100), (1, 5, 2, 200)], "meeting_id long, action_id long, number int, segment_id long")
+    got = [(r["status"], r["cited"], r["note"]) for r in replies.parse_verdict(told, excerpts).collect()]
+    assert got == ([expected] if expected else [])
+
+
+def test_series_sections_and_values(spark):
+    items = spark.createDataFrame([(1, 10, "decisions", "old", 7, 0, "First"), (2, 11, "decisions", "new", 7, 1, "Second"), (0, 11, "risks", "heat", 7, 1, "Second")], "id long, meeting_id long, category string, description string, series_id long, position int, meeting_title string")
+    items = items.withColumns({"owner": F.lit(None).cast("string"), "date": F.lit(None).cast("string"), "mitigation": F.lit("shade")})
+    told = report.section_text(items, spark.createDataFrame([(7,), (8,)], "id long"), True)
+    text = {(r["series_id"], r["section"]): r["text"] for r in told.collect()}
+    assert text[7, "decisions"] == "[First] old; [Second] new" and text[7, "risks"] == "[Second] heat (Mitigation: shade)" and text[8, "decisions"] == "None recorded." and text[8, "carry_forward"] == "No previous meeting linked."
+    meetings = spark.createDataFrame([(10, "First", 60.5, "en", "2024-01-01 00:00:00", "one"), (11, "Second", 60.5, "zh", "2024-01-02 00:00:00", "")], "id long, title string, duration_seconds double, language string, created_at string, summary string")
+    speakers_ = spark.createDataFrame([(1, 10, "S0", "Ann"), (2, 11, "S1", None), (3, 11, "S0", "Ann")], "id long, meeting_id long, label string, display_name string")
+    chain = spark.createDataFrame([(7, 0, 10), (7, 1, 11), (8, 0, 10)], "id long, position int, meeting_id long")
+    overview = reads.meeting_overview(meetings, speakers_)
+    got = {(r["series_id"], r["field"]): r["value"] for r in report.series_values(chain, overview, meetings, speakers_, told).collect()}
+    assert got[7, "title"] == "Second (combined series of 2 meetings)" and got[7, "date"] == "2024-01-01 to 2024-01-02" and got[7, "duration"] == "2:01" and got[7, "attendees"] == "Ann, S1" and got[7, "participants"] == "2"
+    assert got[7, "language"] == "English, Chinese" and got[7, "summary"] == "First (2024-01-01): one\nSecond (2024-01-02): No summary generated yet." and "each of the 2 meetings" in got[7, "transcript"] and "each of the 1 meeting in" in got[8, "transcript"]
+    assert got[8, "title"] == "First" and got[8, "date"] == "2024-01-01" and got[7, "decisions"] == text[7, "decisions"]
+    alone = spark.createDataFrame([(12, "Quiet", None, None, None, None)], meetings.schema)
+    one = {r["field"]: r["value"] for r in report.marker_values(reads.meeting_overview(alone, speakers_), report.section_text(items, alone), report.transcript_text(spark.createDataFrame([], "meeting_id long, id long, start_seconds double, speaker_name string, text string"))).collect()}
+    assert one["attendees"] == "—" and one["participants"] == "0" and one["transcript"] == "" and one["risks"] == "None recorded."
+
+
 def test_derived_deadlines(spark):
     given = spark.createDataFrame([(1, 0, "Ship the installer", "by Friday", [3])], "meeting_id long, item_no int, description string, date string, source_segment_ids array<long>")
     actions = spark.createDataFrame(
@@ -381,7 +446,7 @@ def test_a_parsed_chunk_without_items_counts_for_folding(spark):
 
 
 def test_item_texts_do_not_decide_the_shape(spark):
-    content = [(1, 1, 1, '{"decisions": [{"description": 5, "owner": "says \\"description\\": \\"x\\""}, {"description": "fine", "extra": {"description": 7}}, {"description": "kept", "owner": null}, {"description": "no", "due": ["x"]}]}')]
+    content = [(1, 1, 1, '{"action_items": [{"description": 5, "owner": "says \\"description\\": \\"x\\""}, {"description": "fine", "extra": {"description": 7}}, {"description": "kept", "owner": null}, {"description": "no", "due": ["x"]}]}')]
     good, _ = replies.first_parseable(spark.createDataFrame(content, "meeting_id long, chunk_no int, attempt int, content string"))
     assert rows(replies.parse_items(good)[0], "item_no", "description") == [(1, "fine"), (2, "kept")]
 
