@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,15 +89,46 @@ def follow_up_candidates(meetings: DataFrame, meeting_id: int) -> DataFrame:
     return meetings.where((F.col("id") != meeting_id) & ~info["busy"] & (F.col("status") != "uploaded"))
 
 
-def _terms(text, stop_words: list[str]):
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)(\w\w+)"), F.lit(1))
-    kept = F.filter(words, lambda w: ~w.isin(stop_words))
-    n = F.size(kept)
-    pairs = F.zip_with(F.slice(kept, 1, F.greatest(n - 1, F.lit(0))), F.slice(kept, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.concat(kept, pairs)
+def _with_terms(df: DataFrame, column: str, stop_words: list[str]) -> DataFrame:
+    """df with terms instead of the column; in steps, so that words are searched for once and not for each mention of them."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(column), F.lit(""))), F.lit(r"(?U)(\w\w+)"), F.lit(1))
+    told = df.withColumn("_words", words).withColumn("_words", F.filter("_words", lambda w: ~w.isin(stop_words)))
+    pairs = F.zip_with(F.slice("_words", F.lit(1), F.greatest(F.size("_words") - 1, F.lit(0))), F.slice("_words", 2, F.size("_words")), lambda a, b: F.concat(a, F.lit(" "), b))
+    return told.withColumn("terms", F.concat("_words", pairs)).drop("_words", column)
+
+
+def _squares(terms):
+    """The sum of the squares of how often each term stands in an array: of equal ones in a row the k-th adds 2k - 1."""
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).cast("long").alias("sum"))
+
+    def step(acc, x):
+        run = F.when(acc["last"] == x, acc["run"] + 1).otherwise(1)
+        return F.struct(x.alias("last"), run.alias("run"), (acc["sum"] + 2 * run - 1).alias("sum"))
+
+    return F.aggregate(F.array_sort(terms), start, step)["sum"]
+
 
+#: Terms that more segments of a meeting have are common. Actions and segments of one (meeting, term) that one task joins.
+COMMON, MOST_ACTIONS, MOST_SEGMENTS = 64, 1024, 4096
+#: How much a segment's norm can shrink by an action's terms: ln((2+df)/(1+df)) is at most ln 1.5, and no weight is under 1.
+SHRINK = 1 / (1 + math.log(1.5))
+#: Similarities have six decimals.
+EXACT = 2e-6
 
-def retrieve(actions: DataFrame, segments: DataFrame, k: int = 8, stop_words: list[str] | None = None) -> DataFrame:
+
+def _met(at: DataFrame, postings: DataFrame) -> DataFrame:
+    """Terms of actions with the segments that have them. The pairs of one (meeting, term) are dealt over a grid of parts of its
+    actions and of its segments, so that neither a popular term nor a long meeting meets in one task."""
+    grid = at.groupBy("meeting_id", "term").agg(F.ceil(F.count("*") / MOST_ACTIONS).cast("int").alias("_rows"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = at.join(grid, ["meeting_id", "term"]).withColumns({"_row": F.pmod(F.xxhash64("action_id"), F.col("_rows")).cast("int"), "_columns": F.ceil(F.col("df") / MOST_SEGMENTS).cast("int")})
+    asked = asked.withColumn("_column", every("_columns")).drop("_rows", "_columns", "df")
+    said = postings.join(grid, ["meeting_id", "term"]).withColumn("_column", F.pmod(F.xxhash64("id"), F.ceil(F.col("df") / MOST_SEGMENTS)).cast("int"))
+    said = said.withColumn("_row", every("_rows")).drop("_rows", "df")
+    return asked.join(said, ["meeting_id", "term", "_row", "_column"])
+
+
+def retrieve(actions: DataFrame, segments: DataFrame, k: int = 8, stop_words: list[str] | None = None, common: int = COMMON) -> DataFrame:
     """K5: the k segments of the meeting closest to each action by TF-IDF cosine, in time order and numbered from 1.
 
     actions: meeting_id (the follow-up), action_id, description. segments: meeting_id, id, start_seconds, text. Terms are
@@ -104,38 +137,62 @@ def retrieve(actions: DataFrame, segments: DataFrame, k: int = 8, stop_words: li
     none is similar the last k, if there is no term at all the first k.
 
     Only terms that an action shares are joined: an action raises the document frequency of its own terms by one, so a
-    segment's norm is that by its meeting's frequencies with the shared terms' weights replaced.
+    segment's norm is that by its meeting's frequencies with the shared terms' weights replaced. Rare terms come first. With
+    them an action's k-th best score has a lower bound, and its common terms (in more than `common` segments of the meeting) an
+    upper one for what they can add, from each term's largest share of a segment's norm. Where that sum can't lift a segment
+    without rare terms to the bound, common terms are only looked up for the segments that it can still lift; else all are met.
     """
     stop = StopWordsRemover.loadDefaultStopWords("english") if stop_words is None else stop_words
     stop = [w for w in stop if w.isalpha()]
-    s = segments.select("meeting_id", "id", "start_seconds", F.explode_outer(_terms(F.col("text"), stop)).alias("term")).where("term is not null")
-    s = stored(s.groupBy("meeting_id", "id", "term").agg(F.count("*").alias("tf")), "terms")  # read several times
+    idf = lambda extra: F.log((1 + F.col("n")) / (1 + F.col("df") + extra)) + 1
+    s = _with_terms(segments.select("meeting_id", "id", "text"), "text", stop).select("meeting_id", "id", F.explode("terms").alias("term")).groupBy("meeting_id", "id", "term").agg(F.count("*").alias("tf"))
+    s = stored(s, "terms")
     size = segments.groupBy("meeting_id").agg((F.count("*") + 1).alias("n"))
     df = s.groupBy("meeting_id", "term").agg(F.count("*").alias("df"))
-    idf = lambda extra: F.log((1 + F.col("n")) / (1 + F.col("df") + extra)) + 1
-    weighted = s.join(df, ["meeting_id", "term"]).join(size, "meeting_id").withColumn("base", F.pow(F.col("tf") * idf(0), 2))
+    weighted = s.join(df.join(size, "meeting_id"), ["meeting_id", "term"]).withColumn("base", F.pow(F.col("tf") * idf(0), 2)).drop("n")
     norms = weighted.groupBy("meeting_id", "id").agg(F.sum("base").alias("norm"))
-    a = actions.select("meeting_id", "action_id", F.explode(_terms(F.col("description"), stop)).alias("term")).groupBy("meeting_id", "action_id", "term").agg(F.count("*").alias("atf"))
-    at = a.join(df, ["meeting_id", "term"], "left").join(size, "meeting_id").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("aw", F.col("atf") * idf(1))
-    anorm = at.groupBy("meeting_id", "action_id").agg(F.sqrt(F.sum(F.pow("aw", 2))).alias("anorm"))
-    shared = at.select("meeting_id", "action_id", "term", "aw", (idf(1)).alias("idf1")).join(weighted.select("meeting_id", "id", "term", "tf", "base"), ["meeting_id", "term"])
-    score = shared.withColumn("sw", F.col("tf") * F.col("idf1")).groupBy("meeting_id", "action_id", "id").agg(F.sum(F.col("sw") * F.col("aw")).alias("dot"), F.sum(F.pow("sw", 2) - F.col("base")).alias("fix"))
-    score = score.join(norms, ["meeting_id", "id"]).join(anorm, ["meeting_id", "action_id"])
-    score = score.select("meeting_id", "action_id", "id", F.round(F.col("dot") / (F.sqrt(F.col("norm") + F.col("fix")) * F.col("anorm")), 6).alias("similarity"))
+    postings = stored(weighted.join(norms, ["meeting_id", "id"]), "postings")
+    stats = postings.groupBy("meeting_id", "term").agg(F.first("df").alias("df"), F.max(F.col("tf") / F.sqrt("norm")).alias("most"))
+    action = ["meeting_id", "action_id"]
+    # only terms that a segment has are joined; all others of an action weigh the same, so the sum of their squares is enough
+    told = _with_terms(actions.select(*action, "description"), "description", stop)
+    at = told.select(*action, F.explode("terms").alias("term")).join(stats.join(size, "meeting_id"), ["meeting_id", "term"]).groupBy(*action, "term", "df", "most", "n").agg(F.count("*").alias("atf"))
+    at = at.withColumn("idf1", idf(1)).withColumn("aw", F.col("atf") * F.col("idf1"))
+    alone = lambda n: F.pow(F.log((1 + n) / 2) + 1, 2)
+    shared = stored(at.select(*action, "term", "df", "most", "idf1", "aw", (F.pow("aw", 2) - F.pow("atf", 2) * alone(F.col("n"))).alias("more")), "actions")
+    squares = told.groupBy(*action).agg(F.flatten(F.collect_list("terms")).alias("terms")).join(size, "meeting_id").select(*action, (_squares(F.col("terms")) * alone(F.col("n"))).alias("all"))
+    anorm = shared.groupBy(*action).agg(F.sum("more").alias("more")).join(squares, action).select(*action, F.sqrt(F.col("more") + F.col("all")).alias("anorm"))
+
+    def parts(met: DataFrame) -> DataFrame:
+        weight = F.col("tf") * F.col("idf1")
+        return met.select(*action, "id", "norm", (weight * F.col("aw")).alias("dot"), (F.pow(weight, 2) - F.col("base")).alias("fix"))
+
+    summed = lambda p: p.groupBy(*action, "id").agg(F.sum("dot").alias("dot"), F.sum("fix").alias("fix"), F.first("norm").alias("norm"))
+    rare = stored(summed(parts(_met(shared.where(F.col("df") <= common), postings.where(F.col("df") <= common)))), "rare")
+    often = shared.where(F.col("df") > common)
+    # what an action's common terms can add to a score at most, and what its k-th best has at least by its rare terms
+    lift = often.groupBy(*action).agg((F.sum(F.col("aw") * F.col("idf1") * F.col("most")) / SHRINK).alias("lift"))
+    least = rare.withColumn("least", F.col("dot") / F.sqrt("norm")).withColumn("_r", F.row_number().over(Window.partitionBy(*action).orderBy(F.desc("least"))))
+    bound = lift.join(least.where(F.col("_r") == k).select(*action, "least"), action, "left").join(anorm, action)
+    bound = bound.withColumn("open", F.coalesce((F.col("lift") - F.col("least")) / F.col("anorm") + EXACT >= 0, F.lit(True)))
+    whole = parts(_met(often.join(bound.where("open").select(*action), action), postings.where(F.col("df") > common)))
+    able = rare.join(bound.where("not open"), action).where((F.col("dot") / F.sqrt("norm") / SHRINK + F.col("lift") - F.col("least")) / F.col("anorm") + EXACT >= 0)
+    lifted = parts(often.join(able.select(*action, "id"), action).join(postings.where(F.col("df") > common).drop("df"), ["meeting_id", "id", "term"]))
+    score = summed(rare.select(*action, "id", "norm", "dot", "fix").unionByName(whole).unionByName(lifted)).join(anorm, action)
+    score = stored(score.select(*action, "id", F.round(F.col("dot") / (F.sqrt(F.col("norm") + F.col("fix")) * F.col("anorm")), 6).alias("similarity")), "scores")
     # candidates: the similar ones; a meeting's last and first k stand by for actions without any
     m = Window.partitionBy("meeting_id")
     ends = segments.withColumns({"_late": F.row_number().over(m.orderBy(F.desc("start_seconds"), F.desc("id"))), "_early": F.row_number().over(m.orderBy("start_seconds", "id"))}).where(f"_late <= {k} or _early <= {k}")
     has = s.select("meeting_id").distinct().withColumn("_text", F.lit(True))
-    got = score.select("meeting_id", "action_id").distinct()
-    none = actions.select("meeting_id", "action_id").join(got, ["meeting_id", "action_id"], "left_anti").join(has, "meeting_id", "left")
-    some_terms = a.select("meeting_id", "action_id").distinct().withColumn("_terms", F.lit(True))
-    none = none.join(some_terms, ["meeting_id", "action_id"], "left").withColumn("_any", F.coalesce("_text", "_terms", F.lit(False)))
-    stand_in = none.join(ends, "meeting_id").where(F.when(F.col("_any"), F.col("_late") <= k).otherwise(F.col("_early") <= k)).select("meeting_id", "action_id", "id", "start_seconds", F.lit(0.0).alias("similarity"))
+    none = actions.select(*action).join(score.select(*action).distinct(), action, "left_anti").join(has, "meeting_id", "left")
+    some_terms = told.where(F.size("terms") > 0).select(*action).distinct().withColumn("_terms", F.lit(True))
+    none = none.join(some_terms, action, "left").withColumn("_any", F.coalesce("_text", "_terms", F.lit(False)))
+    stand_in = none.join(ends, "meeting_id").where(F.when(F.col("_any"), F.col("_late") <= k).otherwise(F.col("_early") <= k)).select(*action, "id", "start_seconds", F.lit(0.0).alias("similarity"))
     told = score.join(segments.select("meeting_id", "id", "start_seconds"), ["meeting_id", "id"])
-    best = F.row_number().over(Window.partitionBy("meeting_id", "action_id").orderBy(F.desc("similarity"), F.desc("start_seconds"), F.desc("id")))
-    top = told.withColumn("_r", best).where(F.col("_r") <= k).select("meeting_id", "action_id", "id", "start_seconds", "similarity").unionByName(stand_in)
-    number = F.row_number().over(Window.partitionBy("meeting_id", "action_id").orderBy("start_seconds", "id"))
-    return top.select("meeting_id", "action_id", number.alias("number"), F.col("id").alias("segment_id"), "similarity")
+    best = F.row_number().over(Window.partitionBy(*action).orderBy(F.desc("similarity"), F.desc("start_seconds"), F.desc("id")))
+    top = told.withColumn("_r", best).where(F.col("_r") <= k).select(*action, "id", "start_seconds", "similarity").unionByName(stand_in)
+    number = F.row_number().over(Window.partitionBy(*action).orderBy("start_seconds", "id"))
+    return top.select(*action, number.alias("number"), F.col("id").alias("segment_id"), "similarity")
 
 
 def carry_forward(previous_actions: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -527,7 +527,7 @@ def test_links(spark):
     }
 
 
-def test_retrieval_equals_a_loop(spark):
+def test_retrieval_equals_a_loop(spark, monkeypatch):
     rng = random.Random(9)
     vocab, stop = ["budget", "risk", "plan", "server", "the", "of", "launch", "test"], ["the", "of"]
     segments = [(m, m * 100 + k, float(k), " ".join(rng.choice(vocab) for _ in range(rng.randint(0, 6)))) for m in range(6) for k in range(9)]
@@ -553,8 +553,11 @@ def test_retrieval_equals_a_loop(spark):
         if not top:
             top = sorted(sims, key=lambda x: x[1])[-3:] if any(corpus) else sorted(sims, key=lambda x: x[1])[:3]
         expected += [(m, i, k + 1, x[2]) for k, x in enumerate(sorted(top, key=lambda x: x[1]))]
-    got = rows(followup.retrieve(a, s, 3, stop), "meeting_id", "action_id", "number", "segment_id")
-    assert got == sorted(expected, key=repr)
+    monkeypatch.setattr(followup, "MOST_ACTIONS", 2)
+    monkeypatch.setattr(followup, "MOST_SEGMENTS", 3)
+    for common in (64, 3, 1, 0):  # common terms by their bounds, down to all terms
+        got = rows(followup.retrieve(a, s, 3, stop, common), "meeting_id", "action_id", "number", "segment_id")
+        assert got == sorted(expected, key=repr)
 
 
 # --- changes, reads, sources, templates
