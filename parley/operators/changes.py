@@ -1,9 +1,16 @@
-"""Changes to stored tables, as new tables: replacements, purges, corrections and the sweep after a restart."""
+"""Changes to stored tables: replacements, purges, corrections and the sweep after a restart.
+
+Each change is a function from tables to new tables. The forms ending in `_stored` apply it to tables that lie in folders by hash
+bucket of the meeting, and read and write only the buckets that the change touches.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from parley.sources.tables import BUCKETS, change_buckets, overwrite_buckets, path_exists, with_bucket
 
 BUSY = ("uploading", "uploaded", "audio_extracted", "vad_done", "transcribing", "aligning", "diarizing")
 CARRY_STATUSES = ("completed", "in_progress", "blocked", "changed", "not_discussed")
@@ -27,6 +34,49 @@ def replace_meetings(old: DataFrame, new: DataFrame, done: DataFrame) -> DataFra
     return old.join(ids, "meeting_id", "left_anti").select(old.columns).unionByName(new.join(ids, "meeting_id", "left_semi").select(old.columns))
 
 
+def store_table(table: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """A table in folders by hash bucket of its meeting_id; that of the meetings themselves by their id."""
+    keyed = table if "meeting_id" in table.columns else table.withColumn("meeting_id", F.col("id"))
+    overwrite_buckets(with_bucket(keyed, buckets), path)
+
+
+def replace_stored(new: DataFrame, done: DataFrame, path: str, buckets: int = BUCKETS) -> list[int]:
+    """S3 on a stored table: the done meetings' rows are replaced by those of new. Gives the buckets touched."""
+    spark, schema = new.sparkSession, new.schema
+    if not path_exists(spark, path):
+        overwrite_buckets(with_bucket(new.join(done.select("meeting_id").distinct(), "meeting_id", "left_semi").select(new.columns), buckets), path)
+        return []
+    return change_buckets(spark, path, schema, done, lambda old: replace_meetings(old, new, done), buckets)
+
+
+def purge_stored(spark: SparkSession, folder: str, schemas: dict[str, StructType | str], ids: DataFrame, buckets: int = BUCKETS) -> dict[str, list[int]]:
+    """J16 on stored tables, one below folder for each name of schemas; gives the buckets touched in each.
+
+    All tables have meeting_id (words too, meetings their own id as such). A follower's bucket counts as touched in `meetings` and
+    `carry_forward`: followers are found by a scan of two columns, whose rows are written only in their own buckets.
+    """
+    gone = ids.select(F.col("id").alias("meeting_id")).distinct()
+    out = {}
+    for name, schema in schemas.items():
+        path, follower = f"{folder}/{name}", {"meetings": "follow_up_of", "carry_forward": "previous_meeting_id"}.get(name)
+        more = None
+        if follower:
+            links = spark.read.schema(schema).parquet(path).select("meeting_id", F.col(follower).alias("_of"))
+            more = links.join(gone.withColumnRenamed("meeting_id", "_of"), "_of", "left_semi").select("meeting_id")
+        if name == "words":  # their meeting is a column of the stored form, so that segments needn't be read
+            out[name] = change_buckets(spark, path, schema, gone, lambda t: t.join(gone, "meeting_id", "left_anti").select(t.columns), buckets)
+        elif name == "meetings":
+            out[name] = change_buckets(spark, path, schema, gone, lambda t: purge_meetings({"meetings": t}, ids)["meetings"], buckets, more)
+        else:
+            out[name] = change_buckets(spark, path, schema, gone, lambda t, n=name: purge_meetings({"meetings": ids.select("id", F.lit(None).cast("long").alias("follow_up_of"), F.lit(None).cast("string").alias("carry_forward_status")), n: t}, ids)[n], buckets, more)
+    return out
+
+
+def edit_stored(edits: DataFrame, name: str, path: str, schema: StructType | str, buckets: int = BUCKETS) -> list[int]:
+    """J17 on a stored table: the accepted edits take effect; gives the buckets touched, those of the edits' meetings."""
+    return change_buckets(edits.sparkSession, path, schema, edits, lambda table: apply_edits(table, name, edits)[0], buckets)
+
+
 def purge_meetings(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
     """All tables without the meetings (id) and what is theirs. Followers lose their link, its status and its rows."""
     gone = ids.select(F.col("id").alias("meeting_id")).distinct()

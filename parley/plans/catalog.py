@@ -882,16 +882,33 @@ def s3_replace_meetings(f):
     old = f.items.select("id", "meeting_id", "description")
     new = f.items.where("meeting_id % 6 = 0").select((-F.col("id") - 1).alias("id"), "meeting_id", F.upper("category").alias("description"))
     done = f.items.where("meeting_id % 3 = 0").select("meeting_id")
-    return changes.replace_meetings(old, new, done)
+    path = stage.work_dir(f.spark, "replaced")
+    changes.store_table(old, path, _BUCKETS)
+    for _ in range(2):  # twice is once
+        changes.replace_stored(new, done, path, _BUCKETS)
+    return f.spark.read.schema(old.schema).parquet(path).drop("bucket")
+
+
+_BUCKETS = 32
+_PURGED = {"speakers": "speakers_o", "segments": "segments_b", "words": "words_b", "carry_forward": "carried", "items": "items"}
 
 
 @query(
-    ctes("meetings_o", "speakers_o")
-    + ", gone AS (SELECT id FROM meetings_o WHERE mod(id, 10) = 3), m AS (SELECT * FROM meetings_o ANTI JOIN gone USING (id)) SELECT 'meetings' AS kind, m.id, CASE WHEN g.id IS NULL THEN follow_up_of END AS follow_up_of, CASE WHEN g.id IS NULL THEN carry_forward_status END AS carry_forward_status FROM m LEFT JOIN gone g ON g.id = m.follow_up_of UNION ALL SELECT 'speakers', id, NULL, NULL FROM speakers_o WHERE meeting_id NOT IN (SELECT id FROM gone)"
+    ctes("meetings_o", *_PURGED.values())
+    + ", gone AS (SELECT id FROM meetings_o WHERE mod(id, 10) = 3), m AS (SELECT * FROM meetings_o ANTI JOIN gone USING (id)) SELECT 'meetings' AS kind, m.id, CASE WHEN g.id IS NULL THEN follow_up_of END AS follow_up_of, CASE WHEN g.id IS NULL THEN carry_forward_status END AS carry_forward_status FROM m LEFT JOIN gone g ON g.id = m.follow_up_of"
+    + "".join(f" UNION ALL SELECT '{k}', id, NULL, NULL FROM {t} WHERE meeting_id NOT IN (SELECT id FROM gone)" + (" AND previous_meeting_id NOT IN (SELECT id FROM gone)" if k == "carry_forward" else "") for k, t in _PURGED.items())
 )
 def j16_purge_meetings(f):
-    left = changes.purge_meetings({"meetings": f.meetings_o, "speakers": f.speakers_o}, f.meetings_o.where("id % 10 = 3"))
-    return left["meetings"].select(F.lit("meetings").alias("kind"), "id", "follow_up_of", "carry_forward_status").unionByName(left["speakers"].select(F.lit("speakers").alias("kind"), "id"), allowMissingColumns=True)
+    folder = stage.work_dir(f.spark, "purged")
+    stored = {"meetings": f.meetings_o.select("id", F.col("id").alias("meeting_id"), "follow_up_of", "carry_forward_status")} | {k: f.table(t).select("id", "meeting_id", *(["previous_meeting_id"] if k == "carry_forward" else [])) for k, t in _PURGED.items()}
+    for name, table in stored.items():
+        changes.store_table(table, f"{folder}/{name}", _BUCKETS)
+    changes.purge_stored(f.spark, folder, {n: t.schema for n, t in stored.items()}, f.meetings_o.where("id % 10 = 3"), _BUCKETS)
+    left = None
+    for name, table in stored.items():
+        part = f.spark.read.schema(table.schema).parquet(f"{folder}/{name}").withColumn("kind", F.lit(name))
+        left = part if left is None else left.unionByName(part, allowMissingColumns=True)
+    return left.select("kind", "id", "follow_up_of", "carry_forward_status")
 
 
 _EDITED = (
@@ -908,7 +925,10 @@ _EDITED = (
     CASE WHEN list_contains(fields, 'status') THEN replace(lower(trim(g.status)), ' ', '_') ELSE c.status END AS status, CASE WHEN list_contains(fields, 'note') THEN g.note ELSE c.note END AS note, c.source_segment_id FROM carried c LEFT JOIN g ON g.id = c.id WHERE NOT coalesce(g."delete", false)"""
 )
 def j17_apply_edits(f):
-    return changes.apply_edits(f.carried, "carry_forward", f.edits)[0].select("id", "description", "owner", "status", "note", "source_segment_id")
+    path, table = stage.work_dir(f.spark, "edited"), f.carried
+    changes.store_table(table, path, _BUCKETS)
+    changes.edit_stored(f.edits, "carry_forward", path, table.schema, _BUCKETS)
+    return f.spark.read.schema(table.schema).parquet(path).select("id", "description", "owner", "status", "note", "source_segment_id")
 
 
 @query(_EDITED + "SELECT edit_id, id, meeting_id, reason IS NULL AS accepted, reason FROM e")

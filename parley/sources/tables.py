@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from parley.sources.stage import stored
 
 SCHEMAS = {
     "meetings": "id long, title string, original_filename string, audio_path string, duration_seconds double, language string, languages_detected string, primary_language string, expected_speakers int, status string, progress double, follow_up_of long, carry_forward_status string, summary string, created_at timestamp, updated_at timestamp",
@@ -67,9 +71,44 @@ def check_uploads(manifest: DataFrame, most_bytes: int = MOST_BYTES) -> DataFram
 
 
 def with_bucket(df: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """df with the hash bucket of its meeting_id."""
     return df.withColumn("bucket", F.pmod(F.xxhash64("meeting_id"), F.lit(buckets)).cast("int"))
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def overwrite_buckets(df: DataFrame, path: str, touched: list[int] | None = None) -> None:
+    """Writes df (with bucket) over the buckets that it has, and empties those of `touched` that it hasn't; others stay as they
+    are. The rows are staged first, so that df may come from the table that is written."""
+    spark = df.sparkSession
+    staged = stored(df, "staged")
+    staged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    if touched:
+        left = {r["bucket"] for r in staged.select("bucket").distinct().collect()}  # buckets, a bounded number
+        for bucket in set(touched) - left:
+            at = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/bucket={bucket}")
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def change_buckets(spark: SparkSession, path: str, schema: StructType | str, meetings: DataFrame, change: Callable[[DataFrame], DataFrame], buckets: int = BUCKETS, more: DataFrame | None = None) -> list[int]:
+    """Changes a table that is stored by hash bucket of the meeting: reads the buckets of the given meetings (meeting_id), and
+    writes what `change` makes of their rows. Gives the numbers of the buckets touched.
+
+    Only folders of touched buckets are read and written, through a staged copy, so that a change of one meeting costs a bucket
+    and a repeated or retried one gives the same. more: further meetings whose buckets count as touched.
+    """
+    wanted = meetings.select("meeting_id") if more is None else meetings.select("meeting_id").union(more.select("meeting_id"))
+    touched = sorted(r["bucket"] for r in with_bucket(wanted, buckets).select("bucket").distinct().collect())  # at most `buckets` numbers
+    if touched:
+        columns = (StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+        read = spark.read.schema(StructType([*columns, StructField("bucket", IntegerType())])).parquet(path).where(F.col("bucket").isin(touched)).drop("bucket")
+        overwrite_buckets(with_bucket(change(read), buckets), path, touched)
+    return touched
+
+
 def write_minutes(df: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Minutes rows by a hash bucket of the meeting; only buckets that df has are replaced."""
     spread = with_bucket(df, buckets)

@@ -1,4 +1,8 @@
-"""Progress of running meetings: batch forms and streams. The watermark only bounds state; nothing here is an event-time window."""
+"""Progress of running meetings: batch forms and streams. The watermark only bounds state; nothing here is an event-time window.
+
+The streams with state of their own are stateful processors on RocksDB: a value for each key, an event-time timer that forgets a
+key which stays quiet, and an initial state from a batch, so that a stream can go on where a table ends.
+"""
 
 from __future__ import annotations
 
@@ -7,12 +11,16 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from parley.sources.tables import overwrite_buckets, path_exists, with_bucket
 
 EVERY_SECONDS = 2.0
 STAGES = ("transcribing", "categorizing")
 LEAST_STEP = 0.005
 ETA_SCHEMA = "meeting_id long, stage string, ts timestamp, progress double, eta_seconds double"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATUS_SCHEMA = "meeting_id long, ts timestamp, stage string, progress double, bucket int"
 
 
 def progress_eta(events: DataFrame) -> DataFrame:
@@ -68,28 +76,63 @@ def throttle_batch(events: DataFrame, every: float = EVERY_SECONDS) -> DataFrame
     return told.groupBy("meeting_id").applyInPandas(run, told.schema)
 
 
-def _remember(state: GroupState, value: tuple, latest: float, keep_for: str) -> None:
-    """Keeps the value until the watermark has passed the latest event by keep_for."""
-    state.update(value)
-    until = int(latest * 1000) + int(pd.Timedelta(keep_for).total_seconds() * 1000)
-    state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+class _Remembering(StatefulProcessor):
+    """One value for each key, kept until the watermark has passed the key's latest event by keep_for."""
+
+    schema = ""
+
+    def __init__(self, keep_for: str):
+        self.keep_ms = int(pd.Timedelta(keep_for).total_seconds() * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("last", self.schema)
+
+    def remember(self, value: tuple, latest: float, timers) -> None:
+        """Keeps the value and moves the key's timer; latest: seconds of event time."""
+        self.state.update(value)
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(max(int(latest * 1000) + self.keep_ms, timers.getCurrentWatermarkInMs() + 1))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.state.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+class _Throttle(_Remembering):
+    schema = "t double"
 
+    def __init__(self, every: float, keep_for: str):
+        super().__init__(keep_for)
+        self.every = every
 
-def throttle_progress(stream: DataFrame, every: float = EVERY_SECONDS, keep_for: str = "1 hour") -> DataFrame:
-    """T1 for a stream, as `measured`: state is the time of the last event that passed; a meeting quiet for `keep_for` of event time is forgotten."""
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
+        last = initialState["ts"].max().value / 1e9
+        self.remember((last,), last, timerValues)
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["ts", "stage", "progress"])
-        last = state.get[0] if state.exists else None
-        keep, last = _passed([t.value / 1e9 for t in rows["ts"]], last, every)
-        _remember(state, (last,), last, keep_for)
-        yield rows[keep]
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        told = pd.concat(list(rows)).sort_values(["ts", "stage", "progress"])
+        last = self.state.get()[0] if self.state.exists() else None
+        keep, last = _passed([t.value / 1e9 for t in told["ts"]], last, self.every)
+        self.remember((last,), last, timerValues)
+        yield told[keep]
 
+
+def _stateful(stream: DataFrame, keys: list[str], processor: StatefulProcessor, schema, keep_for: str, initial: DataFrame | None) -> DataFrame:
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    known = None if initial is None else initial.groupBy(*keys)
+    return stream.withWatermark("ts", keep_for).groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="eventTime", initialState=known)
+
+
+def throttle_progress(stream: DataFrame, every: float = EVERY_SECONDS, keep_for: str = "1 hour", initial: DataFrame | None = None) -> DataFrame:
+    """T1 for a stream, as `measured`: state is the time of the last event that passed; a meeting quiet for `keep_for` of event
+    time is forgotten. initial: meeting_id, ts of events that have passed before the stream begins."""
     told = measured(stream)
-    return told.withWatermark("ts", keep_for).groupBy("meeting_id").applyInPandasWithState(run, told.schema, "last double", "append", GroupStateTimeout.EventTimeTimeout)
+    return _stateful(told, ["meeting_id"], _Throttle(every, keep_for), told.schema, keep_for, initial)
 
 
 def progress_eta_batch(events: DataFrame) -> DataFrame:
@@ -119,17 +162,46 @@ def _estimates(key: tuple, rows: pd.DataFrame, base: tuple | None) -> tuple[pd.D
     return pd.DataFrame(out, columns=["meeting_id", "stage", "ts", "progress", "eta_seconds"]), base, t
 
 
-def progress_eta_stream(stream: DataFrame, keep_for: str = "1 hour") -> DataFrame:
-    """W8 on a stream; state is the base's time and progress for each meeting and stage."""
+class _Estimating(_Remembering):
+    schema = "t double, p double"
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["ts", "progress"])
-        out, base, t = _estimates(key, rows, state.get if state.exists else None)
-        _remember(state, base, t, keep_for)
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
+        _, base, t = _estimates(key, initialState.sort_values(["ts", "progress"]), None)
+        self.remember(base, t, timerValues)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        told = pd.concat(list(rows)).sort_values(["ts", "progress"])
+        out, base, t = _estimates(key, told, tuple(self.state.get()) if self.state.exists() else None)
+        self.remember(base, t, timerValues)
         yield out
 
-    wanted = stream.where(F.col("stage").isin(*STAGES)).withWatermark("ts", keep_for)
-    return _rounded(wanted.groupBy("meeting_id", "stage").applyInPandasWithState(run, ETA_SCHEMA, "t double, p double", "append", GroupStateTimeout.EventTimeTimeout))
+
+def progress_eta_stream(stream: DataFrame, keep_for: str = "1 hour", initial: DataFrame | None = None) -> DataFrame:
+    """W8 on a stream; state is the base's time and progress for each meeting and stage. initial: earlier events (meeting_id,
+    stage, ts, progress) whose base counts."""
+    wanted = stream.where(F.col("stage").isin(*STAGES))
+    known = None if initial is None else initial.where(F.col("stage").isin(*STAGES))
+    return _rounded(_stateful(wanted, ["meeting_id", "stage"], _Estimating(keep_for), ETA_SCHEMA, keep_for, known))
+
+
+def upsert_status(batch: DataFrame, path: str, buckets: int = 64) -> None:
+    """T2 into a table: the last status of the batch's meetings goes into the table at path, by hash bucket of the meeting.
+
+    Only the buckets that the batch has are read and written again, through a staged folder. What a meeting has with a later
+    time stays, so that a batch given twice, or after a later one, changes nothing.
+    """
+    spark = batch.sparkSession
+    new = with_bucket(latest_status(batch), buckets)
+    touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most `buckets` numbers
+    if not touched:
+        return
+    both = new.select("meeting_id", "ts", "stage", "progress")
+    if path_exists(spark, path):
+        old = spark.read.schema(STATUS_SCHEMA).parquet(path).where(F.col("bucket").isin(touched))
+        both = both.unionByName(old.select("meeting_id", "ts", "stage", "progress"))
+    overwrite_buckets(with_bucket(latest_status(both), buckets), path)
+
+
+def status_table(stream: DataFrame, path: str, checkpoint: str, buckets: int = 64):
+    """A writer of the stream's statuses into the table at path; `.start()` or a trigger runs it."""
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: upsert_status(batch, path, buckets))

@@ -563,6 +563,59 @@ def test_retrieval_equals_a_loop(spark, monkeypatch):
 # --- changes, reads, sources, templates
 
 
+def touched(folder, before):
+    """Names of the bucket folders whose files aren't those of before."""
+    now = {f: f.stat().st_mtime_ns for f in folder.rglob("*.parquet")}
+    return {f.parent.name for f in {*now, *before} if now.get(f) != before.get(f)}
+
+
+def files(folder):
+    return {f: f.stat().st_mtime_ns for f in folder.rglob("*.parquet")}
+
+
+def test_stored_replacement_writes_its_buckets_only(spark, tmp_path):
+    path = tmp_path / "segments"
+    old = spark.range(200).select((F.col("id") % 40).alias("meeting_id"), F.concat(F.lit("x"), "id").alias("x"))
+    changes.store_table(old, str(path), 16)
+    before = files(path)
+    new = spark.createDataFrame([(3, "n"), (9, "not done")], "meeting_id long, x string")
+    done = spark.createDataFrame([(3,), (5,)], "meeting_id long")
+    buckets = changes.replace_stored(new, done, str(path), 16)
+    assert touched(path, before) == {f"bucket={b}" for b in buckets} and len(buckets) <= 2
+    expected = rows(changes.replace_meetings(old, new, done), "meeting_id", "x")
+    read = lambda: rows(spark.read.parquet(str(path)), "meeting_id", "x")
+    assert read() == expected
+    changes.replace_stored(new, done, str(path), 16)
+    assert read() == expected
+    # a bucket whose last rows go is emptied
+    alone = tmp_path / "alone"
+    changes.store_table(old.where("meeting_id = 3"), str(alone), 16)
+    changes.replace_stored(new.limit(0), done, str(alone), 16)
+    assert not files(alone)
+    changes.replace_stored(new, done, str(tmp_path / "fresh"), 16)
+    assert rows(spark.read.parquet(str(tmp_path / "fresh")), "meeting_id", "x") == [(3, "n")]
+
+
+def test_stored_purge_and_edits_write_their_buckets_only(spark, tmp_path):
+    meetings = spark.range(50).select("id", F.col("id").alias("meeting_id"), F.when(F.col("id") == 7, 3).otherwise(None).cast("long").alias("follow_up_of"), F.lit("ready").alias("carry_forward_status"))
+    carried = spark.createDataFrame([(1, 7, 3, "a", None, "blocked", None), (2, 20, 19, "b", None, "blocked", None)], "id long, meeting_id long, previous_meeting_id long, description string, owner string, status string, note string")
+    words = spark.range(100).select("id", (F.col("id") % 50).alias("meeting_id"))
+    given = {"meetings": meetings, "carry_forward": carried, "words": words, "risks": words}
+    schemas = {n: t.schema for n, t in given.items()}
+    for name, table in given.items():
+        changes.store_table(table, str(tmp_path / name), 64)
+    before = {n: files(tmp_path / n) for n in given}
+    for _ in range(2):
+        told = changes.purge_stored(spark, str(tmp_path), schemas, spark.createDataFrame([(3,)], "id long"), 64)
+    read = lambda n: spark.read.schema(schemas[n]).parquet(str(tmp_path / n))
+    assert read("meetings").count() == 49 and rows(read("meetings").where("id = 7"), "follow_up_of", "carry_forward_status") == [(None, None)]
+    assert rows(read("carry_forward"), "id") == [(2,)] and read("words").count() == 98 == read("risks").count()
+    assert all(len(touched(tmp_path / n, before[n])) <= 2 for n in given) and len(told["words"]) == 1
+    before = files(tmp_path / "carry_forward")
+    changes.edit_stored(edit(spark, (2, 20, {"status": "Completed"})), "carry_forward", str(tmp_path / "carry_forward"), schemas["carry_forward"], 64)
+    assert rows(read("carry_forward"), "id", "status") == [(2, "completed")] and len(touched(tmp_path / "carry_forward", before)) == 1
+
+
 def test_replacing_twice_is_replacing_once(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "meeting_id long, x string")
     new = spark.createDataFrame([(1, "n"), (9, "odd")], "meeting_id long, x string")
