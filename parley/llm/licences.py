@@ -6,8 +6,10 @@ logistic regression with sparse weights is trained (see `train`) on the template
 plain paragraphs as the unknown class; only pairs and triples of the templates have weights, so a paragraph that shares none
 of them is unknown and needs no scoring. The probabilities are calibrated by a temperature on notices that are worded
 otherwise than the templates, and on plain lines that weren't fitted. Paragraphs of one family that follow one another are
-one finding. It is confirmed if enough of one of the family's templates is in it, and more than of any other family's template
-(so that what two versions of a licence share confirms neither).
+one finding. It is confirmed if enough of one of the family's templates is in it, and enough of what in that template holds a
+number (so that another version's notice isn't taken for this one's), and more than of any other family's template (so that what
+two versions of a licence share confirms neither). A line without anything but white space, carriage returns and tabs included,
+is empty.
 
 The families are those of TEMPLATES; of other licences nothing is said, or what they share with these, unconfirmed.
 
@@ -20,6 +22,8 @@ from __future__ import annotations
 
 import math
 import random
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
@@ -135,7 +139,7 @@ def paragraphs_of(docs: DataFrame) -> DataFrame:
     """doc_id, row, line_no (of the first line, from 0), last_line, words of every paragraph with two words or more."""
     lines = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
     at = lambda k: F.get("lines", k)
-    blank = lambda x: F.trim(x) == ""
+    blank = lambda x: ~x.rlike("\\S")
     opens = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda k: (k == 0) | blank(at(k)) | blank(at(k - 1)) | at(k - 1).rlike(CLOSED))
     lines = lines.withColumn("opens", opens)
     after = lambda j: F.coalesce(F.get("opens", j + 1), F.size("lines"))
@@ -188,12 +192,15 @@ def train(docs: DataFrame) -> tuple[DataFrame, dict]:
     common = F.array(*[F.lit(w) for w in COMMON])
     grams = F.array_except(grams_of("words"), _dull("words", common))
     # of a fixed bound; one partition, so that every run adds up in the same order
-    rows = stored(rows.select("family", "kind", "template", grams.alias("grams"), F.transform(grams, lambda g: g.cast("string")).alias("terms")).coalesce(1), "licence-lines")
+    rows = stored(rows.select("family", "kind", "template", grams.alias("grams"), F.array_intersect(_numbered("words"), grams).alias("numbered"), F.transform(grams, lambda g: g.cast("string")).alias("terms")).coalesce(1), "licence-lines")
 
     members: dict[int, list[int]] = {}
     size: dict[int, int] = {}
-    for r in rows.where("kind = 'template'").select("template", "grams").collect():  # the fixed templates
-        size[r["template"]] = len(r["grams"])
+    numbers: dict[int, int] = {}
+    numbered: set[int] = set()
+    for r in rows.where("kind = 'template'").select("template", "grams", "numbered").collect():  # the fixed templates
+        size[r["template"]], numbers[r["template"]] = len(r["grams"]), len(r["numbered"])
+        numbered |= set(r["numbered"])
         for g in r["grams"]:
             members.setdefault(g, []).append(r["template"])
     families, vocabulary = [*TEMPLATES, UNKNOWN], sorted(members)
@@ -212,22 +219,31 @@ def train(docs: DataFrame) -> tuple[DataFrame, dict]:
         row = {f: float(w[k, i] - w[unknown, i]) / heat for k, f in enumerate(families[:-1])}
         # a line for each gram and family that has a weight, and one for a gram without any: it counts for the containment
         kept = {f: x for f, x in row.items() if abs(x) > 0.02} or {family_of[members[g][0]]: 0.0}
-        weights += [(g, f, x, members[g]) for f, x in kept.items()]
-    table = docs.sparkSession.createDataFrame(weights, "gram long, family string, weight double, templates array<int>")
-    return table, {"bias": {f: float(b[k] - b[unknown]) / heat for k, f in enumerate(families[:-1])}, "size": size, "heat": heat}
+        weights += [(g, f, x, members[g], g in numbered) for f, x in kept.items()]
+    table = docs.sparkSession.createDataFrame(weights, "gram long, family string, weight double, templates array<int>, numbered boolean")
+    return table, {"bias": {f: float(b[k] - b[unknown]) / heat for k, f in enumerate(families[:-1])}, "size": size, "numbers": numbers, "heat": heat}
 
 
-def _dull(column: str, common):
-    """Hashed pairs and triples of common words alone."""
+def _grams_where(column: str, wanted):
+    """The hashed pairs and triples whose words fit a condition on the list of them."""
     n = F.size(column)
     part = lambda start, less: F.slice(column, start, F.greatest(n - less, F.lit(0)))
-    known = lambda w: F.array_contains(common, w)
-    pairs = F.zip_with(part(1, 1), part(2, 1), lambda a, b: F.when(known(a) & known(b), F.xxhash64(a, b)))
+    pairs = F.zip_with(part(1, 1), part(2, 1), lambda a, b: F.when(wanted(a, b), F.xxhash64(a, b)))
     ends = F.zip_with(part(1, 2), part(3, 2), lambda a, c: F.struct(a.alias("a"), c.alias("c")))
-    triples = F.zip_with(ends, part(2, 2), lambda x, b: F.when(known(x["a"]) & known(b) & known(x["c"]), F.xxhash64(x["a"], b, x["c"])))
+    triples = F.zip_with(ends, part(2, 2), lambda x, b: F.when(wanted(x["a"], b, x["c"]), F.xxhash64(x["a"], b, x["c"])))
     return F.filter(F.concat(pairs, triples), lambda g: g.isNotNull())
 
 
+def _dull(column: str, common):
+    """Hashed pairs and triples of common words alone."""
+    return _grams_where(column, lambda *words: reduce(and_, (F.array_contains(common, w) for w in words)))
+
+
+def _numbered(column: str):
+    """Hashed pairs and triples that hold a number: what tells a licence's versions apart."""
+    return F.array_distinct(_grams_where(column, lambda *words: reduce(or_, (w.rlike("^[0-9]+$") for w in words))))
+
+
 def _temperature(held: DataFrame) -> float:
     """The divisor of the logits (rawPrediction) with the least loss on held-back paragraphs."""
     options = [0.25 * 16 ** (k / 32) for k in range(33)]
@@ -278,12 +294,14 @@ def findings(hits: DataFrame, model: dict) -> DataFrame:
     # the share of a template's pairs and triples that the finding has, for the family's closest template
     sizes = F.create_map(*[F.lit(v) for t, n in size.items() for v in (t, n)])
     owner = F.create_map(*[F.lit(v) for t, f in enumerate(f for f, texts in TEMPLATES.items() for _ in texts) for v in (t, f)])
-    shared = hits.select("row", "line_no", "gram", "templates").distinct().join(told.select("row", "line_no", "run", "family"), ["row", "line_no"])
-    shared = shared.select("row", "run", "family", "gram", F.explode("templates").alias("template")).distinct()
-    shared = shared.groupBy("row", "run", "family", "template").agg((F.count("*") / F.try_element_at(sizes, F.col("template"))).alias("part"))
+    shared = hits.select("row", "line_no", "gram", "templates", "numbered").distinct().join(told.select("row", "line_no", "run", "family"), ["row", "line_no"])
+    shared = shared.select("row", "run", "family", "gram", "numbered", F.explode("templates").alias("template")).distinct()
+    numbers = F.create_map(*[F.lit(v) for t, n in model["numbers"].items() for v in (t, n)])
+    told_numbers = F.count_if("numbered") >= LEAST_CONTAINMENT * F.try_element_at(numbers, F.col("template"))
+    shared = shared.groupBy("row", "run", "family", "template").agg((F.count("*") / F.try_element_at(sizes, F.col("template"))).alias("part"), told_numbers.alias("true"))
     mine = F.try_element_at(owner, F.col("template")) == F.col("family")
-    shared = shared.groupBy("row", "run").agg(F.max(F.when(mine, F.col("part"))).alias("containment"), F.max(F.when(~mine, F.col("part"))).alias("other"))
+    shared = shared.groupBy("row", "run").agg(F.max(F.when(mine, F.col("part"))).alias("containment"), F.max(F.when(mine & F.col("true"), F.col("part"))).alias("proof"), F.max(F.when(~mine, F.col("part"))).alias("other"))
     found = found.join(shared, ["row", "run"], "left")
     containment = F.coalesce("containment", F.lit(0.0))
-    confirmed = (containment >= LEAST_CONTAINMENT) & (containment > F.coalesce("other", F.lit(0.0)))
+    confirmed = (F.coalesce("proof", F.lit(0.0)) >= LEAST_CONTAINMENT) & (containment > F.coalesce("other", F.lit(0.0)))
     return found.select("doc_id", "line_no", "last_line", "family", F.round("probability", 6).alias("probability"), F.round(containment, 6).alias("containment"), confirmed.alias("confirmed"))

@@ -629,6 +629,15 @@ def test_wrapped_licences_and_versions(spark):
     assert sorted(got) == [(*w, True) for w in wanted]
 
 
+def test_other_versions_and_line_ends(spark):
+    """A notice of a version outside the list confirms nothing; a CRLF text's empty lines are empty."""
+    wrapped = "plain words of a letter\r\n\r\nReleased under the MIT License.\r\n\t\r\nand more words\r\n"
+    given = ["Licensed under CC BY 3.0.", "This work is licensed under a Creative Commons Attribution 3.0 Unported License.", "Licensed under CC BY 4.0.", wrapped, "Licensed under the Apache License, Version 1.1."]
+    got = {r["doc_id"]: (r["line_no"], r["last_line"], r["family"], r["confirmed"]) for r in licences.scan(frame(spark, given)).collect()}
+    assert got[2][2:] == ("CC-BY-4.0", True) and got[3] == (2, 2, "MIT", True)
+    assert not any(got[i][3] for i in (0, 1, 4) if i in got)
+
+
 def test_licence_scan_is_native(spark, docs):
     table, _ = licences.train(docs)
     for df in (licences.hits_of(docs, table), licences.scan(docs)):
@@ -638,7 +647,7 @@ def test_licence_scan_is_native(spark, docs):
 def paragraphs_by_loop(text):
     lines, out = text.split("\n"), []
     for k, line in enumerate(lines):
-        blank = lambda x: x.strip(" ") == ""
+        blank = lambda x: not re.search(r"[^ \t\n\x0b\f\r]", x)
         if k == 0 or blank(line) or blank(lines[k - 1]) or re.search("[.!?:。！？][)\"'”]*[ \t\n\x0b\f\r]*$", lines[k - 1]):
             out.append([k, k, line])
         else:
@@ -684,7 +693,10 @@ def test_licence_scan_equals_brute_force(spark, docs, texts):
         for first, last, best, p, found in runs:
             parts = [sum(t in of[g] for g in found) / model["size"][t] for t in range(len(family_of))]
             containment, other = (max(x for x, f in zip(parts, family_of, strict=True) if (f == best) == same) for same in (True, False))
-            expected.append((i, first, last, best, round(p, 6), round(containment, 6), containment >= licences.LEAST_CONTAINMENT and containment > other))
+            number = lambda g: any(re.fullmatch("[0-9]+", w) for w in g)
+            told = [sum(t in of[g] and number(g) for g in found) >= licences.LEAST_CONTAINMENT * sum(t in of[g] and number(g) for g in of) for t in range(len(family_of))]
+            proof = max((x for x, f, ok in zip(parts, family_of, told, strict=True) if f == best and ok), default=0)
+            expected.append((i, first, last, best, round(p, 6), round(containment, 6), proof >= licences.LEAST_CONTAINMENT and containment > other))
     near = lambda rows: [(*r[:4], r[6], pytest.approx(r[4], abs=2e-6), pytest.approx(r[5], abs=2e-6)) for r in sorted(rows)]
     assert [(*r[:4], r[6], r[4], r[5]) for r in got] == near(expected) and len(got) > 5
 
