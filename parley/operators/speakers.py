@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.operators.intervals import micros, overlap_join, segment_speaker, with_micros, word_speaker
@@ -93,60 +92,63 @@ def speaker_minutes(segments: DataFrame, turns: DataFrame, bin_seconds: int = 30
     return spoken.withColumn("speaker_name", F.concat(F.lit("Speaker "), n.cast("string"))).drop("_first")
 
 
-def _coalesced(runs: list[list]) -> list[list]:
-    out: list[list] = []
-    for speaker, words, first, last in runs:
-        if out and out[-1][0] == speaker:
-            out[-1][1] += words
-            out[-1][3] = last
-        else:
-            out.append([speaker, words, first, last])
-    return out
+def _passed(runs: Column) -> Column:
+    """One pass over an array of runs: from left to right a short one takes the speaker of its only neighbour, or of the one with
+    more words (the one before if they have as many); the one before may have changed already."""
 
+    def step(done: Column, k: Column) -> Column:
+        x, before, after = F.get(runs, k), F.get(done, k - 1), F.get(runs, k + 1)
+        own = before.isNotNull() & (after.isNull() | (before["words"] >= after["words"]))
+        speaker = F.when(_short(x), F.when(own, before["speaker"]).otherwise(after["speaker"])).otherwise(x["speaker"])
+        return F.concat(done, F.array(_run(speaker, x, x, x["words"])))
 
-def smoothed(speakers: list, starts: list[float], ends: list[float], words: list[int]) -> list[int]:
-    """For each run of one segment the number of the smoothed run it becomes part of, with speakers changed in place.
+    return F.aggregate(F.sequence(F.lit(0), F.size(runs) - 1), F.slice(runs, 1, 0), step)
 
-    From left to right a short run takes the speaker of its only neighbour, or of the one with more words (the one before
-    if they have as many); then runs of one speaker join. That repeats until no run is short, as often as there are runs.
-    """
-    runs = [[s, n, k, k] for k, (s, n) in enumerate(zip(speakers, words, strict=True))]
-    for _ in range(len(runs)):
-        changed = False
-        if len(runs) < 2:
-            break
-        for k, run in enumerate(runs):
-            if run[1] <= SHORT_WORDS and ends[run[3]] - starts[run[2]] < SHORT_SECONDS:
-                sides = runs[max(k - 1, 0) : k] + runs[k + 1 : k + 2]
-                run[0] = max(sides, key=lambda r: r[1])[0]  # the first of equals
-                changed = True
-        if not changed:
-            break
-        runs = _coalesced(runs)
-    out = [0] * len(speakers)
-    for number, (speaker, _, first, last) in enumerate(runs):
-        for k in range(first, last + 1):
-            out[k], speakers[k] = number + 1, speaker
-    return out
+
+def _short(x: Column) -> Column:
+    return (x["words"] <= SHORT_WORDS) & (x["end"] - x["start"] < SHORT_SECONDS)
+
+
+def _run(speaker: Column, first: Column, last: Column, words: Column) -> Column:
+    return F.struct(speaker.alias("speaker"), words.alias("words"), first["start"].alias("start"), last["end"].alias("end"), first["first"].alias("first"), last["last"].alias("last"))
+
+
+def _coalesced(runs: Column) -> Column:
+    """Runs of one speaker that follow one another as one."""
+
+    def step(done: Column, x: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        same = (F.size(done) > 0) & last["speaker"].eqNullSafe(x["speaker"])
+        return F.when(same, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(_run(last["speaker"], last, x, last["words"] + x["words"])))).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(runs, F.slice(runs, 1, 0), step)
+
+
+def smoothed(runs: Column) -> Column:
+    """Smoothed runs of an array of (speaker, words, start, end, first, last): passes until no run is short or one is left, at
+    most as many as there are runs."""
+
+    def step(now: Column, _: Column) -> Column:
+        return F.when((F.size(now) > 1) & F.exists(now, _short), _coalesced(_passed(now))).otherwise(now)
+
+    return F.aggregate(F.sequence(F.lit(1), F.size(runs)), runs, step)
 
 
 def smooth_runs(runs: DataFrame) -> DataFrame:
     """Short runs take a neighbour's speaker. runs: as from speaker_runs; gives the same rows with speaker and the
-    smoothed run's number. Only segments of several runs go to Python, one small group for each."""
-    n = Window.partitionBy("meeting_id", "segment_id")
-    counted = runs.withColumn("_runs", F.count("*").over(n))
-
-    def smooth(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("run_no")
-        speakers = [None if pd.isna(s) else s for s in group["speaker"]]
-        group["smooth_no"] = smoothed(speakers, group["start_seconds"].tolist(), group["end_seconds"].tolist(), group["words"].tolist())
-        group["speaker"] = speakers
-        return group[kept]
-
-    kept = [*runs.columns, "smooth_no"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in runs.schema) + ", smooth_no long"
-    several = counted.where("_runs > 1").drop("_runs").groupBy("meeting_id", "segment_id").applyInPandas(smooth, schema)
-    return several.unionByName(counted.where("_runs = 1").drop("_runs").withColumn("smooth_no", F.lit(1).cast("long")))
+    smoothed run's number. A segment's runs are folded as an array in the JVM; segments of one run pass as they are."""
+    several = Window.partitionBy("meeting_id", "segment_id")
+    counted = runs.withColumn("_runs", F.count("*").over(several))
+    rest = [c for c in runs.columns if c not in ("meeting_id", "segment_id", "speaker")]
+    rows = F.array_sort(F.collect_list(F.struct("run_no", "speaker", F.struct(*rest).alias("row"))))
+    grouped = counted.where("_runs > 1").groupBy("meeting_id", "segment_id").agg(rows.alias("rows"))
+    shaped = F.transform("rows", lambda x, k: F.struct(x["speaker"].alias("speaker"), x["row"]["words"].alias("words"), x["row"]["start_seconds"].alias("start"), x["row"]["end_seconds"].alias("end"), k.alias("first"), k.alias("last")))
+    told = grouped.withColumn("_shaped", shaped).withColumn("_smooth", smoothed(F.col("_shaped")))
+    told = told.select("meeting_id", "segment_id", "rows", F.posexplode("_smooth").alias("_n", "_s"))
+    told = told.select("meeting_id", "segment_id", "rows", "_n", "_s", F.explode(F.sequence("_s.first", "_s.last")).alias("_k"))
+    told = told.select("meeting_id", "segment_id", F.col("_s.speaker").alias("speaker"), F.get("rows", F.col("_k"))["row"].alias("row"), (F.col("_n") + 1).cast("long").alias("smooth_no"))
+    told = told.select("meeting_id", "segment_id", "speaker", "row.*", "smooth_no").select(*runs.columns, "smooth_no")
+    return told.unionByName(counted.where("_runs = 1").drop("_runs").withColumn("smooth_no", F.lit(1).cast("long")))
 
 
 def split_by_speaker(segments: DataFrame, words: DataFrame, turns: DataFrame, min_ratio: float = 0.3, bin_seconds: int = 30) -> DataFrame:

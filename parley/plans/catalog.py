@@ -5,6 +5,7 @@ Arrays and dates are given as text, and reckoned numbers rounded, so that both e
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -90,13 +91,55 @@ def w2_speaker_runs(f):
     return speakers.speaker_runs(speakers.fill_word_speakers(intervals.word_speaker(f.words_a, f.turns, HOURS)))
 
 
-@query()
+def _smoothed_sql(runs: str) -> str:
+    """smooth (meeting_id, segment_id, smooth_no, speaker, f, l) from the named table of runs: one step of the walk for each run of each pass."""
+    x = "struct_pack(s := sp, w := x.w, a := x.a, b := x.b, f := x.f, l := x.l)"
+    merged = f"CASE WHEN len(merged) > 0 AND merged[len(merged)].s IS NOT DISTINCT FROM sp THEN list_append(merged[1:len(merged) - 1], struct_pack(s := sp, w := merged[len(merged)].w + x.w, a := merged[len(merged)].a, b := x.b, f := merged[len(merged)].f, l := x.l)) ELSE list_append(merged, {x}) END"
+    return f""", r0 AS (SELECT meeting_id, segment_id, list(struct_pack(s := speaker, w := words, a := start_seconds, b := end_seconds, f := run_no, l := run_no) ORDER BY run_no) AS runs, count(*) AS n FROM {runs} GROUP BY ALL),
+    steps AS (SELECT meeting_id, segment_id, n, 1 AS pass, 1 AS k, runs, runs[0] AS prev, runs[1:0] AS merged, false AS changed, n < 2 AS done FROM r0
+    UNION ALL SELECT meeting_id, segment_id, n, CASE WHEN k > len(runs) AND again THEN pass + 1 ELSE pass END, CASE WHEN k > len(runs) THEN 1 ELSE k + 1 END, CASE WHEN k > len(runs) AND changed THEN merged ELSE runs END,
+        CASE WHEN k > len(runs) THEN runs[0] ELSE {x} END, CASE WHEN k > len(runs) THEN runs[1:0] ELSE {merged} END, CASE WHEN k > len(runs) THEN false ELSE changed OR short END, k > len(runs) AND NOT again
+        FROM (SELECT *, CASE WHEN short THEN CASE WHEN k > 1 AND (nxt IS NULL OR prev.w >= nxt.w) THEN prev.s ELSE nxt.s END ELSE x.s END AS sp, changed AND len(merged) > 1 AND pass < n AS again
+            FROM (SELECT *, runs[k] AS x, runs[k + 1] AS nxt, coalesce(runs[k].w <= 2 AND runs[k].b - runs[k].a < 0.8, false) AS short FROM steps WHERE NOT done))),
+    smooth AS (SELECT meeting_id, segment_id, unnest(range(1, len(runs) + 1)) AS smooth_no, unnest(runs).s AS speaker, unnest(runs).f AS f, unnest(runs).l AS l FROM steps WHERE done) """
+
+
+_RUNS = (
+    _FILLED
+    + """, flagged AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR speaker IS DISTINCT FROM lag(speaker) OVER w THEN 1 ELSE 0 END AS new FROM filled WINDOW w AS (PARTITION BY segment_id ORDER BY word_no)),
+    numbered AS (SELECT *, sum(new) OVER (PARTITION BY segment_id ORDER BY word_no) AS run_no FROM flagged) """
+)
+
+
+@query(
+    _RUNS
+    + ", runs AS (SELECT meeting_id, segment_id, CAST(run_no AS BIGINT) AS run_no, any_value(speaker) AS speaker, min(word_no) AS first_word, max(word_no) AS last_word, count(*) AS words, min(start_seconds) / 3600 AS start_seconds, min(start_seconds) / 3600 + count(*) * 0.3e0 AS end_seconds FROM numbered GROUP BY meeting_id, segment_id, run_no) "
+    + _smoothed_sql("runs")
+    + "SELECT r.meeting_id, r.segment_id, r.run_no, s.speaker, first_word, last_word, words, start_seconds, end_seconds, smooth_no FROM runs r JOIN smooth s ON s.meeting_id = r.meeting_id AND s.segment_id = r.segment_id AND r.run_no BETWEEN s.f AND s.l"
+)
 def r8_smooth_runs(f):
     runs = speakers.speaker_runs(speakers.fill_word_speakers(intervals.word_speaker(f.words_a, f.turns, HOURS)))
     return speakers.smooth_runs(runs.withColumns({"start_seconds": F.col("start_seconds") / 3600, "end_seconds": F.col("start_seconds") / 3600 + F.col("words") * 0.3}))
 
 
-@query()
+_OF_SEGMENTS = re.sub(r"\b(met|best)\b", r"segment_\1", _OVERLAP.format(items="segments_a"))
+_ENOUGH = "total >= 0.01 * greatest(1000, (end_seconds - start_seconds) * 1e6)"
+
+
+@query(
+    ctes("segments_a", "words_a", "turns")
+    + _OF_SEGMENTS
+    + f""", told AS (SELECT s.*, b.speaker, coalesce({_ENOUGH}, false) AS enough, mod(s.id, 7) <> 3 AS has_words FROM segments_a s LEFT JOIN segment_best b ON b.id = s.id AND r = 1),
+    mine AS (SELECT w.* FROM words_a w JOIN told t ON t.id = w.segment_id AND has_words AND enough) """
+    + _RUNS.removeprefix(ctes("words_a", "turns")).replace("words_a", "mine")
+    + ", runs AS (SELECT meeting_id, segment_id, CAST(run_no AS BIGINT) AS run_no, any_value(speaker) AS speaker, count(*) AS words, min(start_seconds) AS start_seconds, max(end_seconds) AS end_seconds FROM numbered GROUP BY meeting_id, segment_id, run_no) "
+    + _smoothed_sql("runs")
+    + """, parts AS (SELECT *, count(*) OVER (PARTITION BY segment_id) AS n FROM smooth),
+    cut AS (SELECT p.meeting_id, p.segment_id AS id, smooth_no AS part_no, p.speaker, min(w.start_seconds) AS start_seconds, max(w.end_seconds) AS end_seconds, string_agg(w.text, ' ' ORDER BY w.word_no) AS text FROM parts p JOIN numbered k ON k.segment_id = p.segment_id AND k.run_no BETWEEN f AND l JOIN mine w ON w.id = k.id WHERE n > 1 GROUP BY ALL)
+    SELECT meeting_id, id, 1::BIGINT AS part_no, start_seconds, end_seconds, text, language, CASE WHEN enough AND NOT has_words THEN speaker END AS speaker FROM told WHERE NOT (has_words AND enough)
+    UNION ALL SELECT t.meeting_id, t.id, 1, t.start_seconds, t.end_seconds, text, language, p.speaker FROM told t JOIN parts p ON p.segment_id = t.id AND n = 1
+    UNION ALL SELECT c.meeting_id, c.id, part_no, c.start_seconds, c.end_seconds, c.text, language, c.speaker FROM cut c JOIN told t USING (id)"""
+)
 def r7_split_by_speaker(f):
     return speakers.split_by_speaker(f.segments_a, f.words_a.where("segment_id % 7 <> 3"), f.turns, 0.01, HOURS)
 

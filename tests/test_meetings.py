@@ -4,6 +4,7 @@ import datetime
 import json
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -213,26 +214,32 @@ def plain_smooth(runs):
     return runs
 
 
-def test_smoothing_equals_a_loop():
+def test_smoothing_equals_a_loop(spark):
     rng = random.Random(11)
-    for _ in range(400):
-        at, runs, last = 0.0, [], None
-        for _ in range(rng.randint(1, 8)):
-            who = rng.choice([x for x in "ABC" if x != last])
+    given, expected = [], {}
+    for segment in range(300):
+        at, runs, last = 0.0, [], object()
+        for number in range(rng.randint(1, 9)):
+            who = rng.choice([x for x in ("A", "B", "C", None) if x != last])
             words = []
             for _ in range(rng.randint(1, 4)):
                 words.append((at, at + 0.3))
                 at += 0.3
             runs.append((who, words))
+            given.append((1, segment, number + 1, who, len(words), words[0][0], words[-1][1], f"row {number}"))
             last = who
-        names = [r[0] for r in runs]
-        groups = speakers.smoothed(names, [r[1][0][0] for r in runs], [r[1][-1][1] for r in runs], [len(r[1]) for r in runs])
-        counts = Counter()
-        label = {}
-        for g, n, r in zip(groups, names, runs, strict=True):
-            counts[g] += len(r[1])
-            label[g] = n
-        assert [(label[g], counts[g]) for g in sorted(counts)] == [(s, len(w)) for s, w in plain_smooth(list(runs))]
+        expected[segment] = [(s, len(w)) for s, w in plain_smooth(list(runs))]
+    df = spark.createDataFrame(given, "meeting_id long, segment_id long, run_no long, speaker string, words long, start_seconds double, end_seconds double, extra string")
+    told = speakers.smooth_runs(df)
+    assert not re.search("Pandas|Python", told._jdf.queryExecution().toString()) and told.columns == [*df.columns, "smooth_no"]
+    got = defaultdict(lambda: defaultdict(lambda: [set(), 0]))
+    for r in told.collect():
+        part = got[r["segment_id"]][r["smooth_no"]]
+        part[0].add(r["speaker"])
+        part[1] += r["words"]
+    assert {s: [(next(iter(p[0])), p[1]) for _, p in sorted(parts.items())] for s, parts in got.items()} == expected
+    assert all(len(p[0]) == 1 for parts in got.values() for p in parts.values())
+    assert rows(told, "segment_id", "run_no", "extra") == rows(df, "segment_id", "run_no", "extra")
 
 
 def test_split_by_speaker(spark):
