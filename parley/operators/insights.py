@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.functions.dates import EDGE, LEADING, NO_DUE, SHOWN_LEADING, date_cues
+from parley.functions.dates import NO_DUE, date_cues, display_date, norm_date
 from parley.functions.text import is_low_support, is_self_assignment, normalised, output_language, speaker_name
-from parley.operators.prompts import similar_normalised
+from parley.operators.likeness import LEAST, like_components, like_texts
+from parley.sources.stage import stored
 
 # The texts that stand for a missing summary.
 NO_SUMMARY = "No narrative summary could be generated for this meeting; please refer to the extracted items and the full transcript."
@@ -48,51 +46,60 @@ def cite_items(items: DataFrame, segments: DataFrame, meetings: DataFrame) -> Da
     return told.withColumn("low_support", is_low_support(F.col("description"), F.col("source_text"), F.col("_language"), F.col("source_language"))).drop("_language")
 
 
-_LEAD, _SHOWN = re.compile(LEADING, re.IGNORECASE), re.compile(SHOWN_LEADING, re.IGNORECASE)
+def _candidates(due: str, description: str) -> Column:
+    """(date, shown) of an action's cues in order: its due, unless its first word means none, then its wording's."""
+    said = F.btrim(F.coalesce(F.col(due), F.lit("")), F.lit(" \t\n\r\x0b\x0c"))
+    plain = F.btrim(F.lower(said), F.lit(" .()-—\"'"))
+    own = F.when((plain != "") & ~F.regexp_extract(plain, r"(?U)^\s*(\S*)", 1).isin(NO_DUE), F.array(said)).otherwise(F.array().cast("array<string>"))
+    cues = F.transform(F.concat(own, date_cues(F.col(description))), lambda c: F.struct(norm_date(c).alias("date"), display_date(c).alias("shown")))
+    return F.filter(cues, lambda c: c["date"] != "")
+
 
+def _fold(actions: Column) -> Column:
+    """Actions (item_no, text, cues, …) of one group in order, with picked: the cues whose date no earlier row of a like text has."""
+    none = F.array().cast("array<struct<text:string,date:string>>")
+    start = F.struct(none.alias("covered"), F.array().cast("array<array<string>>").alias("picked"))
+    like = lambda a, b: (a == b) | ((F.least(F.length(a), F.length(b)) >= LEAST) & (a.contains(b) | b.contains(a)))
 
-def _normal(cue: str | None) -> str:
-    return _LEAD.sub("", (cue or "").strip().lower()).strip(EDGE)
+    def step(acc: Column, x: Column) -> Column:
+        free = F.filter(x["cues"], lambda c: ~F.exists(acc["covered"], lambda v: (v["date"] == c["date"]) & like(v["text"], x["text"])))
+        picked = F.transform(free, lambda c: c["shown"])
+        row = F.array(F.struct(x["text"].alias("text"), norm_date(F.array_join(picked, ", ")).alias("date")))
+        return F.struct(F.when(F.size(picked) > 0, F.array_union(acc["covered"], row)).otherwise(acc["covered"]).alias("covered"), F.concat(acc["picked"], F.array(picked)).alias("picked"))
+
+    return F.zip_with(actions, F.aggregate(actions, start, step)["picked"], lambda x, p: F.struct(x["item_no"].alias("item_no"), x["description"].alias("description"), x["source_segment_ids"].alias("source_segment_ids"), p.alias("picked")))
 
 
 def derive_deadlines(deadlines: DataFrame, actions: DataFrame) -> DataFrame:
     """The deadlines (meeting_id, item_no, description, date, source_segment_ids) with one more for every dated action
     that needs it.
 
-    actions: meeting_id, item_no, description, due, source_segment_ids; a new row has its action's citations. An action's cues are its due (unless its first word means none) and the
-    date phrases of its wording, each date once, without those that a like deadline has. item_no goes on counting; the new
-    row's cues are joined by ', '. Order matters, since new rows cover later ones: one small group for each meeting.
+    actions: meeting_id, item_no, description, due, source_segment_ids; a new row has its action's citations. An action's cues
+    are its due (unless its first word means none) and the date phrases of its wording, each date once, without those that a like
+    deadline has. item_no goes on counting; the new row's cues are joined by ', '.
+
+    What given deadlines cover is a join of like texts. New rows cover later actions too, in order, but only actions of a like
+    text: so the actions with cues left are folded one after the other within a component of like texts, and those that are like
+    no other stand for themselves.
     """
-    cues = date_cues(F.col("description"))
-    told = actions.select("meeting_id", F.lit(1).alias("_kind"), "item_no", "description", F.col("due").alias("date"), cues.alias("_cues"), normalised(F.col("description")).alias("_norm"), "source_segment_ids")
-    given = deadlines.select("meeting_id", F.lit(0).alias("_kind"), "item_no", "description", "date", F.array().cast("array<string>").alias("_cues"), normalised(F.col("description")).alias("_norm"), "source_segment_ids")
-
-    def derive(group: pd.DataFrame) -> pd.DataFrame:
-        rows, covered = [], []
-        number = -1
-        for r in group.sort_values(["_kind", "item_no"]).to_dict("records"):
-            if r["_kind"] == 0:
-                rows.append((r["meeting_id"], r["item_no"], r["description"], r["date"], r["source_segment_ids"], False))
-                covered.append((r["_norm"], _normal(r["date"])))
-                number = max(number, r["item_no"])
-                continue
-            due = (r["date"] or "").strip()
-            plain = due.lower().strip(" .()-—\"'")
-            said = [due] if plain and plain.split()[0] not in NO_DUE else []
-            seen, picked = set(), []
-            for cue in [*said, *r["_cues"]]:
-                date = _normal(cue)
-                if date and date not in seen:
-                    seen.add(date)
-                    if not any(d == date and similar_normalised(n, r["_norm"]) for n, d in covered):
-                        picked.append(_SHOWN.sub("", cue).strip())
-            if picked:
-                number += 1
-                rows.append((r["meeting_id"], number, r["description"], ", ".join(picked), r["source_segment_ids"], True))
-                covered.append((r["_norm"], _normal(rows[-1][3])))
-        return pd.DataFrame(rows, columns=["meeting_id", "item_no", "description", "date", "source_segment_ids", "derived"])
-
-    return given.unionByName(told).groupBy("meeting_id").applyInPandas(derive, "meeting_id long, item_no int, description string, date string, source_segment_ids array<long>, derived boolean")
+    on = ["meeting_id"]
+    told = actions.select(*on, "item_no", "description", "source_segment_ids", normalised(F.col("description")).alias("text"), _candidates("due", "description").alias("_all"))
+    first = F.filter("_all", lambda c, k: ~F.exists(F.slice("_all", F.lit(1), k), lambda other: other["date"] == c["date"]))
+    told = stored(told.withColumn("cues", first).drop("_all").where(F.size("cues") > 0), "cues")
+    given = deadlines.select(*on, normalised(F.col("description")).alias("_right"), norm_date(F.col("date")).alias("date")).where("date <> ''").distinct()
+    covered = like_texts(told, deadlines, on).join(given, [*on, "_right"]).groupBy(*on, F.col("_left").alias("text")).agg(F.collect_set("date").alias("_dates"))
+    told = told.join(covered, [*on, "text"], "left").withColumn("cues", F.filter("cues", lambda c: ~F.coalesce(F.array_contains("_dates", c["date"]), F.lit(False)))).drop("_dates")
+    told = stored(told.where(F.size("cues") > 0), "open")
+    roots = like_components(told.where("text <> ''").select(*on, F.col("text").alias("_text")).distinct(), on).withColumnRenamed("_text", "text")
+    placed = told.join(roots, [*on, "text"], "left").withColumn("_group", F.struct("_root", F.when(F.col("_root").isNull(), F.col("text")).alias("_text")))
+    row = F.struct("item_no", "text", "cues", "description", "source_segment_ids")
+    folded = placed.where("text <> ''").groupBy(*on, "_group").agg(F.array_sort(F.collect_list(row)).alias("rows")).select(*on, F.inline(_fold(F.col("rows"))))
+    alone = told.where("text = ''").select(*on, "item_no", "description", "source_segment_ids", F.transform("cues", lambda c: c["shown"]).alias("picked"))
+    new = folded.unionByName(alone).where(F.size("picked") > 0)
+    last = deadlines.groupBy(*on).agg(F.max("item_no").alias("_last"))
+    number = F.coalesce("_last", F.lit(-1)) + F.row_number().over(Window.partitionBy(*on).orderBy("item_no"))
+    new = new.join(last, on, "left").select(*on, number.cast("int").alias("item_no"), "description", F.array_join("picked", ", ").alias("date"), "source_segment_ids", F.lit(True).alias("derived"))
+    return deadlines.select(*on, "item_no", "description", "date", "source_segment_ids", F.lit(False).alias("derived")).unionByName(new)
 
 
 def summary_fallback(meetings: DataFrame, summaries: DataFrame, items: DataFrame) -> DataFrame:

@@ -454,7 +454,32 @@ def d4_annotate_deadlines(f):
     return f.items.select("id", dates.annotate_dates(F.col("date"), F.date_add(F.lit("2024-03-01").cast("date"), (F.col("id") % 60).cast("int"))).alias("date"))
 
 
-@query()
+def _norm_date_sql(x: str) -> str:
+    return f"trim(regexp_replace(trim(lower(coalesce({x}, ''))), '^(?:(?:by|before|on|due|this|next|the|in|within|sebelum|menjelang|pada|dalam)\\s+)+', ''), ' .,:;''\"-—')"
+
+
+def _like_sql(a: str, b: str) -> str:
+    return f"{a} <> '' AND {b} <> '' AND ({a} = {b} OR (least(length({a}), length({b})) >= 12 AND (contains({a}, {b}) OR contains({b}, {a}))))"
+
+
+_NONE_DUE = ", ".join(f"'{w}'" for w in dates.NO_DUE)
+_DUE = "trim(coalesce(due, ''))"
+_PLAIN = f"trim(lower({_DUE}), ' .()-—\"''')"
+
+
+@query(
+    ctes("items")
+    + f""", a AS (SELECT meeting_id, item_no, description, source_segment_ids AS ids, {_NORM.format("description")} AS t,
+        list_concat(CASE WHEN {_PLAIN} <> '' AND string_split({_PLAIN}, ' ')[1] NOT IN ({_NONE_DUE}) THEN [{_DUE}] ELSE [] END, list_transform(regexp_extract_all({_ASCII.format("description")}, '{_re2(dates.CUES)}'), lambda x: trim(x))) AS cues FROM items WHERE category = 'action_items'),
+    c AS (SELECT *, list_transform(cues, lambda x: struct_pack(d := {_norm_date_sql("x")}, s := trim(regexp_replace(x, '(?i)^(?:by|on|before|due|sebelum|menjelang|pada)\\s+', '')))) AS p FROM a),
+    k AS (SELECT meeting_id, item_no, description, ids, t, list_filter(p, lambda x, j: x.d <> '' AND NOT list_contains(list_transform(p[1:j - 1], lambda y: y.d), x.d)) AS p, row_number() OVER (PARTITION BY meeting_id ORDER BY item_no) AS k FROM c),
+    g AS (SELECT meeting_id, list(struct_pack(t := {_NORM.format("description")}, d := {_norm_date_sql("date")})) AS covered, max(item_no) AS last FROM items WHERE category = 'deadlines' GROUP BY meeting_id),
+    walk AS (SELECT m.meeting_id, 0::BIGINT AS k, coalesce(g.covered, []) AS covered, CAST(coalesce(g.last, -1) AS BIGINT) AS last, [''][1:0] AS picked FROM (SELECT DISTINCT meeting_id FROM k) m LEFT JOIN g USING (meeting_id)
+    UNION ALL SELECT meeting_id, k, CASE WHEN len(picked) > 0 THEN list_append(covered, struct_pack(t := t, d := {_norm_date_sql("array_to_string(picked, ', ')")})) ELSE covered END, CASE WHEN len(picked) > 0 THEN last + 1 ELSE last END, picked
+        FROM (SELECT w.meeting_id, k.k, w.covered, w.last, k.t, list_transform(list_filter(k.p, lambda x: len(list_filter(w.covered, lambda v: v.d = x.d AND {_like_sql("v.t", "k.t")})) = 0), lambda x: x.s) AS picked FROM walk w JOIN k ON k.meeting_id = w.meeting_id AND k.k = w.k + 1))
+    SELECT meeting_id, item_no, description, date, array_to_string(source_segment_ids, ',') AS source_segment_ids, false AS derived FROM items WHERE category = 'deadlines'
+    UNION ALL SELECT k.meeting_id, CAST(w.last AS INT), k.description, array_to_string(w.picked, ', '), array_to_string(k.ids, ','), true FROM walk w JOIN k ON k.meeting_id = w.meeting_id AND k.k = w.k WHERE len(w.picked) > 0"""
+)
 def d5_derive_deadlines(f):
     return insights.derive_deadlines(f.items.where("category = 'deadlines'"), f.items.where("category = 'action_items'")).withColumn("source_segment_ids", joined("source_segment_ids"))
 
