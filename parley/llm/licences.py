@@ -5,10 +5,12 @@ read together and notices of one line stay apart. Its features are its distinct
 logistic regression with sparse weights is trained (see `train`) on the templates of all families, on pieces of them, and on
 plain paragraphs as the unknown class; only pairs and triples of the templates have weights, so a paragraph that shares none
 of them is unknown and needs no scoring. The probabilities are calibrated by a temperature on notices that are worded
-otherwise than the templates, and on plain lines that weren't fitted. Paragraphs of one family that follow one another are
-one finding. It is confirmed if enough of one of the family's templates is in it, and enough of what in that template holds a
+otherwise than the templates, on notices of licences outside the list, and on plain lines that weren't fitted. A paragraph may
+name several licences: what the family found in it has in its templates is taken out and the rest judged again, ROUNDS times
+at most. Paragraphs of one family that follow one another are one finding; what two versions share (BSD, GPL) belongs to the
+version beside it. It is confirmed if enough of one of the family's templates is in it, and enough of what in that template holds a
 number (so that another version's notice isn't taken for this one's), and more than of any other family's template (so that what
-two versions of a licence share confirms neither). A line without anything but white space, carriage returns and tabs included,
+two versions of a licence share confirms neither; a family that is found in the same text is no rival). A line without anything but white space, carriage returns and tabs included,
 is empty.
 
 The families are those of TEMPLATES; of other licences nothing is said, or what they share with these, unconfirmed.
@@ -83,9 +85,70 @@ TEMPLATES = {
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "CC-BY-3.0": ["Licensed under CC BY 3.0.", "This work is licensed under a Creative Commons Attribution 3.0 Unported License."],
+    "CC-BY-SA-3.0": ["Licensed under CC BY-SA 3.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License."],
+    "BSL-1.0": [
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    ],
+    "Zlib": [
+        "Licensed under the zlib License.",
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    ],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "Released into the public domain under CC0 1.0."],
     "proprietary": ["All rights reserved.", "Copyright. All rights reserved. No part of this publication may be reproduced without prior written permission."],
 }
+#: Families of what several versions share; their names, and that of `proprietary`, are no identifiers.
+GENERIC = {"GPL-2.0": "GPL", "GPL-3.0": "GPL", "BSD-2-Clause": "BSD", "BSD-3-Clause": "BSD"}
+TEMPLATES = {family: [*texts, *([] if family in (*GENERIC.values(), "proprietary") else [f"SPDX-License-Identifier: {family}"])] for family, texts in TEMPLATES.items()}
+#: Titles of licences. They are fitted on, but confirm nothing by themselves.
+TITLES = {
+    "Apache-2.0": ["Apache License Version 2.0, January 2004", "Apache License, Version 2.0"],
+    "MIT": ["MIT License", "The MIT License (MIT)"],
+    "ISC": ["ISC License"],
+    "GPL-2.0": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "GPL-3.0": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "LGPL-2.1": ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
+    "LGPL-3.0": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "AGPL-3.0": ["GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
+    "BSD-2-Clause": ["BSD 2-Clause License"],
+    "BSD-3-Clause": ["BSD 3-Clause License"],
+    "MPL-2.0": ["Mozilla Public License Version 2.0"],
+    "EPL-2.0": ["Eclipse Public License - v 2.0"],
+    "BSL-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003"],
+    "Zlib": ["zlib License"],
+}
+#: Notices of licences outside the list: every other one is fitted on as unknown, the rest are for the calibration.
+OUTSIDE = [
+    "Licensed under the Artistic License 2.0.",
+    "Licensed under the Academic Free License, version 3.0.",
+    "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "Licensed under the European Union Public Licence, version 1.2.",
+    "Licensed under the Apache License, Version 1.1.",
+    "The contents of this file are subject to the Mozilla Public License Version 1.1.",
+    "Licensed under the Microsoft Public License.",
+    "Licensed under the Common Development and Distribution License, version 1.0.",
+    "Licensed under the Eclipse Public License, version 1.0.",
+    "This work is licensed under a Creative Commons Attribution 2.5 License.",
+    "Licensed under CC BY-ND 2.0.",
+    "Licensed under CC BY-NC 2.5.",
+    "Released under the PostgreSQL License.",
+    "Released under the Python Software Foundation License.",
+    "Licensed under the Open Software License, version 3.0.",
+    "Licensed under the W3C Software Notice and License.",
+    "This program is licensed under the Q Public License, version 1.0.",
+    "This work is licensed under the GNU Free Documentation License, version 1.3.",
+    "Permission to copy and distribute verbatim copies of this document is granted to everyone.",
+    "The publisher reserves all rights of translation, and no part of this report is for sale.",
+    "The university reserves the right to change the rights of its members without notice.",
+    "You may obtain a copy of the report at the office of the library.",
+    "The software of the university is provided to all members of the department.",
+    "Permission was granted to the visitors to use the garden for any purpose.",
+    "The terms of the license agreement for the building are in the first part of the contract.",
+    "A driving license is required under the terms of the contract.",
+]
 #: Notices in other words, for the calibration alone.
 OTHERWISE = {
     "Apache-2.0": ["Distributed under the terms of the Apache License, Version 2.0, see the file", "This file is licensed to you under the Apache License, Version 2.0"],
@@ -109,13 +172,20 @@ PLAIN = ["the software is used in this work by any person", "you may use the fir
 UNKNOWN = "unknown"
 #: A family is reported from this probability on, and confirmed from this containment on.
 LEAST_PROBABILITY, LEAST_CONTAINMENT = 0.5, 0.6
-#: Bound of the corpus sample for the unknown class: about so many documents give one line each.
-MOST_PLAIN = 400
+#: Bound of the corpus sample for the unknown class: about so many documents give one line each. A line that holds more than
+#: this share of a template isn't taken for a plain one.
+MOST_PLAIN, PLAIN_CONTAINMENT = 400, 0.3
+#: The template number of lines of the corpus.
+CORPUS = -2
+#: A paragraph is judged so many times at most, each time without what the families found in it have in their templates.
+ROUNDS = 3
 #: A paragraph ends behind a line that closes a sentence.
 CLOSED = "[.!?:。！？][)\"'”]*\\s*$"
 
 #: Of the regression: the weight of the penalty, the share of it that is absolute, and the most steps.
 SHRINK, LASSO, STEPS = 1e-3, 0.1, 100
+#: What tells a paragraph from others.
+PLACE = ["doc_id", "row", "line_no", "last_line"]
 #: Pairs and triples of these words alone are no features.
 COMMON = "a and any are as at be by for in is it not of on or that the this to under was with".split()
 
@@ -156,25 +226,27 @@ def _pieces() -> list[tuple[str, str, int, str]]:
             words = text.split()
             out.append((family, "template", number, text))
             for _ in range(12):
-                size = rng.randint(min(max(3, 2 * len(words) // 3), len(words)), len(words))
+                size = rng.randint(min(max(3, (1 if len(words) > 24 else 2) * len(words) // 3), len(words)), len(words))  # long ones also in smaller parts
                 at = rng.randint(0, len(words) - size)
                 out.append((family, "fit", number, " ".join(words[at : at + size])))
-            for k in range(6):  # scraps are of no family
+            for k in range(6 if len(words) > 2 else 0):  # scraps are of no family
                 at = rng.randint(0, max(0, len(words) - 3))
                 out.append((UNKNOWN, "held" if k % 3 == 2 else "fit", -1, " ".join(words[at : at + 2])))
             number += 1
+        out += [(family, "fit", -1, title) for title in TITLES.get(family, []) for _ in range(12)]
+    out += [(UNKNOWN, "held" if k % 2 else "fit", -1, text) for k, text in enumerate(OUTSIDE)]
     return out + [(family, "held", -1, t) for family, texts in OTHERWISE.items() for t in texts] + [(UNKNOWN, "fit", -1, t) for t in PLAIN]
 
 
 def plain_lines(docs: DataFrame) -> list[str]:
-    """One line each of about MOST_PLAIN documents, those of hashes under a bound, without words of licences.
+    """One line each of about MOST_PLAIN documents, those of hashes under a bound; `train` leaves out those that are notices.
 
     To the driver go these lines alone, equal ones once.
     """
     n = docs.count()
     share = min(1.0, MOST_PLAIN / max(n, 1))
     few = docs.where("doc_id is not null").where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: ~F.lower(x).rlike("licen[cs]e|copyright|rights|permi|warrant|public"))
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike("\\S"))
     least = F.array_min(F.transform(lines, lambda x: F.struct(F.xxhash64(x, F.lit(5)).alias("h"), x.alias("line"))))["line"]
     return sorted(r["line"] for r in few.select(least.alias("line")).where("line <> ''").distinct().collect())
 
@@ -187,12 +259,13 @@ def train(docs: DataFrame) -> tuple[DataFrame, dict]:
     """
     from parley.llm.shared import stored
 
-    pieces = _pieces() + [(UNKNOWN, "held" if k % 4 == 3 else "fit", -1, line) for k, line in enumerate(plain_lines(docs))]
-    rows = docs.sparkSession.createDataFrame(pieces, "family string, kind string, template int, line string").select("family", "kind", "template", words_of("line").alias("words"))
+    pieces = _pieces() + [(UNKNOWN, "held" if k % 4 == 3 else "fit", CORPUS, line) for k, line in enumerate(plain_lines(docs))]
+    pieces = [(k, *piece) for k, piece in enumerate(pieces)]
+    rows = docs.sparkSession.createDataFrame(pieces, "n int, family string, kind string, template int, line string").select("n", "family", "kind", "template", words_of("line").alias("words"))
     common = F.array(*[F.lit(w) for w in COMMON])
     grams = F.array_except(grams_of("words"), _dull("words", common))
     # of a fixed bound; one partition, so that every run adds up in the same order
-    rows = stored(rows.select("family", "kind", "template", grams.alias("grams"), F.array_intersect(_numbered("words"), grams).alias("numbered"), F.transform(grams, lambda g: g.cast("string")).alias("terms")).coalesce(1), "licence-lines")
+    rows = stored(rows.select("n", "family", "kind", "template", grams.alias("grams"), F.array_intersect(_numbered("words"), grams).alias("numbered"), F.transform(grams, lambda g: g.cast("string")).alias("terms")).coalesce(1), "licence-lines")
 
     members: dict[int, list[int]] = {}
     size: dict[int, int] = {}
@@ -203,6 +276,11 @@ def train(docs: DataFrame) -> tuple[DataFrame, dict]:
         numbered |= set(r["numbered"])
         for g in r["grams"]:
             members.setdefault(g, []).append(r["template"])
+    # a line of the corpus that holds enough of a template is a notice, and no plain line
+    owners = docs.sparkSession.createDataFrame([(g, t, 1.0 / size[t]) for g, of in sorted(members.items()) for t in of], "gram long, template int, part double")
+    met = rows.where(F.col("template") == CORPUS).select("n", F.explode("grams").alias("gram")).join(F.broadcast(owners), "gram")
+    notices = met.groupBy("n", "template").agg(F.sum("part").alias("part")).where(F.col("part") > PLAIN_CONTAINMENT).select("n").distinct()
+    rows = rows.join(F.broadcast(notices), "n", "left_anti")
     families, vocabulary = [*TEMPLATES, UNKNOWN], sorted(members)
     label = F.create_map(*[F.lit(v) for i, f in enumerate(families) for v in (f, float(i))])
     features = CountVectorizerModel.from_vocabulary([str(g) for g in vocabulary], "terms", "features", binary=True)
@@ -263,7 +341,7 @@ def hits_of(docs: DataFrame, table: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, line_no and last_line (from 0), family, probability, containment, confirmed of every finding: paragraphs of one
-    family that follow one another, at most an empty line between them.
+    family that follow one another, at most one line between them. A paragraph of two licences is part of a finding of each.
 
     The probability is that of the finding's surest paragraph. A paragraph whose best family stays under LEAST_PROBABILITY is
     of the unknown class and not given.
@@ -275,33 +353,58 @@ def scan(docs: DataFrame) -> DataFrame:
     return findings(stored(hits_of(docs, table), "licence-hits"), model)
 
 
-def findings(hits: DataFrame, model: dict) -> DataFrame:
-    """The findings of `scan` from stored hits."""
-    bias, size = model["bias"], model["size"]
-    place = ["doc_id", "row", "line_no", "last_line"]
-    by_family = hits.groupBy(*place, "family").agg(F.sum("weight").alias("z"))
+def judged(hits: DataFrame, bias: dict[str, float]) -> DataFrame:
+    """doc_id, row, line_no, last_line, family, probability of the paragraphs whose best family reaches LEAST_PROBABILITY."""
+    by_family = hits.groupBy(*PLACE, "family").agg(F.sum("weight").alias("z"))
     prior = F.create_map(*[F.lit(v) for f, b in bias.items() for v in (f, b)])
     by_family = by_family.withColumn("e", F.exp(F.col("z") + F.try_element_at(prior, F.col("family")))).withColumn("base", F.exp(F.try_element_at(prior, F.col("family"))))
     # softmax over the families that have hits, the others at their biases, and unknown at 0
     rest = 1 + math.fsum(math.exp(b) for b in bias.values())
-    best = by_family.groupBy(*place).agg(F.max(F.struct("e", "family")).alias("best"), F.sum(F.col("e") - F.col("base")).alias("more"))
-    best = best.select(*place, F.col("best.family").alias("family"), (F.col("best.e") / (F.col("more") + rest)).alias("probability")).where(F.col("probability") >= LEAST_PROBABILITY)
-    # paragraphs of one family that follow one another; a text's findings are few
-    order = Window.partitionBy("row").orderBy("line_no")
-    new = (F.lag("family").over(order) == F.col("family")) & (F.col("line_no") <= F.lag("last_line").over(order) + 2)
-    told = best.withColumn("new", F.when(F.coalesce(new, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    found = told.groupBy("doc_id", "row", "run", "family").agg(F.min("line_no").alias("line_no"), F.max("last_line").alias("last_line"), F.max("probability").alias("probability"))
+    best = by_family.groupBy(*PLACE).agg(F.max(F.struct("e", "family")).alias("best"), F.sum(F.col("e") - F.col("base")).alias("more"))
+    return best.select(*PLACE, F.col("best.family").alias("family"), (F.col("best.e") / (F.col("more") + rest)).alias("probability")).where(F.col("probability") >= LEAST_PROBABILITY)
+
+
+def findings(hits: DataFrame, model: dict) -> DataFrame:
+    """The findings of `scan` from stored hits."""
+    from parley.llm.shared import stored
+
+    bias, size = model["bias"], model["size"]
+    owner_of = dict(enumerate(f for f, texts in TEMPLATES.items() for _ in texts))
+    owner = F.create_map(*[F.lit(v) for pair in owner_of.items() for v in pair])
+    # a paragraph that names several licences: what the found ones' templates hold is taken out, and the rest judged again
+    found = stored(judged(hits, bias), "licence-paragraphs")
+    last, left = found, hits
+    for _ in range(ROUNDS - 1):
+        known = last.select("row", "line_no", F.col("family").alias("_found"))
+        own = F.exists("templates", lambda t: F.try_element_at(owner, t) == F.col("_found"))
+        left = left.join(known, ["row", "line_no"]).where(~own).drop("_found")
+        last = judged(left, bias)
+        found = found.unionByName(last)
+    generic = F.try_element_at(F.create_map(*[F.lit(v) for pair in GENERIC.items() for v in pair]), F.col("family"))
+    best = found.withColumn("root", F.coalesce(generic, "family")).withColumn("special", F.when(F.col("family") != F.col("root"), F.col("family")))
+    best = best.groupBy(*PLACE, "root", "family", "special").agg(F.max("probability").alias("probability"))
+    # paragraphs of one family that follow one another; a text's findings are few. What versions share goes with a version beside it
+    order = Window.partitionBy("row", "root").orderBy("line_no", F.col("special").asc_nulls_first())
+    near = F.col("line_no") <= F.max("last_line").over(order.rowsBetween(Window.unboundedPreceding, -1)) + 2
+    told = best.withColumn("new", F.when(F.coalesce(near, F.lit(False)), 0).otherwise(1)).withColumn("part", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    inside = Window.partitionBy("row", "root", "part").orderBy("line_no", F.col("special").asc_nulls_first())
+    before = F.last("special", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    told = told.withColumn("turn", F.when(F.coalesce(F.col("special") != before, F.lit(False)), 1).otherwise(0)).withColumn("turn", F.sum("turn").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    told = told.withColumn("run", F.concat_ws("/", "root", "part", "turn"))
+    runs = told.groupBy("doc_id", "row", "run", "root").agg(F.coalesce(F.max("special"), F.first("root")).alias("family"), F.min("line_no").alias("line_no"), F.max("last_line").alias("last_line"), F.max("probability").alias("probability"))
     # the share of a template's pairs and triples that the finding has, for the family's closest template
     sizes = F.create_map(*[F.lit(v) for t, n in size.items() for v in (t, n)])
-    owner = F.create_map(*[F.lit(v) for t, f in enumerate(f for f, texts in TEMPLATES.items() for _ in texts) for v in (t, f)])
-    shared = hits.select("row", "line_no", "gram", "templates", "numbered").distinct().join(told.select("row", "line_no", "run", "family"), ["row", "line_no"])
-    shared = shared.select("row", "run", "family", "gram", "numbered", F.explode("templates").alias("template")).distinct()
+    shared = hits.select("row", "line_no", "gram", "templates", "numbered").distinct().join(told.select("row", "line_no", "run").distinct(), ["row", "line_no"])
+    shared = shared.select("row", "run", "gram", "numbered", F.explode("templates").alias("template")).distinct()
     numbers = F.create_map(*[F.lit(v) for t, n in model["numbers"].items() for v in (t, n)])
     told_numbers = F.count_if("numbered") >= LEAST_CONTAINMENT * F.try_element_at(numbers, F.col("template"))
-    shared = shared.groupBy("row", "run", "family", "template").agg((F.count("*") / F.try_element_at(sizes, F.col("template"))).alias("part"), told_numbers.alias("true"))
-    mine = F.try_element_at(owner, F.col("template")) == F.col("family")
-    shared = shared.groupBy("row", "run").agg(F.max(F.when(mine, F.col("part"))).alias("containment"), F.max(F.when(mine & F.col("true"), F.col("part"))).alias("proof"), F.max(F.when(~mine, F.col("part"))).alias("other"))
-    found = found.join(shared, ["row", "run"], "left")
+    shared = shared.groupBy("row", "run", "template").agg((F.count("*") / F.try_element_at(sizes, F.col("template"))).alias("part"), told_numbers.alias("true"))
+    shared = shared.withColumn("owner", F.try_element_at(owner, F.col("template"))).join(runs.select("row", "run", "family", "root"), ["row", "run"])
+    shared = shared.join(found.select("row", F.col("family").alias("owner"), F.lit(True).alias("known")).distinct(), ["row", "owner"], "left")
+    mine = F.col("owner") == F.col("family")
+    rival = ~mine & (F.col("owner") != F.col("root")) & F.col("known").isNull()
+    shared = shared.groupBy("row", "run").agg(F.max(F.when(mine, F.col("part"))).alias("containment"), F.max(F.when(mine & F.col("true"), F.col("part"))).alias("proof"), F.max(F.when(rival, F.col("part"))).alias("other"))
+    out = runs.join(shared, ["row", "run"], "left")
     containment = F.coalesce("containment", F.lit(0.0))
     confirmed = (F.coalesce("proof", F.lit(0.0)) >= LEAST_CONTAINMENT) & (containment > F.coalesce("other", F.lit(0.0)))
-    return found.select("doc_id", "line_no", "last_line", "family", F.round("probability", 6).alias("probability"), F.round(containment, 6).alias("containment"), confirmed.alias("confirmed"))
+    return out.select("doc_id", "line_no", "last_line", "family", F.round("probability", 6).alias("probability"), F.round(containment, 6).alias("containment"), confirmed.alias("confirmed"))
