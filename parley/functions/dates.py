@@ -84,7 +84,17 @@ def _date(year: Column, month: Column, day: Column) -> Column:
 
 def resolve_date(cue: Column, anchor: Column) -> Column:
     """D3: the date of a cue said on the anchor date, or null. The first rule that fits decides, even for an impossible date."""
-    c = F.trim(F.regexp_replace(F.lower(cue), r"(?U)\s+", " "))
+    # an array of one binds the plain cue, so that the rules share it
+    return F.get(F.transform(F.array(_plain(cue)), lambda c: _resolved(c, anchor)), 0)
+
+
+def _plain(cue: Column) -> Column:
+    """Lower case with single spaces."""
+    return F.trim(F.regexp_replace(F.lower(cue), r"(?U)\s+", " "))
+
+
+def _resolved(c: Column, anchor: Column) -> Column:
+    """`resolve_date` of a plain cue."""
     has = lambda pattern: c.rlike("(?uU)" + pattern)
     group = lambda pattern, k: F.regexp_extract(c, "(?uU)" + pattern, k)
     number = lambda x: F.try_cast(x, "int") if hasattr(F, "try_cast") else x.try_cast("int")
@@ -110,7 +120,7 @@ def resolve_date(cue: Column, anchor: Column) -> Column:
     wide_day, latin_day = "(?:星期|周|礼拜)\\s*([一二三四五六日天])", rf"\b({'|'.join(WEEKDAYS)})\b"
     base = F.when(c.contains("next"), F.date_add(anchor, 7)).otherwise(anchor)
     return (
-        F.when(cue.isNull() | (cue == "") | anchor.isNull(), F.lit(None).cast("date"))
+        F.when(c.isNull() | (c == "") | anchor.isNull(), F.lit(None).cast("date"))
         .when(has(iso), _date(number(group(iso, 1)), number(group(iso, 2)), number(group(iso, 3))))
         .when(has(slash), _date(slash_year, number(group(slash, 2)), number(group(slash, 1))))
         .when(has(wide), _date(year, number(group(wide, 1)), number(group(wide, 2))))
@@ -133,7 +143,8 @@ def annotate_dates(dates: Column, anchor: Column) -> Column:
     """Each comma part followed by ' (dd/MM/yyyy)' if it can be resolved; blank texts and texts with '(' stay."""
     raw = F.trim(F.coalesce(dates, F.lit("")))
     parts = F.filter(F.transform(F.split(raw, ","), lambda p: F.trim(p)), lambda p: p != "")
-    told = F.transform(parts, lambda p: F.concat(p, F.coalesce(F.concat(F.lit(" ("), F.date_format(resolve_date(p, anchor), "dd/MM/yyyy"), F.lit(")")), F.lit(""))))
+    pairs = F.transform(parts, lambda p: F.struct(p.alias("said"), _plain(p).alias("plain")))
+    told = F.transform(pairs, lambda x: F.concat(x["said"], F.coalesce(F.concat(F.lit(" ("), F.date_format(_resolved(x["plain"], anchor), "dd/MM/yyyy"), F.lit(")")), F.lit(""))))
     return F.when((raw == "") | raw.contains("(") | anchor.isNull(), dates).otherwise(F.array_join(told, ", "))
 
 

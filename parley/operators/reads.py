@@ -60,7 +60,7 @@ def search(segments: DataFrame, terms: DataFrame) -> DataFrame:
     each side of the first hit, with '...' on cut sides. Up to MOST_TERMS terms are matched with every line as they come;
     more of them meet the lines that have their first two characters anywhere.
     """
-    wanted = terms.select(F.trim("term").alias("term")).where(F.length("term") >= 2).distinct()
+    wanted = wanted_terms(terms)
     lines = segment_index(segments)
     found = F.lower(F.col("text")).contains(F.lower(F.col("term")))
     if wanted.limit(MOST_TERMS + 1).count() <= MOST_TERMS:
@@ -70,6 +70,16 @@ def search(segments: DataFrame, terms: DataFrame) -> DataFrame:
         pairs = F.transform(F.sequence(F.lit(1), F.length(low) - 1), lambda k: F.substr(low, k, F.lit(2)))
         spread = lines.where(F.length(low) >= 2).withColumn("_pair", F.explode(F.array_distinct(pairs)))
         hits = spread.join(wanted.withColumn("_pair", F.substring(F.lower("term"), 1, 2)), "_pair").where(found).drop("_pair")
+    return first_hits(hits)
+
+
+def wanted_terms(terms: DataFrame) -> DataFrame:
+    """The different terms, trimmed, of two characters or more."""
+    return terms.select(F.trim("term").alias("term")).where(F.length("term") >= 2).distinct()
+
+
+def first_hits(hits: DataFrame) -> DataFrame:
+    """Of lines with a term in them (and ordinal) the first MOST_HITS of each meeting and term, with their snippets."""
     at = F.instr(F.lower("text"), F.lower("term"))
     rank = F.row_number().over(Window.partitionBy("term", "meeting_id").orderBy("ordinal"))
     return hits.withColumns({"_at": at, "_rank": rank}).where(F.col("_rank") <= MOST_HITS).select("term", "meeting_id", "id", "ordinal", "start_seconds", _snippet(F.col("text"), F.col("_at"), F.length("term")).alias("snippet"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions import dates, text
-from parley.operators import changes, followup, headings, insights, intervals, language, likeness, prompts, reads, replies, report, speakers
+from parley.operators import changes, followup, headings, insights, intervals, language, likeness, prompts, reads, replies, report, search_index, speakers
 from parley.plans.frames import Frames, ctes
 from parley.sources import stage, tables
 from parley.streaming import progress
@@ -885,6 +885,13 @@ def k3_search(f):
     return reads.search(f.segments_b, terms).select("term", "id", "ordinal", "snippet")
 
 
+@query(ORACLES["k3_search"])
+def k3_search_index(f):
+    path, terms = stage.work_dir(f.spark, "search"), f.spark.createDataFrame([(t,) for t in _K3], "term string")
+    search_index.write_search_index(f.segments_b, path, 16, 16)
+    return search_index.search_stored(f.spark, path, terms).select("term", "id", "ordinal", "snippet")
+
+
 @query(ctes("segments_b", "words_b") + "SELECT w.id, w.segment_id, w.text FROM words_b w JOIN segments_b s ON s.id = w.segment_id WHERE mod(s.id, 10) = 1 AND mod(s.meeting_id, 3) <> 0")
 def k7_segment_words(f):
     wanted = f.segments_b.where("id % 10 = 1").select(F.when(F.col("meeting_id") % 3 == 0, F.lit(-1).cast("long")).otherwise(F.col("meeting_id")).alias("meeting_id"), F.col("id").alias("segment_id"))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parley.functions.text import normalised
-from parley.operators import changes, followup, graphs, headings, insights, intervals, language, prompts, reads, replies, report, speakers
+from parley.operators import changes, followup, graphs, headings, insights, intervals, language, prompts, reads, replies, report, search_index, speakers
 from parley.sources import tables
 
 
@@ -650,6 +650,24 @@ def test_speaker_names(spark):
     assert rows(changes.rename_speakers(who, new), "id", "display_name") == [(5, "Ann"), (6, None)]
 
 
+def test_stored_search_equals_the_scan_and_reads_what_it_needs(spark, tmp_path):
+    texts = ["The INSTALLER went out", "an installer", "tall 😀 installs", "ab", "", None, "一二三四", "İstanbul 100%", "x" * 5000 + "installer"]
+    lines = spark.createDataFrame([(i % 2, i, float(i), t) for i, t in enumerate(texts * 2)], "meeting_id long, id long, start_seconds double, text string")
+    terms = spark.createDataFrame([("installer",), (" Install ",), ("l 😀",), ("ab",), ("二三四",), ("100%",), ("absent word",), ("q",), ("xxx",), (None,)], "term string")
+    path = str(tmp_path / "index")
+    search_index.write_search_index(lines, path, 4, 16)
+    columns = ("term", "meeting_id", "id", "ordinal", "start_seconds", "snippet")
+    got = rows(search_index.search_stored(spark, path, terms), *columns)
+    assert got == rows(reads.search(lines, terms), *columns) and len(got) > 15
+    one = search_index.search_stored(spark, path, terms.where("term = '100%'"))
+    plan = one._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*block#\d+", plan)
+    none = search_index.search_stored(spark, path, terms.where("term = 'absent word'"))
+    assert none.count() == 0
+    search_index.write_search_index(lines.limit(0), str(tmp_path / "empty"), 4, 16)
+    assert search_index.search_stored(spark, str(tmp_path / "empty"), terms).count() == 0
+
+
 def test_search_takes_no_pattern(spark):
     s = spark.createDataFrame([(1, 1, 0.0, "a 50% rise_x"), (2, 1, 1.0, "a 50 rise x")], "id long, meeting_id long, start_seconds double, text string")
     terms = spark.createDataFrame([("50%",), ("RISE_",), ("a",)], "term string")
