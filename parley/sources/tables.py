@@ -34,7 +34,8 @@ BUCKETS = 256
 
 def read_tables(spark: SparkSession, path: str, names: list[str] | None = None, fmt: str = "parquet", schemas: dict[str, str] | None = None, options: dict[str, str] | None = None) -> dict[str, DataFrame]:
     """The named tables with fixed schemas: below path as parquet, json or csv (with a header), or as tables of the
-    database at the URL path by jdbc (options: driver, and partitionColumn with its bounds to read in parallel).
+    database at the URL path by jdbc (options: driver; numPartitions to read in parallel, by id or else meeting_id, see
+    `read_jdbc`).
 
     schemas: of tables other than the library's own.
     """
@@ -43,8 +44,11 @@ def read_tables(spark: SparkSession, path: str, names: list[str] | None = None,
     for n in names or list(known):
         reader = spark.read.options(**(options or {}))
         if fmt == "jdbc":
-            told = reader.jdbc(path, n)
             fields = StructType.fromDDL(known[n]).fields
+            given = dict(options or {})
+            parts = int(given.pop("numPartitions", 1))
+            column = given.pop("partitionColumn", None) or next((c for c in ("id", "meeting_id") if c in [f.name for f in fields]), None)
+            told = read_jdbc(spark, path, n, given, column, parts)
             out[n] = told.select(*[told[f.name].cast(f.dataType).alias(f.name) for f in fields])
         else:
             reader = reader.option("header", "true") if fmt == "csv" else reader
@@ -52,6 +56,37 @@ def read_tables(spark: SparkSession, path: str, names: list[str] | None = None,
     return out
 
 
+def read_jdbc(spark: SparkSession, url: str, table: str, options: dict[str, str] | None = None, column: str | None = None, parts: int = 1) -> DataFrame:
+    """A table of a database, in `parts` partitions by a whole-numbered column, each read by a query of its own.
+
+    The column's least and greatest values are asked of the database first, unless options name lowerBound and upperBound; rows
+    beyond them and rows of null are still read, by the first and last partitions. An empty table is read in one.
+    """
+    given = dict(options or {})
+    if column is not None and parts > 1:
+        if "lowerBound" not in given or "upperBound" not in given:
+            ends = spark.read.options(**given).jdbc(url, table).agg(F.min(column).alias("low"), F.max(column).alias("high")).first()  # pushed down
+            given |= {} if ends["low"] is None else {"lowerBound": str(ends["low"]), "upperBound": str(ends["high"] + 1)}
+        if "lowerBound" in given:
+            given |= {"partitionColumn": column, "numPartitions": str(parts)}
+    return spark.read.options(**given).jdbc(url, table)
+
+
+def write_jdbc(tables: dict[str, DataFrame], url: str, options: dict[str, str] | None = None, parts: int = 8) -> None:
+    """The tables into a database, each in place of the one there, over at most `parts` connections."""
+    for name, df in tables.items():
+        df.coalesce(parts).write.mode("overwrite").options(**(options or {})).jdbc(url, name)
+
+
+def upload_manifest(spark: SparkSession, folder: str, details: DataFrame) -> DataFrame:
+    """S2 for files: the manifest of what lies in a folder, for `check_uploads`: filename, bytes, and title, expected_speakers and
+    language from details (by filename; null where it says nothing). Of the files only names and lengths are read. Files of zero bytes, which the
+    reader passes over, have no row."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    told = files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("bytes"))
+    return told.join(details.select("filename", "title", "expected_speakers", "language"), "filename", "left")
+
+
 def check_uploads(manifest: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     """Manifest (filename, bytes, title, expected_speakers, language) with title filled in, accepted and reason.
 

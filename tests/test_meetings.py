@@ -668,6 +668,33 @@ def test_stored_search_equals_the_scan_and_reads_what_it_needs(spark, tmp_path):
     assert search_index.search_stored(spark, str(tmp_path / "empty"), terms).count() == 0
 
 
+def test_tables_by_jdbc_in_partitions(spark):
+    """Round trip through a database in memory."""
+    url, options = "jdbc:derby:memory:meetings;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    speakers_ = spark.createDataFrame([(i, i % 7, f"S{i}", None if i % 2 else "Ünal") for i in range(1, 101)], tables.SCHEMAS["speakers"])
+    turns = spark.createDataFrame([(i % 5, i, i * 0.5, i + 1.0, "A") for i in range(20)], tables.SCHEMAS["turns"])
+    none = spark.createDataFrame([], tables.SCHEMAS["issues"])
+    tables.write_jdbc({"speakers": speakers_, "turns": turns, "issues": none}, url, options)
+    got = tables.read_tables(spark, url, ["speakers", "turns", "issues"], "jdbc", options=options | {"numPartitions": "4"})
+    for name, df in {"speakers": speakers_, "turns": turns, "issues": none}.items():
+        assert got[name].schema == df.schema and rows(got[name], *df.columns) == rows(df, *df.columns)
+    sizes = got["speakers"].groupBy(F.spark_partition_id()).count().collect()
+    assert [r["count"] for r in sizes] == [25] * 4 and got["turns"].rdd.getNumPartitions() == 4
+    wide = tables.read_jdbc(spark, url, "speakers", options | {"lowerBound": "40", "upperBound": "60"}, "id", 2)
+    assert wide.count() == 100
+
+
+def test_uploads_are_read_without_their_content(spark, tmp_path):
+    for name, size in (("a.mp4", 10), ("b.exe", 5), ("c.wav", 30), ("d.WEBM", 1), ("empty.mp3", 0)):
+        (tmp_path / name).write_bytes(b"x" * size)
+    details = spark.createDataFrame([("a.mp4", "Plan", 2, "en"), ("c.wav", None, None, None), ("gone.mp3", "x", 1, "en")], "filename string, title string, expected_speakers int, language string")
+    manifest = tables.upload_manifest(spark, str(tmp_path), details)
+    assert rows(manifest, "filename", "bytes", "title") == [("a.mp4", 10, "Plan"), ("b.exe", 5, None), ("c.wav", 30, None), ("d.WEBM", 1, None)]
+    assert "content" not in manifest._jdf.queryExecution().executedPlan().toString()
+    told = tables.check_uploads(manifest, 20)
+    assert rows(told, "filename", "title", "reason") == [("a.mp4", "Plan", None), ("b.exe", "b", "unsupported file type"), ("c.wav", "c", "file too large"), ("d.WEBM", "d", None)]
+
+
 def test_search_takes_no_pattern(spark):
     s = spark.createDataFrame([(1, 1, 0.0, "a 50% rise_x"), (2, 1, 1.0, "a 50 rise x")], "id long, meeting_id long, start_seconds double, text string")
     terms = spark.createDataFrame([("50%",), ("RISE_",), ("a",)], "term string")
