@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-from functools import lru_cache
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,27 +37,57 @@ def normal_name(text: Column) -> Column:
 
 
 def synonyms(spark: SparkSession, scalar_only: bool = False) -> DataFrame:
-    """name, field: about two hundred rows, fixed."""
+    """name, field, place (in the list): about two hundred rows, fixed."""
     rows = {}
     for field, names in SYNONYMS.items():
         for name in names:
             rows[name] = field
-    return spark.createDataFrame([(n, f) for n, f in rows.items() if f in SCALAR or not scalar_only], "name string, field string")
+    return spark.createDataFrame([(n, f, k) for k, (n, f) in enumerate(rows.items()) if f in SCALAR or not scalar_only], "name string, field string, place int")
 
 
-@lru_cache(100_000)
-def _closest(name: str, scalar_only: bool) -> str | None:
-    best, ratio = None, 0.0
-    for field, names in SYNONYMS.items():
-        if scalar_only and field not in SCALAR:
-            continue
-        for other in names:
-            if 2 * min(len(name), len(other)) < ratio * (len(name) + len(other)):
-                continue  # can't be closer
-            r = difflib.SequenceMatcher(None, name, other).ratio()
-            if r > ratio:
-                best, ratio = field, r
-    return best if ratio >= LEAST_RATIO else None
+def matched_letters(a: Column, b: Column) -> Column:
+    """How many letters of two texts lie in matching blocks: the longest common run (of equal ones the first in a, then in b), and
+    so on in what is left of it and right of it. A fold over a stack of pairs of pieces; each step takes one pair off."""
+    named = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    state = lambda todo, met: F.struct(todo.alias("todo"), met.alias("met"))
+    upto = lambda n: F.filter(F.sequence(F.lit(0), n), lambda k: k > 0)  # noqa: E731  from 1, none if n is 0
+
+    def block(x: Column, y: Column) -> Column:
+        run = lambda i: F.size(F.filter(upto(F.length(x) - i + 1), lambda n: F.contains(y, F.substr(x, i, n))))
+        return F.array_max(F.transform(upto(F.length(x)), lambda i: F.struct(run(i).alias("n"), (-i).alias("back"))))
+
+    def split(s: Column, x: Column, y: Column, n: Column, i: Column, j: Column) -> Column:
+        sides = F.array(named(F.substr(x, F.lit(1), i - 1), F.substr(y, F.lit(1), j - 1)), named(F.substr(x, i + n), F.substr(y, j + n)))
+        rest = F.slice(s["todo"], F.lit(1), F.size(s["todo"]) - 1)
+        both = F.filter(sides, lambda p: (p["x"] != "") & (p["y"] != ""))
+        return F.when(n > 0, state(F.concat(rest, both), s["met"] + n)).otherwise(state(rest, s["met"]))
+
+    def step(s: Column, _: Column) -> Column:
+        top = F.element_at(s["todo"], -1)
+        cut = F.transform(F.array(block(top["x"], top["y"])), lambda m: split(s, top["x"], top["y"], m["n"], -m["back"], F.instr(top["y"], F.substr(top["x"], -m["back"], m["n"]))))[0]
+        return F.when(F.size(s["todo"]) == 0, s).otherwise(cut)
+
+    steps = F.sequence(F.lit(1), F.least(F.length(a), F.length(b)) * 2 + 1)
+    return F.aggregate(steps, state(F.array(named(a, b)), F.lit(0)), step, lambda s: s["met"])
+
+
+def closest(names: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """_name, _field: the field of the name that is most like each distinct _name, if the ratio of matching letters reaches
+    LEAST_RATIO; of equal ratios the first of the list. names: _name, not null; a name of no like one gives no row.
+
+    A name meets only those of a length and a stock of letters that can reach the ratio: an equi-join by length with a fixed table
+    of some thousand rows, so that long lines meet nothing.
+    """
+    least = F.lit(LEAST_RATIO)
+    m = F.length("name")
+    lengths = F.filter(F.sequence(F.lit(1), m * 2), lambda n: F.least(n, m) * 2.0 / (n + m) >= least)
+    near = synonyms.select("name", "field", "place", F.explode(lengths).alias("_length"))
+    total = F.length("_name") + F.length("name")
+    count = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
+    shared = F.aggregate(F.array_distinct(F.split("name", "")), F.lit(0), lambda n, c: n + F.least(count(F.col("_name"), c), count(F.col("name"), c)))
+    pairs = names.select("_name").distinct().withColumn("_length", F.length("_name")).join(F.broadcast(near), "_length").where(shared * 2.0 / total >= least)
+    told = pairs.withColumn("_ratio", matched_letters(F.col("_name"), F.col("name")) * 2.0 / total).where(F.col("_ratio") >= least)
+    return told.groupBy("_name").agg(F.min_by("field", F.struct(-F.col("_ratio"), "place")).alias("_field"))
 
 
 def match_headings(lines: DataFrame, scalar_only: bool = False, ratio: bool = True) -> DataFrame:
@@ -72,7 +98,7 @@ def match_headings(lines: DataFrame, scalar_only: bool = False, ratio: bool = Tr
     heading = F.coalesce(F.col("style"), F.lit("")).rlike("^(Heading|Title)")
     told = lines.withColumns({"_name": normal_name(F.col("text")), "_loose": heading | ((F.size(F.split(normal_name(F.col("text")), " ")) <= 6) & ~F.trim("text").rlike("[.!?。！？]$"))})
     distinct = told.where("_name <> ''").select("_name", "_loose").distinct()
-    names = F.broadcast(synonyms(spark, scalar_only))  # fixed size
+    names = F.broadcast(synonyms(spark, scalar_only).drop("place"))  # fixed size
     if scalar_only:  # a name of another field is no loose match either
         taken = synonyms(spark).where(~F.col("field").isin(*SCALAR)).select(F.col("name").alias("_name"))
         distinct = distinct.join(F.broadcast(taken), "_name", "left_anti")
@@ -86,19 +112,14 @@ def match_headings(lines: DataFrame, scalar_only: bool = False, ratio: bool = Tr
     contained = rest.join(long_, inside).groupBy("_name", "_loose").agg(F.min_by("field", F.struct(-F.length("name"), "name")).alias("_field"))
     found = exact.unionByName(contained)
     if ratio:
-
-        @F.pandas_udf("string")
-        def closest(name: pd.Series) -> pd.Series:
-            return name.map(lambda n: _closest(n, scalar_only))
-
-        left = rest.join(contained, ["_name", "_loose"], "left_anti").withColumn("_field", closest("_name")).where("_field is not null")
-        found = found.unionByName(left)
+        left = rest.join(contained, ["_name", "_loose"], "left_anti")
+        found = found.unionByName(left.join(closest(left, synonyms(spark, scalar_only)), "_name").select("_name", "_loose", "_field"))
     return told.join(found, ["_name", "_loose"], "left").withColumnRenamed("_field", "field").drop("_name", "_loose")
 
 
 def markers(lines: DataFrame) -> DataFrame:
     """template_id, line_no, field of every known [[marker]] in the lines."""
-    names = F.broadcast(synonyms(lines.sparkSession))
+    names = F.broadcast(synonyms(lines.sparkSession).drop("place"))
     found = lines.select("template_id", "line_no", F.explode(F.regexp_extract_all("text", F.lit(MARKER), F.lit(1))).alias("_m")).withColumn("_name", normal_name(F.col("_m")))
     return found.join(names, F.col("_name") == F.col("name")).select("template_id", "line_no", "field")
 
@@ -130,7 +151,7 @@ def fill_markers(lines: DataFrame, values: DataFrame) -> DataFrame:
     """M6: lines with each known [[marker]] replaced by its value (values: field, value); unknown ones stay."""
     split = F.split(F.regexp_replace("text", MARKER, "\u0001[[$1]]\u0001"), "\u0001")
     parts = lines.select("template_id", "line_no", F.posexplode(split).alias("_k", "_part")).withColumn("_name", normal_name(F.regexp_extract("_part", f"^{MARKER}$", 1)))
-    names = F.broadcast(synonyms(lines.sparkSession))
+    names = F.broadcast(synonyms(lines.sparkSession).drop("place"))
     known = parts.join(names, (F.col("_name") == F.col("name")) & (F.col("_name") != ""), "left").join(values, "field", "left")
     rows = F.sort_array(F.collect_list(F.struct("_k", F.coalesce("value", "_part").alias("t"))))
     texts = known.groupBy("template_id", "line_no").agg(F.array_join(F.transform(rows, lambda r: r["t"]), "").alias("filled"))

@@ -2,34 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.text import normalised
 from parley.operators.graphs import components
 from parley.sources.stage import stored
 
-#: Shorter texts are alike only when they are equal; so many characters in a row find where a longer one may lie.
+#: Shorter texts are alike only when they are equal.
 LEAST = 12
+#: Of every RUN pieces of GRAM characters in a row the one of the least hash is kept. GRAM + RUN - 1 characters are LEAST, so
+#: that each text has one at least, and what is kept of a text is kept of every text that it is part of.
+GRAM, RUN = 8, 5
 
 
-def _windows(texts: DataFrame, on: list[str], name: str) -> DataFrame:
-    """on, name, _window: every text's distinct runs of LEAST characters."""
-    starts = F.sequence(F.lit(1), F.length(name) - (LEAST - 1))
-    return texts.where(F.length(name) >= LEAST).select(*on, name, F.explode(F.array_distinct(F.transform(starts, lambda i: F.substr(F.col(name), i, F.lit(LEAST))))).alias("_window"))
+def _pieces(text: str) -> Column:
+    """The distinct hashes of the pieces that are kept of a text of LEAST characters or more, in time linear in its length."""
+    one = lambda value, f: F.transform(F.array(value), f)[0]  # noqa: E731  a name for a value, so that it is reckoned once
+    hashes = one(F.split(text, ""), lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - (GRAM - 1)), lambda i: F.xxhash64(F.slice(c, i, GRAM))))
+    return one(hashes, lambda h: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(h) - (RUN - 1)), lambda i: F.array_min(F.slice(h, i, RUN)))))
+
+
+def _grams(texts: DataFrame, on: list[str]) -> DataFrame:
+    """on, _key, _length, _gram: a row of numbers for each piece that is kept of a text; the text itself stays behind."""
+    return texts.where(F.length("_text") >= LEAST).select(*on, F.xxhash64("_text").alias("_key"), F.length("_text").alias("_length"), F.explode(_pieces("_text")).alias("_gram"))
 
 
 def _parts(short: DataFrame, long_: DataFrame, on: list[str]) -> DataFrame:
     """on, _short, _long: texts that are part of a longer one.
 
-    A text is looked up by the one of its windows that the fewest longer texts have, so that a common phrase costs nothing
-    where a rarer one is at hand.
+    A text is looked up by the one of its pieces that the fewest texts of the other table have, so that a common phrase costs
+    nothing where a rarer one is at hand, and only if a longer text has each of its pieces. Pieces and texts go by their hashes
+    until the candidates are known; equal hashes of different texts only make candidates more, which are all compared.
     """
-    where = _windows(long_.withColumnRenamed("_text", "_long"), on, "_long")
-    known = where.groupBy(*on, "_window").count()
-    anchor = _windows(short.withColumnRenamed("_text", "_short"), on, "_short").join(known, [*on, "_window"])
-    anchor = anchor.groupBy(*on, "_short").agg(F.min(F.struct("count", "_window"))["_window"].alias("_window"))
-    return anchor.join(where, [*on, "_window"]).where((F.length("_short") < F.length("_long")) & F.col("_long").contains(F.col("_short"))).select(*on, "_short", "_long")
+    where = _grams(long_, on)
+    known = where.groupBy(*on, "_gram").agg(F.count("*").alias("_count"), F.max("_length").alias("_longest"))
+    told = _grams(short, on).join(known, [*on, "_gram"], "left")
+    anchor = told.groupBy(*on, "_key", "_length").agg(F.min(F.struct("_count", "_gram"))["_gram"].alias("_gram"), F.min(F.coalesce("_longest", F.lit(0))).alias("_longest"))
+    anchor = anchor.where("_longest > _length").select(*on, "_key", "_length", "_gram")
+    longer = where.select(*on, "_gram", F.col("_key").alias("_long_key"), F.col("_length").alias("_long_length"))
+    met = anchor.join(longer, [*on, "_gram"]).where("_length < _long_length").select(*on, "_key", "_long_key")
+    text = lambda texts, key, name: texts.where(F.length("_text") >= LEAST).select(*on, F.xxhash64("_text").alias(key), F.col("_text").alias(name))
+    pairs = met.join(text(short, "_key", "_short"), [*on, "_key"]).join(text(long_, "_long_key", "_long"), [*on, "_long_key"])
+    return pairs.where((F.length("_short") < F.length("_long")) & F.col("_long").contains(F.col("_short"))).select(*on, "_short", "_long")
 
 
 def texts_of(items: DataFrame, on: list[str]) -> DataFrame:

@@ -1121,16 +1121,32 @@ def m2_series_values(f):
     return report.series_values(chain, reads.meeting_overview(f.meetings_b, f.speakers_b, "Asia/Kuala_Lumpur"), f.meetings_b, f.speakers_b, sections)
 
 
-# a literal list for DuckDB, which has no ratio: the lines of the frame that match exactly or by a contained name
-_NAMES = "names AS (SELECT unnest([" + ", ".join(f"struct_pack(name := '{n}', field := '{k}')" for k, v in headings.SYNONYMS.items() for n in v) + "], recursive := true))"
+# a literal list for DuckDB; matched: the lines that match exactly or by a contained name, among all fields or the scalar ones
+_NAMES = "names AS (SELECT unnest([" + ", ".join(f"struct_pack(name := '{n}', field := '{k}', place := {p})" for p, (n, k) in enumerate((n, k) for k, v in headings.SYNONYMS.items() for n in v)) + "], recursive := true))"
+_SCALARS = ", ".join(f"'{s}'" for s in headings.SCALAR)
+_CONTAINED = r"""SELECT template_id, line_no, min_by(field, struct_pack(a := -length(name), b := name)) AS field FROM l JOIN names ON loose AND length(name) >= 4 AND contains(name_, name) AND (regexp_matches(name, '[㐀-䶿一-鿿]') OR regexp_matches(concat(' ', name_, ' '), concat('[^a-z]', replace(replace(name, '.', '\.'), '-', '\-'), '[^a-z]')))"""
 _MATCHED = (
     ctes("template_lines")
     + ", "
     + _NAMES
     + r""", n AS (SELECT *, regexp_replace(trim(regexp_replace(trim(lower(coalesce(text, ''))), '[:：.。]+$', '')), '\s+', ' ', 'g') AS name_, starts_with(style, 'Heading') AS head FROM template_lines),
     l AS (SELECT *, head OR (len(string_split(name_, ' ')) <= 6 AND NOT regexp_matches(trim(text), '[.!?。！？]$')) AS loose FROM n),
-    c AS (SELECT template_id, line_no, min_by(field, struct_pack(a := -length(name), b := name)) AS field FROM l JOIN names ON loose AND length(name) >= 4 AND contains(name_, name) AND (regexp_matches(name, '[㐀-䶿一-鿿]') OR regexp_matches(concat(' ', name_, ' '), concat('[^a-z]', replace(replace(name, '.', '\.'), '-', '\-'), '[^a-z]'))) GROUP BY ALL),
-    matched AS (SELECT l.*, coalesce(e.field, c.field) AS field FROM l LEFT JOIN names e ON e.name = name_ LEFT JOIN c ON c.template_id = l.template_id AND c.line_no = l.line_no) """
+    """
+    + f"""c AS ({_CONTAINED} GROUP BY ALL), cs AS ({_CONTAINED} WHERE field IN ({_SCALARS}) GROUP BY ALL),
+    matched AS (SELECT l.*, coalesce(e.field, c.field) AS field, CASE WHEN e.field IS NULL THEN cs.field WHEN e.field IN ({_SCALARS}) THEN e.field END AS scalar, loose AND e.field IS NULL AND name_ <> '' AS open_
+        FROM l LEFT JOIN names e ON e.name = name_ LEFT JOIN c ON c.template_id = l.template_id AND c.line_no = l.line_no LEFT JOIN cs ON cs.template_id = l.template_id AND cs.line_no = l.line_no) """
+)
+# the longest common run of two pieces, the first of equal ones, with what is left and right of it as the next two pieces
+_RUN = "list_max(list_transform(range(1, length({x}) + 1), lambda i: struct_pack(n := len(list_filter(range(1, length({x}) - i + 2), lambda k: contains({y}, substring({x}, i, k)))), back := -i)))"
+_RATIO = (
+    _MATCHED
+    + f""", pair AS (SELECT DISTINCT name_ AS a, name AS b FROM matched JOIN names ON open_ AND (matched.field IS NULL OR scalar IS NULL) AND 20 * least(length(name_), length(name)) >= 9 * (length(name_) + length(name))),
+    walk AS (SELECT a, b, a AS x, b AS y, {_RUN.format(x="a", y="b")} AS run FROM pair UNION ALL
+        SELECT a, b, p.x, p.y, {_RUN.format(x="p.x", y="p.y")} FROM (SELECT a, b, unnest([struct_pack(x := substring(x, 1, -run.back - 1), y := substring(y, 1, j - 1)), struct_pack(x := substring(x, run.n - run.back, length(x)), y := substring(y, j + run.n, length(y)))]) AS p
+            FROM (SELECT *, instr(y, substring(x, -run.back, run.n)) AS j FROM walk WHERE run.n > 0)) WHERE p.x <> '' AND p.y <> ''),
+    near AS (SELECT a, field, place, 2e0 * n / (length(a) + length(b)) AS ratio FROM (SELECT a, b, sum(run.n) AS n FROM walk GROUP BY ALL) JOIN names ON name = b),
+    best AS (SELECT a, min_by(field, struct_pack(r := -ratio, p := place)) AS field, min_by(field, struct_pack(r := -ratio, p := place)) FILTER (field IN ({_SCALARS})) AS scalar FROM near WHERE ratio >= 0.9 GROUP BY a),
+    closest AS (SELECT m.template_id, m.line_no, kind, next_text, coalesce(m.field, b.field) AS field, coalesce(m.scalar, b.scalar) AS scalar FROM matched m LEFT JOIN best b ON open_ AND b.a = name_) """
 )
 
 
@@ -1139,15 +1155,17 @@ def m4_match_heading(f):
     return headings.match_headings(f.template_lines, ratio=False).select("template_id", "line_no", "field")
 
 
-@query()
+_TYPED = "(SELECT * REPLACE (CASE WHEN mod(template_id, 12) = 1 THEN 'Actoin items' ELSE text END AS text) FROM template_lines)"
+
+
+@query(_RATIO.replace("AS head FROM template_lines)", f"AS head FROM {_TYPED})") + "SELECT template_id, line_no, field FROM closest")
 def m4_match_heading_ratio(f):
     typed = f.template_lines.withColumn("text", F.when(F.col("template_id") % 12 == 1, "Actoin items").otherwise(F.col("text")))
     return headings.match_headings(typed).select("template_id", "line_no", "field")
 
 
-_SCALARS = ", ".join(f"'{s}'" for s in headings.SCALAR)
-_MARKS = _MATCHED + r""", marks AS (SELECT template_id, line_no, n2.field FROM (SELECT template_id, line_no, unnest(regexp_extract_all(text, '\[\[\s*(.+?)\s*\]\]', 1)) AS m FROM template_lines) JOIN names n2 ON n2.name = trim(lower(m))),
-    cells AS (SELECT * FROM matched WHERE kind = 'cell' AND next_text IS NOT NULL AND field IN (""" + _SCALARS + """)), heads AS (SELECT * FROM matched WHERE kind = 'paragraph' AND field IS NOT NULL) """
+_MARKS = _RATIO + r""", marks AS (SELECT template_id, line_no, n2.field FROM (SELECT template_id, line_no, unnest(regexp_extract_all(text, '\[\[\s*(.+?)\s*\]\]', 1)) AS m FROM template_lines) JOIN names n2 ON n2.name = trim(lower(m))),
+    cells AS (SELECT * REPLACE (scalar AS field) FROM closest WHERE kind = 'cell' AND next_text IS NOT NULL AND scalar IS NOT NULL), heads AS (SELECT * FROM closest WHERE kind = 'paragraph' AND field IS NOT NULL) """
 
 
 @query(
@@ -1174,8 +1192,8 @@ def m6_fill_markers(f):
 @query(
     _MARKS
     + r""", places AS (SELECT template_id, field, 0 AS o FROM marks UNION ALL SELECT template_id, field, 1 FROM cells WHERE trim(next_text) = '' OR regexp_full_match(trim(next_text), '\[\[\s*(.+?)\s*\]\]') UNION ALL SELECT template_id, field, 2 FROM heads),
-    best AS (SELECT template_id, field, min(o) AS o FROM places GROUP BY ALL) SELECT t.template_id, d.field, CASE o WHEN 0 THEN 'marker' WHEN 1 THEN 'table-label' WHEN 2 THEN 'heading' ELSE 'skipped' END AS way
-    FROM (SELECT DISTINCT template_id FROM template_lines) t CROSS JOIN (SELECT unnest(['summary', 'title', 'decisions', 'date']) AS field) d LEFT JOIN best b ON b.template_id = t.template_id AND b.field = d.field"""
+    first_ AS (SELECT template_id, field, min(o) AS o FROM places GROUP BY ALL) SELECT t.template_id, d.field, CASE o WHEN 0 THEN 'marker' WHEN 1 THEN 'table-label' WHEN 2 THEN 'heading' ELSE 'skipped' END AS way
+    FROM (SELECT DISTINCT template_id FROM template_lines) t CROSS JOIN (SELECT unnest(['summary', 'title', 'decisions', 'date']) AS field) d LEFT JOIN first_ b ON b.template_id = t.template_id AND b.field = d.field"""
 )
 def m7_placement_report(f):
     return headings.placement_report(f.template_lines, _values(f))

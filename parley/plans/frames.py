@@ -160,7 +160,10 @@ FRAMES: dict[str, str | tuple[str, str]] = {
             CASE @MOD(page_id, 12) WHEN 0 THEN 'Date:' WHEN 1 THEN 'Action Items' WHEN 2 THEN 'put your key decisions here' WHEN 3 THEN 'Attendees' WHEN 4 THEN 'MINUTES OF MEETING' WHEN 5 THEN 'Risks and issues are talked about in this long line' WHEN 6 THEN 'Tarikh Akhir'
                 WHEN 7 THEN '风险' WHEN 8 THEN concat('See [[ Summary ]] and [[odd ', page_id, ']] or [[title]]') WHEN 9 THEN 'Duration' WHEN 10 THEN 'Deadlines.' ELSE 'Key Dates :' END AS text,
             CASE WHEN @MOD(page_id, 6) = 0 THEN '' WHEN @MOD(page_id, 6) = 3 THEN '[[date]]' END AS next_text FROM {pages}
-        UNION ALL SELECT page_id, CAST(2 AS INT), 'paragraph', 'Normal', concat('Page ', page_id, ' [[decisions]]'), NULL FROM {pages}""",
+        UNION ALL SELECT page_id, CAST(2 AS INT), 'paragraph', 'Normal', concat('Page ', page_id, ' [[decisions]]'), NULL FROM {pages}
+        UNION ALL SELECT page_id, CAST(0 AS INT), CASE WHEN @MOD(page_id, 7) IN (3, 4) THEN 'cell' ELSE 'paragraph' END, 'Normal',
+            CASE @MOD(page_id, 7) WHEN 0 THEN 'Sumary:' WHEN 1 THEN 'Meeting titel' WHEN 2 THEN 'Keptusan penting' WHEN 3 THEN 'Meeting dat' WHEN 4 THEN 'Duraton' WHEN 5 THEN 'Riks' ELSE 'acton itmes' END,
+            CASE @MOD(page_id, 7) WHEN 3 THEN '' WHEN 4 THEN '[[date]]' END FROM {pages}""",
     # what stands between the tags of a page, whole, behind two lines that are made up
     "page_lines": (
         "SELECT page_id AS template_id, CAST(k + 3 AS INT) AS line_no, line AS text FROM {pages} LATERAL VIEW posexplode(split(coalesce(html, ''), '<[^>]*>')) AS k, line WHERE trim(line) <> ''",

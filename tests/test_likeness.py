@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parley.functions.text import similar
+from parley.operators import likeness
 from parley.operators.likeness import like_items, like_texts
 from parley.operators.replies import recovery_merge
 
@@ -66,3 +67,13 @@ def test_like_items_hang_together_as_every_pair_does(spark, sides):
 def test_like_texts_of_empty_tables(spark, sides):
     none = sides[0].limit(0)
     assert like_texts(none, sides[1], ["category"]).count() == like_texts(sides[0], none, ["category"]).count() == 0
+
+
+def test_parts_of_long_texts_lose_none(spark):
+    rng = random.Random(11)
+    texts = {"".join(rng.choice("ab 会c") for _ in range(rng.choice([11, 12, 13, 15, 40, 300]))).strip() for _ in range(60)}
+    texts |= {t[k : k + n].strip() for t in texts for k in (0, 7) for n in (12, 16, 30) if len(t) >= 40} | {"x" * n for n in (11, 12, 13, 5000)}
+    texts = sorted(t for t in {" ".join(t.split()) for t in texts} if t)
+    df = spark.createDataFrame([("k", t) for t in texts], "category string, _text string")
+    got = {tuple(r) for r in likeness._parts(df, df, ["category"]).select("_short", "_long").collect()}
+    assert got == {(a, b) for a in texts for b in texts if 12 <= len(a) < len(b) and a in b} and len(got) > 100

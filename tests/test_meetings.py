@@ -1,6 +1,7 @@
 """Operators on literal tables, and against short plain loops on random groups."""
 
 import datetime
+import difflib
 import json
 import math
 import random
@@ -733,6 +734,42 @@ def test_headings(spark):
     assert headings.fill_markers(marks, values).first()["filled"] == "See Plan, [[odd]] and now"
 
 
+def closest_by_loop(name, fields):
+    best, most = None, 0.0
+    for field, names in headings.SYNONYMS.items():
+        for other in names if field in fields else []:
+            ratio = difflib.SequenceMatcher(None, name, other).ratio()
+            if ratio > most:
+                best, most = field, ratio
+    return best if most >= headings.LEAST_RATIO else None
+
+
+@pytest.mark.parametrize("scalar_only", [False, True])
+def test_closest_names_equal_difflib(spark, scalar_only):
+    rng = random.Random(7)
+    names = [n for v in headings.SYNONYMS.values() for n in v]
+
+    def slip(n):
+        k = rng.randrange(len(n))
+        return rng.choice([n[:k] + n[k + 1 :], n[:k] + rng.choice("aeinst 会") + n[k:], n[:k] + n[k + 1 : k + 2] + n[k : k + 1] + n[k + 2 :], n[:k] + "😀" + n[k + 1 :]])
+
+    typed = {slip(n) if k % 3 else slip(slip(n)) for n in names for k in range(3)} | {"x" * 5000, "a", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"}
+    typed = sorted(t for t in typed if t)
+    df = spark.createDataFrame([(t,) for t in typed + typed[:50]], "_name string")  # repeats too
+    got = {r[0]: r[1] for r in headings.closest(df, headings.synonyms(spark, scalar_only)).select("_name", "_field").collect()}
+    fields = headings.SCALAR if scalar_only else list(headings.SYNONYMS)
+    assert got == {t: f for t in typed if (f := closest_by_loop(t, fields))}
+    assert len(got) > (80 if scalar_only else 200)
+
+
+def test_matched_letters_equal_difflib(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abca会 ") for _ in range(rng.randrange(0, 14)))
+    pairs = [(word(), word()) for _ in range(400)]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", headings.matched_letters(F.col("a"), F.col("b"))).collect()
+    assert [tuple(r) for r in got] == [(a, b, sum(m.size for m in difflib.SequenceMatcher(None, a, b).get_matching_blocks())) for a, b in pairs]
+
+
 def test_shaky_words(spark):
     s = spark.createDataFrame([(1, "Hello, you"), (2, "Hi")], "id long, text string")
     w = spark.createDataFrame([(1, 0, "hello", 0.4), (1, 1, "you", 0.9), (2, 0, "ho", 0.1)], "segment_id long, word_no int, text string, score double")
