@@ -35,9 +35,9 @@ def _parts(short: DataFrame, long_: DataFrame, on: list[str]) -> DataFrame:
     nothing where a rarer one is at hand, and only if a longer text has each of its pieces. Pieces and texts go by their hashes
     until the candidates are known; equal hashes of different texts only make candidates more, which are all compared.
     """
-    where = _grams(long_, on)
+    where = stored(_grams(long_, on), "grams")  # reckoned once; some four numbers for every three characters
     known = where.groupBy(*on, "_gram").agg(F.count("*").alias("_count"), F.max("_length").alias("_longest"))
-    told = _grams(short, on).join(known, [*on, "_gram"], "left")
+    told = (where if short is long_ else _grams(short, on)).join(known, [*on, "_gram"], "left")
     anchor = told.groupBy(*on, "_key", "_length").agg(F.min(F.struct("_count", "_gram"))["_gram"].alias("_gram"), F.min(F.coalesce("_longest", F.lit(0))).alias("_longest"))
     anchor = anchor.where("_longest > _length").select(*on, "_key", "_length", "_gram")
     longer = where.select(*on, "_gram", F.col("_key").alias("_long_key"), F.col("_length").alias("_long_length"))
