@@ -8,8 +8,9 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from parley.operators import headings
 from parley.plans import catalog
-from parley.plans.frames import TABLES
+from parley.plans.frames import TABLES, Frames
 
 SF = os.environ.get("CATALOG_SF", "/root/testdata/sf0.001")
 
@@ -50,3 +51,9 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_ratio_decides_rows_of_the_fixture(spark):
+    f = Frames(spark, SF)
+    for told in (headings.recognised_fields, lambda lines, ratio: headings.placement_report(lines, catalog._values(f), ratio)):
+        assert told(f.template_lines, ratio=True).exceptAll(told(f.template_lines, ratio=False)).count() > 0
