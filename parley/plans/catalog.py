@@ -41,9 +41,11 @@ def joined(c: str, sep: str = ","):
 
 # --- intervals and speakers ---------------------------------------------------------------------------------------------
 
+# a turn without length overlaps nothing, as in the reference (only overlaps above 0 count)
 _OVERLAP = """, met AS (SELECT s.meeting_id, s.id, t.speaker, min(t.turn_no) AS first_turn,
     sum(least(round(s.end_seconds * 1e6), round(t.end_seconds * 1e6)) - greatest(round(s.start_seconds * 1e6), round(t.start_seconds * 1e6))) AS us
-    FROM {items} s JOIN turns t ON s.meeting_id = t.meeting_id AND s.start_seconds < t.end_seconds AND t.start_seconds < s.end_seconds GROUP BY ALL),
+    FROM {items} s JOIN turns t ON s.meeting_id = t.meeting_id AND s.start_seconds < t.end_seconds AND t.start_seconds < s.end_seconds
+    WHERE least(round(s.end_seconds * 1e6), round(t.end_seconds * 1e6)) > greatest(round(s.start_seconds * 1e6), round(t.start_seconds * 1e6)) GROUP BY ALL),
  best AS (SELECT *, sum(us) OVER (PARTITION BY id) AS total, row_number() OVER (PARTITION BY id ORDER BY us DESC, first_turn) AS r FROM met) """
 _SEGMENT_SPEAKER = ctes("segments_a", "turns") + _OVERLAP.format(items="segments_a") + """, attributed AS (SELECT s.*, CASE WHEN total >= 0.3 * greatest(1000, (s.end_seconds - s.start_seconds) * 1e6) THEN b.speaker END AS speaker
     FROM segments_a s LEFT JOIN best b ON b.id = s.id AND r = 1) """
