@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.text import normalised
@@ -11,40 +16,174 @@ from parley.sources.stage import stored
 
 #: Shorter texts are alike only when they are equal.
 LEAST = 12
-#: Of every RUN pieces of GRAM characters in a row the one of the least hash is kept. GRAM + RUN - 1 characters are LEAST, so
-#: that each text has one at least, and what is kept of a text is kept of every text that it is part of.
-GRAM, RUN = 8, 5
+#: Groups of at most so many texts on both sides together are compared pair by pair, larger ones by pieces.
+FEW = 256
+#: Texts of LEAST * 2**k to twice as many bytes are looked up by a piece of GRAM * 2**k bytes: of every RUN * 2**k pieces in a row
+#: the one of the least hash is kept. GRAM + RUN are LEAST, so that what is kept of a text is kept of every text it is part of.
+GRAM, RUN, LEVELS = 8, 4, 6
+#: Bits of the filter that says which pieces texts are looked up by; its size is fixed, a fuller one only lets more pieces through.
+FILTER_BITS = 1 << 26
+#: Bytes of texts whose pieces a task reckons at once.
+AT_ONCE = 4_000_000
+
+_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * _MIX[0]
+    h = (h ^ (h >> np.uint64(27))) * _MIX[1]
+    return h ^ (h >> np.uint64(31))
 
 
-def _pieces(text: str) -> Column:
-    """The distinct hashes of the pieces that are kept of a text of LEAST characters or more, in time linear in its length."""
-    one = lambda value, f: F.transform(F.array(value), f)[0]  # noqa: E731  a name for a value, so that it is reckoned once
-    hashes = one(F.split(text, ""), lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - (GRAM - 1)), lambda i: F.xxhash64(F.slice(c, i, GRAM))))
-    return one(hashes, lambda h: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(h) - (RUN - 1)), lambda i: F.array_min(F.slice(h, i, RUN)))))
+def _ahead(x: np.ndarray, k: int, fill: int = 0) -> np.ndarray:
+    """x moved k places to the front; what comes in from behind is fill."""
+    out = np.full_like(x, fill)
+    if k < len(x):
+        out[: len(x) - k] = x[k:]
+    return out
 
 
-def _grams(texts: DataFrame, on: list[str]) -> DataFrame:
-    """on, _key, _length, _gram: a row of numbers for each piece that is kept of a text; the text itself stays behind."""
-    return texts.where(F.length("_text") >= LEAST).select(*on, F.xxhash64("_text").alias("_key"), F.length("_text").alias("_length"), F.explode(_pieces("_text")).alias("_gram"))
+def _levels(data: np.ndarray, ends: np.ndarray):
+    """For each level the hashes of the pieces that begin at each byte, _NONE where the text ends before the piece does.
+
+    data: the bytes of texts one behind the other. ends: for each byte where its text ends.
+    """
+    left = ends - np.arange(len(data))
+    h = data.astype(np.uint64)
+    for k in (1, 2, 4):
+        h = h | (_ahead(h, k) << np.uint64(8 * k))
+    h = _mixed(h + _MIX[2])
+    for level in range(LEVELS):
+        gram = GRAM << level
+        yield level, np.where(left >= gram, np.minimum(h, _NONE - np.uint64(1)), _NONE)
+        h = _mixed(h * _MIX[2] + _ahead(h, gram))
+
+
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a batch's texts and where each text begins, with the end of the last."""
+    texts = pa.concat_arrays([texts.cast(pa.large_string())])
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    return data, at - at[0]
+
+
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about AT_ONCE bytes of text at most, or of one text."""
+    for batch in batches:
+        page = _bytes_of(batch.column("_text"))[1][:-1] // AT_ONCE
+        cuts = [0, *(np.flatnonzero(np.diff(page)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+        yield from (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False))
+
+
+def _level_of(sizes: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor(np.log2(np.maximum(sizes, LEAST) / LEAST)).astype(np.int64), 0, LEVELS - 1)
+
+
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_gram and _level for each text (_text goes): the least hash of all its pieces at the level of its size."""
+    for batch in _pages(batches):
+        data, at = _bytes_of(batch.column("_text"))
+        sizes, gram = np.diff(at), np.full(batch.num_rows, _NONE)
+        level_of = _level_of(sizes)
+        for level, h in _levels(data, np.repeat(at[1:], sizes)):
+            mine = level_of == level
+            if mine.any():
+                gram[mine] = np.minimum.reduceat(h, at[:-1])[mine]
+        yield _with(batch, gram.view(np.int64), np.arange(batch.num_rows), _level=level_of)
+
+
+def _with(batch: pa.RecordBatch, gram: np.ndarray, rows: np.ndarray, **more: np.ndarray) -> pa.RecordBatch:
+    kept = batch.drop_columns(["_text"]).take(pa.array(rows))
+    return pa.RecordBatch.from_arrays([*kept.columns, pa.array(gram), *map(pa.array, more.values())], names=[*kept.schema.names, "_gram", *more])
+
+
+def _slots(gram: np.ndarray) -> np.ndarray:
+    return (gram.view(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def _asked(told: Broadcast, levels: list[int]):
+    """Of each text the pieces that some text may be looked up by: _gram and _at, the byte of the text where it begins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = told.value
+        for batch in _pages(batches):
+            data, at = _bytes_of(batch.column("_text"))
+            sizes = np.diff(at)
+            starts, ends = np.repeat(at[:-1], sizes), np.repeat(at[1:], sizes)
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            for level, h in _levels(data, ends):
+                run_, gram = RUN << level, GRAM << level
+                if level not in levels:
+                    continue
+                least, k = h, 1
+                while k < run_:
+                    least, k = np.minimum(least, _ahead(least, k)), 2 * k
+                # windows that lie in one text; a piece is kept where it is the least of one that it lies in
+                least = np.where(ends - np.arange(len(h)) >= gram + run_ - 1, least, 0)
+                most, k = least, 1
+                while k < run_:
+                    most, k = np.maximum(most, _ahead(most[::-1], k)[::-1]), 2 * k
+                at_ = np.flatnonzero((h == most) & (h != _NONE))
+                slot = _slots(h[at_])
+                at_ = at_[(known[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1]
+                found.append((at_, h[at_]))
+            places, grams = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+            rows = np.searchsorted(at, places, side="right") - 1
+            yield _with(batch, grams.view(np.int64), rows, _at=places - starts[places])
+
+    return run
+
+
+def _filter(anchors: DataFrame) -> Broadcast:
+    """FILTER_BITS bits, those set that some anchor falls on, come together as words of 64: 8 MB, whatever the tables hold."""
+    slot = F.pmod(F.col("_slot"), F.lit(64)).cast("int")
+    words = anchors.groupBy(F.floor(F.col("_slot") / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot)).alias("bits"))
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    told = words.toArrow()
+    bits[told.column("word").to_numpy()] = told.column("bits").to_numpy()
+    return anchors.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
+
+
+def _parts_by_pieces(short: DataFrame, long_: DataFrame, on: list[str]) -> DataFrame:
+    """on, _short, _long for groups of any size.
+
+    A text is looked up by the piece of its least hash, and a longer one offers only pieces that pass a filter of those: what
+    is shuffled are the anchors and what they may meet, not every piece. A candidate is compared where its piece lies, so that
+    of the longer text only that neighbourhood goes on to the other text.
+    """
+    keyed = lambda df: df.select(*on, F.xxhash64("_text").alias("_key"), F.octet_length("_text").alias("_size"), "_text")
+    shape = ", ".join(f"`{c}` {t}" for c, t in short.select(*on).dtypes) + ", _key long, _size int, _gram long"
+    anchors = stored(keyed(short).mapInArrow(_anchors, shape + ", _level long"), "anchors")
+    slot = F.pmod(F.col("_gram"), F.lit(FILTER_BITS))  # a power of two: the same for signed and unsigned hashes
+    told = [r["_level"] for r in anchors.select("_level").distinct().collect()]
+    asked = stored(keyed(long_).mapInArrow(_asked(_filter(anchors.select(slot.alias("_slot")).distinct()), told), shape + ", _at long"), "asked")
+    met = anchors.join(asked.select(*on, "_gram", F.col("_key").alias("_long_key"), F.col("_size").alias("_long_size"), "_at"), [*on, "_gram"]).where("_size < _long_size")
+    met = met.select(*on, "_key", "_size", "_long_key", "_at").distinct()
+    # the bytes around the piece: the shorter text holds it, so it lies within its own size before and behind
+    around = F.substring(F.encode("_long", "UTF-8"), F.greatest(F.lit(1), F.col("_at") + 1 - F.col("_size")).cast("int"), 2 * F.col("_size") + (GRAM << LEVELS))
+    texts = lambda df, key, name: df.select(*on, F.xxhash64("_text").alias(key), F.col("_text").alias(name))
+    near = met.join(texts(long_, "_long_key", "_long"), [*on, "_long_key"]).withColumn("_near", around)
+    pairs = near.select(*on, "_key", "_long", "_near").join(texts(short, "_key", "_short"), [*on, "_key"]).where(F.col("_near").contains(F.encode("_short", "UTF-8")))
+    return pairs.where(F.length("_short") < F.length("_long")).select(*on, "_short", "_long").distinct()
 
 
 def _parts(short: DataFrame, long_: DataFrame, on: list[str]) -> DataFrame:
-    """on, _short, _long: texts that are part of a longer one.
+    """on, _short, _long: texts (stored ones best, they are read more than once) that are part of a longer one.
 
-    A text is looked up by the one of its pieces that the fewest texts of the other table have, so that a common phrase costs
-    nothing where a rarer one is at hand, and only if a longer text has each of its pieces. Pieces and texts go by their hashes
-    until the candidates are known; equal hashes of different texts only make candidates more, which are all compared.
+    Groups of few texts are compared pair by pair, in a join whose rows grow with FEW at most; larger ones go by pieces.
     """
-    where = stored(_grams(long_, on), "grams")  # reckoned once; some four numbers for every three characters
-    known = where.groupBy(*on, "_gram").agg(F.count("*").alias("_count"), F.max("_length").alias("_longest"))
-    told = (where if short is long_ else _grams(short, on)).join(known, [*on, "_gram"], "left")
-    anchor = told.groupBy(*on, "_key", "_length").agg(F.min(F.struct("_count", "_gram"))["_gram"].alias("_gram"), F.min(F.coalesce("_longest", F.lit(0))).alias("_longest"))
-    anchor = anchor.where("_longest > _length").select(*on, "_key", "_length", "_gram")
-    longer = where.select(*on, "_gram", F.col("_key").alias("_long_key"), F.col("_length").alias("_long_length"))
-    met = anchor.join(longer, [*on, "_gram"]).where("_length < _long_length").select(*on, "_key", "_long_key")
-    text = lambda texts, key, name: texts.where(F.length("_text") >= LEAST).select(*on, F.xxhash64("_text").alias(key), F.col("_text").alias(name))
-    pairs = met.join(text(short, "_key", "_short"), [*on, "_key"]).join(text(long_, "_long_key", "_long"), [*on, "_long_key"])
-    return pairs.where((F.length("_short") < F.length("_long")) & F.col("_long").contains(F.col("_short"))).select(*on, "_short", "_long")
+    enough = lambda df: df.where(F.length("_text") >= LEAST).select(*on, "_text")
+    a, b = enough(short), enough(long_)
+    both = a if short is long_ else a.select(*on).union(b.select(*on))
+    sizes = stored(both.groupBy(*on).agg(F.count("*").alias("_texts")), "sizes")
+    few, many = sizes.where(F.col("_texts") <= FEW).select(*on), sizes.where(F.col("_texts") > FEW).select(*on)
+    side = lambda df, name: df.join(few, on).select(*on, F.col("_text").alias(name), F.length("_text").alias(f"{name}_length"))
+    met = side(a, "_short").join(side(b, "_long"), on).where((F.col("_short_length") < F.col("_long_length")) & F.col("_long").contains(F.col("_short")))
+    pairs = met.select(*on, "_short", "_long")
+    if many.isEmpty():
+        return pairs
+    return pairs.unionByName(_parts_by_pieces(a.join(many, on).select(*on, "_text"), b.join(many, on).select(*on, "_text"), on))
 
 
 def texts_of(items: DataFrame, on: list[str]) -> DataFrame:
@@ -57,7 +196,7 @@ def like_texts(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
 
     Null descriptions and rows with a null in `on` are like nothing. Empty tables give no row.
     """
-    a, b = texts_of(left, on), texts_of(right, on)
+    a, b = stored(texts_of(left, on), "texts"), stored(texts_of(right, on), "texts")
     same = a.join(b, [*on, "_text"]).select(*on, F.col("_text").alias("_left"), F.col("_text").alias("_right"))
     within = _parts(a, b, on).select(*on, F.col("_short").alias("_left"), F.col("_long").alias("_right"))
     around = _parts(b, a, on).select(*on, F.col("_long").alias("_left"), F.col("_short").alias("_right"))
@@ -67,6 +206,7 @@ def like_texts(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
 def like_components(texts: DataFrame, on: list[str]) -> DataFrame:
     """on, _text, _root of the distinct normalised texts (on, _text) that are like another one of their group by R9: texts that
     hang together through likeness have one root, a number; others may share it by chance, which only makes a group larger."""
+    texts = stored(texts, "texts")
     pairs = _parts(texts, texts, on)
     node = lambda text: F.xxhash64(*on, text)
     pairs = stored(pairs, "like")
@@ -81,7 +221,7 @@ def like_items(items: DataFrame, on: list[str]) -> DataFrame:
     The item of the least id stands for all that have its normalised description; copies aren't paired with one another.
     """
     told = items.select("id", *on, normalised(F.col("description")).alias("_text")).where("_text <> ''")
-    first = told.groupBy(*on, "_text").agg(F.min("id").alias("_first"))
+    first = stored(told.groupBy(*on, "_text").agg(F.min("id").alias("_first")), "first")
     copies = told.join(first, [*on, "_text"]).where("id <> _first").select(F.col("_first").alias("id"), F.col("id").alias("other"))
     texts = first.select(*on, "_text")
     pairs = _parts(texts, texts, on)

@@ -77,3 +77,31 @@ def test_parts_of_long_texts_lose_none(spark):
     df = spark.createDataFrame([("k", t) for t in texts], "category string, _text string")
     got = {tuple(r) for r in likeness._parts(df, df, ["category"]).select("_short", "_long").collect()}
     assert got == {(a, b) for a in texts for b in texts if 12 <= len(a) < len(b) and a in b} and len(got) > 100
+
+
+def test_parts_by_pairs_and_by_pieces_agree(spark, monkeypatch):
+    """Texts of every level, in groups of several sizes: pieces give what pairs give, and groups above the bound go by pieces."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab 会") for _ in range(rng.choice([12, 14, 30, 70, 150, 400, 900, 2000]))) for _ in range(80)]
+    texts += [t[k : k + n] for t in texts for k in (0, 5) for n in (12, 23, 24, 50, 100, 200, 500) if len(t) > n]
+    texts = sorted({t.strip() for t in texts if len(t.strip()) >= 12})
+    rows = [(g, t) for k, t in enumerate(texts) for g in ("all", "few" if k % 9 == 0 else None)]
+    df = spark.createDataFrame(rows, "category string, _text string")
+    sides_ = {g: sorted(t for h, t in rows if h == g) for g in ("all", "few")}
+    expected = {(g, a, b) for g, ts in sides_.items() for a in ts for b in ts if len(a) < len(b) and a in b}
+    for few in (0, 60, 1 << 20):
+        monkeypatch.setattr(likeness, "FEW", few)
+        got = [tuple(r) for r in likeness._parts(df, df, ["category"]).select("category", "_short", "_long").collect()]
+        assert len(got) == len(set(got)) and set(got) == expected and len(got) > 300
+
+
+def test_pieces_are_not_shuffled_one_by_one(spark, tmp_path, monkeypatch):
+    """What goes on of a group of unlike texts is about a row for each text, not one for every three characters."""
+    written = {}
+    plain = likeness.stored
+    monkeypatch.setattr(likeness, "FEW", 0)
+    monkeypatch.setattr(likeness, "stored", lambda df, name: written.setdefault(name, plain(df, name)))
+    rng = random.Random(6)
+    df = spark.createDataFrame([("k", "".join(rng.choice("abcdefghij ") for _ in range(300)).strip()) for _ in range(200)], "category string, _text string")
+    assert likeness._parts(df, df, ["category"]).count() == 0
+    assert sum(x.count() for x in written.values()) < 5 * 200
