@@ -90,7 +90,9 @@ def _fold_copies(rows: DataFrame, group: list[str], columns: list[str], details:
     filled = [F.min_by(some(c), F.when(some(c).isNotNull(), order)).alias(f"_{c}") for c in details]
     longest = F.max_by("description", F.struct(F.length("description"), -F.col("chunk_no"), -F.col("item_no")))
     told = rows.groupBy(*group).agg(F.min_by(F.struct(*columns), order).alias("_first"), longest.alias("_description"), F.count("*").alias("_rows"), *filled)
-    cited = rows.select(*group, F.explode("source_segment_ids").alias("_id")).groupBy(*group).agg(F.array_sort(F.collect_set("_id")).alias("_ids"))
+    # only texts of several rows need their citations put together
+    copied = rows.select(*group, "source_segment_ids").join(rows.groupBy(*group).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"), group)
+    cited = copied.select(*group, F.explode("source_segment_ids").alias("_id")).groupBy(*group).agg(F.array_sort(F.collect_set("_id")).alias("_ids"))
     told = told.join(cited, group, "left")
     none = F.array().cast("array<long>")
     own = F.coalesce("_first.source_segment_ids", none)
@@ -112,12 +114,15 @@ def fold_items(items: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
     """
     on, columns = ["meeting_id", "category"], list(items.columns)
     details = [c for c in ("owner", "due", "date", "mitigation") if c in columns]
-    told = items.withColumn("_norm", normalised(F.col("description")))
-    chunks = (told if parsed is None else parsed).groupBy("meeting_id").agg(F.count_distinct("chunk_no").alias("_chunks"))
-    told = told.join(chunks, "meeting_id", "left").withColumn("_several", F.coalesce("_chunks", F.lit(0)) > 1).drop("_chunks")
-    several = told.where("_several").drop("_several")
-    named = several.where("_norm <> ''")
-    roots = stored(like_components(named.select(*on, F.col("_norm").alias("_text")).distinct(), on).withColumnRenamed("_text", "_norm"), "roots")
+    chunks = (items if parsed is None else parsed).groupBy("meeting_id").agg(F.count_distinct("chunk_no").alias("_chunks"))
+    told = items.join(chunks, "meeting_id", "left").withColumn("_several", F.coalesce("_chunks", F.lit(0)) > 1).drop("_chunks")
+    told = stored(told, "told")
+    several = told.where("_several").drop("_several").withColumn("_norm", normalised(F.col("description")))
+    # texts go by a digest where they only have to be the same; no row carries its text twice through a shuffle
+    key = F.unhex(F.sha2("_norm", 256)).alias("_key")
+    named = several.where("_norm <> ''").select(*columns, key)
+    texts = several.where("_norm <> ''").select(*on, F.col("_norm").alias("_text")).distinct()
+    roots = stored(like_components(texts, on).select(*on, F.unhex(F.sha2("_text", 256)).alias("_key"), "_root"), "roots")
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         kept: list[dict] = []
@@ -137,7 +142,8 @@ def fold_items(items: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
                     old[c] = row[c]
         return pd.DataFrame(kept, columns=group.columns)[columns]
 
-    linked = named.join(roots, [*on, "_norm"]).groupBy(*on, "_root").applyInPandas(fold, items.schema)
-    copies = _fold_copies(named.join(roots, [*on, "_norm"], "left_anti"), [*on, "_norm"], columns, details)
+    linked = named.join(roots, [*on, "_key"]).drop("_key").withColumn("_norm", normalised(F.col("description")))
+    linked = linked.groupBy(*on, "_root").applyInPandas(fold, items.schema)
+    copies = _fold_copies(named.join(roots, [*on, "_key"], "left_anti"), [*on, "_key"], columns, details)
     blank = several.where("_norm = ''").withColumn("source_segment_ids", F.coalesce("source_segment_ids", F.array().cast("array<long>")))
     return linked.unionByName(copies).unionByName(blank.select(columns)).unionByName(told.where("not _several").select(columns))
