@@ -70,6 +70,14 @@ def _fold(actions: Column) -> Column:
     return F.zip_with(actions, F.aggregate(actions, start, step)["picked"], lambda x, p: F.struct(x["item_no"].alias("item_no"), x["description"].alias("description"), x["source_segment_ids"].alias("source_segment_ids"), p.alias("picked")))
 
 
+def _with_cues(actions: DataFrame) -> DataFrame:
+    """The actions that have cues (date, shown), each date once. The texts are searched in a generator, since a condition on the
+    cues would be pushed below a projection and have them searched again for each mention."""
+    first = lambda found: F.filter(found, lambda c, k: ~F.exists(F.slice(found, F.lit(1), k), lambda other: other["date"] == c["date"]))
+    told = actions.select("meeting_id", "item_no", "description", "source_segment_ids", normalised(F.col("description")).alias("text"), F.explode(F.array(_candidates("due", "description"))).alias("_all"))
+    return told.withColumn("cues", first(F.col("_all"))).drop("_all").where(F.size("cues") > 0)
+
+
 def derive_deadlines(deadlines: DataFrame, actions: DataFrame) -> DataFrame:
     """The deadlines (meeting_id, item_no, description, date, source_segment_ids) with one more for every dated action
     that needs it.
@@ -83,9 +91,7 @@ def derive_deadlines(deadlines: DataFrame, actions: DataFrame) -> DataFrame:
     no other stand for themselves.
     """
     on = ["meeting_id"]
-    told = actions.select(*on, "item_no", "description", "source_segment_ids", normalised(F.col("description")).alias("text"), _candidates("due", "description").alias("_all"))
-    first = F.filter("_all", lambda c, k: ~F.exists(F.slice("_all", F.lit(1), k), lambda other: other["date"] == c["date"]))
-    told = stored(told.withColumn("cues", first).drop("_all").where(F.size("cues") > 0), "cues")
+    told = stored(_with_cues(actions), "cues")
     given = deadlines.select(*on, normalised(F.col("description")).alias("_right"), norm_date(F.col("date")).alias("date")).where("date <> ''").distinct()
     covered = like_texts(told, deadlines, on).join(given, [*on, "_right"]).groupBy(*on, F.col("_left").alias("text")).agg(F.collect_set("date").alias("_dates"))
     told = told.join(covered, [*on, "text"], "left").withColumn("cues", F.filter("cues", lambda c: ~F.coalesce(F.array_contains("_dates", c["date"]), F.lit(False)))).drop("_dates")

@@ -446,6 +446,13 @@ def test_derived_deadlines(spark):
     assert rows(told, "meeting_id", "item_no", "source_segment_ids", "derived") == [(1, 0, [3], False), (1, 1, [5, 6], True), (1, 2, None, True), (2, 0, [], True)]
 
 
+def test_texts_are_searched_for_cues_once(spark):
+    actions = spark.range(20).select(F.lit(1).alias("meeting_id"), F.col("id").cast("int").alias("item_no"), F.concat(F.lit("by Friday "), F.col("id").cast("string")).alias("description"), F.lit(None).cast("string").alias("due"), F.array("id").alias("source_segment_ids"))
+    told = insights._with_cues(actions)
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and told.count() == 20
+
+
 def test_a_parsed_chunk_without_items_counts_for_folding(spark):
     items = spark.createDataFrame([(1, 1, "a", k, "Same thing here", [k]) for k in (1, 2)], "meeting_id long, chunk_no int, category string, item_no int, description string, source_segment_ids array<long>")
     parsed = spark.createDataFrame([(1, 1), (1, 2)], "meeting_id long, chunk_no int")
