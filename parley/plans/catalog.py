@@ -809,7 +809,7 @@ def g5_verdict_tally(f):
     concat(title, CASE WHEN length > 1 THEN concat(' (combined series of ', length, ' meetings)') ELSE '' END) AS title, summary FROM g JOIN people USING (series_id) JOIN langs USING (series_id)"""
 )
 def g7_series_overview(f):
-    return followup.series_overview(followup.meeting_chain(f.meetings_o), f.meetings_o, f.speakers_o)
+    return followup.series_overview(followup.series_lines(f.meetings_o), f.meetings_o, f.speakers_o)
 
 
 _SERIES = (
