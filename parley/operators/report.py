@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions.text import fmt_time
+from parley.operators.followup import as_lines
 from parley.operators.intervals import micros
 
 STATUS_LABELS = {"completed": "Completed", "in_progress": "In progress", "blocked": "Blocked", "changed": "Changed", "not_discussed": "Not discussed"}
@@ -47,19 +48,46 @@ def section_text(items: DataFrame, meetings: DataFrame, combined: bool = False)
     meeting_id, in the order of the chain and then of ids, each behind its meeting's title in square brackets.
     """
     key = "series_id" if combined else "meeting_id"
+    told = items.withColumn("_line", _line(items, _tag(F.col("meeting_title")) if combined else F.lit("")))
+    rows = F.sort_array(F.collect_list(F.struct(*(["position"] if combined else []), "id", "_line")))
+    texts = told.groupBy(key, F.col("category").alias("section")).agg(F.array_join(F.transform(rows, lambda r: r["_line"]), "; ").alias("_text"))
+    every = meetings.select(F.col("id").alias(key), F.explode(F.array(*[F.lit(s) for s in SECTIONS])).alias("section"))
+    return every.join(texts, [key, "section"], "left").select(key, "section", F.coalesce("_text", _no_items()).alias("text"))
+
+
+def _tag(title: Column) -> Column:
+    return F.when(F.coalesce(title, F.lit("")) != "", F.concat(F.lit("["), title, F.lit("] "))).otherwise("")
+
+
+def _line(items: DataFrame, tag: Column) -> Column:
+    """An item's text behind the tag, with its detail."""
     detail = F.lit(None).cast("string")
     for category, (column, lead) in DETAILS.items():
         text = F.concat(F.lit(f" ({lead}"), F.nullif(F.col(column), F.lit("")), F.lit(")"))
         detail = F.when(F.col("category") == category, text).otherwise(detail)
     if "status" in items.columns:
         detail = F.when(F.col("category") == "carry_forward", F.concat(F.lit(" — "), status_label(F.col("status")))).otherwise(detail)
-    tag = F.when(F.coalesce(F.col("meeting_title"), F.lit("")) != "", F.concat(F.lit("["), F.col("meeting_title"), F.lit("] "))).otherwise("") if combined else F.lit("")
-    told = items.withColumn("_line", F.concat(tag, F.coalesce("description", F.lit("")), F.coalesce(detail, F.lit(""))))
-    rows = F.sort_array(F.collect_list(F.struct(*(["position"] if combined else []), "id", "_line")))
-    texts = told.groupBy(key, F.col("category").alias("section")).agg(F.array_join(F.transform(rows, lambda r: r["_line"]), "; ").alias("_text"))
-    every = meetings.select(F.col("id").alias(key), F.explode(F.array(*[F.lit(s) for s in SECTIONS])).alias("section"))
-    none = F.when(F.col("section") == "carry_forward", "No previous meeting linked.").otherwise("None recorded.")
-    return every.join(texts, [key, "section"], "left").select(key, "section", F.coalesce("_text", none).alias("text"))
+    return F.concat(tag, F.coalesce("description", F.lit("")), F.coalesce(detail, F.lit("")))
+
+
+def _no_items() -> Column:
+    return F.when(F.col("section") == "carry_forward", "No previous meeting linked.").otherwise("None recorded.")
+
+
+def series_section_text(lines: DataFrame, items: DataFrame, meetings: DataFrame) -> DataFrame:
+    """M2 combined for every series of `series_lines`: series_id, section, text, as section_text gives them for pooled items.
+
+    A meeting's items are put together once, and what is shuffled to its line is that text: a series' text is the line's so far.
+    """
+    titles = meetings.select(F.col("id").alias("meeting_id"), _tag(F.col("title")).alias("_tag"))
+    every = lines.join(titles, "meeting_id").withColumn("section", F.explode(F.array(*[F.lit(s) for s in SECTIONS])))
+    said = items.select("meeting_id", F.col("category").alias("section"), "id", _line(items, F.lit("")).alias("_line"))
+    rows = F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("id", F.concat("_tag", "_line").alias("_line")))))
+    text = F.when(F.count("id") > 0, F.array_join(F.transform(rows, lambda r: r["_line"]), "; "))
+    told = every.join(said, ["meeting_id", "section"], "left").groupBy("meeting_id", "section", "line", "position", "series_id").agg(text.alias("_text"))
+    so_far = Window.partitionBy("line", "section").orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    told = told.select("series_id", "section", F.collect_list("_text").over(so_far).alias("_texts")).where("series_id is not null")
+    return told.select("series_id", "section", F.when(F.size("_texts") > 0, F.array_join("_texts", "; ")).otherwise(_no_items()).alias("text"))
 
 
 def marker_values(overview: DataFrame, sections: DataFrame, transcripts: DataFrame | None = None) -> DataFrame:
@@ -80,21 +108,23 @@ def marker_values(overview: DataFrame, sections: DataFrame, transcripts: DataFra
 
 
 def series_values(chain: DataFrame, overview: DataFrame, meetings: DataFrame, speakers: DataFrame, sections: DataFrame) -> DataFrame:
-    """M2 and M6 for series: series_id, field, value, from the chain (id, position, meeting_id), the overview of every meeting,
-    durations and speakers, and the combined sections.
+    """M2 and M6 for series: series_id, field, value, from `series_lines` or a chain (id, position, meeting_id), the overview of
+    every meeting, durations and speakers, and the combined sections.
 
     Title of the last meeting, dates from first to last, durations summed, languages and attendees in first-seen order, one
     summary line for each meeting, and a note that stands for the transcripts.
     """
     seconds = meetings.select(F.col("id").alias("meeting_id"), F.coalesce(micros("duration_seconds"), F.lit(0)).alias("_us"))
-    told = chain.select(F.col("id").alias("series_id"), "position", "meeting_id").join(overview.withColumnRenamed("id", "meeting_id"), "meeting_id").join(seconds, "meeting_id")
-    rows = F.sort_array(F.collect_list(F.struct("position", "title", "date", "language_name", "summary")))
-    whole = told.groupBy("series_id").agg(rows.alias("rows"), (F.sum("_us") / 1_000_000).alias("seconds"))
-    names = speakers.select("meeting_id", "id", F.coalesce(F.nullif("display_name", F.lit("")), "label").alias("name"))
-    people = told.select("series_id", "position", "meeting_id").join(names, "meeting_id").groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("position", "id", "name"))).alias("people"))
-    told = whole.join(people, "series_id", "left")
+    own = overview.select(F.col("id").alias("meeting_id"), F.struct("title", "date", "language_name", "summary").alias("_row"))
+    names = F.sort_array(F.collect_list(F.struct("id", F.coalesce(F.nullif("display_name", F.lit("")), "label").alias("name"))))
+    named = speakers.groupBy("meeting_id").agg(F.transform(names, lambda p: p["name"]).alias("names"))
+    told = as_lines(chain).join(own.join(seconds, "meeting_id"), "meeting_id", "left").join(named, "meeting_id", "left")
+    so_far = Window.partitionBy("line").orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    people = F.collect_list(F.when(F.col("_row").isNotNull(), F.col("names"))).over(so_far)
+    told = told.select("series_id", F.collect_list("_row").over(so_far).alias("rows"), (F.sum("_us").over(so_far) / 1_000_000).alias("seconds"), F.flatten(people).alias("people"))
+    told = told.where("series_id is not null and size(rows) > 0")
     first, last, n = F.element_at("rows", 1), F.element_at("rows", -1), F.size("rows")
-    seen = F.coalesce(F.array_distinct(F.filter(F.transform("people", lambda p: p["name"]), lambda x: F.coalesce(x, F.lit("")) != "")), F.array().cast("array<string>"))
+    seen = F.array_distinct(F.filter("people", lambda x: F.coalesce(x, F.lit("")) != ""))
     languages = F.array_distinct(F.filter(F.transform("rows", lambda r: r["language_name"]), lambda x: F.coalesce(x, F.lit("")) != ""))
     count = n.cast("string")
     values = {

@@ -821,8 +821,12 @@ def _series_sql(*frames: str) -> str:
     return ctes("meetings_b", *frames) + ", m AS (SELECT id, title FROM meetings_b), " + _SERIES.removeprefix("WITH RECURSIVE ")
 
 
+def _linked(f) -> DataFrame:
+    return f.meetings_b.withColumn("follow_up_of", F.when(F.col("id") % 10 != 0, F.col("id") - 1))
+
+
 def _series(f) -> tuple[DataFrame, DataFrame]:
-    linked = f.meetings_b.withColumn("follow_up_of", F.when(F.col("id") % 10 != 0, F.col("id") - 1))
+    linked = _linked(f)
     return linked, followup.meeting_chain(linked)
 
 
@@ -1083,8 +1087,8 @@ _COMBINED = (
 
 @query(_COMBINED + "SELECT series_id, section, text FROM sections")
 def m2_combined_section_text(f):
-    linked, chain = _series(f)
-    return report.section_text(followup.pooled_items(chain, f.items, linked), linked, True)
+    linked = _linked(f)
+    return report.series_section_text(followup.series_lines(linked), f.items, linked)
 
 
 _TIME = "CASE WHEN {0} >= 3600 THEN printf('%d:%02d:%02d', {0} // 3600, {0} % 3600 // 60, {0} % 60) ELSE printf('%d:%02d', {0} // 60, {0} % 60) END"
@@ -1118,9 +1122,10 @@ def m2_marker_values(f):
     SELECT series_id, field, value FROM (UNPIVOT o ON title, date, duration, language, participants, attendees, summary, transcript INTO NAME field VALUE value) UNION ALL SELECT series_id, section, text FROM sections"""
 )
 def m2_series_values(f):
-    linked, chain = _series(f)
-    sections = report.section_text(followup.pooled_items(chain, f.items, linked), linked, True)
-    return report.series_values(chain, reads.meeting_overview(f.meetings_b, f.speakers_b, "Asia/Kuala_Lumpur"), f.meetings_b, f.speakers_b, sections)
+    linked = _linked(f)
+    lines = followup.series_lines(linked)
+    sections = report.series_section_text(lines, f.items, linked)
+    return report.series_values(lines, reads.meeting_overview(f.meetings_b, f.speakers_b, "Asia/Kuala_Lumpur"), f.meetings_b, f.speakers_b, sections)
 
 
 # a literal list for DuckDB; matched: the lines that match exactly or by a contained name, among all fields or the scalar ones

@@ -525,6 +525,39 @@ def test_chains_end_at_loops(spark):
     assert paths == {1: [1], 2: [1, 2], 3: [1, 2, 3], 4: [5, 4], 5: [4, 5], 6: [5, 4, 6], 7: [7], 8: [8]}
 
 
+def test_series_are_beginnings_of_lines(spark, monkeypatch):
+    monkeypatch.setattr(followup, "BLOCK", 2)
+    rng = random.Random(4)
+    back = {k: None if k % 9 == 0 else rng.randrange(1, 70) for k in range(1, 61)} | {k: k - 1 for k in range(101, 120)} | {100: None}
+    m = spark.createDataFrame([(k, v, f"T{k}", float(k), ("en", "zh", "")[k % 3], datetime.datetime(2024, 1, 1) + datetime.timedelta(days=k), f"s{k}" if k % 2 else None) for k, v in back.items()], "id long, follow_up_of long, title string, duration_seconds double, language string, created_at timestamp, summary string")
+    want = {}
+    for k in back:
+        walk = [k]
+        while back[walk[-1]] in back and back[walk[-1]] not in walk:
+            walk.append(back[walk[-1]])
+        want[k] = walk[::-1]
+    lines = followup.series_lines(m).cache()
+    assert sorted(r["series_id"] for r in lines.collect() if r["series_id"] is not None) == sorted(back)
+    # a plain series of twenty has a row for each meeting, not one for each that comes before another
+    assert lines.where("line = 119").count() == 20 and lines.where("meeting_id >= 100").count() == 20
+    chain = followup.meeting_chain(m).cache()
+    got = defaultdict(dict)
+    for i, p, x in rows(chain, "id", "position", "meeting_id"):
+        got[i][p] = x
+    assert {i: [v[p] for p in range(len(v))] for i, v in got.items()} == want
+    assert rows(followup.meeting_chain(m, spark.createDataFrame([(119,), (7,)], "id long")).select("id").distinct(), "id") == [(119,), (7,)]
+    speakers_ = spark.createDataFrame([(10 * k + j, k, f"S{j}", None if k % 4 else f"P{k % 5}") for k in back if k % 7 for j in range(2)], "id long, meeting_id long, label string, display_name string")
+    short = followup.series_overview(lines, m, speakers_)
+    assert short.columns == followup.series_overview(chain, m, speakers_).columns
+    assert rows(short, *short.columns) == rows(followup.series_overview(chain, m, speakers_), *short.columns)
+    items = spark.createDataFrame([(1000 * k + j, k, ("decisions", "risks", "deadlines")[j % 3], f"d{j}", "Ann", "may", "shade") for k in back if k % 5 for j in range(k % 4)], "id long, meeting_id long, category string, description string, owner string, date string, mitigation string")
+    pooled = report.section_text(followup.pooled_items(chain, items, m), m, True)
+    assert rows(report.series_section_text(lines, items, m), "series_id", "section", "text") == rows(pooled, "series_id", "section", "text")
+    links = spark.createDataFrame([(a, b) for a in back for b in rng.sample(sorted(back), 4)], "meeting_id long, previous_id long").distinct()
+    told = rows(followup.check_links(links, m, m.select(F.col("id").alias("meeting_id"))), "meeting_id", "previous_id", "reason")
+    assert told == [(a, b, r) for a, b, _ in told for r in ["a meeting cannot follow itself" if a == b else "would form a loop" if a in want[b] else None]]
+
+
 def test_links(spark):
     m = spark.createDataFrame([(1, None), (2, 1), (3, None), (4, None)], "id long, follow_up_of long")
     s = spark.createDataFrame([(1,), (2,), (3,)], "meeting_id long")
