@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -136,42 +137,72 @@ def throttle_progress(stream: DataFrame, every: float = EVERY_SECONDS, keep_for:
 
 
 def progress_eta_batch(events: DataFrame) -> DataFrame:
-    """T3 for a batch: the state machine of the stream over each meeting's and stage's events in order."""
-    told = events.where(F.col("stage").isin(*STAGES))
+    """T3 for a batch: the state machine of the stream over each meeting's and stage's events in order.
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        out, _, _ = _estimates(key, group.sort_values(["ts", "progress"]), None)
-        return out
+    A task goes once over the sorted events of many keys and holds a batch of them and the state of the last key: neither a call
+    for each key nor a whole key in memory.
+    """
+    told = events.where(F.col("stage").isin(*STAGES)).select("meeting_id", "stage", "ts", "progress")
+    ordered = told.repartition("meeting_id", "stage").sortWithinPartitions("meeting_id", "stage", F.asc_nulls_last("ts"), F.asc_nulls_last("progress"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, base = None, None
+        for rows in batches:
+            if len(rows):
+                if last is not None and _begins(pd.concat([last, rows.head(1)]))[1]:
+                    base = None
+                out, base, _ = _estimates(rows, base)
+                last = rows.tail(1)
+                yield out
 
-    return _rounded(told.groupBy("meeting_id", "stage").applyInPandas(run, ETA_SCHEMA))
+    return _rounded(ordered.mapInPandas(run, ETA_SCHEMA))
 
 
 def _rounded(estimates: DataFrame) -> DataFrame:
     return estimates.withColumn("eta_seconds", F.round("eta_seconds", 3))
 
 
-def _estimates(key: tuple, rows: pd.DataFrame, base: tuple | None) -> tuple[pd.DataFrame, tuple, float]:
-    """Estimates, not rounded, for ordered rows from the base (time, progress) so far, the base behind them, the last time."""
-    out, t = [], 0.0
-    for r in rows.to_dict("records"):
-        t, p = r["ts"].value // 1000 / 1e6, r["progress"]
-        if base is None or p < base[1]:
-            base = (t, p)
-        gained, passed = p - base[1], round((t - base[0]) * 1e6) / 1e6
-        out.append((*key, r["ts"], p, (1 - p) * passed / gained if gained > LEAST_STEP and passed > 0 else None))
-    return pd.DataFrame(out, columns=["meeting_id", "stage", "ts", "progress", "eta_seconds"]), base, t
+def _begins(rows: pd.DataFrame) -> np.ndarray:
+    """Which of the ordered rows is the first of its meeting and stage."""
+    new = np.zeros(len(rows), bool)
+    for c in ("meeting_id", "stage"):
+        now, before = rows[c], rows[c].shift()
+        new |= ((now != before) & ~(now.isna() & before.isna())).to_numpy(bool)
+    new[:1] = True
+    return new
+
+
+def _estimates(rows: pd.DataFrame, base: tuple | None) -> tuple[pd.DataFrame, tuple, float]:
+    """Estimates, not rounded, for ordered rows of one key after another from the first key's base (time, progress) so far, the last
+    key's base behind them, the last time. A key that begins without progress gets no estimate."""
+    us, p = rows["ts"].astype("datetime64[us]").astype("int64").to_numpy("float64"), rows["progress"].to_numpy("float64", na_value=np.nan)
+    first = _begins(rows)
+    first[0] = base is None
+    key = first.cumsum()
+    level = np.where(np.isnan(p), np.where(first, -np.inf, np.inf), p)
+    base_us, base_p = (0, np.inf) if base is None else (round(base[0] * 1e6), -np.inf if np.isnan(base[1]) else base[1])
+    least = pd.Series(np.where(key == 0, np.minimum(level, base_p), level)).groupby(key).cummin()
+    before = least.shift(fill_value=base_p).to_numpy()
+    at = np.maximum.accumulate(np.where(first | (level < before), np.arange(len(p)), -1))  # the base's row; before the rows: -1
+    from_us, from_p = np.where(at < 0, base_us, us[at]), np.where(at < 0, base_p, level[at])
+    gained, passed = p - from_p, (us - from_us) / 1e6
+    told = (gained > LEAST_STEP) & np.isfinite(from_p) & (passed > 0)
+    with np.errstate(all="ignore"):
+        eta = np.where(told, (1 - p) * passed / gained, np.nan)
+    out = rows[["meeting_id", "stage", "ts", "progress"]].assign(eta_seconds=eta)
+    return out, (float(from_us[-1]) / 1e6, float(from_p[-1])), float(us[-1]) / 1e6
 
 
 class _Estimating(_Remembering):
     schema = "t double, p double"
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
-        _, base, t = _estimates(key, initialState.sort_values(["ts", "progress"]), None)
+        _, base, t = _estimates(initialState.sort_values(["ts", "progress"]), None)
         self.remember(base, t, timerValues)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         told = pd.concat(list(rows)).sort_values(["ts", "progress"])
-        out, base, t = _estimates(key, told, tuple(self.state.get()) if self.state.exists() else None)
+        out, base, t = _estimates(told, tuple(self.state.get()) if self.state.exists() else None)
         self.remember(base, t, timerValues)
         yield out
 

@@ -121,3 +121,27 @@ def test_estimates_by_states(spark, tmp_path):
     columns = ["meeting_id", "stage", "ts", "progress", "eta_seconds"]
     told = [sorted(map(tuple, f(batch).select(columns).collect()), key=repr) for f in (progress.progress_eta, progress.progress_eta_batch)]
     assert told[0] == told[1]
+
+
+def test_states_of_many_keys_in_one_pass(spark):
+    """Keys and their bases go on from one batch of rows to the next, and no call is made for each key."""
+    start = datetime(2024, 1, 1)
+    rows = [(m, start + timedelta(seconds=3 * k + m), s, ((7 * k + m) % 11) / 11) for m in range(40) for k in range(9) for s in progress.STAGES]
+    rows += [(99, start + timedelta(seconds=k), "transcribing", None if k in (2, 4) else 0.1 * (k + 1)) for k in range(6)]
+    rows += [(98, start + timedelta(seconds=k), "transcribing", None if k == 0 else 0.1 * k) for k in range(4)]
+    batch = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    columns = ["meeting_id", "stage", "ts", "progress", "eta_seconds"]
+    # where progress is missing the window form has no base any more, the states keep theirs
+    expected = progress.progress_eta(batch.where("meeting_id < 98 or progress is not null")).select(columns).where("meeting_id <> 98")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+        told = progress.progress_eta_batch(batch)
+        got = [tuple(r) for r in told.collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert len(got) == len(rows)
+    assert [r[4] for r in got if r[0] == 98 or r[3] is None] == [None] * 6
+    assert sorted((r for r in got if r[0] != 98 and r[3] is not None), key=repr) == sorted(map(tuple, expected.collect()), key=repr)
+    plan = told._jdf.queryExecution().toString()
+    assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan
