@@ -101,9 +101,9 @@ def word_speaker(words: DataFrame, turns: DataFrame, bin_seconds: int = BIN_SECO
 
 
 def _carried(summary: DataFrame, keys: list[str], block: str, values: dict[str, Column], before: bool = True) -> DataFrame:
-    """keys and block with each value over the blocks before (or behind) it: the scan over summaries, one row for each block."""
-    w = Window.partitionBy(*keys).orderBy(block)
-    w = w.rowsBetween(Window.unboundedPreceding, -1) if before else w.rowsBetween(1, Window.unboundedFollowing)
+    """keys and block with each value over the blocks before (or, from the last one on, behind) it: the scan over summaries, one
+    row for each block."""
+    w = Window.partitionBy(*keys).orderBy(F.col(block) if before else F.desc(block)).rowsBetween(Window.unboundedPreceding, -1)
     return summary.select(*keys, block, *[x.over(w).alias(n) for n, x in values.items()])
 
 
@@ -122,23 +122,25 @@ def bucket_words(words: DataFrame, segments: DataFrame, block_seconds: int = BLO
     upto = Window.unboundedPreceding, Window.currentRow
     w = with_micros(words).withColumns({"_mid": F.col("start_us") + F.col("end_us"), "_block": F.floor(F.col("start_us") / size)})
     most = _carried(w.groupBy(*m, "_block").agg(F.max("_mid").alias("_top")), m, "_block", {"_before": F.max("_top")})
-    inside = F.max("_mid").over(Window.partitionBy(*m, "_block").orderBy("start_us", "end_us", "word_no").rowsBetween(*upto))
-    w = w.withColumn("_inside", inside).join(most, [*m, "_block"], "left").withColumn("_at", F.greatest("_inside", "_before"))
+    own = Window.partitionBy(*m, "_block").orderBy("start_us", "end_us", "word_no")
+    w = w.withColumns({"_inside": F.max("_mid").over(own.rowsBetween(*upto)), "_passed": F.max("_mid").over(own.rowsBetween(Window.unboundedPreceding, -1)), "_nth": F.row_number().over(own)})
+    w = w.join(most, [*m, "_block"], "left").withColumn("_at", F.greatest("_inside", "_before"))
     s = segments.select(*m, "segment_no", F.col("id").alias("_segment"), (2 * micros("end_seconds")).alias("_end")).withColumn("_row", F.floor(F.col("segment_no") / BLOCK_SEGMENTS))
     ends = _carried(s.groupBy(*m, "_row").agg(F.max("_end").alias("_top")), m, "_row", {"_before": F.max("_top")})
     so_far = F.max("_end").over(Window.partitionBy(*m, "_row").orderBy("segment_no").rowsBetween(*upto))
     s = s.withColumn("_inside", so_far).join(ends, [*m, "_row"]).withColumn("_at", F.greatest("_inside", "_before"))
     # a segment ends strictly after its words' midpoints, so at one time words come behind it: they belong to the next
     marks = s.select(*m, "_at", F.lit(1).alias("_kind"), "segment_no", "_segment")
-    asked = w.select(*m, "_block", "_at").distinct()
+    # midpoints don't go back in a block, so that each different one is told by the word before it
+    asked = w.where((F.col("_nth") == 1) | ~F.col("_at").eqNullSafe(F.greatest("_passed", "_before"))).select(*m, "_block", "_at")
     both = marks.unionByName(asked.withColumn("_kind", F.lit(0)), allowMissingColumns=True).withColumn("_time", F.floor(F.col("_at") / (2 * size)))
     mark = F.when(F.col("_kind") == 1, F.struct("_at", "segment_no", "_segment"))
     summary = both.groupBy(*m, "_time").agg(F.min(mark)["_segment"].alias("_first"), F.max(F.when(F.col("_kind") == 1, F.struct("segment_no", "_segment"))).alias("_last"))
-    behind = _carried(summary, m, "_time", {"_next": F.first("_first", ignorenulls=True)}, before=False)
-    last = summary.select(*m, "_time", F.max("_last").over(Window.partitionBy(*m))["_segment"].alias("_final"))
-    order = Window.partitionBy(*m, "_time").orderBy("_at", F.col("_kind").desc(), "segment_no")
-    ahead = F.first("_segment", ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    found = both.withColumn("_ahead", ahead).where("_kind = 0").join(behind, [*m, "_time"]).join(last, [*m, "_time"])
+    behind = _carried(summary.withColumn("_final", F.max("_last").over(Window.partitionBy(*m))["_segment"]), [*m, "_final"], "_time", {"_next": F.last("_first", ignorenulls=True)}, before=False)
+    # from the last one on: a frame that reached to the end would be reckoned anew for each row
+    order = Window.partitionBy(*m, "_time").orderBy(F.desc("_at"), "_kind", F.desc("segment_no"))
+    ahead = F.last("_segment", ignorenulls=True).over(order.rowsBetween(*upto))
+    found = both.withColumn("_ahead", ahead).where("_kind = 0").join(behind, [*m, "_time"])
     found = found.select(*m, "_block", "_at", F.coalesce("_ahead", "_next", "_final").alias("bucket_id"))
     return w.join(found, [*m, "_block", "_at"], "left").select(*words.columns, "bucket_id")
 

@@ -166,6 +166,8 @@ def test_blocks_split_a_meeting(spark):
     segments = spark.range(400).select("id", F.lit(1).cast("long").alias("meeting_id"), F.col("id").cast("int").alias("segment_no"), (F.col("id") * 100.0).alias("start_seconds"), ((F.col("id") + 1) * 100.0).alias("end_seconds"))
     told = {r["word_no"]: r["bucket_id"] for r in intervals.bucket_words(words, segments).collect()}
     assert told == {k: 0 if k < 5 else 399 for k in range(4000)}
+    plan = intervals.bucket_words(words, segments)._jdf.queryExecution().toString()
+    assert "currentrow$(), unboundedfollowing$()" not in plan  # reckons the rest of a block anew for each word
     told = intervals.bucket_words(words.where("word_no <> 5"), segments)
     assert told.where("bucket_id <> cast(word_no / 10 as int)").count() == 0
     assert "hashpartitioning(meeting_id#" in (plan := told._jdf.queryExecution().toString()) and "_block" in plan
