@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.functions.text import CJK
+from parley.sources.stage import stored
 
 # The names by which templates call a field.
 SYNONYMS = {
@@ -28,6 +29,10 @@ SCALAR = ("title", "date", "duration", "language", "participants", "attendees")
 CORE = ("summary", "action_items", "decisions", "deadlines", "issues", "risks")
 LEAST_RATIO = 0.9
 MARKER = r"\[\[\s*(.+?)\s*\]\]"
+#: Words of a line that may hold a name loosely (no name has more), the beginning of a line that has more, characters of the longest name.
+WORDS = 6
+MORE_WORDS = rf"(?U)^\s*(?:\S+\s+){{{WORDS}}}[^\s:：.。]"
+LONGEST = max(len(name) for names in SYNONYMS.values() for name in names)
 
 
 def normal_name(text: Column) -> Column:
@@ -90,20 +95,38 @@ def closest(names: DataFrame, synonyms: DataFrame) -> DataFrame:
     return told.groupBy("_name").agg(F.min_by("field", F.struct(-F.col("_ratio"), "place")).alias("_field"))
 
 
-def match_headings(lines: DataFrame, scalar_only: bool = False, ratio: bool = True) -> DataFrame:
-    """M4: lines (template_id, line_no, style, text) with field: an exact name; else, for headings and lines of at most six
-    words without a sentence end, the longest contained name of four characters or more (a whole word unless Chinese), else
-    the closest name from a ratio of 0.9 on. Distinct lines are matched once; only what is left goes to Python."""
-    spark = lines.sparkSession
+def _named(lines: DataFrame) -> DataFrame:
+    """lines with _loose (may hold a name within, or be like one) and _name, the text by which they are matched.
+
+    What isn't loose can only be a name as it stands, so that one character more than the longest name has tells that it is none.
+    Lines with more words than a name has, most of a page, are told by their beginning and not put into plain form at all.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
     heading = F.coalesce(F.col("style"), F.lit("")).rlike("^(Heading|Title)")
-    told = lines.withColumns({"_name": normal_name(F.col("text")), "_loose": heading | ((F.size(F.split(normal_name(F.col("text")), " ")) <= 6) & ~F.trim("text").rlike("[.!?。！？]$"))})
-    distinct = told.where("_name <> ''").select("_name", "_loose").distinct()
+    told = lines.withColumn("_long", ~heading & text.rlike(MORE_WORDS))
+    told = told.withColumn("_plain", F.when(~F.col("_long"), normal_name(F.col("text"))))
+    loose = heading | ((F.size(F.split("_plain", " ")) <= WORDS) & ~F.trim("text").rlike("[.!?。！？]$"))
+    told = told.withColumn("_loose", F.when(F.col("_long"), False).otherwise(loose))
+    name = F.when(F.col("_long"), F.left(text, F.lit(LONGEST + 1))).when(F.col("_loose"), F.col("_plain")).otherwise(F.left("_plain", F.lit(LONGEST + 1)))
+    return told.withColumn("_name", name).drop("_long", "_plain")
+
+
+def _may_match() -> Column:
+    return (F.col("_name") != "") & (F.col("_loose") | (F.length("_name") <= LONGEST))
+
+
+def _found(told: DataFrame, scalar_only: bool, ratio: bool) -> DataFrame:
+    """_name, _loose, _field of the distinct names in told that stand for a field."""
+    spark = told.sparkSession
+    distinct = stored(told.where(_may_match()).select("_name", "_loose").distinct(), "names")  # asked three times
     names = F.broadcast(synonyms(spark, scalar_only).drop("place"))  # fixed size
     if scalar_only:  # a name of another field is no loose match either
         taken = synonyms(spark).where(~F.col("field").isin(*SCALAR)).select(F.col("name").alias("_name"))
         distinct = distinct.join(F.broadcast(taken), "_name", "left_anti")
     exact = distinct.join(names, F.col("_name") == F.col("name")).select("_name", "_loose", F.col("field").alias("_field"))
-    rest = distinct.join(exact, ["_name", "_loose"], "left_anti").where("_loose")
+    # few bytes but much work for each name: all partitions, which a number given keeps from being put together
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rest = distinct.join(exact, ["_name", "_loose"], "left_anti").where("_loose").repartition(parts, "_name")
     long_ = names.where(F.length("name") >= 4)
     # names are letters, spaces, full stops and hyphens; a name's neighbours must not be letters
     wide = F.col("name").rlike(CJK)
@@ -114,37 +137,58 @@ def match_headings(lines: DataFrame, scalar_only: bool = False, ratio: bool = Tr
     if ratio:
         left = rest.join(contained, ["_name", "_loose"], "left_anti")
         found = found.unionByName(left.join(closest(left, synonyms(spark, scalar_only)), "_name").select("_name", "_loose", "_field"))
-    return told.join(found, ["_name", "_loose"], "left").withColumnRenamed("_field", "field").drop("_name", "_loose")
+    return found
+
+
+def match_headings(lines: DataFrame, scalar_only: bool = False, ratio: bool = True) -> DataFrame:
+    """M4: lines (template_id, line_no, style, text) with field: an exact name; else, for headings and lines of at most six
+    words without a sentence end, the longest contained name of four characters or more (a whole word unless Chinese), else
+    the closest name from a ratio of 0.9 on. Distinct lines are matched once, and only those that can match."""
+    told = _named(lines)
+    return told.join(_found(told, scalar_only, ratio), ["_name", "_loose"], "left").withColumnRenamed("_field", "field").drop("_name", "_loose")
 
 
 def markers(lines: DataFrame) -> DataFrame:
     """template_id, line_no, field of every known [[marker]] in the lines."""
-    names = F.broadcast(synonyms(lines.sparkSession).drop("place"))
-    found = lines.select("template_id", "line_no", F.explode(F.regexp_extract_all("text", F.lit(MARKER), F.lit(1))).alias("_m")).withColumn("_name", normal_name(F.col("_m")))
+    return _marked(lines.withColumn("_marks", F.regexp_extract_all("text", F.lit(MARKER), F.lit(1))))
+
+
+def _marked(told: DataFrame) -> DataFrame:
+    names = F.broadcast(synonyms(told.sparkSession).drop("place"))
+    found = told.select("template_id", "line_no", F.explode("_marks").alias("_m")).withColumn("_name", normal_name(F.col("_m")))
     return found.join(names, F.col("_name") == F.col("name")).select("template_id", "line_no", "field")
 
 
+def _told(lines: DataFrame) -> DataFrame:
+    """What M5 and M7 ask of each line, as an intermediate table, so that lines are made and searched once: template_id, line_no,
+    kind, _next (a cell's right neighbour: has one), _blank (to be filled), _name and _loose (null unless it may match), _marks."""
+    blank = (F.trim("next_text") == "") | F.trim("next_text").rlike(f"^{MARKER}$")
+    told = _named(lines).withColumns({"_next": F.col("next_text").isNotNull(), "_blank": F.coalesce(blank, F.lit(False)), "_marks": F.regexp_extract_all("text", F.lit(MARKER), F.lit(1))})
+    return stored(told.select("template_id", "line_no", "kind", "_next", "_blank", F.when(_may_match(), F.col("_name")).alias("_name"), "_loose", "_marks"), "headings")
+
+
+def _placed(told: DataFrame, cells: Column, ratio: bool) -> DataFrame:
+    """template_id, line_no, field, way of the markers, of the cells with a scalar field, and of the paragraphs."""
+    one = lambda df, scalar: df.join(_found(df, scalar, ratio), ["_name", "_loose"]).withColumn("way", F.lit("table-label" if scalar else "heading"))
+    labels, heads = one(told.where((F.col("kind") == "cell") & cells), True), one(told.where("kind = 'paragraph'"), False)
+    by_name = labels.unionByName(heads).select("template_id", "line_no", F.col("_field").alias("field"), "way")
+    return _marked(told).withColumn("way", F.lit("marker")).unionByName(by_name)
+
+
 def placements(lines: DataFrame, ratio: bool = True) -> DataFrame:
     """template_id, line_no, field, way (marker, table-label, heading) of every place that a template offers.
 
     lines: template_id, line_no, kind (paragraph or cell), style, text, next_text (of a cell's right neighbour).
     """
-    by_marker = markers(lines).withColumn("way", F.lit("marker"))
-    blank = (F.trim("next_text") == "") | F.trim("next_text").rlike(f"^{MARKER}$")
-    cells = match_headings(lines.where(F.col("kind") == "cell").where(F.col("next_text").isNotNull() & blank), True, ratio).where("field is not null")
-    heads = match_headings(lines.where(F.col("kind") == "paragraph"), False, ratio).where("field is not null")
-    one = lambda df, way: df.select("template_id", "line_no", "field", F.lit(way).alias("way"))
-    return by_marker.unionByName(one(cells, "table-label")).unionByName(one(heads, "heading"))
+    return _placed(_told(lines), F.col("_blank"), ratio)
 
 
 def recognised_fields(lines: DataFrame, ratio: bool = True) -> DataFrame:
     """M5: template_id, fields (sorted, distinct) and missing (core fields that the template has no place for)."""
-    labels = match_headings(lines.where(F.col("kind") == "cell").where(F.col("next_text").isNotNull()), True, ratio).where("field is not null")
-    heads = match_headings(lines.where(F.col("kind") == "paragraph"), False, ratio).where("field is not null")
-    found = markers(lines).select("template_id", "field").unionByName(labels.select("template_id", "field")).unionByName(heads.select("template_id", "field"))
-    sets = found.groupBy("template_id").agg(F.array_sort(F.collect_set("field")).alias("fields"))
-    told = lines.select("template_id").distinct().join(sets, "template_id", "left").withColumn("fields", F.coalesce("fields", F.array().cast("array<string>")))
-    return told.withColumn("missing", F.array_except(F.array(*[F.lit(c) for c in CORE]), F.col("fields")))
+    told = _told(lines)
+    sets = _placed(told, F.col("_next"), ratio).groupBy("template_id").agg(F.array_sort(F.collect_set("field")).alias("fields"))
+    every = told.select("template_id").distinct().join(sets, "template_id", "left").withColumn("fields", F.coalesce("fields", F.array().cast("array<string>")))
+    return every.withColumn("missing", F.array_except(F.array(*[F.lit(c) for c in CORE]), F.col("fields")))
 
 
 def fill_markers(lines: DataFrame, values: DataFrame) -> DataFrame:
@@ -163,7 +207,8 @@ def placement_report(lines: DataFrame, data_fields: DataFrame, ratio: bool = Tru
     'skipped' where it has no place. Names that are no field of the minutes are left out."""
     order = F.when(F.col("way") == "marker", 0).when(F.col("way") == "table-label", 1).otherwise(2)
     best = Window.partitionBy("template_id", "field").orderBy(order, "line_no")
-    placed = placements(lines, ratio).withColumn("_r", F.row_number().over(best)).where("_r = 1").select("template_id", "field", "way")
+    told = _told(lines)
+    placed = _placed(told, F.col("_blank"), ratio).withColumn("_r", F.row_number().over(best)).where("_r = 1").select("template_id", "field", "way")
     every = F.explode(F.array(*[F.lit(f) for f in SYNONYMS])).alias("field")  # the fields that there are
-    wanted = lines.select("template_id").distinct().select("template_id", every).join(data_fields.select("field"), "field", "left_semi")
+    wanted = told.select("template_id").distinct().select("template_id", every).join(data_fields.select("field"), "field", "left_semi")
     return wanted.join(placed, ["template_id", "field"], "left").withColumn("way", F.coalesce("way", F.lit("skipped")))

@@ -827,3 +827,31 @@ def test_shaky_words(spark):
 def test_normalised_keeps_letters(spark):
     assert spark.range(1).select(normalised(F.lit("  Über—会议, 5! "))).first()[0] == "über会议 5"
     assert datetime.date(2026, 8, 12).weekday() == 2
+
+
+def test_long_lines_are_told_by_their_beginning(spark):
+    """Lines of more words than a name has are matched by no more than their first characters, with the same fields as by the whole."""
+    assert all(len(n.split(" ")) <= headings.WORDS for v in headings.SYNONYMS.values() for n in v)
+    six, wide = "the key decisions of our meeting", " the\u00a0key  decisions\u2003of our\nmeeting : "
+    cases = [
+        (six, None, "decisions"), (wide, None, "decisions"), (six + " now", None, None), (six + " : .", None, None), (six + " .:", None, "decisions"), (six + " ::", None, "decisions"),
+        (six + " now", "Heading 2", "decisions"), ("date " * 2000, None, None), ("date " * 2000, "Title", "date"), ("date " + "x" * 90, None, "date"),
+        ("Summary" + ":" * 90, None, "summary"), (" " * 90 + "Summary", None, "summary"), ("x" * 60 + " date.", None, None), ("Date.", None, "date"), (None, None, None), ("", "Title", None),
+    ]
+    df = spark.createDataFrame([(1, k, *c[:2]) for k, c in enumerate(cases)], "template_id long, line_no int, text string, style string")
+    assert [f for _, f in sorted(rows(headings.match_headings(df), "line_no", "field"))] == [c[2] for c in cases]
+    named = headings._named(df).where("not _loose")
+    assert named.count() > 2 and named.where(F.length("_name") > headings.LONGEST + 1).count() == 0
+
+
+def test_template_lines_are_made_once(spark, tmp_path):
+    made = [(1, 1, "paragraph", "Normal", "Summary", None), (1, 2, "cell", "Normal", "Duraton", ""), (1, 3, "cell", "Normal", "title", "as it is"), (2, 1, "paragraph", "Normal", "[[risks]] and a line of a great many words", None), (3, 1, None, None, None, None)]
+    df = spark.createDataFrame(made, "template_id long, line_no int, kind string, style string, text string, next_text string")
+    df.write.parquet(str(tmp_path / "template-lines"))
+    lines = spark.read.parquet(str(tmp_path / "template-lines"))
+    fields, report = headings.recognised_fields(lines), headings.placement_report(lines, spark.createDataFrame([("summary",), ("duration",), ("risks",)], "field string"))
+    assert rows(fields, "template_id", "fields") == [(1, ["duration", "summary", "title"]), (2, ["risks"]), (3, [])]
+    assert [r for r in rows(report, "template_id", "field", "way") if r[2] != "skipped"] == [(1, "duration", "table-label"), (1, "summary", "heading"), (2, "risks", "marker")]
+    assert report.count() == 9
+    for told in (fields, report):
+        assert "template-lines" not in told._jdf.queryExecution().toString()
