@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from parley.operators.reads import first_hits, search, segment_index, wanted_terms
 from parley.sources.stage import stored
 
-#: Characters of a piece, folders of texts and of postings, and the tasks that write one folder of postings.
+#: Characters of a piece, folders of texts and of postings, and the least tasks that write one folder of postings.
 PIECE, BLOCKS, PARTS, SALT = 3, 256, 256, 8
+#: Characters of texts, and postings (there are no more than characters), that one salt of a folder holds about.
+TEXT_A_TASK, POSTINGS_A_TASK = 8_000_000, 500_000
 TEXTS = "meeting_id long, id long, ordinal int, start_seconds double, text string, block int"
 POSTINGS = "meeting_id long, id long, piece string, part int"
 COUNTS = "piece string, n long, part int"
@@ -34,16 +36,21 @@ def _block(meeting: Column, row: Column, blocks: int) -> Column:
 def write_search_index(segments: DataFrame, path: str, blocks: int = BLOCKS, parts: int = PARTS) -> None:
     """Writes texts (segments with ordinal, by block), postings (piece, meeting_id, id, by part) and counts (piece, n) below path.
 
-    Postings of a frequent piece are written by SALT tasks. Null and short texts have no pieces; the scan finds them. The
-    numbers of folders are kept in the index, so that a search knows them.
+    A folder is written by as many tasks as its share of all characters asks for, postings by SALT at least, so that what a task
+    sorts doesn't grow with the input. Null and short texts have no pieces; the scan finds them. The numbers of folders are kept
+    in the index, so that a search knows them.
     """
+    chars = segments.agg(F.sum(F.length("text"))).first()[0] or 0
+    salts = lambda folders, most: -(-chars // (folders * most))
+    by_text, by_posting = max(1, salts(blocks, TEXT_A_TASK)), max(SALT, salts(parts, POSTINGS_A_TASK))
     lines = segment_index(segments).select(F.col("meeting_id").cast("long"), F.col("id").cast("long"), "ordinal", F.col("start_seconds").cast("double"), "text")
     # the salt is a hash of the row, so that a repeated task writes the same
-    lines.withColumn("block", _block(F.col("meeting_id"), F.col("id"), blocks)).repartition("block").write.mode("overwrite").partitionBy("block").parquet(f"{path}/texts")
+    lines = lines.withColumns({"block": _block(F.col("meeting_id"), F.col("id"), blocks), "_salt": F.pmod(F.xxhash64("id"), F.lit(by_text))})
+    lines.repartition(blocks * by_text, "block", "_salt").drop("_salt").write.mode("overwrite").partitionBy("block").parquet(f"{path}/texts")
     spark = segments.sparkSession
     told = spark.read.schema(TEXTS).parquet(f"{path}/texts").select("meeting_id", "id", F.explode(_pieces(F.lower("text"))).alias("piece"))
-    told = told.withColumns({"part": _part(F.col("piece"), parts), "_salt": F.pmod(F.xxhash64("id"), F.lit(SALT))})
-    told.repartition("part", "_salt").sortWithinPartitions("part", "piece").drop("_salt").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    told = told.withColumns({"part": _part(F.col("piece"), parts), "_salt": F.pmod(F.xxhash64("id"), F.lit(by_posting))})
+    told.repartition(parts * by_posting, "part", "_salt").sortWithinPartitions("part", "piece").drop("_salt").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
     counts = spark.read.schema(POSTINGS).parquet(f"{path}/postings").groupBy("part", "piece").agg(F.count("*").alias("n"))
     counts.repartition("part").sortWithinPartitions("part", "piece").write.mode("overwrite").partitionBy("part").parquet(f"{path}/counts")
     spark.createDataFrame([(blocks, parts)], "blocks int, parts int").write.mode("overwrite").parquet(f"{path}/folders")

@@ -855,3 +855,14 @@ def test_template_lines_are_made_once(spark, tmp_path):
     assert report.count() == 9
     for told in (fields, report):
         assert "template-lines" not in told._jdf.queryExecution().toString()
+
+
+def test_index_is_written_by_more_tasks_for_more_text(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search_index, "TEXT_A_TASK", 200)
+    monkeypatch.setattr(search_index, "POSTINGS_A_TASK", 50)
+    lines = spark.range(300).select(F.lit(1).cast("long").alias("meeting_id"), "id", F.col("id").cast("double").alias("start_seconds"), F.lit("some words").alias("text"))
+    search_index.write_search_index(lines, str(tmp_path / "index"), 2, 2)
+    assert len(list((tmp_path / "index" / "postings").glob("part=*/*.parquet"))) > 2 * search_index.SALT
+    assert len(list((tmp_path / "index" / "texts").glob("block=*/*.parquet"))) > 2
+    terms = spark.createDataFrame([("words",)], "term string")
+    assert search_index.search_stored(spark, str(tmp_path / "index"), terms).count() == 200
