@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.text import normalised
@@ -19,10 +20,13 @@ LEAST = 12
 #: Groups of at most so many texts on both sides together are compared pair by pair, larger ones by pieces.
 FEW = 256
 #: Texts of LEAST * 2**k to twice as many bytes are looked up by a piece of GRAM * 2**k bytes: of every RUN * 2**k pieces in a row
-#: the one of the least hash is kept. GRAM + RUN are LEAST, so that what is kept of a text is kept of every text it is part of.
+#: the one of the least hash is kept. GRAM + RUN are LEAST, so that what is kept of a text is kept of every text it is part of, and
+#: that each text has a window of (GRAM + RUN) * 2**k bytes around its piece: candidates share the window.
 GRAM, RUN, LEVELS = 8, 4, 6
-#: Bits of the filter that says which pieces texts are looked up by; its size is fixed, a fuller one only lets more pieces through.
-FILTER_BITS = 1 << 26
+#: Bits of a filter: so many for each number that it holds, within bounds; a fuller one only lets more through. SET of the 64 bits of
+#: a word are set for a number: by the bits of the number from WORD_BITS on, the word by those below.
+BITS_EACH, LEAST_BITS, MOST_BITS = 32, 1 << 20, 1 << 29
+SET, WORD_BITS = 4, 23
 #: Bytes of texts whose pieces a task reckons at once.
 AT_ONCE = 4_000_000
 
@@ -80,17 +84,26 @@ def _level_of(sizes: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(np.log2(np.maximum(sizes, LEAST) / LEAST)).astype(np.int64), 0, LEVELS - 1)
 
 
+def _windows(h: np.ndarray, at: np.ndarray, level: int) -> np.ndarray:
+    """The hashes of the windows of a level that begin at the given bytes: two pieces cover a window."""
+    return _mixed(h[at] * _MIX[1] + h[at + (RUN << level)])
+
+
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """_gram and _level for each text (_text goes): the least hash of all its pieces at the level of its size."""
+    """_gram, _at, _piece and _level for each text (_text goes): the least hash of all its pieces at the level of its size (_piece),
+    and around that piece the window that begins with it, or as late as the text lets it."""
     for batch in _pages(batches):
         data, at = _bytes_of(batch.column("_text"))
-        sizes, gram = np.diff(at), np.full(batch.num_rows, _NONE)
-        level_of = _level_of(sizes)
+        sizes, level_of = np.diff(at), _level_of(np.diff(at))
+        gram, piece, place = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int64)
         for level, h in _levels(data, np.repeat(at[1:], sizes)):
-            mine = level_of == level
-            if mine.any():
-                gram[mine] = np.minimum.reduceat(h, at[:-1])[mine]
-        yield _with(batch, gram.view(np.int64), np.arange(batch.num_rows), _level=level_of)
+            mine = np.flatnonzero(level_of == level)
+            if len(mine):
+                least = np.minimum.reduceat(h, at[:-1])
+                hits = np.flatnonzero(h == np.repeat(least, sizes))
+                first = np.minimum(hits[np.searchsorted(hits, at[mine])], at[mine + 1] - (GRAM + RUN << level))
+                piece[mine], gram[mine], place[mine] = least[mine], _windows(h, first, level), first - at[mine]
+        yield _with(batch, gram.view(np.int64), np.arange(batch.num_rows), _at=place, _piece=piece.view(np.int64), _level=level_of)
 
 
 def _with(batch: pa.RecordBatch, gram: np.ndarray, rows: np.ndarray, **more: np.ndarray) -> pa.RecordBatch:
@@ -98,15 +111,28 @@ def _with(batch: pa.RecordBatch, gram: np.ndarray, rows: np.ndarray, **more: np.
     return pa.RecordBatch.from_arrays([*kept.columns, pa.array(gram), *map(pa.array, more.values())], names=[*kept.schema.names, "_gram", *more])
 
 
-def _slots(gram: np.ndarray) -> np.ndarray:
-    return (gram.view(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)
+def _known(told: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Which of the numbers (unsigned) the filter knows, and a few more."""
+    word, known = told[(numbers & np.uint64(len(told) - 1)).astype(np.int64)], np.ones(len(numbers), bool)
+    for k in range(SET):
+        known &= (word >> ((numbers >> np.uint64(WORD_BITS + 6 * k)) & np.uint64(63))) & np.uint64(1) == 1
+    return known
 
 
-def _asked(told: Broadcast, levels: list[int]):
-    """Of each text the pieces that some text may be looked up by: _gram and _at, the byte of the text where it begins."""
+def _kept(told: Broadcast):
+    """The rows whose _gram the filter knows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_known(told.value, batch.column("_gram").to_numpy().view(np.uint64))))
+
+    return run
+
+
+def _asked(pieces: Broadcast, windows: Broadcast, levels: list[int]):
+    """Of each text the windows that some text may be looked up by: _gram and _at, the byte of the text where it begins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = told.value
         for batch in _pages(batches):
             data, at = _bytes_of(batch.column("_text"))
             sizes = np.diff(at)
@@ -125,47 +151,84 @@ def _asked(told: Broadcast, levels: list[int]):
                 while k < run_:
                     most, k = np.maximum(most, _ahead(most[::-1], k)[::-1]), 2 * k
                 at_ = np.flatnonzero((h == most) & (h != _NONE))
-                slot = _slots(h[at_])
-                at_ = at_[(known[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1]
-                found.append((at_, h[at_]))
+                at_ = at_[_known(pieces.value, h[at_])]
+                for before in range(run_ + 1):
+                    begin = at_ - before
+                    begin = begin[(begin >= starts[at_]) & (begin + gram + run_ <= ends[at_])]
+                    hashes = _windows(h, begin, level)
+                    passed = _known(windows.value, hashes)
+                    found.append((begin[passed], hashes[passed]))
             places, grams = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+            (places, grams) = np.unique(np.stack((places.view(np.uint64), grams)), axis=1) if len(places) else (places, grams)
+            places = places.view(np.int64)
             rows = np.searchsorted(at, places, side="right") - 1
             yield _with(batch, grams.view(np.int64), rows, _at=places - starts[places])
 
     return run
 
 
-def _filter(anchors: DataFrame) -> Broadcast:
-    """FILTER_BITS bits, those set that some anchor falls on, come together as words of 64: 8 MB, whatever the tables hold."""
-    slot = F.pmod(F.col("_slot"), F.lit(64)).cast("int")
-    words = anchors.groupBy(F.floor(F.col("_slot") / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot)).alias("bits"))
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    told = words.toArrow()
-    bits[told.column("word").to_numpy()] = told.column("bits").to_numpy()
-    return anchors.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
+def _filter(numbers: DataFrame, n: int) -> Broadcast:
+    """A filter of n numbers (_gram). It comes together as words of 64 bits and is at most MOST_BITS, whatever the tables hold."""
+    words = 1 << (min(max(n * BITS_EACH, LEAST_BITS), MOST_BITS) // 64 - 1).bit_length()
+    set_ = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("_gram", WORD_BITS + 6 * k).bitwiseAND(F.lit(63)).cast("int")) for k in range(SET)]
+    bits = reduce(lambda a, b: a.bitwiseOR(b), set_)
+    # a power of two: the same for signed and unsigned numbers
+    told = numbers.groupBy(F.pmod("_gram", F.lit(words)).cast("int").alias("word")).agg(F.bit_or(bits).alias("bits")).toArrow()
+    filled = np.zeros(words, np.int64)
+    filled[told.column("word").to_numpy()] = told.column("bits").to_numpy()
+    return numbers.sparkSession.sparkContext.broadcast(filled.view(np.uint64))
+
+
+def _digest(text: str | Column) -> Column:
+    return F.unhex(F.md5(text))
 
 
 def _parts_by_pieces(short: DataFrame, long_: DataFrame, on: list[str]) -> DataFrame:
-    """on, _short, _long for groups of any size.
+    """on, _short_id, _long_id, _short, _long for groups of any size, a row for each place where a text (on, _id, _text) is part of
+    a longer one. Equal texts may come more than once: the least _id stands for them.
 
-    A text is looked up by the piece of its least hash, and a longer one offers only pieces that pass a filter of those: what
-    is shuffled are the anchors and what they may meet, not every piece. A candidate is compared where its piece lies, so that
-    of the longer text only that neighbourhood goes on to the other text.
+    A text is looked up by a window around the piece of its least hash, and a longer one offers only windows that pass a filter of
+    those: what is shuffled are the anchors and what they may meet, not every piece. A candidate says where in the longer text the other has
+    to begin and what its digest is, so that of the texts only the longer ones of candidates are shuffled, and once.
     """
-    keyed = lambda df: df.select(*on, F.xxhash64("_text").alias("_key"), F.octet_length("_text").alias("_size"), "_text")
-    shape = ", ".join(f"`{c}` {t}" for c, t in short.select(*on).dtypes) + ", _key long, _size int, _gram long"
-    anchors = stored(keyed(short).mapInArrow(_anchors, shape + ", _level long"), "anchors")
-    slot = F.pmod(F.col("_gram"), F.lit(FILTER_BITS))  # a power of two: the same for signed and unsigned hashes
-    told = [r["_level"] for r in anchors.select("_level").distinct().collect()]
-    asked = stored(keyed(long_).mapInArrow(_asked(_filter(anchors.select(slot.alias("_slot")).distinct()), told), shape + ", _at long"), "asked")
-    met = anchors.join(asked.select(*on, "_gram", F.col("_key").alias("_long_key"), F.col("_size").alias("_long_size"), "_at"), [*on, "_gram"]).where("_size < _long_size")
-    met = met.select(*on, "_key", "_size", "_long_key", "_at").distinct()
-    # the bytes around the piece: the shorter text holds it, so it lies within its own size before and behind
-    around = F.substring(F.encode("_long", "UTF-8"), F.greatest(F.lit(1), F.col("_at") + 1 - F.col("_size")).cast("int"), 2 * F.col("_size") + (GRAM << LEVELS))
-    texts = lambda df, key, name: df.select(*on, F.xxhash64("_text").alias(key), F.col("_text").alias(name))
-    near = met.join(texts(long_, "_long_key", "_long"), [*on, "_long_key"]).withColumn("_near", around)
-    pairs = near.select(*on, "_key", "_long", "_near").join(texts(short, "_key", "_short"), [*on, "_key"]).where(F.col("_near").contains(F.encode("_short", "UTF-8")))
-    return pairs.where(F.length("_short") < F.length("_long")).select(*on, "_short", "_long").distinct()
+    keyed = lambda df: df.select(*on, "_id", _digest("_text").alias("_key"), F.octet_length("_text").alias("_size"), "_text")
+    shape = ", ".join(f"`{c}` {t}" for c, t in short.select(*on).dtypes) + ", _id long, _key binary, _size int, _gram long, _at long"
+    anchors = stored(keyed(short).mapInArrow(_anchors, shape + ", _piece long, _level long"), "anchors")
+    levels = anchors.groupBy("_level").count().collect()
+    if not levels:
+        return long_.sparkSession.createDataFrame([], ", ".join(f"`{c}` {t}" for c, t in short.select(*on).dtypes) + ", _short_id long, _long_id long, _short string, _long string")
+    n = sum(r["count"] for r in levels)
+    told = _filter(anchors.select(F.col("_piece").alias("_gram")), n), _filter(anchors.select("_gram"), n)
+    asked = keyed(long_).mapInArrow(_asked(*told, [r["_level"] for r in levels]), shape)
+    # dealt as the join below deals them, so that rows are shuffled once
+    one = lambda df: df.repartition(*on, "_gram").groupBy(*on, "_gram", "_key", "_size", "_at").agg(F.min("_id").alias("_id"))
+    far = one(asked).select(*on, "_gram", F.col("_id").alias("_long_id"), F.col("_size").alias("_long_size"), F.col("_at").alias("_long_at"))
+    met = one(anchors).withColumnRenamed("_id", "_short_id").join(far, [*on, "_gram"]).withColumn("_from", F.col("_long_at") - F.col("_at"))
+    met = met.where("_size < _long_size and _from between 0 and _long_size - _size")
+    met = stored(met.select(*on, "_short_id", "_key", "_size", "_from", "_long_id"), "met")
+    wanted = _filter(met.select(F.xxhash64("_long_id").alias("_gram")), met.count())
+    texts = long_.select(*on, F.col("_id").alias("_long_id"), F.col("_text").alias("_long"), F.xxhash64("_id").alias("_gram"))
+    texts = texts.mapInArrow(_kept(wanted), texts.schema).drop("_gram")
+    there = F.substring(F.col("_long").cast("binary"), (F.col("_from") + 1).cast("int"), F.col("_size"))
+    found = met.join(texts, [*on, "_long_id"]).where(_digest(there) == F.col("_key"))
+    return found.select(*on, "_short_id", "_long_id", there.cast("string").alias("_short"), "_long")
+
+
+def _enough(texts: DataFrame) -> DataFrame:
+    return texts.where(F.length("_text") >= LEAST)
+
+
+def _few_and_many(texts: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The groups of at most FEW texts, and the larger ones; of these there is one for FEW texts at most."""
+    sizes = stored(texts.groupBy(*on).agg(F.count("*").alias("_texts")), "sizes")
+    return sizes.where(F.col("_texts") <= FEW).select(*on), sizes.where(F.col("_texts") > FEW).select(*on)
+
+
+def _parts_by_pairs(short: DataFrame, long_: DataFrame, on: list[str]) -> DataFrame:
+    """on, _short, _long by a join whose rows grow with the square of a group, and what else the sides have."""
+    side = lambda df, name: df.withColumnRenamed("_text", name).withColumn(f"{name}_length", F.length(name))
+    met = side(short, "_short").join(side(long_, "_long"), on)
+    return met.where((F.col("_short_length") < F.col("_long_length")) & F.col("_long").contains(F.col("_short"))).drop("_short_length", "_long_length")
 
 
 def _parts(short: DataFrame, long_: DataFrame, on: list[str]) -> DataFrame:
@@ -173,17 +236,13 @@ def _parts(short: DataFrame, long_: DataFrame, on: list[str]) -> DataFrame:
 
     Groups of few texts are compared pair by pair, in a join whose rows grow with FEW at most; larger ones go by pieces.
     """
-    enough = lambda df: df.where(F.length("_text") >= LEAST).select(*on, "_text")
-    a, b = enough(short), enough(long_)
-    both = a if short is long_ else a.select(*on).union(b.select(*on))
-    sizes = stored(both.groupBy(*on).agg(F.count("*").alias("_texts")), "sizes")
-    few, many = sizes.where(F.col("_texts") <= FEW).select(*on), sizes.where(F.col("_texts") > FEW).select(*on)
-    side = lambda df, name: df.join(few, on).select(*on, F.col("_text").alias(name), F.length("_text").alias(f"{name}_length"))
-    met = side(a, "_short").join(side(b, "_long"), on).where((F.col("_short_length") < F.col("_long_length")) & F.col("_long").contains(F.col("_short")))
-    pairs = met.select(*on, "_short", "_long")
+    a, b = (_enough(df).select(*on, "_text") for df in (short, long_))
+    few, many = _few_and_many(a if short is long_ else a.select(*on).union(b.select(*on)), on)
+    pairs = _parts_by_pairs(a.join(few, on), b.join(few, on), on).select(*on, "_short", "_long")
     if many.isEmpty():
         return pairs
-    return pairs.unionByName(_parts_by_pieces(a.join(many, on).select(*on, "_text"), b.join(many, on).select(*on, "_text"), on))
+    told = lambda df: df.join(F.broadcast(many), on).select(*on, F.xxhash64("_text").alias("_id"), "_text")
+    return pairs.unionByName(_parts_by_pieces(told(a), told(b), on).select(*on, "_short", "_long").distinct())
 
 
 def texts_of(items: DataFrame, on: list[str]) -> DataFrame:
@@ -218,12 +277,22 @@ def like_components(texts: DataFrame, on: list[str]) -> DataFrame:
 def like_items(items: DataFrame, on: list[str]) -> DataFrame:
     """id, other (id < other): pairs of items that stand for like texts, and each further item of a text with the first.
 
-    The item of the least id stands for all that have its normalised description; copies aren't paired with one another.
+    The item of the least id stands for all that have its normalised description; copies aren't paired with one another. Copies
+    are found by digests, so that texts are shuffled only as far as pairs of few and candidates by pieces ask for it.
     """
-    told = items.select("id", *on, normalised(F.col("description")).alias("_text")).where("_text <> ''")
-    first = stored(told.groupBy(*on, "_text").agg(F.min("id").alias("_first")), "first")
-    copies = told.join(first, [*on, "_text"]).where("id <> _first").select(F.col("_first").alias("id"), F.col("id").alias("other"))
-    texts = first.select(*on, "_text")
-    pairs = _parts(texts, texts, on)
-    pairs = pairs.join(first.withColumnsRenamed({"_text": "_short", "_first": "_a"}), [*on, "_short"]).join(first.withColumnsRenamed({"_text": "_long", "_first": "_b"}), [*on, "_long"])
-    return pairs.select(F.least("_a", "_b").alias("id"), F.greatest("_a", "_b").alias("other")).union(copies)
+    told = items.select(F.col("id").alias("_id"), *on, normalised(F.col("description")).alias("_text")).where("_text <> ''").dropna(subset=on)
+    told = stored(told, "told")
+    digests = told.select("_id", *on, _digest("_text").alias("_key"))
+    first = digests.groupBy(*on, "_key").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    copies = digests.join(first, [*on, "_key"]).where("_id <> _first").select(F.col("_first").alias("id"), F.col("_id").alias("other"))
+    few, many = _few_and_many(_enough(told), on)
+    found = copies
+    if not few.isEmpty():
+        texts = stored(_enough(told).join(few, on).groupBy(*on, "_text").agg(F.min("_id").alias("_id")), "first")
+        pairs = _parts_by_pairs(texts.withColumnRenamed("_id", "_short_id"), texts.withColumnRenamed("_id", "_long_id"), on)
+        found = found.union(pairs.select(F.least("_short_id", "_long_id"), F.greatest("_short_id", "_long_id")))
+    if not many.isEmpty():
+        texts = _enough(told).join(F.broadcast(many), on)
+        pairs = _parts_by_pieces(texts, texts, on).select(F.least("_short_id", "_long_id"), F.greatest("_short_id", "_long_id"))
+        found = found.union(pairs.distinct())
+    return found

@@ -1,6 +1,7 @@
 """Joins of like texts against a comparison of every pair."""
 
 import random
+import re
 from itertools import product
 
 import pytest
@@ -105,3 +106,30 @@ def test_pieces_are_not_shuffled_one_by_one(spark, tmp_path, monkeypatch):
     df = spark.createDataFrame([("k", "".join(rng.choice("abcdefghij ") for _ in range(300)).strip()) for _ in range(200)], "category string, _text string")
     assert likeness._parts(df, df, ["category"]).count() == 0
     assert sum(x.count() for x in written.values()) < 5 * 200
+
+
+def test_like_items_shuffle_only_the_texts_of_candidates(spark, monkeypatch):
+    """Of all that goes from task to task only the longer texts of candidates are texts; copies are found by digests."""
+    monkeypatch.setattr(likeness, "FEW", 0)
+    rng = random.Random(7)
+    said = ["".join(rng.choice("abcdefghij ") for _ in range(200)).strip() for _ in range(50)]
+    rows = [(k, 0, "risks", t, "") for k, t in enumerate(said + said[:20] + [t[5:60].strip() for t in said[:10]])]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = like_items(frame(spark, rows), ["category"])
+        plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert {tuple(r) for r in found.collect()} == {(k, 50 + k) for k in range(20)} | {(k, 70 + k) for k in range(10)}
+    inputs = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: (.*)", plan)
+    assert inputs and [x for x in inputs if "_text#" in x] == []
+    assert len({x for x in inputs if "_long#" in x or "_short#" in x}) <= 1
+
+
+def test_filter_knows_its_numbers_and_few_others(spark):
+    numbers = spark.range(20_000).select(F.xxhash64("id").alias("_gram"), "id")
+    told = likeness._filter(numbers.where("id < 10000").select("_gram"), 10_000)
+    kept = {r["id"] for r in numbers.mapInArrow(likeness._kept(told), numbers.schema).collect()}
+    assert set(range(10_000)) <= kept and len(kept) < 10_000 + 50
+    assert told.value.nbytes * 8 == likeness.LEAST_BITS
