@@ -10,11 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.sources.stage import stored
+
 #: Length of a time bin of the lowest level in seconds; each level above has bins STEP times as long.
 BIN_SECONDS = 30
 STEP = 8
 #: Rows that look for longer intervals are dealt over so many parts of a bin, and longer ones are repeated for each.
 PARTS = 8
+#: Segments of at most so many turns, and of so many bins from their first word to their last, take their turns to their words.
+MOST_TURNS, MOST_BINS = 256, 64
 #: Length of a block of an as-of join in seconds, and the segments whose ends are summed up together.
 BLOCK_SECONDS, BLOCK_SEGMENTS = 3600, 1024
 
@@ -96,8 +100,48 @@ def segment_speaker(segments: DataFrame, turns: DataFrame, min_ratio: float = 0.
 
 
 def word_speaker(words: DataFrame, turns: DataFrame, bin_seconds: int = BIN_SECONDS) -> DataFrame:
-    """Words with the speaker of most overlap, null where no turn overlaps."""
-    return _speaker_by_overlap(words, turns, None, bin_seconds)
+    """Words with the speaker of most overlap, null where no turn overlaps.
+
+    Words with a segment_id are shuffled once, by meeting_id and segment_id, as what follows in W1 and W2 wants them: only the
+    spans of segments are joined with turns by time, and each word looks through its segment's turns. Words without one, and
+    those of a segment that many turns or long times lie in, are joined with turns by time themselves.
+    """
+    if "segment_id" not in words.columns:
+        return _speaker_by_overlap(words, turns, None, bin_seconds)
+    group, columns = ["meeting_id", "segment_id"], [c for c in words.columns if c != "speaker"]
+    timed = with_micros(words.select(columns))
+    spans = timed.where("end_us > start_us").groupBy(*group).agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"))
+    spans = stored(spans.withColumn("_apart", F.col("segment_id").isNull() | (F.col("end_us") - F.col("start_us") > MOST_BINS * bin_seconds * 1_000_000)), "spans")
+    right = with_micros(turns).select("meeting_id", F.col("speaker").alias("turn_speaker"), "turn_no", "start_us", "end_us")
+    # larger bins, in which most turns are of the lowest level: a few more comparisons, but a turn makes few rows
+    met = overlap_join(spans.where("not _apart").drop("_apart"), right, ["meeting_id"], STEP * bin_seconds)
+    nth = F.row_number().over(Window.partitionBy(*group).orderBy("turn_no"))
+    met = met.withColumn("_nth", nth).where(F.col("_nth") <= MOST_TURNS + 1).groupBy(*group)
+    near = stored(met.agg(F.collect_list(F.struct("r_start_us", "r_end_us", "turn_no", "turn_speaker")).alias("_turns")), "near")
+    heard = timed.join(near.where(F.size("_turns") <= MOST_TURNS), group, "left").select(*columns, _most_heard(F.col("_turns")).alias("speaker"))
+    apart = near.where(F.size("_turns") > MOST_TURNS).select(*group).union(spans.where("_apart").select(*group))
+    if apart.isEmpty():
+        return heard
+    apart = apart.withColumnsRenamed({"meeting_id": "_m", "segment_id": "_s"})
+    theirs = F.col("meeting_id").eqNullSafe(F.col("_m")) & F.col("segment_id").eqNullSafe(F.col("_s"))
+    by_time = _speaker_by_overlap(words.join(apart, theirs, "left_semi"), turns, None, bin_seconds)
+    return heard.join(apart, theirs, "left_anti").unionByName(by_time)
+
+
+def _most_heard(turns: Column) -> Column:
+    """The speaker of those turns that overlap start_us to end_us most, and of equal ones the one met first."""
+    us = lambda t: F.least(t["r_end_us"], F.col("end_us")) - F.greatest(t["r_start_us"], F.col("start_us"))
+    hits = F.filter(F.transform(turns, lambda t: F.struct(t["turn_speaker"].alias("speaker"), t["turn_no"].alias("turn_no"), us(t).alias("us"))), lambda t: t["us"] > 0)
+
+    def total(speaker: Column) -> Column:
+        own = F.filter(hits, lambda t: t["speaker"].eqNullSafe(speaker))
+        first = F.array_min(F.transform(own, lambda t: t["turn_no"]))
+        return F.struct(F.aggregate(own, F.lit(0).cast("long"), lambda s, t: s + t["us"]).alias("us"), (-first).alias("first"), speaker.alias("speaker"))
+
+    speakers = F.array_distinct(F.transform(hits, lambda t: t["speaker"]))
+    heard = F.when(F.size(speakers) == 1, speakers[0]).otherwise(F.array_max(F.transform(speakers, total))["speaker"])
+    # greatest and least pass over a missing time
+    return F.when(F.col("end_us") > F.col("start_us"), heard)
 
 
 def _carried(summary: DataFrame, keys: list[str], block: str, values: dict[str, Column], before: bool = True) -> DataFrame:

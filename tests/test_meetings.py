@@ -137,6 +137,53 @@ def test_segment_speaker_ratio_and_ties(spark):
     assert rows(intervals.word_speaker(s, t), "id", "speaker") == [(1, "B"), (2, "A"), (3, "A")]
 
 
+def told_words(spark, seed):
+    """Words of segments, some without one, some with a wrong time or none, and turns of four speakers with ties among them."""
+    rng = random.Random(seed)
+    words, turns = [], []
+    for k in range(400):
+        meeting, at = rng.randint(1, 3), rng.randint(0, 600) / 2
+        segment = None if rng.random() < 0.05 else int(at // 40)
+        end = at + rng.choice([0, 0.5, 1, 3, 3, 5]) if rng.random() < 0.98 else at + 1e7
+        words.append((k, meeting, segment, k, None if rng.random() < 0.02 else at, end, f"w{k}"))
+    for k in range(240):
+        at = rng.randint(0, 600) / 2
+        turns.append((rng.randint(1, 3), k, at, at + rng.choice([-1, 0, 1, 2, 4, 30]), rng.choice(["A", "B", "C", "D", None])))
+    return (
+        spark.createDataFrame(words, "id long, meeting_id long, segment_id long, word_no int, start_seconds double, end_seconds double, text string"),
+        spark.createDataFrame(turns, "meeting_id long, turn_no int, start_seconds double, end_seconds double, speaker string"),
+    )
+
+
+@pytest.mark.parametrize("most", [1, 20, 256])
+def test_words_by_segments_and_by_time_agree(spark, monkeypatch, most):
+    monkeypatch.setattr(intervals, "MOST_TURNS", most)
+    words, turns = told_words(spark, most)
+    got, expected = intervals.word_speaker(words, turns), intervals._speaker_by_overlap(words, turns, None, 30)
+    columns = [*words.columns, "speaker"]
+    assert rows(got, *columns) == rows(expected, *columns) and got.columns == columns
+    assert len({r["speaker"] for r in got.collect()}) == 5
+    assert rows(intervals.word_speaker(words, turns.limit(0)), "id", "speaker") == sorted(((k, None) for k in range(400)), key=repr)
+
+
+def word_shuffles(spark, plan_of):
+    """How often the words of a query's plan go from task to task, where no side is sent whole."""
+    words, turns = told_words(spark, 3)
+    words = words.where("segment_id is not null and end_seconds < 1e6")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = spark._jvm.PythonSQLUtils.explainString(plan_of(words, turns)._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    return sum("word_no#" in x or "first_word#" in x for x in re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: (.*)", plan))
+
+
+def test_words_are_shuffled_once_for_speakers_and_runs(spark):
+    assert word_shuffles(spark, lambda w, t: speakers.fill_word_speakers(intervals.word_speaker(w, t))) == 1
+    assert word_shuffles(spark, lambda w, t: speakers.speaker_runs(speakers.fill_word_speakers(intervals.word_speaker(w, t)))) == 1
+
+
 def test_words_in_buckets_equal_a_cursor(spark, monkeypatch):
     rng = random.Random(7)
     segments, words, expected = [], [], []
