@@ -136,19 +136,15 @@ def smoothed(runs: Column) -> Column:
 
 def smooth_runs(runs: DataFrame) -> DataFrame:
     """Short runs take a neighbour's speaker. runs: as from speaker_runs; gives the same rows with speaker and the
-    smoothed run's number. A segment's runs are folded as an array in the JVM; segments of one run pass as they are."""
-    several = Window.partitionBy("meeting_id", "segment_id")
-    counted = runs.withColumn("_runs", F.count("*").over(several))
+    smoothed run's number. A segment's runs are folded as an array in the JVM, read once, where speaker_runs left them."""
     rest = [c for c in runs.columns if c not in ("meeting_id", "segment_id", "speaker")]
     rows = F.array_sort(F.collect_list(F.struct("run_no", "speaker", F.struct(*rest).alias("row"))))
-    grouped = counted.where("_runs > 1").groupBy("meeting_id", "segment_id").agg(rows.alias("rows"))
+    grouped = runs.groupBy("meeting_id", "segment_id").agg(rows.alias("rows"))
     shaped = F.transform("rows", lambda x, k: F.struct(x["speaker"].alias("speaker"), x["row"]["words"].alias("words"), x["row"]["start_seconds"].alias("start"), x["row"]["end_seconds"].alias("end"), k.alias("first"), k.alias("last")))
     told = grouped.withColumn("_shaped", shaped).withColumn("_smooth", smoothed(F.col("_shaped")))
-    told = told.select("meeting_id", "segment_id", "rows", F.posexplode("_smooth").alias("_n", "_s"))
-    told = told.select("meeting_id", "segment_id", "rows", "_n", "_s", F.explode(F.sequence("_s.first", "_s.last")).alias("_k"))
-    told = told.select("meeting_id", "segment_id", F.col("_s.speaker").alias("speaker"), F.get("rows", F.col("_k"))["row"].alias("row"), (F.col("_n") + 1).cast("long").alias("smooth_no"))
-    told = told.select("meeting_id", "segment_id", "speaker", "row.*", "smooth_no").select(*runs.columns, "smooth_no")
-    return told.unionByName(counted.where("_runs = 1").drop("_runs").withColumn("smooth_no", F.lit(1).cast("long")))
+    of_run = lambda s, n: F.transform(F.slice("rows", s["first"] + 1, s["last"] - s["first"] + 1), lambda x: F.struct(s["speaker"].alias("speaker"), x["row"].alias("row"), (n + 1).cast("long").alias("smooth_no")))
+    told = told.select("meeting_id", "segment_id", F.explode(F.flatten(F.transform("_smooth", of_run))).alias("_run"))
+    return told.select("meeting_id", "segment_id", "_run.speaker", "_run.row.*", "_run.smooth_no").select(*runs.columns, "smooth_no")
 
 
 def split_by_speaker(segments: DataFrame, words: DataFrame, turns: DataFrame, min_ratio: float = 0.3, bin_seconds: int = 30) -> DataFrame:

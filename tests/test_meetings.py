@@ -184,6 +184,11 @@ def test_words_are_shuffled_once_for_speakers_and_runs(spark):
     assert word_shuffles(spark, lambda w, t: speakers.speaker_runs(speakers.fill_word_speakers(intervals.word_speaker(w, t)))) == 1
 
 
+def test_words_are_shuffled_once_for_smoothed_runs(spark):
+    filled = lambda w, t: speakers.fill_word_speakers(intervals.word_speaker(w, t))
+    assert word_shuffles(spark, lambda w, t: speakers.smooth_runs(speakers.speaker_runs(filled(w, t)))) == 1
+
+
 def test_words_in_buckets_equal_a_cursor(spark, monkeypatch):
     rng = random.Random(7)
     segments, words, expected = [], [], []
