@@ -61,8 +61,8 @@ def fill_word_speakers(words: DataFrame) -> DataFrame:
     return words.withColumn("speaker", F.coalesce(before, after))
 
 
-def speaker_runs(words: DataFrame) -> DataFrame:
-    """Runs of words of one speaker in a segment: run_no from 1, speaker, first and last word, words, start, end."""
+def speaker_runs(words: DataFrame, **more: Column) -> DataFrame:
+    """Runs of words of one speaker in a segment: run_no from 1, speaker, first and last word, words, start, end, and more aggregates."""
     order = Window.partitionBy("meeting_id", "segment_id").orderBy("word_no")
     new = F.when(F.lag("speaker").over(order).eqNullSafe(F.col("speaker")) & (F.row_number().over(order) > 1), 0).otherwise(1)
     numbered = words.withColumn("_new", new).withColumn("run_no", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -73,6 +73,7 @@ def speaker_runs(words: DataFrame) -> DataFrame:
         F.count("*").alias("words"),
         F.min_by("start_seconds", "word_no").alias("start_seconds"),
         F.max_by("end_seconds", "word_no").alias("end_seconds"),
+        *[x.alias(c) for c, x in more.items()],
     )
 
 
@@ -162,21 +163,19 @@ def split_by_speaker(segments: DataFrame, words: DataFrame, turns: DataFrame, mi
     heard = spoken.join(speech, ["meeting_id", "id"], "left")
     enough = F.coalesce("_us", F.lit(0)) >= min_ratio * F.greatest(F.lit(1000), micros("end_seconds") - micros("start_seconds"))
     heard = heard.withColumn("_enough", enough)
-    mine = words.join(heard.where("_enough").select("meeting_id", F.col("id").alias("segment_id")), ["meeting_id", "segment_id"])
-    filled = fill_word_speakers(word_speaker(mine, turns, bin_seconds))
-    runs = smooth_runs(speaker_runs(filled))
+    # a run keeps its words' texts, so that words are shuffled once
+    lines = F.sort_array(F.collect_list(F.struct("word_no", "text")))
+    runs = smooth_runs(speaker_runs(fill_word_speakers(word_speaker(words, turns, bin_seconds)), _lines=lines))
     parts = runs.groupBy("meeting_id", "segment_id", "smooth_no").agg(
-        F.first("speaker").alias("speaker"), F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"), F.min_by("start_seconds", "run_no").alias("part_start"), F.max_by("end_seconds", "run_no").alias("part_end")
+        F.first("speaker").alias("_speaker"), F.min_by("start_seconds", "run_no").alias("_start"), F.max_by("end_seconds", "run_no").alias("_end"), F.sort_array(F.flatten(F.collect_list("_lines"))).alias("_lines")
     )
     several = Window.partitionBy("meeting_id", "segment_id")
-    parts = parts.withColumn("_parts", F.count("*").over(several))
-    one = heard.where("_enough").join(parts.where("_parts = 1").select("meeting_id", F.col("segment_id").alias("id"), F.col("speaker").alias("_speaker")), ["meeting_id", "id"])
-    numbered = filled.select("meeting_id", "segment_id", "word_no", "text").join(parts.where("_parts > 1"), ["meeting_id", "segment_id"]).where("word_no between first_word and last_word")
-    lines = F.sort_array(F.collect_list(F.struct("word_no", "text")))
-    texts = numbered.groupBy("meeting_id", "segment_id", "smooth_no", "speaker", "part_start", "part_end").agg(lines.alias("_lines"))
-    cut = texts.join(heard.select("meeting_id", F.col("id").alias("segment_id"), "language"), ["meeting_id", "segment_id"])
+    parts = parts.withColumn("_several", F.count("*").over(several) > 1).withColumnRenamed("segment_id", "id")
+    cut = heard.where("_enough").join(parts, ["meeting_id", "id"])
     close = F.trim(F.array_join(F.transform("_lines", lambda x: x["text"]), ""))
     spaced = F.trim(F.array_join(F.transform("_lines", lambda x: F.trim(x["text"])), " "))
-    cut = cut.select("meeting_id", F.col("segment_id").alias("id"), F.col("smooth_no").cast("long").alias("part_no"), F.col("part_start").alias("start_seconds"), F.col("part_end").alias("end_seconds"), F.when(F.col("language") == "zh", close).otherwise(spaced).alias("text"), "language", "speaker")
+    own = lambda part, segment: F.when(F.col("_several"), part).otherwise(F.col(segment)).alias(segment)
+    text = F.when(F.col("language") == "zh", close).otherwise(spaced)
+    cut = cut.select("meeting_id", "id", F.col("smooth_no").alias("part_no"), own(F.col("_start"), "start_seconds"), own(F.col("_end"), "end_seconds"), own(text, "text"), "language", F.col("_speaker").alias("speaker"))
     shape = lambda df, speaker: df.select("meeting_id", "id", F.lit(1).cast("long").alias("part_no"), "start_seconds", "end_seconds", "text", "language", speaker.alias("speaker"))
-    return shape(whole, F.col("speaker")).unionByName(shape(heard.where("not _enough"), F.lit(None).cast("string"))).unionByName(shape(one, F.col("_speaker"))).unionByName(cut)
+    return shape(whole, F.col("speaker")).unionByName(shape(heard.where("not _enough"), F.lit(None).cast("string"))).unionByName(cut)

@@ -189,6 +189,11 @@ def test_words_are_shuffled_once_for_smoothed_runs(spark):
     assert word_shuffles(spark, lambda w, t: speakers.smooth_runs(speakers.speaker_runs(filled(w, t)))) == 1
 
 
+def test_words_are_shuffled_once_to_split_segments(spark):
+    segments = spark.createDataFrame([(k, m, 40.0 * k, 40.0 * k + 40, f"s{k}", "en") for k in range(8) for m in (1, 2, 3)], "id long, meeting_id long, start_seconds double, end_seconds double, text string, language string")
+    assert word_shuffles(spark, lambda w, t: speakers.split_by_speaker(segments, w, t)) == 1
+
+
 def test_words_in_buckets_equal_a_cursor(spark, monkeypatch):
     rng = random.Random(7)
     segments, words, expected = [], [], []
