@@ -72,9 +72,19 @@ def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
+def _once(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Each text of a batch once, with its least _id: copies don't come together in one task."""
+    told = pa.Table.from_batches([batch.drop_columns(["_text", "_size"])]).append_column("_row", pa.array(np.arange(batch.num_rows)))
+    first = told.group_by([c for c in batch.schema.names if c not in ("_id", "_size", "_text")]).aggregate([("_row", "min"), ("_id", "min")]).combine_chunks()
+    if first.num_rows == batch.num_rows:
+        return batch
+    kept = batch.take(first.column("_row_min").combine_chunks())
+    return kept.set_column(kept.schema.get_field_index("_id"), "_id", first.column("_id_min").combine_chunks())
+
+
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches of about AT_ONCE bytes of text at most, or of one text."""
-    for batch in batches:
+    for batch in map(_once, batches):
         page = _bytes_of(batch.column("_text"))[1][:-1] // AT_ONCE
         cuts = [0, *(np.flatnonzero(np.diff(page)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
         yield from (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False))

@@ -133,3 +133,15 @@ def test_filter_knows_its_numbers_and_few_others(spark):
     kept = {r["id"] for r in numbers.mapInArrow(likeness._kept(told), numbers.schema).collect()}
     assert set(range(10_000)) <= kept and len(kept) < 10_000 + 50
     assert told.value.nbytes * 8 == likeness.LEAST_BITS
+
+
+def test_copies_look_up_pieces_once(spark, monkeypatch):
+    """Copies of a text in one batch leave one row, so that a frequent one doesn't fill the task of its window."""
+    written = {}
+    plain = likeness.stored
+    monkeypatch.setattr(likeness, "FEW", 0)
+    monkeypatch.setattr(likeness, "stored", lambda df, name: written.setdefault(name, plain(df, name)))
+    rows = [(k, 0, "risks", "the same long line of every document" if k else "and the same long line of every document", "") for k in range(2000)]
+    got = {tuple(r) for r in like_items(frame(spark, rows).coalesce(1), ["category"]).collect()}
+    assert got == {(0, 1)} | {(1, k) for k in range(2, 2000)}
+    assert written["anchors"].count() == 2 and written["met"].count() == 1
